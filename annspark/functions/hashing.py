@@ -140,4 +140,5 @@ def hash_vectors(df: DataFrame, family, width: int, col: str = "features",
 def explode_buckets(df: DataFrame, sig: str = "sig") -> DataFrame:
     """One row per table: ``tbl int, bucket bigint``."""
     others = [c for c in df.columns if c != sig]
-    return df.select(*others, F.posexplode(sig).alias("tbl", "bucket"))
+    # _outer: avoids an inferred size() filter that would evaluate the UDF twice.
+    return df.select(*others, F.posexplode_outer(sig).alias("tbl", "bucket"))

@@ -65,8 +65,24 @@ def _replicate(df: DataFrame, own_block: str, own_count: str, id_col: str,
             .drop(own_count, other_count))
 
 
+def count_rows(q_rows: DataFrame, t_rows: DataFrame) -> tuple[int, int]:
+    """Row counts of both sides in one job; only ids are read (no vectors, no hashing)."""
+    both = (q_rows.select(F.lit(1).alias("_q"), F.lit(0).alias("_t"))
+            .unionByName(t_rows.select(F.lit(0).alias("_q"), F.lit(1).alias("_t"))))
+    row = both.agg(F.sum("_q").alias("q"), F.sum("_t").alias("t")).first()
+    return int(row["q"] or 0), int(row["t"] or 0)
+
+
+def _uniform(q_exp: DataFrame, t_exp: DataFrame, n_tb: int, n_qb: int):
+    t_side = _replicate(t_exp.withColumn("n_tb", F.lit(n_tb)).withColumn("n_qb", F.lit(n_qb)),
+                        "tblock", "n_tb", "t_id", "qblock", "n_qb")
+    q_side = _replicate(q_exp.withColumn("n_tb", F.lit(n_tb)).withColumn("n_qb", F.lit(n_qb)),
+                        "qblock", "n_qb", "q_id", "tblock", "n_tb")
+    return q_side, t_side
+
+
 def lsh_blocks(q_exp: DataFrame, t_exp: DataFrame, block_rows: int,
-               max_broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
+               max_broadcast_rows: int, n_q: int, n_t: int) -> tuple[DataFrame, DataFrame]:
     """Give exploded rows (``tbl, bucket`` per row) ``tblock, qblock`` keys.
 
     Bucket sizes come from one aggregation with map-side combine. Only buckets with more
@@ -74,6 +90,10 @@ def lsh_blocks(q_exp: DataFrame, t_exp: DataFrame, block_rows: int,
     broadcast only when it is proven small, else joined by a shuffle.
     """
     keys = ["tbl", "bucket"]
+    if max(n_t, n_q) <= block_rows:
+        # No bucket can hold more rows than its whole table: nothing to split, so the
+        # sizing pass is skipped.
+        return _uniform(q_exp, t_exp, 1, 1)
     sizes = (t_exp.select(*keys, F.lit(1).alias("n_t"), F.lit(0).alias("n_q"))
              .unionByName(q_exp.select(*keys, F.lit(0).alias("n_t"), F.lit(1).alias("n_q")))
              .groupBy(*keys)
@@ -99,18 +119,13 @@ def lsh_blocks(q_exp: DataFrame, t_exp: DataFrame, block_rows: int,
 def exact_blocks(q_rows: DataFrame, t_rows: DataFrame, block_rows: int,
                  min_groups: int) -> tuple[DataFrame, DataFrame]:
     """Blocks over whole tables for exact search: a grid of query x training blocks."""
-    n_t = t_rows.count()
-    n_q = q_rows.count()
+    n_q, n_t = count_rows(q_rows, t_rows)
     n_tb = max(1, math.ceil(n_t / block_rows))
     n_qb = max(1, math.ceil(n_q / block_rows))
     if n_tb * n_qb < min_groups:
         # Small inputs: split the training side further so all cores get work.
         n_tb = max(n_tb, min(math.ceil(min_groups / n_qb), max(1, n_t // 64)))
-    t_side = _replicate(t_rows.withColumn("n_tb", F.lit(n_tb)).withColumn("n_qb", F.lit(n_qb)),
-                        "tblock", "n_tb", "t_id", "qblock", "n_qb")
-    q_side = _replicate(q_rows.withColumn("n_tb", F.lit(n_tb)).withColumn("n_qb", F.lit(n_qb)),
-                        "qblock", "n_qb", "q_id", "tblock", "n_tb")
-    return q_side, t_side
+    return _uniform(q_rows, t_rows, n_tb, n_qb)
 
 
 class BlockKernel:

@@ -92,7 +92,8 @@ def bucket_vote_classify(query: DataFrame, train: DataFrame, family,
               signature_column(family, w, to_double_array(features)).alias("sig")]
     if exclude_self:
         q_cols.append(F.col(label).alias("_own"))
-    qb = query.select(*q_cols).select("*", F.posexplode("sig").alias("tbl", "bucket")).drop("sig")
+    qb = (query.select(*q_cols)
+          .select("*", F.posexplode_outer("sig").alias("tbl", "bucket")).drop("sig"))
     joined = join_checked(qb, hist, ["tbl", "bucket"], "inner", max_broadcast_rows)
     cnt = F.col("cnt")
     if exclude_self:

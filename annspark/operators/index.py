@@ -16,7 +16,7 @@ def bucket_index(train: DataFrame, family, width: int | None = None, id_col: str
     sig = signature_column(family, w, to_double_array(features))
     return (train.select(F.col(id_col).cast("long").alias("id"), F.col(label).alias("label"),
                          sig.alias("sig"))
-            .select(F.posexplode("sig").alias("tbl", "bucket"), "id", "label"))
+            .select(F.posexplode_outer("sig").alias("tbl", "bucket"), "id", "label"))
 
 
 def bucket_histogram(train: DataFrame, family, width: int | None = None, **cols) -> DataFrame:

@@ -17,6 +17,7 @@ from annspark.operators.blocks import (
     DEFAULT_BLOCK_ROWS,
     DEFAULT_MAX_BROADCAST_ROWS,
     BlockKernel,
+    count_rows,
     exact_blocks,
     lsh_blocks,
     run_blocks,
@@ -49,9 +50,13 @@ def candidate_blocks(query: DataFrame, train: DataFrame, family, kernel_k: int |
         w = width or vector_width(train, features)
         q = q.withColumn("q_sig", signature_column(family, w, "q_vec"))
         t = t.withColumn("t_sig", signature_column(family, w, "t_vec"))
-        q_exp = q.select("*", F.posexplode("q_sig").alias("tbl", "bucket"))
-        t_exp = t.select("*", F.posexplode("t_sig").alias("tbl", "bucket"))
-        q_side, t_side = lsh_blocks(q_exp, t_exp, block_rows, max_broadcast_rows)
+        # The _outer form: a plain posexplode makes Catalyst infer ``size(sig) > 0`` and
+        # push it below the projection, which runs the hashing UDF twice. Signatures
+        # are never empty, so the rows are the same.
+        q_exp = q.select("*", F.posexplode_outer("q_sig").alias("tbl", "bucket"))
+        t_exp = t.select("*", F.posexplode_outer("t_sig").alias("tbl", "bucket"))
+        n_q, n_t = count_rows(q, t)
+        q_side, t_side = lsh_blocks(q_exp, t_exp, block_rows, max_broadcast_rows, n_q, n_t)
         keys = ["tbl", "bucket", "tblock", "qblock"]
         kernel = BlockKernel(kernel_k, threshold, exclude_self, first_table=True)
     return run_blocks(q_side, t_side, keys, kernel)
