@@ -114,6 +114,41 @@ class EuclideanFamily:
         return np.floor((x @ a.T) / self.bucket_length).astype(np.int64)
 
 
+class SignPlanes:
+    """Sign family with given planes, shape (n_tables, n_bits, width)."""
+
+    def __init__(self, planes):
+        self._planes = np.asarray(planes, dtype=np.float64)
+        if self._planes.ndim != 3:
+            raise ValueError("sign planes must have shape (n_tables, n_bits, width)")
+        self.n_tables, self.n_bits, self.width = self._planes.shape
+
+    def planes(self, width: int) -> np.ndarray:
+        if width != self.width:
+            raise ValueError(f"planes are {self.width} wide, vectors {width}")
+        return self._planes
+
+    signatures = SignFamily.signatures
+
+
+class EuclideanPlanes:
+    """Euclidean family with given directions, shape (n_tables, width), used as given."""
+
+    def __init__(self, planes, bucket_length: float):
+        self._planes = np.asarray(planes, dtype=np.float64)
+        if self._planes.ndim != 2:
+            raise ValueError("Euclidean planes must have shape (n_tables, width)")
+        self.n_tables, self.width = self._planes.shape
+        self.bucket_length = float(bucket_length)
+
+    def planes(self, width: int) -> np.ndarray:
+        if width != self.width:
+            raise ValueError(f"planes are {self.width} wide, vectors {width}")
+        return self._planes
+
+    signatures = EuclideanFamily.signatures
+
+
 def _check_size(values: int) -> None:
     if values > MAX_PLANE_VALUES:
         raise ValueError(f"hash family needs {values} plane values; lower tables, bits or width")
