@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _col(c) -> Column:
@@ -15,9 +16,23 @@ def to_double_array(c) -> Column:
     return _col(c).cast("array<double>")
 
 
+def vector_column(df: DataFrame, name: str) -> Column:
+    """The vector column as stored when it is float or double, else cast to double.
+
+    ``array<float>`` stays float through scans and shuffles (half the bytes); the
+    kernels widen it to float64 in numpy, which is exact.
+    """
+    field = df.schema[name].dataType
+    element = getattr(field, "elementType", None)
+    if isinstance(element, (T.FloatType, T.DoubleType)):
+        return F.col(name)
+    return to_double_array(name)
+
+
 def sqdist(a, b) -> Column:
-    """Squared Euclidean distance of two equal-width arrays."""
-    diffs = F.zip_with(_col(a), _col(b), lambda x, y: (x - y) * (x - y))
+    """Squared Euclidean distance of two equal-width arrays, in double."""
+    diffs = F.zip_with(_col(a), _col(b),
+                       lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
     return F.aggregate(diffs, F.lit(0.0), lambda acc, x: acc + x)
 
 
@@ -26,11 +41,11 @@ def l2_distance(a, b) -> Column:
 
 
 def vector_sum(c) -> Column:
-    return F.aggregate(_col(c), F.lit(0.0), lambda acc, x: acc + x)
+    return F.aggregate(_col(c), F.lit(0.0), lambda acc, x: acc + x.cast("double"))
 
 
 def vector_sq(c) -> Column:
-    return F.aggregate(_col(c), F.lit(0.0), lambda acc, x: acc + x * x)
+    return F.aggregate(_col(c), F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
 
 
 def nonzeros(c) -> Column:
@@ -47,7 +62,7 @@ def vector_width(df: DataFrame, col: str = "features") -> int:
 
 def pad(c, width: int) -> Column:
     """Pad with zeros to ``width``; a wider vector is an error, as in the reference."""
-    v = _col(c)
+    v = _col(c).cast("array<double>")
     missing = F.lit(width) - F.size(v)
     return F.when(
         F.size(v) > width,

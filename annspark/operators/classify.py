@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annspark.functions.hashing import signature_column
-from annspark.functions.vectors import to_double_array, vector_width
+from annspark.functions.vectors import vector_column, vector_width
 from annspark.operators.blocks import DEFAULT_MAX_BROADCAST_ROWS, join_checked
 from annspark.operators.index import bucket_histogram
 from annspark.operators.search import knn_join
@@ -89,7 +89,7 @@ def bucket_vote_classify(query: DataFrame, train: DataFrame, family,
     hist = bucket_histogram(train, family, w, id_col=id_col, features=features, label=label)
     hist = hist.withColumnRenamed("label", "t_label")
     q_cols = [F.col(id_col).cast("long").alias("q_id"),
-              signature_column(family, w, to_double_array(features)).alias("sig")]
+              signature_column(family, w, vector_column(query, features)).alias("sig")]
     if exclude_self:
         q_cols.append(F.col(label).alias("_own"))
     qb = (query.select(*q_cols)

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annspark.functions.hashing import signature_column
-from annspark.functions.vectors import to_double_array, vector_width
+from annspark.functions.vectors import vector_column, vector_width
 
 
 def bucket_index(train: DataFrame, family, width: int | None = None, id_col: str = "id",
                  features: str = "features", label: str = "label") -> DataFrame:
     """``tbl, bucket, id, label``: one row per training row and table (B12, E2 long form)."""
     w = width or vector_width(train, features)
-    sig = signature_column(family, w, to_double_array(features))
+    sig = signature_column(family, w, vector_column(train, features))
     return (train.select(F.col(id_col).cast("long").alias("id"), F.col(label).alias("label"),
                          sig.alias("sig"))
             .select(F.posexplode_outer("sig").alias("tbl", "bucket"), "id", "label"))

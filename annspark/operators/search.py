@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annspark.functions.hashing import arrow_matrix, signature_column
-from annspark.functions.vectors import to_double_array, vector_width
+from annspark.functions.vectors import vector_column, vector_width
 from annspark.operators.blocks import (
     DEFAULT_BLOCK_ROWS,
     DEFAULT_MAX_BROADCAST_ROWS,
@@ -26,9 +26,9 @@ from annspark.operators.blocks import (
 
 def _sides(query: DataFrame, train: DataFrame, id_col: str, features: str, label: str):
     q = query.select(F.col(id_col).cast("long").alias("q_id"),
-                     to_double_array(features).alias("q_vec"))
+                     vector_column(query, features).alias("q_vec"))
     t = train.select(F.col(id_col).cast("long").alias("t_id"),
-                     to_double_array(features).alias("t_vec"),
+                     vector_column(train, features).alias("t_vec"),
                      F.col(label).cast("double").alias("t_label"))
     return q, t
 
@@ -109,7 +109,7 @@ def knn_one(train: DataFrame, key, family=None, k: int = 5, id_col: str = "id",
     kv = np.asarray(key, dtype=np.float64).ravel()
     width = len(kv)
     t = train.select(F.col(id_col).cast("long").alias("id"),
-                     to_double_array(features).alias("features"),
+                     vector_column(train, features).alias("features"),
                      F.col(label).alias("label"))
     if family is not None:
         ksig = family.signatures(kv[None, :]).reshape(-1)

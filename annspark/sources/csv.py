@@ -16,7 +16,9 @@ def component_names(width: int, prefix: str = "f") -> list[str]:
 def write_csv_vectors(df: DataFrame, path: str, width: int, id_col: str | None = "id",
                       features: str = "features", header: bool = True) -> None:
     cols = [F.col(id_col)] if id_col else []
-    cols += [F.col(features)[i].alias(name) for i, name in enumerate(component_names(width))]
+    # Written as double: a float's shortest text would read back as another double.
+    cols += [F.col(features)[i].cast("double").alias(name)
+             for i, name in enumerate(component_names(width))]
     df.select(*cols).write.mode("overwrite").option("header", header).csv(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annspark.functions.vectors import to_double_array
+from annspark.functions.vectors import vector_column
 
 # The test-data layout and its query/training split.
 EMBEDDINGS = "embeddings.parquet"
@@ -14,9 +14,13 @@ QUERY_FOLDS = 5  # rows with id % 5 == 0 are queries, the others training rows
 
 def load_vectors(spark: SparkSession, path: str, id_col: str = "vec_id",
                  vec_col: str = "embedding", label_col: str | None = "label") -> DataFrame:
-    """Read a Parquet vector table; the column selection prunes the scan."""
+    """Read a Parquet vector table; the column selection prunes the scan.
+
+    Float and double vectors keep their stored type (float halves shuffle bytes and is
+    widened exactly where arithmetic happens); other numeric arrays become double.
+    """
     df = spark.read.parquet(path)
-    cols = [F.col(id_col).cast("long").alias("id"), to_double_array(vec_col).alias("features")]
+    cols = [F.col(id_col).cast("long").alias("id"), vector_column(df, vec_col).alias("features")]
     if label_col is not None:
         cols.append(F.col(label_col).alias("label"))
     return df.select(*cols)
