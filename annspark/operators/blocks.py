@@ -117,9 +117,8 @@ def lsh_blocks(q_exp: DataFrame, t_exp: DataFrame, block_rows: int,
 
 
 def exact_blocks(q_rows: DataFrame, t_rows: DataFrame, block_rows: int,
-                 min_groups: int) -> tuple[DataFrame, DataFrame]:
+                 min_groups: int, n_q: int, n_t: int) -> tuple[DataFrame, DataFrame]:
     """Blocks over whole tables for exact search: a grid of query x training blocks."""
-    n_q, n_t = count_rows(q_rows, t_rows)
     n_tb = max(1, math.ceil(n_t / block_rows))
     n_qb = max(1, math.ceil(n_q / block_rows))
     if n_tb * n_qb < min_groups:

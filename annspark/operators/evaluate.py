@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annspark.functions.hashing import EuclideanFamily
+from annspark.functions.vectors import vector_width
+from annspark.operators.blocks import count_rows
+from annspark.session import checkpoint_dir
 from annspark.operators.search import exact_knn, knn_join
 
 
@@ -87,13 +90,19 @@ def sweep(query: DataFrame, train: DataFrame, bucket_lengths, n_tables_list, ks,
     """Grid over bucket length x tables x k (H7).
 
     ``bl, nht, k, accuracy, recall, n_candidates``. One hashing and one top-max(k)
-    search per (bl, nht); every k is scored from it. Recall is against the exact
-    top k, computed once for the whole grid.
+    search per (bl, nht); every k is scored from it in a single pass (vote, recall and
+    candidate count from the same rows). The exact top max(k), the recall yardstick of
+    every setting, is computed once and checkpointed to the shared checkpoint folder.
     """
     ks = sorted({int(k) for k in ks})
     kmax = ks[-1]
-    exact = _spread_k(exact_knn(query, train, kmax, id_col=id_col, label=label, **opts), ks)
-    truth = exact.select("k", "q_id", "t_id")
+    checkpoint_dir(query.sparkSession)
+    # Facts shared by every setting: one job each, not one per setting.
+    opts.setdefault("width", vector_width(train, opts.get("features", "features")))
+    opts.setdefault("counts", count_rows(query.select(id_col), train.select(id_col)))
+    truth = (exact_knn(query, train, kmax, id_col=id_col, label=label, **opts)
+             .select("q_id", "t_id", F.col("rn").alias("true_rn"))
+             .checkpoint(eager=True))
     qrows = query.select(F.col(id_col).cast("long").alias("q_id"),
                          F.col(label).cast("double").alias("label"))
     q_by_k = qrows.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
@@ -102,32 +111,36 @@ def sweep(query: DataFrame, train: DataFrame, bucket_lengths, n_tables_list, ks,
         for nht in n_tables_list:
             fam = EuclideanFamily(float(bl), int(nht), seed)
             nb = knn_join(query, train, fam, kmax, threshold, id_col=id_col, label=label, **opts)
-            nbk = _spread_k(nb, ks)
-            pred = _vote_by_k(nbk, q_by_k)
-            hits = (nbk.select("k", "q_id", "t_id").join(truth, ["k", "q_id", "t_id"])
-                    .select("k", F.lit(0).alias("_acc"), F.lit(0).alias("_q"),
-                            F.lit(1).alias("_hit"), F.lit(0).alias("_c")))
-            acc = pred.select("k", (F.col("label") == F.col("prediction")).cast("int").alias("_acc"),
-                              F.lit(1).alias("_q"), F.lit(0).alias("_hit"),
-                              F.col("n_candidates").alias("_c"))
-            scored = (acc.unionByName(hits).groupBy("k")
-                      .agg((F.sum("_acc") / F.sum("_q")).alias("accuracy"),
-                           (F.sum("_hit") / (F.col("k") * F.sum("_q"))).alias("recall"),
-                           F.sum("_c").cast("long").alias("n_candidates")))
+            marked = _spread_k(
+                nb.join(truth, ["q_id", "t_id"], "left")
+                .withColumn("_hit", F.coalesce((F.col("true_rn") <= F.lit(kmax)).cast("int"), F.lit(0))),
+                ks)
+            # A neighbour at rank rn is a hit for k when it is also in the true top k.
+            marked = marked.withColumn(
+                "_hit", ((F.col("_hit") == 1) & (F.col("true_rn") <= F.col("k"))).cast("int"))
+            per_q = _vote_by_k(marked, q_by_k)
+            scored = (per_q.groupBy("k")
+                      .agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"),
+                           (F.sum("hits") / (F.col("k") * F.count(F.lit(1)))).alias("recall"),
+                           F.sum("n_candidates").cast("long").alias("n_candidates")))
             rows.append(scored.select(F.lit(float(bl)).alias("bl"), F.lit(int(nht)).alias("nht"),
                                       "k", "accuracy", "recall", "n_candidates"))
     return reduce(DataFrame.unionByName, rows)
 
 
 def _vote_by_k(nbk: DataFrame, q_by_k: DataFrame) -> DataFrame:
-    """``vote`` with k as one more grouping key."""
+    """``vote`` with k as one more grouping key; also carries the hits per (k, query)."""
     per_label = (nbk.groupBy("k", "q_id", "t_label")
                  .agg(F.count(F.lit(1)).alias("votes"), F.min("distance").alias("nearest"),
-                      F.max("n_candidates").alias("n_cand")))
-    order = Window.partitionBy("k", "q_id").orderBy(F.desc("votes"), "nearest", "t_label")
-    best = (per_label.withColumn("_r", F.row_number().over(order)).where(F.col("_r") == 1)
-            .select("k", "q_id", F.col("t_label").alias("prediction"), "n_cand"))
+                      F.max("n_candidates").alias("n_cand"), F.sum("_hit").alias("_hits")))
+    by_q = Window.partitionBy("k", "q_id")
+    best = (per_label
+            .withColumn("hits", F.sum("_hits").over(by_q))
+            .withColumn("_r", F.row_number().over(by_q.orderBy(F.desc("votes"), "nearest", "t_label")))
+            .where(F.col("_r") == 1)
+            .select("k", "q_id", F.col("t_label").alias("prediction"), "n_cand", "hits"))
     return (q_by_k.join(best, ["k", "q_id"], "left")
             .select("k", "q_id", "label",
                     F.coalesce("prediction", F.lit(-1.0)).alias("prediction"),
-                    F.coalesce("n_cand", F.lit(0)).alias("n_candidates")))
+                    F.coalesce("n_cand", F.lit(0)).alias("n_candidates"),
+                    F.coalesce("hits", F.lit(0)).alias("hits")))

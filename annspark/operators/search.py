@@ -37,13 +37,20 @@ def candidate_blocks(query: DataFrame, train: DataFrame, family, kernel_k: int |
                      threshold: float | None = None, exclude_self: bool = False,
                      block_rows: int = DEFAULT_BLOCK_ROWS,
                      max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                     width: int | None = None, id_col: str = "id",
-                     features: str = "features", label: str = "label") -> DataFrame:
-    """Kernel output over all blocks: ``q_id, t_id, t_label, distance, n_cand``."""
+                     width: int | None = None, counts: tuple[int, int] | None = None,
+                     id_col: str = "id", features: str = "features",
+                     label: str = "label") -> DataFrame:
+    """Kernel output over all blocks: ``q_id, t_id, t_label, distance, n_cand``.
+
+    ``width`` (vector width) and ``counts`` (query rows, training rows) may be passed
+    in by callers that already know them; otherwise each costs one small job.
+    """
     q, t = _sides(query, train, id_col, features, label)
     spark = query.sparkSession
+    n_q, n_t = counts if counts is not None else count_rows(q, t)
     if family is None:
-        q_side, t_side = exact_blocks(q, t, block_rows, spark.sparkContext.defaultParallelism)
+        q_side, t_side = exact_blocks(q, t, block_rows, spark.sparkContext.defaultParallelism,
+                                      n_q, n_t)
         keys = ["tblock", "qblock"]
         kernel = BlockKernel(kernel_k, threshold, exclude_self, first_table=False)
     else:
@@ -55,7 +62,6 @@ def candidate_blocks(query: DataFrame, train: DataFrame, family, kernel_k: int |
         # are never empty, so the rows are the same.
         q_exp = q.select("*", F.posexplode_outer("q_sig").alias("tbl", "bucket"))
         t_exp = t.select("*", F.posexplode_outer("t_sig").alias("tbl", "bucket"))
-        n_q, n_t = count_rows(q, t)
         q_side, t_side = lsh_blocks(q_exp, t_exp, block_rows, max_broadcast_rows, n_q, n_t)
         keys = ["tbl", "bucket", "tblock", "qblock"]
         kernel = BlockKernel(kernel_k, threshold, exclude_self, first_table=True)
