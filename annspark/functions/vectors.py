@@ -84,12 +84,17 @@ def mint_ids(df: DataFrame, order_cols, id_col: str = "row_id",
              num_partitions: int | None = None) -> DataFrame:
     """Consecutive 0-based ids in the order of ``order_cols`` without a one-partition window.
 
-    Range-partition on the order, sort inside partitions, count each partition (one row
-    per partition, so the offset table is bounded by the partition count and safe to
-    broadcast) and add the running offset to the position inside the partition.
-    ``order_cols`` should be unique; ties keep the order of arrival.
+    Range-partition on the order and sort inside partitions; that layout is pinned with
+    a reliable checkpoint (shared checkpoint folder), because the range bounds come from
+    a sample and two executions of the shuffle could cut the data differently. From the
+    pinned layout: the count of each partition (one row per partition, so the offset
+    table is bounded by the partition count and safe to broadcast) plus the position
+    inside the partition. ``order_cols`` should be unique; ties keep arrival order.
     """
+    from annspark.session import checkpoint_dir
+
     spark = df.sparkSession
+    checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [_col(c) for c in order_cols]
     ranged = (df.repartitionByRange(n, *order)
@@ -97,7 +102,8 @@ def mint_ids(df: DataFrame, order_cols, id_col: str = "row_id",
               .withColumn("_pid", F.spark_partition_id())
               # monotonically_increasing_id = (partition << 33) + position in partition
               .withColumn("_pos", F.monotonically_increasing_id()
-                          - F.shiftleft(F.col("_pid").cast("long"), 33)))
+                          - F.shiftleft(F.col("_pid").cast("long"), 33))
+              .checkpoint(eager=True))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",
