@@ -24,13 +24,16 @@ from annspark.operators.blocks import (
 )
 
 
-def _sides(query: DataFrame, train: DataFrame, id_col: str, features: str, label: str):
+def _sides(query: DataFrame, train: DataFrame, id_col: str, features: str, label: str,
+           train_sig: str | None = None):
     q = query.select(F.col(id_col).cast("long").alias("q_id"),
                      vector_column(query, features).alias("q_vec"))
-    t = train.select(F.col(id_col).cast("long").alias("t_id"),
-                     vector_column(train, features).alias("t_vec"),
-                     F.col(label).cast("double").alias("t_label"))
-    return q, t
+    t_cols = [F.col(id_col).cast("long").alias("t_id"),
+              vector_column(train, features).alias("t_vec"),
+              F.col(label).cast("double").alias("t_label")]
+    if train_sig is not None:
+        t_cols.append(F.col(train_sig).alias("t_sig"))
+    return q, train.select(*t_cols)
 
 
 def candidate_blocks(query: DataFrame, train: DataFrame, family, kernel_k: int | None,
@@ -39,13 +42,16 @@ def candidate_blocks(query: DataFrame, train: DataFrame, family, kernel_k: int |
                      max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
                      width: int | None = None, counts: tuple[int, int] | None = None,
                      id_col: str = "id", features: str = "features",
-                     label: str = "label") -> DataFrame:
+                     label: str = "label", train_sig: str | None = None) -> DataFrame:
     """Kernel output over all blocks: ``q_id, t_id, t_label, distance, n_cand``.
 
     ``width`` (vector width) and ``counts`` (query rows, training rows) may be passed
     in by callers that already know them; otherwise each costs one small job.
+    ``train_sig`` names a signature column already on ``train`` (an index hashed once
+    with the same family, e.g. by ``hash_vectors`` and checkpointed), so repeated
+    searches do not hash the training table again.
     """
-    q, t = _sides(query, train, id_col, features, label)
+    q, t = _sides(query, train, id_col, features, label, train_sig)
     spark = query.sparkSession
     n_q, n_t = counts if counts is not None else count_rows(q, t)
     if family is None:
@@ -56,7 +62,8 @@ def candidate_blocks(query: DataFrame, train: DataFrame, family, kernel_k: int |
     else:
         w = width or vector_width(train, features)
         q = q.withColumn("q_sig", signature_column(family, w, "q_vec"))
-        t = t.withColumn("t_sig", signature_column(family, w, "t_vec"))
+        if "t_sig" not in t.columns:
+            t = t.withColumn("t_sig", signature_column(family, w, "t_vec"))
         # The _outer form: a plain posexplode makes Catalyst infer ``size(sig) > 0`` and
         # push it below the projection, which runs the hashing UDF twice. Signatures
         # are never empty, so the rows are the same.
