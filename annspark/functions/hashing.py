@@ -34,12 +34,15 @@ MAX_PLANE_VALUES = 50_000_000  # 400 MB of doubles: refuse larger closures
 
 
 def arrow_matrix(arr, width: int | None = None, dtype=np.float64) -> np.ndarray:
-    """A list Arrow column as an (n, width) matrix (no per-row Python)."""
+    """A list Arrow column as an (n, width) matrix (no per-row Python).
+
+    ``dtype=None`` keeps the stored element type (float32 stays float32).
+    """
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
     n = len(arr)
     if n == 0:
-        return np.zeros((0, width or 0), dtype=dtype)
+        return np.zeros((0, width or 0), dtype=dtype or np.float64)
     if arr.null_count:
         raise ValueError("null vector in input")
     lengths = pc.list_value_length(arr).to_numpy(zero_copy_only=False)
@@ -47,7 +50,7 @@ def arrow_matrix(arr, width: int | None = None, dtype=np.float64) -> np.ndarray:
     if (lengths != w).any():
         raise ValueError(f"vector width differs from {w}: pad the table first")
     flat = arr.flatten().to_numpy(zero_copy_only=False)
-    return np.asarray(flat, dtype=dtype).reshape(n, w)
+    return (flat if dtype is None else np.asarray(flat, dtype=dtype)).reshape(n, w)
 
 
 def _list_array(mat: np.ndarray) -> pa.Array:

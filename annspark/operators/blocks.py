@@ -135,8 +135,10 @@ class BlockKernel:
     ``k`` None: every valid pair (similarity join).
     Valid: within ``threshold`` (strict), not the query itself when ``exclude_self``,
     and, with ``first_table``, this is the first table where the two share a bucket.
-    Ranking uses ||q||^2 + ||t||^2 - 2 q.t from one matrix product; every emitted
-    distance, and every comparison close to a cut, is recomputed from the differences.
+    Ranking uses ||q||^2 + ||t||^2 - 2 q.t from one float32 matrix product (half the
+    memory traffic of float64); the candidate margin covers the float32 rounding error
+    (a bound in the width and the norms), and every emitted distance, and every
+    comparison close to a cut, is recomputed exactly in float64 from the differences.
     """
 
     def __init__(self, k: int | None, threshold: float | None, exclude_self: bool,
@@ -151,61 +153,88 @@ class BlockKernel:
         if q.num_rows == 0 or t.num_rows == 0:
             return _ARROW_SCHEMA.empty_table()
         t = t.sort_by("t_id")
-        qv = arrow_matrix(q.column("q_vec"))
-        tv = arrow_matrix(t.column("t_vec"), qv.shape[1])
+        qv = arrow_matrix(q.column("q_vec"), dtype=None)
+        tv = arrow_matrix(t.column("t_vec"), qv.shape[1], dtype=None)
         qid = q.column("q_id").to_numpy()
         tid = t.column("t_id").to_numpy()
         tlab = t.column("t_label").to_numpy(zero_copy_only=False).astype(np.float64)
         tbl = int(q.column("tbl")[0].as_py()) if self.first_table else 0
-        qsig = tsig = None
+        qsig = None
+        earlier = []
         if tbl > 0:
             qsig = arrow_matrix(q.column("q_sig"), dtype=np.int64)[:, :tbl]
             tsig = arrow_matrix(t.column("t_sig"), dtype=np.int64)[:, :tbl]
-        qn = np.einsum("ij,ij->i", qv, qv)
-        tn = np.einsum("ij,ij->i", tv, tv)
-        step = max(1, self.chunk_values // max(1, len(tv) * max(1, tbl)))
+            for j in range(tbl):  # training rows sorted by their bucket in table j
+                order = np.argsort(tsig[:, j], kind="stable")
+                earlier.append((order, tsig[order, j]))
+        q32 = qv.astype(np.float32, copy=False)
+        t32 = tv.astype(np.float32, copy=False)
+        qn = np.einsum("ij,ij->i", q32, q32)
+        tn = np.einsum("ij,ij->i", t32, t32)
+        # Rounding bound of the float32 expansion (inputs rounded to float32 included).
+        err = 4.0 * (qv.shape[1] + 8) * float(np.finfo(np.float32).eps)
+        tn_max = float(tn.max()) if len(tn) else 0.0
+        step = max(1, self.chunk_values // max(1, len(tv)))
         parts = []
         for s in range(0, len(qv), step):
             e = min(len(qv), s + step)
-            parts.append(self._chunk(qv[s:e], qid[s:e], qn[s:e], tv, tid, tn, tlab,
-                                     None if qsig is None else qsig[s:e], tsig))
+            tol = err * (qn[s:e].astype(np.float64) + tn_max) + 1e-30
+            parts.append(self._chunk(qv[s:e], q32[s:e], qid[s:e], qn[s:e], tol, tv, t32, tid, tn,
+                                     tlab, None if qsig is None else qsig[s:e], earlier))
         return pa.concat_tables(parts)
 
-    def _chunk(self, qv, qid, qn, tv, tid, tn, tlab, qsig, tsig) -> pa.Table:
-        d2 = qn[:, None] + tn[None, :] - 2.0 * (qv @ tv.T)
-        np.maximum(d2, 0.0, out=d2)
-        # Bound on the rounding error of the expansion, per pair.
-        tol = 1e-9 * (qn[:, None] + tn[None, :]) + 1e-12
-        valid = np.ones(d2.shape, dtype=bool)
-        if self.exclude_self:
-            valid &= qid[:, None] != tid[None, :]
-        if qsig is not None:
-            valid &= ~(qsig[:, None, :] == tsig[None, :, :]).any(axis=2)
+    def _chunk(self, qv, q32, qid, qn, tol, tv, t32, tid, tn, tlab, qsig, earlier) -> pa.Table:
+        # Squared distances by expansion, built in place (one n_q x n_t float32 buffer).
+        d2 = q32 @ t32.T
+        d2 *= np.float32(-2.0)
+        d2 += qn[:, None]
+        d2 += tn[None, :]
+        np.maximum(d2, np.float32(0.0), out=d2)
+        masked = False
+        if self.exclude_self:  # training ids are sorted: one binary search per query
+            pos = np.minimum(np.searchsorted(tid, qid), len(tid) - 1)
+            hit = tid[pos] == qid
+            d2[np.nonzero(hit)[0], pos[hit]] = np.inf
+            masked = True
+        for j, (order, vals) in enumerate(earlier):
+            # Pairs that already share table j are counted there: only those pairs are
+            # touched (a sorted probe), never the whole n_q x n_t matrix per table.
+            lo = np.searchsorted(vals, qsig[:, j], "left")
+            hi = np.searchsorted(vals, qsig[:, j], "right")
+            cnt = hi - lo
+            total = int(cnt.sum())
+            if total:
+                rows = np.repeat(np.arange(len(qv)), cnt)
+                offs = np.arange(total) - np.repeat(np.cumsum(cnt) - cnt, cnt) + np.repeat(lo, cnt)
+                d2[rows, order[offs]] = np.inf
+                masked = True
         if self.threshold is not None:
             thr2 = float(self.threshold) ** 2
-            near = valid & (np.abs(d2 - thr2) <= tol)
-            valid &= d2 < thr2
+            near = np.abs(d2 - thr2) <= tol[:, None]
+            out = d2 >= thr2
             if near.any():
                 i, j = np.nonzero(near)
-                exact = _exact(qv, tv, i, j)
-                valid[i, j] = exact < self.threshold
-        counts = valid.sum(axis=1)
+                out[i, j] = _exact(qv, tv, i, j) >= self.threshold
+            d2[out] = np.inf
+            masked = True
+        counts = np.isfinite(d2).sum(axis=1) if masked else np.full(len(qv), d2.shape[1])
         if self.k is None:
-            i, j = np.nonzero(valid)
+            flat = np.flatnonzero(np.isfinite(d2)) if masked else np.arange(d2.size)
+            i, j = np.divmod(flat, d2.shape[1])
             dist = _exact(qv, tv, i, j)
             return _table(qid[i], tid[j], tlab[j], dist, np.zeros(len(i), dtype=np.int64))
         kk = min(self.k, d2.shape[1])
-        masked = np.where(valid, d2, np.inf)
-        kth = np.partition(masked, kk - 1, axis=1)[:, kk - 1]
-        # Everything up to the k-th value plus its rounding margin (ties, copies) is a
-        # candidate; exact distances then decide the order: distance, t_id.
-        cand = valid & (masked <= (kth[:, None] + tol))
-        i, j = np.nonzero(cand)
+        kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
+        # Candidates: everything up to the k-th value plus its rounding margin (ties and
+        # copies included); exact distances then decide the order (distance, t_id).
+        top = np.finfo(np.float32).max  # finite: masked (inf) entries never qualify
+        lim = np.minimum(np.where(np.isfinite(kth), kth + tol, top), top).astype(np.float32)
+        i, j = np.divmod(np.flatnonzero(d2 <= lim[:, None]), d2.shape[1])
         dist = _exact(qv, tv, i, j)
         order = np.lexsort((tid[j], dist, i))
         i, j, dist = i[order], j[order], dist[order]
-        start = np.r_[True, i[1:] != i[:-1]]
-        first_pos = np.maximum.accumulate(np.where(start, np.arange(len(i)), 0))
+        start = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, dtype=bool)
+        first_pos = np.maximum.accumulate(np.where(start, np.arange(len(i)), 0)) if len(i) else start
         rank = np.arange(len(i)) - first_pos
         keep = rank < self.k
         i, j, dist, start = i[keep], j[keep], dist[keep], start[keep]
@@ -214,12 +243,13 @@ class BlockKernel:
 
 
 def _exact(qv, tv, i, j) -> np.ndarray:
+    """Distances of the pairs (i, j) in float64 from the stored values (exact widening)."""
     if len(i) == 0:
         return np.zeros(0, dtype=np.float64)
     out = np.empty(len(i), dtype=np.float64)
     step = max(1, 4_000_000 // max(1, qv.shape[1]))
     for s in range(0, len(i), step):
-        diff = qv[i[s:s + step]] - tv[j[s:s + step]]
+        diff = qv[i[s:s + step]].astype(np.float64) - tv[j[s:s + step]].astype(np.float64)
         out[s:s + step] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
     return out
 
