@@ -48,12 +48,32 @@ def collect_if_small(df: DataFrame, max_rows: int) -> DataFrame | None:
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
+DEFAULT_SALTS = 32
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str, spread_col: str,
+                salts: int = DEFAULT_SALTS) -> DataFrame:
+    """Shuffle join for a ``big`` side that is skewed on ``on`` (hot buckets).
+
+    ``small`` has few rows per key: each is replicated to ``salts`` salt values, and each
+    ``big`` row takes the salt ``xxhash64(spread_col) mod salts``, so one hot key is
+    spread over ``salts`` tasks instead of one. Same rows as the plain join.
+    """
+    salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(spread_col), F.lit(salts)).cast("int"))
+    return salted_big.join(salted_small, [*on, "_salt"], how).drop("_salt")
+
+
 def join_checked(big: DataFrame, small: DataFrame, on, how: str,
-                 max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Join with ``small`` broadcast if its size is proven small, else a shuffle join."""
+                 max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                 spread_col: str | None = None) -> DataFrame:
+    """Join with ``small`` broadcast if its size is proven small, else a shuffle join
+    (salted by ``spread_col`` when given, for a ``big`` side skewed on the keys)."""
     local = collect_if_small(small, max_rows)
     if local is not None:
         return big.join(F.broadcast(local), on, how)
+    if spread_col is not None:
+        return salted_join(big, small, list(on), how, spread_col)
     return big.join(small, on, how)
 
 
@@ -105,14 +125,18 @@ def lsh_blocks(q_exp: DataFrame, t_exp: DataFrame, block_rows: int,
                    F.ceil(F.col("n_t") / block_rows).cast("int").alias("n_tb"),
                    F.ceil(F.col("n_q") / block_rows).cast("int").alias("n_qb")))
     local = collect_if_small(hot, max_broadcast_rows)
-    hot_side = F.broadcast(local) if local is not None else hot
-
-    def attach(df):
-        return (df.join(hot_side, keys, "left")
-                .fillna(1, subset=["n_tb", "n_qb"]))
 
-    t_side = _replicate(attach(t_exp), "tblock", "n_tb", "t_id", "qblock", "n_qb")
-    q_side = _replicate(attach(q_exp), "qblock", "n_qb", "q_id", "tblock", "n_tb")
+    def attach(df, id_col):
+        if local is not None:
+            joined = df.join(F.broadcast(local), keys, "left")
+        else:
+            # Too many hot buckets to broadcast: the rows of a hot bucket are exactly the
+            # skewed keys of this join, so it is salted.
+            joined = salted_join(df, hot, keys, "left", id_col)
+        return joined.fillna(1, subset=["n_tb", "n_qb"])
+
+    t_side = _replicate(attach(t_exp, "t_id"), "tblock", "n_tb", "t_id", "qblock", "n_qb")
+    q_side = _replicate(attach(q_exp, "q_id"), "qblock", "n_qb", "q_id", "tblock", "n_tb")
     return q_side, t_side
 
 

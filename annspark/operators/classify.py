@@ -94,7 +94,8 @@ def bucket_vote_classify(query: DataFrame, train: DataFrame, family,
         q_cols.append(F.col(label).alias("_own"))
     qb = (query.select(*q_cols)
           .select("*", F.posexplode_outer("sig").alias("tbl", "bucket")).drop("sig"))
-    joined = join_checked(qb, hist, ["tbl", "bucket"], "inner", max_broadcast_rows)
+    joined = join_checked(qb, hist, ["tbl", "bucket"], "inner", max_broadcast_rows,
+                          spread_col="q_id")
     cnt = F.col("cnt")
     if exclude_self:
         cnt = cnt - F.when(F.col("t_label") == F.col("_own"), 1).otherwise(0)

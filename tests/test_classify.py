@@ -91,3 +91,14 @@ def test_recall_and_sweep_on_planted_clusters(spark):
     assert len(res) == 8
     assert all(r["recall"] <= 1.0 for r in res)
     assert max(r["accuracy"] for r in res) >= 0.95
+
+
+def test_bucket_vote_same_with_salted_fallback(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((120, 6))
+    df = vectors_df(spark, [(i, x[i], i % 4) for i in range(120)])
+    q, t = df.where("id % 4 = 0"), df.where("id % 4 <> 0")
+    fam = SignFamily(3, 2, seed=2)
+    a = preds(bucket_vote_classify(q, t, fam, 6))
+    b = preds(bucket_vote_classify(q, t, fam, 6, max_broadcast_rows=0))
+    assert a == b
