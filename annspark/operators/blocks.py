@@ -287,11 +287,18 @@ def _table(qid, tid, tlab, dist, n) -> pa.Table:
 
 def run_blocks(q_side: DataFrame, t_side: DataFrame, keys: list[str],
                kernel: BlockKernel) -> DataFrame:
-    """Cogroup both sides on ``keys`` and run ``kernel`` per group (Arrow in and out)."""
+    """Cogroup both sides on ``keys`` and run ``kernel`` per group (Arrow in and out).
+
+    Both sides are hash-partitioned on the keys into ``spark.sql.shuffle.partitions``
+    explicitly: that is the cogroup's own distribution (no extra exchange), and unlike
+    an automatic shuffle AQE does not merge it into a few partitions when the input is
+    small in bytes, which would leave most cores idle in this compute-heavy stage.
+    """
+    n = int(q_side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def per_group(q: pa.Table, t: pa.Table) -> pa.Table:
         return kernel(q, t)
 
-    return (q_side.groupBy(*keys)
-            .cogroup(t_side.groupBy(*keys))
+    return (q_side.repartition(n, *keys).groupBy(*keys)
+            .cogroup(t_side.repartition(n, *keys).groupBy(*keys))
             .applyInArrow(per_group, KERNEL_SCHEMA))
