@@ -27,6 +27,9 @@ from annspark.functions.hashing import arrow_matrix
 
 DEFAULT_BLOCK_ROWS = 2048
 DEFAULT_MAX_BROADCAST_ROWS = 100_000
+# Target rows per cogroup partition (a few hundred MB of vectors), used to scale the
+# partition count with the data instead of trusting a fixed shuffle setting.
+ROWS_PER_PARTITION = 1_000_000
 
 KERNEL_SCHEMA = "q_id long, t_id long, t_label double, distance double, n_cand long"
 _ARROW_SCHEMA = pa.schema([
@@ -285,16 +288,24 @@ def _table(qid, tid, tlab, dist, n) -> pa.Table:
         schema=_ARROW_SCHEMA)
 
 
+def partitions_for(spark, rows: int) -> int:
+    """Cogroup partitions: the session's setting, raised so a partition holds about
+    ``ROWS_PER_PARTITION`` rows at most."""
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(configured, math.ceil(rows / ROWS_PER_PARTITION))
+
+
 def run_blocks(q_side: DataFrame, t_side: DataFrame, keys: list[str],
-               kernel: BlockKernel) -> DataFrame:
+               kernel: BlockKernel, n_partitions: int | None = None) -> DataFrame:
     """Cogroup both sides on ``keys`` and run ``kernel`` per group (Arrow in and out).
 
-    Both sides are hash-partitioned on the keys into ``spark.sql.shuffle.partitions``
-    explicitly: that is the cogroup's own distribution (no extra exchange), and unlike
-    an automatic shuffle AQE does not merge it into a few partitions when the input is
-    small in bytes, which would leave most cores idle in this compute-heavy stage.
+    Both sides are hash-partitioned on the keys into ``n_partitions`` (default: the
+    session's shuffle partitions) explicitly: that is the cogroup's own distribution (no
+    extra exchange), and unlike an automatic shuffle AQE does not merge it into a few
+    partitions when the input is small in bytes, which would leave most cores idle in
+    this compute-heavy stage.
     """
-    n = int(q_side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = n_partitions or int(q_side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def per_group(q: pa.Table, t: pa.Table) -> pa.Table:
         return kernel(q, t)

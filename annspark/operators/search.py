@@ -18,6 +18,7 @@ from annspark.operators.blocks import (
     DEFAULT_MAX_BROADCAST_ROWS,
     BlockKernel,
     count_rows,
+    partitions_for,
     exact_blocks,
     lsh_blocks,
     run_blocks,
@@ -59,6 +60,9 @@ def candidate_blocks(query: DataFrame, train: DataFrame, family, kernel_k: int |
                                       n_q, n_t)
         keys = ["tblock", "qblock"]
         kernel = BlockKernel(kernel_k, threshold, exclude_self, first_table=False)
+        n_tb = max(1, -(-n_t // block_rows))
+        n_qb = max(1, -(-n_q // block_rows))
+        shuffled_rows = n_q * n_tb + n_t * n_qb
     else:
         w = width or vector_width(train, features)
         q = q.withColumn("q_sig", signature_column(family, w, "q_vec"))
@@ -76,7 +80,9 @@ def candidate_blocks(query: DataFrame, train: DataFrame, family, kernel_k: int |
         q_side, t_side = lsh_blocks(q_exp, t_exp, block_rows, max_broadcast_rows, n_q, n_t)
         keys = ["tbl", "bucket", "tblock", "qblock"]
         kernel = BlockKernel(kernel_k, threshold, exclude_self, first_table=True)
-    return run_blocks(q_side, t_side, keys, kernel)
+        # Exploded rows before hot-bucket replication (a lower bound on the shuffle).
+        shuffled_rows = (n_q + n_t) * family.n_tables
+    return run_blocks(q_side, t_side, keys, kernel, partitions_for(spark, shuffled_rows))
 
 
 def knn_join(query: DataFrame, train: DataFrame, family=None, k: int = 5,
