@@ -151,6 +151,17 @@ class EuclideanPlanes:
 
     signatures = EuclideanFamily.signatures
 
+    @classmethod
+    def from_model(cls, model) -> "EuclideanPlanes":
+        """The directions and bucket length of a fitted ``BucketedRandomProjectionLSHModel``.
+
+        Lets pyspark's estimator serve as the backend that draws the planes; hashing and
+        search then run here, with the same buckets as ``model.transform``.
+        """
+        vectors = model._java_obj.randUnitVectors()
+        planes = np.array([list(v.toArray()) for v in vectors], dtype=np.float64)
+        return cls(planes, model.getBucketLength())
+
 
 def _check_size(values: int) -> None:
     if values > MAX_PLANE_VALUES:

@@ -29,6 +29,20 @@ def vector_column(df: DataFrame, name: str) -> Column:
     return to_double_array(name)
 
 
+def to_ml_vector(c) -> Column:
+    """``array<double>`` to an ml ``Vector`` (for ml estimators and the LibSVM writer)."""
+    from pyspark.ml.functions import array_to_vector
+
+    return array_to_vector(_col(c))
+
+
+def from_ml_vector(c) -> Column:
+    """ml ``Vector`` (sparse or dense) to a dense ``array<double>``."""
+    from pyspark.ml.functions import vector_to_array
+
+    return vector_to_array(_col(c))
+
+
 def sqdist(a, b) -> Column:
     """Squared Euclidean distance of two equal-width arrays, in double."""
     diffs = F.zip_with(_col(a), _col(b),

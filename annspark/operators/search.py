@@ -29,9 +29,11 @@ def _sides(query: DataFrame, train: DataFrame, id_col: str, features: str, label
            train_sig: str | None = None):
     q = query.select(F.col(id_col).cast("long").alias("q_id"),
                      vector_column(query, features).alias("q_vec"))
+    # A plain search table may have no label: null labels then.
+    t_label = F.col(label) if label in train.columns else F.lit(None)
     t_cols = [F.col(id_col).cast("long").alias("t_id"),
               vector_column(train, features).alias("t_vec"),
-              F.col(label).cast("double").alias("t_label")]
+              t_label.cast("double").alias("t_label")]
     if train_sig is not None:
         t_cols.append(F.col(train_sig).alias("t_sig"))
     return q, train.select(*t_cols)

@@ -241,5 +241,6 @@ def build() -> dict[str, str]:
         f"round(count(*) / ({K} * (SELECT count(*) FROM q)), {R}) AS recall "
         f"FROM ranked a JOIN ranked_x x ON a.q_id = x.q_id AND a.t_id = x.t_id "
         f"WHERE a.rn <= {K} AND x.rn <= {P.GT_DEPTH}")
+    sql["csv_recall_pipeline"] = sql["recall_at_k"]
     sql["sweep"] = _sweep_sql()
     return sql

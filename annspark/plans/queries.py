@@ -363,6 +363,29 @@ def recall_at_k_q(spark, sf_dir):
         F.col("k").cast("long").alias("k"), "n_queries", "hits", _r("recall").alias("recall"))
 
 
+@query("csv_recall_pipeline")
+def csv_recall_pipeline(spark, sf_dir):
+    """H3 end to end from files: base and query vectors as CSV with a header (types
+    inferred), exact neighbour ids as a headerless CSV, LSH search on what was read,
+    recall against the file's lists."""
+    _, q, t = _data(spark, sf_dir)
+    base_path, query_path = scratch_path(spark, "base-csv"), scratch_path(spark, "query-csv")
+    write_csv_vectors(t, base_path, P.WIDTH)
+    write_csv_vectors(q, query_path, P.WIDTH)
+    gt_path = scratch_path(spark, "groundtruth-csv")
+    lists = (exact_knn(q, t, P.K).groupBy("q_id")
+             .agg(F.array_sort(F.collect_list(F.struct("rn", "t_id"))).alias("_l"))
+             .select(F.col("q_id").alias("query_id"),
+                     F.transform("_l", lambda s: s["t_id"]).alias("neighbours")))
+    write_ground_truth(lists, gt_path, P.K)
+    base = read_csv_vectors(spark, base_path)
+    queries = read_csv_vectors(spark, query_path)
+    truth = truth_from_lists(read_ground_truth(spark, gt_path))
+    pred = knn_join(queries, base, P.EUCLID, P.K)
+    return recall_at_k(pred, truth, queries, P.K, P.GT_DEPTH).select(
+        F.col("k").cast("long").alias("k"), "n_queries", "hits", _r("recall").alias("recall"))
+
+
 @query("sweep")
 def sweep_q(spark, sf_dir):
     """H7: bucket length x tables x k, each setting hashed once, all k from one ranking."""

@@ -86,6 +86,9 @@ def test_euclidean_matches_spark_estimator(spark, tmp_path):
     for i in range(60):
         assert theirs[i] == ours[i].tolist()
     assert vector_to_array  # imported for parity with the sparse path
+    from_model = EuclideanPlanes.from_model(model)
+    np.testing.assert_array_equal(from_model.planes(5), planes)
+    assert from_model.bucket_length == 0.8
 
 
 def test_planted_angles_collision_rate():
