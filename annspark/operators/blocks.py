@@ -184,7 +184,7 @@ class BlockKernel:
         tv = arrow_matrix(t.column("t_vec"), qv.shape[1], dtype=None)
         qid = q.column("q_id").to_numpy()
         tid = t.column("t_id").to_numpy()
-        tlab = t.column("t_label").to_numpy(zero_copy_only=False).astype(np.float64)
+        tlab = t.column("t_label").combine_chunks()  # Arrow: null labels stay null
         tbl = int(q.column("tbl")[0].as_py()) if self.first_table else 0
         qsig = None
         earlier = []
@@ -249,7 +249,7 @@ class BlockKernel:
             flat = np.flatnonzero(np.isfinite(d2)) if masked else np.arange(d2.size)
             i, j = np.divmod(flat, d2.shape[1])
             dist = _exact(qv, tv, i, j)
-            return _table(qid[i], tid[j], tlab[j], dist, np.zeros(len(i), dtype=np.int64))
+            return _table(qid[i], tid[j], tlab.take(j), dist, np.zeros(len(i), dtype=np.int64))
         kk = min(self.k, d2.shape[1])
         kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
         # Candidates: everything up to the k-th value plus its rounding margin (ties and
@@ -266,7 +266,7 @@ class BlockKernel:
         keep = rank < self.k
         i, j, dist, start = i[keep], j[keep], dist[keep], start[keep]
         n = np.where(start, counts[i], 0).astype(np.int64)
-        return _table(qid[i], tid[j], tlab[j], dist, n)
+        return _table(qid[i], tid[j], tlab.take(j), dist, n)
 
 
 def _exact(qv, tv, i, j) -> np.ndarray:
@@ -283,7 +283,7 @@ def _exact(qv, tv, i, j) -> np.ndarray:
 
 def _table(qid, tid, tlab, dist, n) -> pa.Table:
     return pa.Table.from_arrays(
-        [pa.array(qid, pa.int64()), pa.array(tid, pa.int64()), pa.array(tlab, pa.float64()),
+        [pa.array(qid, pa.int64()), pa.array(tid, pa.int64()), tlab.cast(pa.float64()),
          pa.array(dist, pa.float64()), pa.array(n, pa.int64())],
         schema=_ARROW_SCHEMA)
 

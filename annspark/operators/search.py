@@ -27,6 +27,10 @@ from annspark.operators.blocks import (
 
 def _sides(query: DataFrame, train: DataFrame, id_col: str, features: str, label: str,
            train_sig: str | None = None):
+    # A row without a vector has no neighbours and is no candidate (classifiers still
+    # report such a query, with prediction -1).
+    query = query.where(F.col(features).isNotNull())
+    train = train.where(F.col(features).isNotNull())
     q = query.select(F.col(id_col).cast("long").alias("q_id"),
                      vector_column(query, features).alias("q_vec"))
     # A plain search table may have no label: null labels then.

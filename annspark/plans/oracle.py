@@ -189,7 +189,7 @@ def build() -> dict[str, str]:
         f"FROM ranked WHERE rn <= {K}")
     sql["euclid_knn"] = neighbours_sql(E, threshold=THR)
     sql["exact_knn"] = neighbours_sql(None)
-    sql["exact_self_knn"] = neighbours_sql(None, q="t", t="t", exclude_self=True)
+    sql["exact_self_knn"] = neighbours_sql(None, q="base", t="base", exclude_self=True)
     sql["bucket_histogram"] = _with(planes_cte("pl", S), sig_cte("st", "t", "pl", S)) + (
         "SELECT CAST(st.tbl AS INTEGER) AS tbl, st.bucket, t.label, CAST(count(*) AS BIGINT) AS cnt "
         "FROM st JOIN t ON t.id = st.id GROUP BY st.tbl, st.bucket, t.label")

@@ -259,9 +259,9 @@ def exact_knn_q(spark, sf_dir):
 
 @query("exact_self_knn")
 def exact_self_knn(spark, sf_dir):
-    """Training rows against themselves, the row itself left out."""
-    _, _, t = _data(spark, sf_dir)
-    return _neighbours(exact_knn(t, t, P.K, exclude_self=True))
+    """Every row of the table against the whole table, the row itself left out."""
+    df, _, _ = _data(spark, sf_dir)
+    return _neighbours(exact_knn(df, df, P.K, exclude_self=True))
 
 
 # --- E. index, votes and scores ----------------------------------------------------------
