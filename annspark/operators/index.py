@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from annspark.functions.hashing import signature_column
 from annspark.functions.vectors import vector_column, vector_width
+from annspark.session import scratch_path
 
 
 def bucket_index(train: DataFrame, family, width: int | None = None, id_col: str = "id",
@@ -36,3 +37,24 @@ def bucket_summary(train: DataFrame, family, width: int | None = None, **cols) -
             .groupBy("tbl", "bucket")
             .agg(F.count(F.lit(1)).alias("n_members"), F.sum("id").alias("id_sum"),
                  F.min("id").alias("id_min"), F.max("id").alias("id_max")))
+
+
+def build_index(train: DataFrame, family, path: str | None = None, width: int | None = None,
+                id_col: str = "id", features: str = "features", label: str = "label",
+                sig: str = "sig") -> DataFrame:
+    """Hash the training table once and keep it as Parquet: ``id, features, label, sig``.
+
+    Written to ``path`` or to a fresh folder under the shared checkpoint folder, and read
+    back, so later searches (``knn_join``/``knn_one`` with ``train_sig="sig"``, streams)
+    neither hash again nor depend on the input's lineage. Being columnar, the bucket
+    sizing of a search reads only the ``sig`` column, not the vectors.
+    """
+    spark = train.sparkSession
+    w = width or vector_width(train, features)
+    cols = [F.col(id_col).cast("long").alias(id_col), F.col(features).alias(features)]
+    if label in train.columns:
+        cols.append(F.col(label).alias(label))
+    hashed = train.select(*cols).withColumn(sig, signature_column(family, w, vector_column(train, features)))
+    out = path or scratch_path(spark, "lsh-index")
+    hashed.write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)

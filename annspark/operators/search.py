@@ -128,7 +128,8 @@ def similarity_join(query: DataFrame, train: DataFrame, family, threshold: float
 
 
 def knn_one(train: DataFrame, key, family=None, k: int = 5, id_col: str = "id",
-            features: str = "features", label: str = "label") -> DataFrame:
+            features: str = "features", label: str = "label",
+            train_sig: str | None = None) -> DataFrame:
     """k nearest rows to ONE key vector: ``id, label, distance, rn``.
 
     The key is one vector (a few KB) held in the closure. With a family, only training
@@ -137,18 +138,23 @@ def knn_one(train: DataFrame, key, family=None, k: int = 5, id_col: str = "id",
     """
     kv = np.asarray(key, dtype=np.float64).ravel()
     width = len(kv)
-    t = train.select(F.col(id_col).cast("long").alias("id"),
-                     vector_column(train, features).alias("features"),
-                     F.col(label).alias("label"))
+    t_cols = [F.col(id_col).cast("long").alias("id"),
+              vector_column(train, features).alias("features"), F.col(label).alias("label")]
+    if train_sig is not None:
+        t_cols.append(F.col(train_sig))
+    t = train.select(*t_cols)
     if family is not None:
         ksig = family.signatures(kv[None, :]).reshape(-1)
-        sig = signature_column(family, width, "features")
+        # From a prebuilt index (no hashing) or hashed here.
+        sig = F.col(train_sig) if train_sig is not None else signature_column(family, width, "features")
         t = t.withColumn("_sig", sig)
         shared = None
         for j, b in enumerate(ksig.tolist()):
             cond = F.element_at("_sig", j + 1) == F.lit(int(b))
             shared = cond if shared is None else (shared | cond)
         t = t.where(shared).drop("_sig")
+    if train_sig is not None:
+        t = t.drop(train_sig)
 
     @F.arrow_udf("double")
     def _dist(v: pa.Array) -> pa.Array:

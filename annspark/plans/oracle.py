@@ -183,6 +183,7 @@ def build() -> dict[str, str]:
         "r AS (SELECT id, label, distance, CAST(row_number() OVER (ORDER BY distance, id) AS BIGINT) AS rn FROM d)",
     ) + f"SELECT id, label, round(distance, {R}) AS distance, rn FROM r WHERE rn <= {K}"
     sql["batch_top_k"] = neighbours_sql(S)
+    sql["indexed_search"] = sql["batch_top_k"]
     sql["batched_queries"] = _with(*ranked_ctes(E)) + (
         f"SELECT q_id, t_id, t_label, round(distance, {R}) AS distance, rn, n_candidates, "
         f"CAST(q_id % (SELECT CAST(ceil(count(*) / {P.BATCH_SIZE}.0) AS BIGINT) FROM q) AS BIGINT) AS batch "

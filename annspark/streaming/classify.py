@@ -3,7 +3,8 @@
 The reference scores its test set in batches of about a thousand queries, one batch at
 a time. Here the batches are the micro-batches of a Structured Streaming query: each
 batch of new query rows runs the same batch plan (LSH search, re-rank, vote) against a
-static training table that is hashed once and checkpointed. Stream-static, no state
+static training table that is hashed once and written as a Parquet index in the shared
+checkpoint folder. Stream-static, no state
 store. Every batch overwrites its own ``epoch=<id>`` folder, so a batch replayed after a
 failure rewrites the same output (exactly once per epoch).
 """
@@ -14,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from annspark.functions.hashing import hash_vectors
 from annspark.functions.vectors import vector_width
 from annspark.operators.classify import knn_classify
+from annspark.operators.index import build_index
 from annspark.session import checkpoint_dir
 
 
@@ -31,7 +32,8 @@ def classify_stream(queries: DataFrame, train: DataFrame, family, output_path: s
     spark = train.sparkSession
     checkpoint_dir(spark)
     width = vector_width(train, features)
-    index = hash_vectors(train, family, width, features, "sig").checkpoint(eager=True)
+    index = build_index(train, family, width=width, id_col=id_col, features=features,
+                        label=label)
     n_train = index.count()
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:

@@ -205,3 +205,19 @@ def test_bl_large_leaves_few_buckets(spark):
     fam = EuclideanFamily(1e6, 3, seed=1)
     per_table = bucket_summary(t, fam, 4).groupBy("tbl").count().collect()
     assert all(r["count"] <= 2 for r in per_table)
+
+
+def test_index_reuse_matches_direct(spark):
+    from annspark.operators.index import build_index
+
+    q, qx, qid = _random(spark, 30, 6, 21, start=5000)
+    t, tx, tid = _random(spark, 150, 6, 22)
+    fam = SignFamily(4, 3, seed=7)
+    index = build_index(t, fam)
+    assert set(index.columns) == {"id", "features", "label", "sig"}
+    assert as_lists(knn_join(q, index, fam, 4, train_sig="sig", block_rows=8)) == \
+        as_lists(knn_join(q, t, fam, 4))
+    key = qx[0]
+    a = [r["id"] for r in knn_one(index, key, fam, 4, train_sig="sig").orderBy("rn").collect()]
+    b = [r["id"] for r in knn_one(t, key, fam, 4).orderBy("rn").collect()]
+    assert a == b
