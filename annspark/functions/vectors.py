@@ -94,6 +94,17 @@ def pack_longs(cols) -> Column:
     return F.array(*[_col(c).cast("long") for c in cols])
 
 
+def assign_batches(df: DataFrame, batch_size: int, id_col: str = "id",
+                   out: str = "batch", n_rows: int | None = None) -> DataFrame:
+    """Batch number ``id mod groups`` with ``groups = max(1, ceil(n / batch_size))``.
+
+    At least one batch even when there are fewer rows than ``batch_size``.
+    """
+    n = df.count() if n_rows is None else n_rows
+    groups = max(1, -(-n // max(1, batch_size)))
+    return df.withColumn(out, F.pmod(F.col(id_col), F.lit(groups)).cast("long"))
+
+
 def mint_ids(df: DataFrame, order_cols, id_col: str = "row_id",
              num_partitions: int | None = None) -> DataFrame:
     """Consecutive 0-based ids in the order of ``order_cols`` without a one-partition window.

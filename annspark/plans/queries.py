@@ -7,13 +7,19 @@ the rest; together the whole table). Outputs are scalar columns, distances round
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annspark.functions.vectors import mint_ids, nonzeros, pad, vector_sq, vector_sum
+from annspark.functions.vectors import (
+    assign_batches,
+    mint_ids,
+    nonzeros,
+    pad,
+    vector_sq,
+    vector_sum,
+)
 from annspark.operators.classify import bucket_vote_classify, exact_classify, knn_classify
 from annspark.operators.evaluate import (
     accuracy,
@@ -247,9 +253,8 @@ def indexed_search(spark, sf_dir):
 def batched_queries(spark, sf_dir):
     """Queries split into batches of about BATCH_SIZE by id; results per batch."""
     _, q, t = _data(spark, sf_dir)
-    groups = max(1, math.ceil(q.count() / P.BATCH_SIZE))
     nb = _neighbours(knn_join(q, t, P.EUCLID, P.K))
-    return nb.withColumn("batch", F.pmod(F.col("q_id"), F.lit(groups)).cast("long"))
+    return assign_batches(nb, P.BATCH_SIZE, "q_id", n_rows=q.count())
 
 
 @query("euclid_knn")

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from annspark.functions.vectors import mint_ids, pad
+from annspark.functions.vectors import assign_batches, mint_ids, pad
 from annspark.session import scratch_path
 from annspark.sources import (
     bernoulli_sample,
@@ -80,3 +80,9 @@ def test_samples(spark):
     df = load_embeddings(spark, SF001)
     assert [r["id"] for r in head_sample(df, 5).collect()] == [0, 1, 2, 3, 4]
     assert bernoulli_sample(df, 1.0).count() == df.count()
+
+
+def test_small_query_set_still_one_batch(spark):
+    df = vectors_df(spark, [(i, [float(i)], 0) for i in range(7)])
+    assert {r["batch"] for r in assign_batches(df, 1000).collect()} == {0}
+    assert {r["batch"] for r in assign_batches(df, 3).collect()} == {0, 1, 2}
