@@ -141,28 +141,34 @@ def knn_one(train: DataFrame, key, family=None, k: int = 5, id_col: str = "id",
     t_cols = [F.col(id_col).cast("long").alias("id"),
               vector_column(train, features).alias("features"), F.col(label).alias("label")]
     if train_sig is not None:
-        t_cols.append(F.col(train_sig))
+        t_cols.append(F.col(train_sig).alias("_sig"))
     t = train.select(*t_cols)
-    if family is not None:
-        ksig = family.signatures(kv[None, :]).reshape(-1)
-        # From a prebuilt index (no hashing) or hashed here.
-        sig = F.col(train_sig) if train_sig is not None else signature_column(family, width, "features")
-        t = t.withColumn("_sig", sig)
+    ksig = None if family is None else family.signatures(kv[None, :]).reshape(-1)
+    planes = None if family is None or train_sig is not None else family.planes(width)
+    if ksig is not None and train_sig is not None:
+        # Prebuilt index: the shared-bucket test is a plain JVM filter on its column.
         shared = None
         for j, b in enumerate(ksig.tolist()):
             cond = F.element_at("_sig", j + 1) == F.lit(int(b))
             shared = cond if shared is None else (shared | cond)
         t = t.where(shared).drop("_sig")
-    if train_sig is not None:
-        t = t.drop(train_sig)
 
     @F.arrow_udf("double")
     def _dist(v: pa.Array) -> pa.Array:
+        # One pass: distance to the key, null where no bucket is shared (hashed here
+        # when there is no index).
         x = arrow_matrix(v, width)
         diff = x - kv[None, :]
-        return pa.array(np.sqrt(np.einsum("ij,ij->i", diff, diff)))
-
-    top = (t.withColumn("distance", _dist("features"))
+        d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+        if planes is None:
+            return pa.array(d)
+        shared = (family.signatures(x, planes) == ksig[None, :]).any(axis=1)
+        return pa.array(d, mask=~shared)
+
+    # Non-deterministic only to the optimizer: it keeps the null filter above the UDF
+    # instead of copying the UDF into a pushed-down filter (two Python passes).
+    top = (t.withColumn("distance", _dist.asNondeterministic()("features"))
+           .where(F.col("distance").isNotNull())
            .orderBy("distance", "id")
            .limit(k))
     # k rows at most: a window over them is bounded by the argument.

@@ -55,3 +55,9 @@ def test_sweep_runs_one_kernel_per_setting(plans):
 
     settings = len(P.SWEEP_BUCKET_LENGTHS) * len(P.SWEEP_TABLES)
     assert plans["sweep"].count("FlatMapCoGroupsInArrow") == settings
+
+
+def test_one_key_search_single_python_pass(plans):
+    plan = plans["search_one_key"]
+    assert plan.count("ArrowEvalPython") == 1  # hash test and distance in one pass
+    assert "TakeOrderedAndProject" in plan  # partial top k per partition, bounded merge
