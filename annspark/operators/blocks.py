@@ -30,6 +30,9 @@ DEFAULT_MAX_BROADCAST_ROWS = 100_000
 # Target rows per cogroup partition (a few hundred MB of vectors), used to scale the
 # partition count with the data instead of trusting a fixed shuffle setting.
 ROWS_PER_PARTITION = 1_000_000
+# A block whose candidate band exceeds this many times k per query takes the
+# deduplicating path (copies of vectors make every copy a candidate).
+WIDE_BAND = 8
 
 KERNEL_SCHEMA = "q_id long, t_id long, t_label double, distance double, n_cand long"
 _ARROW_SCHEMA = pa.schema([
@@ -193,7 +196,7 @@ class BlockKernel:
             tsig = arrow_matrix(t.column("t_sig"), dtype=np.int64)[:, :tbl]
             for j in range(tbl):  # training rows sorted by their bucket in table j
                 order = np.argsort(tsig[:, j], kind="stable")
-                earlier.append((order, tsig[order, j]))
+                earlier.append((order, tsig[order, j], tsig[:, j]))
         q32 = qv.astype(np.float32, copy=False)
         t32 = tv.astype(np.float32, copy=False)
         qn = np.einsum("ij,ij->i", q32, q32)
@@ -223,18 +226,26 @@ class BlockKernel:
             hit = tid[pos] == qid
             d2[np.nonzero(hit)[0], pos[hit]] = np.inf
             masked = True
-        for j, (order, vals) in enumerate(earlier):
-            # Pairs that already share table j are counted there: only those pairs are
-            # touched (a sorted probe), never the whole n_q x n_t matrix per table.
+        shared = None
+        for j, (order, vals, col) in enumerate(earlier):
+            # Pairs that already share table j are counted there. Few such pairs: only
+            # they are touched (a sorted probe). Many (a hot bucket shared across
+            # tables, copies): one vectorised comparison is cheaper than a scatter.
             lo = np.searchsorted(vals, qsig[:, j], "left")
             hi = np.searchsorted(vals, qsig[:, j], "right")
             cnt = hi - lo
             total = int(cnt.sum())
-            if total:
+            if total * 8 > d2.size:
+                eq = qsig[:, j, None] == col[None, :]
+                shared = eq if shared is None else np.logical_or(shared, eq, out=shared)
+            elif total:
                 rows = np.repeat(np.arange(len(qv)), cnt)
                 offs = np.arange(total) - np.repeat(np.cumsum(cnt) - cnt, cnt) + np.repeat(lo, cnt)
                 d2[rows, order[offs]] = np.inf
                 masked = True
+        if shared is not None:
+            d2[shared] = np.inf
+            masked = True
         if self.threshold is not None:
             thr2 = float(self.threshold) ** 2
             near = np.abs(d2 - thr2) <= tol[:, None]
@@ -256,7 +267,11 @@ class BlockKernel:
         # copies included); exact distances then decide the order (distance, t_id).
         top = np.finfo(np.float32).max  # finite: masked (inf) entries never qualify
         lim = np.minimum(np.where(np.isfinite(kth), kth + tol, top), top).astype(np.float32)
-        i, j = np.divmod(np.flatnonzero(d2 <= lim[:, None]), d2.shape[1])
+        cand = d2 <= lim[:, None]
+        i, j = np.divmod(np.flatnonzero(cand), d2.shape[1])
+        if len(i) > WIDE_BAND * self.k * len(qv):
+            # Far more candidates than k per query: ties, in practice copies of vectors.
+            return self._wide(qv, tv, qid, tid, tlab, counts, cand, i, j)
         dist = _exact(qv, tv, i, j)
         order = np.lexsort((tid[j], dist, i))
         i, j, dist = i[order], j[order], dist[order]
@@ -269,6 +284,42 @@ class BlockKernel:
         return _table(qid[i], tid[j], tlab.take(j), dist, n)
 
 
+    def _wide(self, qv, tv, qid, tid, tlab, counts, cand, i, j) -> pa.Table:
+        """Top k when the candidate band is wide (many equal or near-equal distances).
+
+        Identical vectors are merged first (``np.unique`` on rows), so exact distances
+        are computed once per distinct (query vector, training vector) pair: copies cost
+        one distance, and equal vectors get bit-equal distances, so ties are broken by
+        t_id exactly. The k smallest (distance, t_id) per row are then picked without
+        a sort: everything below the k-th distance, then the lowest t_ids at it (columns
+        are in t_id order).
+        """
+        _, q_first, q_uid = np.unique(qv, axis=0, return_index=True, return_inverse=True)
+        _, t_first, t_uid = np.unique(tv, axis=0, return_index=True, return_inverse=True)
+        q_uid, t_uid = q_uid.ravel(), t_uid.ravel()
+        n_ut = len(t_first)
+        mark = np.zeros((len(q_first), n_ut), dtype=bool)
+        mark[q_uid[i], t_uid[j]] = True
+        ui, uj = np.divmod(np.flatnonzero(mark), n_ut)
+        exact_u = np.full(mark.shape, np.inf)
+        exact_u[ui, uj] = _exact(qv, tv, q_first[ui], t_first[uj])
+        e = exact_u[q_uid[:, None], t_uid[None, :]]
+        e[~cand] = np.inf
+        kk = min(self.k, e.shape[1])
+        ek = np.partition(e, kk - 1, axis=1)[:, kk - 1]
+        below = e < ek[:, None]
+        at = (e == ek[:, None]) & np.isfinite(e)
+        need = kk - below.sum(axis=1)
+        sel = below | (at & (np.cumsum(at, axis=1) <= need[:, None]))
+        i, j = np.divmod(np.flatnonzero(sel), e.shape[1])
+        dist = e[i, j]
+        order = np.lexsort((tid[j], dist, i))
+        i, j, dist = i[order], j[order], dist[order]
+        start = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, dtype=bool)
+        n = np.where(start, counts[i], 0).astype(np.int64)
+        return _table(qid[i], tid[j], tlab.take(j), dist, n)
+
+
 def _exact(qv, tv, i, j) -> np.ndarray:
     """Distances of the pairs (i, j) in float64 from the stored values (exact widening)."""
     if len(i) == 0:

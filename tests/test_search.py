@@ -222,3 +222,22 @@ def test_index_reuse_matches_direct(spark):
     a = [r["id"] for r in knn_one(index, key, fam, 4, train_sig="sig").orderBy("rn").collect()]
     b = [r["id"] for r in knn_one(t, key, fam, 4).orderBy("rn").collect()]
     assert a == b
+
+
+def test_wide_band_of_copies_matches_brute_force(spark):
+    """Hundreds of copies of a few vectors: the deduplicating path, same answers."""
+    rng = np.random.default_rng(31)
+    copies = np.repeat(rng.standard_normal((3, 5)), 150, axis=0)
+    tx = np.vstack([copies, rng.standard_normal((100, 5))])
+    tid = rng.permutation(np.arange(10_000, 10_000 + len(tx)))
+    qx = np.vstack([copies[[0, 150, 300]], copies[[0, 150]] + 0.01, rng.standard_normal((10, 5))])
+    qid = np.arange(len(qx))
+    t = vectors_df(spark, [(tid[i], tx[i], i % 3) for i in range(len(tx))])
+    q = vectors_df(spark, [(qid[i], qx[i], 0) for i in range(len(qx))])
+    want = brute(qx, tx, qid, tid, 6)
+    assert as_lists(exact_knn(q, t, 6)) == want
+    assert as_lists(exact_knn(q, t, 6, block_rows=64)) == want
+    fam = SignFamily(3, 2, seed=5)
+    mask = (fam.signatures(qx)[:, None, :] == fam.signatures(tx)[None, :, :]).any(-1)
+    want = {k: v for k, v in brute(qx, tx, qid, tid, 6, mask=mask).items() if v}
+    assert as_lists(knn_join(q, t, fam, 6, block_rows=64)) == want
