@@ -184,10 +184,3 @@ def hash_vectors(df: DataFrame, family, width: int, col: str = "features",
                  out: str = "sig") -> DataFrame:
     """Add the signature column ``out`` to a vector table."""
     return df.withColumn(out, signature_column(family, width, col))
-
-
-def explode_buckets(df: DataFrame, sig: str = "sig") -> DataFrame:
-    """One row per table: ``tbl int, bucket bigint``."""
-    others = [c for c in df.columns if c != sig]
-    # _outer: avoids an inferred size() filter that would evaluate the UDF twice.
-    return df.select(*others, F.posexplode_outer(sig).alias("tbl", "bucket"))
