@@ -33,6 +33,9 @@ ROWS_PER_PARTITION = 1_000_000
 # A block whose candidate band exceeds this many times k per query takes the
 # deduplicating path (copies of vectors make every copy a candidate).
 WIDE_BAND = 8
+# A row whose live (unblocked) pairs are at most 1/SPARSE_ROWS of the block is scored
+# pair by pair instead of through the matrix product.
+SPARSE_ROWS = 16
 
 KERNEL_SCHEMA = "q_id long, t_id long, t_label double, distance double, n_cand long"
 _ARROW_SCHEMA = pa.schema([
@@ -214,38 +217,87 @@ class BlockKernel:
         return pa.concat_tables(parts)
 
     def _chunk(self, qv, q32, qid, qn, tol, tv, t32, tid, tn, tlab, qsig, earlier) -> pa.Table:
-        # Squared distances by expansion, built in place (one n_q x n_t float32 buffer).
-        d2 = q32 @ t32.T
-        d2 *= np.float32(-2.0)
-        d2 += qn[:, None]
-        d2 += tn[None, :]
-        np.maximum(d2, np.float32(0.0), out=d2)
-        masked = False
+        nq, nt = len(qv), len(tv)
+        blocked = self._blocked(qid, tid, qsig, earlier, nq, nt)
+        sparse = np.zeros(nq, dtype=bool)
+        if blocked is not None:
+            # Rows with few live pairs (most of their pairs were counted at an earlier
+            # table: a hot bucket shared by every table) skip the matrix product.
+            sparse = (nt - blocked.sum(axis=1)) * SPARSE_ROWS <= nt
+        counts = np.zeros(nq, dtype=np.int64)
+        parts = []
+        rows = np.nonzero(sparse)[0]
+        if len(rows):
+            si, sj = np.divmod(np.flatnonzero(~blocked[rows]), nt)
+            si = rows[si]
+            sd = _exact(qv, tv, si, sj)
+            if self.threshold is not None:
+                keep = sd < self.threshold
+                si, sj, sd = si[keep], sj[keep], sd[keep]
+            counts += np.bincount(si, minlength=nq)
+            parts.append((si, sj, sd))
+        rows = np.nonzero(~sparse)[0]
+        if len(rows):
+            di, dj, dd, dcounts = self._dense(qv[rows], q32[rows], qn[rows], tol[rows], tv, t32, tn,
+                                              tid, None if blocked is None else blocked[rows])
+            counts[rows] = dcounts
+            parts.append((rows[di], dj, dd))
+        i = np.concatenate([p[0] for p in parts]).astype(np.int64)
+        j = np.concatenate([p[1] for p in parts]).astype(np.int64)
+        dist = np.concatenate([p[2] for p in parts]).astype(np.float64)
+        if self.k is None:
+            return _table(qid[i], tid[j], tlab.take(j), dist, np.zeros(len(i), dtype=np.int64))
+        # Final order per query: distance, then t_id; keep k, count on the first row.
+        order = np.lexsort((tid[j], dist, i))
+        i, j, dist = i[order], j[order], dist[order]
+        start = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, dtype=bool)
+        first_pos = np.maximum.accumulate(np.where(start, np.arange(len(i)), 0)) if len(i) else start
+        keep = (np.arange(len(i)) - first_pos) < self.k
+        i, j, dist, start = i[keep], j[keep], dist[keep], start[keep]
+        n = np.where(start, counts[i], 0).astype(np.int64)
+        return _table(qid[i], tid[j], tlab.take(j), dist, n)
+
+    def _blocked(self, qid, tid, qsig, earlier, nq, nt):
+        """Pairs that must not be scored here: the query itself (``exclude_self``) and
+        pairs that share an earlier table (counted there). None when there are none."""
+        blocked = None
         if self.exclude_self:  # training ids are sorted: one binary search per query
-            pos = np.minimum(np.searchsorted(tid, qid), len(tid) - 1)
+            pos = np.minimum(np.searchsorted(tid, qid), nt - 1)
             hit = tid[pos] == qid
-            d2[np.nonzero(hit)[0], pos[hit]] = np.inf
-            masked = True
-        shared = None
+            if hit.any():
+                blocked = np.zeros((nq, nt), dtype=bool)
+                blocked[np.nonzero(hit)[0], pos[hit]] = True
         for j, (order, vals, col) in enumerate(earlier):
-            # Pairs that already share table j are counted there. Few such pairs: only
-            # they are touched (a sorted probe). Many (a hot bucket shared across
-            # tables, copies): one vectorised comparison is cheaper than a scatter.
+            # Few shared pairs: only they are touched (a sorted probe). Many (a hot
+            # bucket shared across tables, copies): one vectorised comparison.
             lo = np.searchsorted(vals, qsig[:, j], "left")
             hi = np.searchsorted(vals, qsig[:, j], "right")
             cnt = hi - lo
             total = int(cnt.sum())
-            if total * 8 > d2.size:
-                eq = qsig[:, j, None] == col[None, :]
-                shared = eq if shared is None else np.logical_or(shared, eq, out=shared)
-            elif total:
-                rows = np.repeat(np.arange(len(qv)), cnt)
+            if total == 0:
+                continue
+            if blocked is None:
+                blocked = np.zeros((nq, nt), dtype=bool)
+            if total * 8 > nq * nt:
+                np.logical_or(blocked, qsig[:, j, None] == col[None, :], out=blocked)
+            else:
+                rows = np.repeat(np.arange(nq), cnt)
                 offs = np.arange(total) - np.repeat(np.cumsum(cnt) - cnt, cnt) + np.repeat(lo, cnt)
-                d2[rows, order[offs]] = np.inf
-                masked = True
-        if shared is not None:
-            d2[shared] = np.inf
-            masked = True
+                blocked[rows, order[offs]] = True
+        return blocked
+
+    def _dense(self, qv, q32, qn, tol, tv, t32, tn, tid, blocked):
+        """Candidates of rows scored by one float32 matrix product: ``(i, j, exact
+        distance, counts)``; for top k the band up to the k-th value plus its margin."""
+        # Squared distances by expansion, built in place (one n_q x n_t float32 buffer).
+        d2 = q32 @ t32.T
+        d2 *= np.float32(-2.0)
+        d2 += qn[:, None]
+        d2 += tn[None, :]
+        np.maximum(d2, np.float32(0.0), out=d2)
+        masked = blocked is not None
+        if masked:
+            d2[blocked] = np.inf
         if self.threshold is not None:
             thr2 = float(self.threshold) ** 2
             near = np.abs(d2 - thr2) <= tol[:, None]
@@ -259,8 +311,7 @@ class BlockKernel:
         if self.k is None:
             flat = np.flatnonzero(np.isfinite(d2)) if masked else np.arange(d2.size)
             i, j = np.divmod(flat, d2.shape[1])
-            dist = _exact(qv, tv, i, j)
-            return _table(qid[i], tid[j], tlab.take(j), dist, np.zeros(len(i), dtype=np.int64))
+            return i, j, _exact(qv, tv, i, j), counts
         kk = min(self.k, d2.shape[1])
         kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
         # Candidates: everything up to the k-th value plus its rounding margin (ties and
@@ -271,21 +322,13 @@ class BlockKernel:
         i, j = np.divmod(np.flatnonzero(cand), d2.shape[1])
         if len(i) > WIDE_BAND * self.k * len(qv):
             # Far more candidates than k per query: ties, in practice copies of vectors.
-            return self._wide(qv, tv, qid, tid, tlab, counts, cand, i, j)
-        dist = _exact(qv, tv, i, j)
-        order = np.lexsort((tid[j], dist, i))
-        i, j, dist = i[order], j[order], dist[order]
-        start = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, dtype=bool)
-        first_pos = np.maximum.accumulate(np.where(start, np.arange(len(i)), 0)) if len(i) else start
-        rank = np.arange(len(i)) - first_pos
-        keep = rank < self.k
-        i, j, dist, start = i[keep], j[keep], dist[keep], start[keep]
-        n = np.where(start, counts[i], 0).astype(np.int64)
-        return _table(qid[i], tid[j], tlab.take(j), dist, n)
-
+            i, j, dist = self._wide(qv, tv, cand, i, j)
+            return i, j, dist, counts
+        return i, j, _exact(qv, tv, i, j), counts
 
-    def _wide(self, qv, tv, qid, tid, tlab, counts, cand, i, j) -> pa.Table:
-        """Top k when the candidate band is wide (many equal or near-equal distances).
+    def _wide(self, qv, tv, cand, i, j):
+        """The k best of each row when the candidate band is wide (many equal or
+        near-equal distances): ``(i, j, exact distance)``.
 
         Identical vectors are merged first (``np.unique`` on rows), so exact distances
         are computed once per distinct (query vector, training vector) pair: copies cost
@@ -312,12 +355,7 @@ class BlockKernel:
         need = kk - below.sum(axis=1)
         sel = below | (at & (np.cumsum(at, axis=1) <= need[:, None]))
         i, j = np.divmod(np.flatnonzero(sel), e.shape[1])
-        dist = e[i, j]
-        order = np.lexsort((tid[j], dist, i))
-        i, j, dist = i[order], j[order], dist[order]
-        start = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, dtype=bool)
-        n = np.where(start, counts[i], 0).astype(np.int64)
-        return _table(qid[i], tid[j], tlab.take(j), dist, n)
+        return i, j, e[i, j]
 
 
 def _exact(qv, tv, i, j) -> np.ndarray:
