@@ -1,6 +1,6 @@
 """Scale run on generated vectors (not a registered query): time, stages, exactness.
 
-usage: python tools/scale_run.py SCRATCH_DIR [n_train] [n_query] [--copies]
+usage: python tools/scale_run.py SCRATCH_DIR [n_train] [n_query] [--copies] [--block-rows=N]
 
 Vectors are drawn by Spark (``spark.range`` + seeded ``randn``, unit length, stored as
 float). With ``--copies`` every third row of both tables is the same vector, so one
@@ -66,6 +66,7 @@ def stage_report(event_dir):
 def main():
     args = [a for a in sys.argv[1:] if not a.startswith("--")]
     copies = "--copies" in sys.argv
+    block_rows = next((int(a.split("=")[1]) for a in sys.argv if a.startswith("--block-rows=")), None)
     scratch = args[0]
     n_train = int(args[1]) if len(args) > 1 else 400_000
     n_query = int(args[2]) if len(args) > 2 else 20_000
@@ -79,7 +80,8 @@ def main():
     generate(spark, n_query, 2, 10_000_000, copies).write.mode("overwrite").parquet(f"{scratch}/query")
     train, query = spark.read.parquet(f"{scratch}/train"), spark.read.parquet(f"{scratch}/query")
     t0 = time.time()
-    res = knn_join(query, train, SignFamily(8, 6), k=5)
+    opts = {"block_rows": block_rows} if block_rows else {}
+    res = knn_join(query, train, SignFamily(8, 6), k=5, **opts)
     t1 = time.time()
     res.write.mode("overwrite").parquet(f"{scratch}/result")
     t2 = time.time()
