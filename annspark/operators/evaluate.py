@@ -84,7 +84,14 @@ def _spread_k(df: DataFrame, ks) -> DataFrame:
                                                  lambda x: x >= F.col("rn"))))
 
 
-def sweep(query: DataFrame, train: DataFrame, bucket_lengths, n_tables_list, ks,
+# The reference's search grid (bucket length x tables x k).
+SEARCH_BUCKET_LENGTHS = (2.0, 5.0, 8.0)
+SEARCH_TABLES = (3, 5, 7)
+SEARCH_KS = (1, 5, 9)
+
+
+def sweep(query: DataFrame, train: DataFrame, bucket_lengths=SEARCH_BUCKET_LENGTHS,
+          n_tables_list=SEARCH_TABLES, ks=SEARCH_KS,
           threshold: float | None = None, seed: int = 1234, id_col: str = "id",
           label: str = "label", **opts) -> DataFrame:
     """Grid over bucket length x tables x k (H7).

@@ -25,6 +25,15 @@ from annspark.operators.blocks import (
 )
 
 
+# Fixed value: the reference's distance cut is 2.5 per vector dimension.
+THRESHOLD_PER_DIMENSION = 2.5
+
+
+def reference_threshold(width: int) -> float:
+    """The reference's default distance threshold for vectors of ``width`` components."""
+    return THRESHOLD_PER_DIMENSION * width
+
+
 def _sides(query: DataFrame, train: DataFrame, id_col: str, features: str, label: str,
            train_sig: str | None = None):
     # A row without a vector has no neighbours and is no candidate (classifiers still
