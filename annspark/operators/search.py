@@ -18,13 +18,12 @@ from annspark.operators.blocks import (
     DEFAULT_MAX_BROADCAST_ROWS,
     BlockKernel,
     count_rows,
-    partitions_for,
     exact_blocks,
     lsh_blocks,
+    partitions_for,
     run_blocks,
 )
 
-
 # Fixed value: the reference's distance cut is 2.5 per vector dimension.
 THRESHOLD_PER_DIMENSION = 2.5
 
@@ -64,8 +63,8 @@ def candidate_blocks(query: DataFrame, train: DataFrame, family, kernel_k: int |
     ``width`` (vector width) and ``counts`` (query rows, training rows) may be passed
     in by callers that already know them; otherwise each costs one small job.
     ``train_sig`` names a signature column already on ``train`` (an index hashed once
-    with the same family, e.g. by ``hash_vectors`` and checkpointed), so repeated
-    searches do not hash the training table again.
+    with the same family by ``build_index``), so repeated searches do not hash the
+    training table again.
     """
     q, t = _sides(query, train, id_col, features, label, train_sig)
     spark = query.sparkSession
