@@ -58,3 +58,31 @@ def build_index(train: DataFrame, family, path: str | None = None, width: int |
     out = path or scratch_path(spark, "lsh-index")
     hashed.write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)
+
+
+def build_bucket_index(train: DataFrame, family, path: str | None = None,
+                       width: int | None = None, id_col: str = "id",
+                       features: str = "features", label: str = "label",
+                       num_partitions: int | None = None) -> str:
+    """Long-form LSH index on disk for single-key lookups; returns its path.
+
+    One row per (table, bucket, training row) with the vector and the full signature,
+    written partitioned by ``tbl`` and range-sorted by ``(bucket, id)`` inside, so a
+    lookup of one bucket per table reads one partition folder per table and Parquet
+    statistics skip every row group without that bucket. The range includes ``id``, so
+    a hot bucket is spread over many files instead of one. Storage is one copy of the
+    vectors per table, the usual price of an LSH index.
+    """
+    spark = train.sparkSession
+    w = width or vector_width(train, features)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cols = [F.col(id_col).cast("long").alias("id"), F.col(features).alias("features"),
+            (F.col(label) if label in train.columns else F.lit(None)).alias("label"),
+            signature_column(family, w, vector_column(train, features)).alias("sig")]
+    long = (train.select(*cols)
+            .select("id", "features", "label", "sig", F.posexplode_outer("sig").alias("tbl", "bucket")))
+    out = path or scratch_path(spark, "lsh-bucket-index")
+    (long.repartitionByRange(n, "tbl", "bucket", "id")
+     .sortWithinPartitions("tbl", "bucket", "id")
+     .write.mode("overwrite").partitionBy("tbl").parquet(out))
+    return out

@@ -182,3 +182,37 @@ def knn_one(train: DataFrame, key, family=None, k: int = 5, id_col: str = "id",
     # k rows at most: a window over them is bounded by the argument.
     return top.select("id", "label", "distance",
                       F.row_number().over(Window.orderBy("distance", "id")).alias("rn"))
+
+
+def knn_one_indexed(spark, index_path: str, key, family, k: int = 5) -> DataFrame:
+    """k nearest indexed rows to ONE key vector, reading only the key's buckets.
+
+    ``index_path`` comes from ``build_bucket_index`` with the same family. Per table one
+    read with ``tbl = j`` (partition pruning) and ``bucket = b_j`` (pushed to Parquet);
+    a row found in several tables is kept only at the first one (its stored signature
+    tells), so the union needs no distinct. Returns ``id, label, distance, rn``.
+    """
+    kv = np.asarray(key, dtype=np.float64).ravel()
+    width = len(kv)
+    ksig = family.signatures(kv[None, :]).reshape(-1).tolist()
+    index = spark.read.parquet(index_path)
+    parts = []
+    for j, b in enumerate(ksig):
+        first_here = F.lit(True)
+        for i in range(j):  # not already found through an earlier table
+            first_here = first_here & (F.element_at("sig", i + 1) != F.lit(int(ksig[i])))
+        parts.append(index.where((F.col("tbl") == j) & (F.col("bucket") == F.lit(int(b))))
+                     .where(first_here).select("id", "features", "label"))
+    cand = parts[0]
+    for p in parts[1:]:
+        cand = cand.unionByName(p)
+
+    @F.arrow_udf("double")
+    def _dist(v: pa.Array) -> pa.Array:
+        x = arrow_matrix(v, width)
+        diff = x - kv[None, :]
+        return pa.array(np.sqrt(np.einsum("ij,ij->i", diff, diff)))
+
+    top = cand.withColumn("distance", _dist("features")).orderBy("distance", "id").limit(k)
+    return top.select("id", "label", "distance",
+                      F.row_number().over(Window.orderBy("distance", "id")).alias("rn"))

@@ -182,6 +182,7 @@ def build() -> dict[str, str]:
         "FROM cand JOIN t ON t.id = cand.id CROSS JOIN key)",
         "r AS (SELECT id, label, distance, CAST(row_number() OVER (ORDER BY distance, id) AS BIGINT) AS rn FROM d)",
     ) + f"SELECT id, label, round(distance, {R}) AS distance, rn FROM r WHERE rn <= {K}"
+    sql["search_one_key_indexed"] = sql["search_one_key"]
     sql["batch_top_k"] = neighbours_sql(S)
     sql["indexed_search"] = sql["batch_top_k"]
     sql["batched_queries"] = _with(*ranked_ctes(E)) + (

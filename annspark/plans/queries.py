@@ -29,8 +29,19 @@ from annspark.operators.evaluate import (
     sweep,
     truth_from_lists,
 )
-from annspark.operators.index import bucket_histogram, bucket_summary, build_index
-from annspark.operators.search import exact_knn, knn_join, knn_one, similarity_join
+from annspark.operators.index import (
+    bucket_histogram,
+    bucket_summary,
+    build_bucket_index,
+    build_index,
+)
+from annspark.operators.search import (
+    exact_knn,
+    knn_join,
+    knn_one,
+    knn_one_indexed,
+    similarity_join,
+)
 from annspark.plans import params as P
 from annspark.session import scratch_path
 from annspark.sources.csv import (
@@ -233,6 +244,18 @@ def search_one_key(spark, sf_dir):
                       F.col("rn").cast("long").alias("rn"))
 
 
+@query("search_one_key_indexed")
+def search_one_key_indexed(spark, sf_dir):
+    """F4 through the long-form bucket index: the same key and answer as
+    ``search_one_key``, reading only the key's bucket in each table."""
+    _, q, t = _data(spark, sf_dir)
+    key = q.orderBy("id").select("features").first()["features"]
+    path = build_bucket_index(t, P.SIGN, width=P.WIDTH)
+    res = knn_one_indexed(spark, path, key, P.SIGN, P.K)
+    return res.select("id", "label", _r("distance").alias("distance"),
+                      F.col("rn").cast("long").alias("rn"))
+
+
 @query("batch_top_k")
 def batch_top_k(spark, sf_dir):
     """Per-query top k of the sign-LSH candidates."""

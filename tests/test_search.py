@@ -241,3 +241,19 @@ def test_wide_band_of_copies_matches_brute_force(spark):
     mask = (fam.signatures(qx)[:, None, :] == fam.signatures(tx)[None, :, :]).any(-1)
     want = {k: v for k, v in brute(qx, tx, qid, tid, 6, mask=mask).items() if v}
     assert as_lists(knn_join(q, t, fam, 6, block_rows=64)) == want
+
+
+def test_bucket_index_lookup_matches_and_prunes(spark):
+    from annspark.operators.index import build_bucket_index
+    from annspark.operators.search import knn_one_indexed
+
+    t, tx, tid = _random(spark, 200, 6, 41)
+    fam = SignFamily(4, 3, seed=9)
+    path = build_bucket_index(t, fam)
+    for seed in range(3):
+        key = np.random.default_rng(100 + seed).standard_normal(6)
+        a = [(r["id"], round(r["distance"], 9)) for r in knn_one_indexed(spark, path, key, fam, 5).orderBy("rn").collect()]
+        b = [(r["id"], round(r["distance"], 9)) for r in knn_one(t, key, fam, 5).orderBy("rn").collect()]
+        assert a == b
+    plan = knn_one_indexed(spark, path, key, fam, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(tbl" in plan and "EqualTo(bucket" in plan
