@@ -101,3 +101,14 @@ def test_bucket_vote_same_with_salted_fallback(spark):
     a = preds(bucket_vote_classify(q, t, fam, 6))
     b = preds(bucket_vote_classify(q, t, fam, 6, max_broadcast_rows=0))
     assert a == b
+
+
+def test_sweep_with_given_truth_equals_exact(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((150, 6))
+    df = vectors_df(spark, [(i, x[i], i % 3) for i in range(150)])
+    q, t = df.where("id % 5 = 0"), df.where("id % 5 <> 0")
+    a = sorted(tuple(r) for r in sweep(q, t, [2.0], [2], [1, 3]).collect())
+    truth = exact_knn(q, t, 3).select("q_id", "t_id", "rn")
+    b = sorted(tuple(r) for r in sweep(q, t, [2.0], [2], [1, 3], truth=truth).collect())
+    assert a == b
