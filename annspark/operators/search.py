@@ -78,7 +78,9 @@ def candidate_blocks(query: DataFrame, train: DataFrame, family, kernel_k: int |
         n_qb = max(1, -(-n_q // block_rows))
         shuffled_rows = n_q * n_tb + n_t * n_qb
     else:
-        w = width or vector_width(train, features)
+        if not width and n_t == 0 and n_q == 0:
+            width = 1  # nothing to hash on either side; the plan runs on empty inputs
+        w = width or vector_width(train if n_t > 0 else query, features)
         q = q.withColumn("q_sig", signature_column(family, w, "q_vec"))
         if "t_sig" not in t.columns:
             t = t.withColumn("t_sig", signature_column(family, w, "t_vec"))

@@ -112,3 +112,14 @@ def test_sweep_with_given_truth_equals_exact(spark):
     truth = exact_knn(q, t, 3).select("q_id", "t_id", "rn")
     b = sorted(tuple(r) for r in sweep(q, t, [2.0], [2], [1, 3], truth=truth).collect())
     assert a == b
+
+
+def test_empty_sides(spark, tiny_2d):
+    q, t = tiny_2d
+    empty = t.limit(0)
+    fam = SignFamily(2, 2, seed=1)
+    for fn in (lambda a, b: knn_classify(a, b, fam, 3), lambda a, b: exact_classify(a, b, 3),
+               lambda a, b: bucket_vote_classify(a, b, fam)):
+        assert set(preds(fn(q, empty)).values()) == {(-1, 0)}  # every query, no candidate
+        assert fn(q.limit(0), t).count() == 0
+    assert knn_join(q.limit(0), empty, fam, 3).count() == 0
