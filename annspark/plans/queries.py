@@ -7,6 +7,7 @@ the rest; together the whole table). Outputs are scalar columns, distances round
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -172,7 +173,7 @@ def result_view_projection(spark, sf_dir):
         F.struct(F.col("t_id").alias("id"), F.col("t_label").cast("int").alias("label")).alias("datasetA"),
         F.struct(F.col("q_id").alias("id"), F.col("q_label").alias("label")).alias("datasetB"),
         F.col("distance").alias("EuclideanDistance"))
-    view = f"results_{abs(hash(sf_dir)) % 10**8}_{id(nested) % 10**6}"
+    view = f"results_{uuid.uuid4().hex}"  # one view per call: calls may run side by side
     nested.createOrReplaceTempView(view)
     return spark.sql(
         "SELECT datasetA.label AS label_train, datasetB.label AS label_test, "
