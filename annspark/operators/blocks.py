@@ -340,22 +340,38 @@ class BlockKernel:
         _, q_first, q_uid = np.unique(qv, axis=0, return_index=True, return_inverse=True)
         _, t_first, t_uid = np.unique(tv, axis=0, return_index=True, return_inverse=True)
         q_uid, t_uid = q_uid.ravel(), t_uid.ravel()
+        nt = cand.shape[1]
+        # Rows with the same vector and the same candidate set (copy queries) pick the
+        # same columns: select once per distinct row, then copy to its duplicates.
+        row_key = np.concatenate([q_uid.astype(np.int64)[:, None].view(np.uint8),
+                                  np.packbits(cand, axis=1)], axis=1)
+        _, rep, inv = np.unique(row_key, axis=0, return_index=True, return_inverse=True)
+        inv = inv.ravel()
+        rep_cand = cand[rep]
+        ci, cj = np.divmod(np.flatnonzero(rep_cand), nt)
         n_ut = len(t_first)
         mark = np.zeros((len(q_first), n_ut), dtype=bool)
-        mark[q_uid[i], t_uid[j]] = True
+        mark[q_uid[rep][ci], t_uid[cj]] = True
         ui, uj = np.divmod(np.flatnonzero(mark), n_ut)
         exact_u = np.full(mark.shape, np.inf)
         exact_u[ui, uj] = _exact(qv, tv, q_first[ui], t_first[uj])
-        e = exact_u[q_uid[:, None], t_uid[None, :]]
-        e[~cand] = np.inf
-        kk = min(self.k, e.shape[1])
+        e = exact_u[q_uid[rep][:, None], t_uid[None, :]]
+        e[~rep_cand] = np.inf
+        kk = min(self.k, nt)
         ek = np.partition(e, kk - 1, axis=1)[:, kk - 1]
         below = e < ek[:, None]
         at = (e == ek[:, None]) & np.isfinite(e)
         need = kk - below.sum(axis=1)
         sel = below | (at & (np.cumsum(at, axis=1) <= need[:, None]))
-        i, j = np.divmod(np.flatnonzero(sel), e.shape[1])
-        return i, j, e[i, j]
+        ri, rj = np.divmod(np.flatnonzero(sel), nt)  # grouped by representative row
+        per = np.bincount(ri, minlength=len(rep))
+        start = np.cumsum(per) - per
+        lengths = per[inv]
+        total = int(lengths.sum())
+        rows = np.repeat(np.arange(len(inv)), lengths)
+        offs = (np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                + np.repeat(start[inv], lengths))
+        return rows, rj[offs], e[ri[offs], rj[offs]]
 
 
 def _exact(qv, tv, i, j) -> np.ndarray:
