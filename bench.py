@@ -1,7 +1,7 @@
 """Benchmark the headline queries.
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_QUERIES (comma list, default: the headline set), BENCH_REPEAT (default 2, best).
+BENCH_QUERIES (comma list, default: the headline set), BENCH_REPEAT (default 3, best).
 Prints ONE JSON line: {"metric", "value", "unit", "queries", "sf", ...}.
 Each query is run once to warm up (JIT, Python workers) and then timed; the plan is
 executed to completion with the no-op sink, so nothing is collected.
@@ -26,7 +26,7 @@ HEADLINE = [
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
 
     from annspark.session import get_session
