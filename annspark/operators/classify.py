@@ -85,9 +85,15 @@ def bucket_vote_classify(query: DataFrame, train: DataFrame, family,
     ``exclude_self`` (training rows scoring themselves) the row's own label is taken
     out once per table.
     """
-    if not width and train.limit(1).count() == 0:
-        width = vector_width(query, features) if query.limit(1).count() else 1
-    w = width or vector_width(train, features)
+    w = width
+    if not w:
+        try:
+            w = vector_width(train, features)
+        except ValueError:  # no training rows: every query gets -1
+            try:
+                w = vector_width(query, features)
+            except ValueError:
+                w = 1
     hist = bucket_histogram(train, family, w, id_col=id_col, features=features, label=label)
     hist = hist.withColumnRenamed("label", "t_label")
     q_cols = [F.col(id_col).cast("long").alias("q_id"),
