@@ -36,6 +36,10 @@ WIDE_BAND = 8
 # A row whose live (unblocked) pairs are at most 1/SPARSE_ROWS of the block is scored
 # pair by pair instead of through the matrix product.
 SPARSE_ROWS = 16
+# Small buckets of one table share a cogroup group of about this many rows (pairs from
+# different buckets are blocked in the kernel), so tiny buckets do not each pay a
+# Python call.
+MERGE_ROWS = 512
 
 KERNEL_SCHEMA = "q_id long, t_id long, t_label double, distance double, n_cand long"
 _ARROW_SCHEMA = pa.schema([
@@ -119,6 +123,10 @@ def lsh_blocks(q_exp: DataFrame, t_exp: DataFrame, block_rows: int,
     broadcast only when it is proven small, else joined by a shuffle.
     """
     keys = ["tbl", "bucket"]
+    # Buckets of a table are spread over about (rows per table) / MERGE_ROWS groups.
+    n_groups = max(1, math.ceil((n_q + n_t) / min(MERGE_ROWS, block_rows)))
+    q_exp = q_exp.withColumn("bgroup", F.pmod(F.xxhash64("bucket"), F.lit(n_groups)).cast("int"))
+    t_exp = t_exp.withColumn("bgroup", F.pmod(F.xxhash64("bucket"), F.lit(n_groups)).cast("int"))
     if max(n_t, n_q) <= block_rows:
         # No bucket can hold more rows than its whole table: nothing to split, so the
         # sizing pass is skipped.
@@ -192,6 +200,12 @@ class BlockKernel:
         tid = t.column("t_id").to_numpy()
         tlab = t.column("t_label").combine_chunks()  # Arrow: null labels stay null
         tbl = int(q.column("tbl")[0].as_py()) if self.first_table else 0
+        qb = tb = None
+        if "bucket" in q.column_names:
+            qb = q.column("bucket").to_numpy()
+            tb = t.column("bucket").to_numpy()
+            if len(np.unique(qb)) == 1 and (tb == qb[0]).all():
+                qb = tb = None  # one bucket: nothing to separate
         qsig = None
         earlier = []
         if tbl > 0:
@@ -213,12 +227,17 @@ class BlockKernel:
             e = min(len(qv), s + step)
             tol = err * (qn[s:e].astype(np.float64) + tn_max) + 1e-30
             parts.append(self._chunk(qv[s:e], q32[s:e], qid[s:e], qn[s:e], tol, tv, t32, tid, tn,
-                                     tlab, None if qsig is None else qsig[s:e], earlier))
+                                     tlab, None if qsig is None else qsig[s:e], earlier,
+                                     None if qb is None else qb[s:e], tb))
         return pa.concat_tables(parts)
 
-    def _chunk(self, qv, q32, qid, qn, tol, tv, t32, tid, tn, tlab, qsig, earlier) -> pa.Table:
+    def _chunk(self, qv, q32, qid, qn, tol, tv, t32, tid, tn, tlab, qsig, earlier,
+               qb=None, tb=None) -> pa.Table:
         nq, nt = len(qv), len(tv)
         blocked = self._blocked(qid, tid, qsig, earlier, nq, nt)
+        if qb is not None:  # several buckets share this group: only same-bucket pairs
+            other = qb[:, None] != tb[None, :]
+            blocked = other if blocked is None else np.logical_or(blocked, other, out=blocked)
         sparse = np.zeros(nq, dtype=bool)
         if blocked is not None:
             # Rows with few live pairs (most of their pairs were counted at an earlier

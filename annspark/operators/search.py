@@ -94,7 +94,7 @@ def candidate_blocks(query: DataFrame, train: DataFrame, family, kernel_k: int |
         t_exp = (t.select("*", F.posexplode_outer("t_sig").alias("tbl", "bucket"))
                  .withColumn("t_sig", F.slice("t_sig", 1, F.col("tbl"))))
         q_side, t_side = lsh_blocks(q_exp, t_exp, block_rows, max_broadcast_rows, n_q, n_t)
-        keys = ["tbl", "bucket", "tblock", "qblock"]
+        keys = ["tbl", "bgroup", "tblock", "qblock"]
         kernel = BlockKernel(kernel_k, threshold, exclude_self, first_table=True)
         # Exploded rows before hot-bucket replication (a lower bound on the shuffle).
         shuffled_rows = (n_q + n_t) * family.n_tables
