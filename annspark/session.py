@@ -1,12 +1,15 @@
 """Session construction and the shared scratch folder.
 
 Scratch data (round-trip files, materialised intermediates) always goes under the
-cluster's ``spark.checkpoint.dir``. Only when the session has none (local runs,
-tests) is a private one created.
+cluster's ``spark.checkpoint.dir``. When the session names none, a private folder is
+created for a local master only (driver and executors are one process there); on a
+cluster that is an error, since executors would write to their own disks.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -39,16 +42,26 @@ def get_session(master: str | None = None, app: str = "annspark",
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """True when driver and executors are one process (``local``, ``local[N]``)."""
+    master = spark.conf.get("spark.master", "")
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a private one only if unset."""
+    """The shared checkpoint folder of the session; a private one (removed at exit) only
+    for a local master that names none."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        # Unset: local runs and tests only. A cluster names a shared folder.
+        if not is_local(spark):
+            raise RuntimeError(
+                "set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="annspark-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
