@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a lexicon of the corpus's frequent words.
 
-1. One Arrow pass counts the pre-tokens of the whole corpus; the ``lexicon_words`` most
-   frequent ones (a documented bound) are merged once and compiled into a minimal acyclic
+1. The pre-tokens of the whole corpus are counted; the ``lexicon_words`` most frequent
+   ones (a documented bound) are merged once and compiled into a minimal acyclic
    transducer (``lexicon.py``).
 2. The file goes to the executors as a Spark file (``addFile``: fetched anew by any
    executor that joins later) and is memory-mapped by their workers.
@@ -24,7 +24,7 @@ import hashlib
 import heapq
 import json
 import os
-import uuid
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -34,15 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from annspark.llm.common import written
 from annspark.llm.lexicon import Lexicon, compile_lexicon
 
 # The pre-token pattern of byte-level BPE files.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LEXICON_WORDS = 131_072
+LEXICON_WORDS = 262_144
 LEXICON_WORD_BYTES = 48
-MEMO_WORDS = 300_000
+MEMO_WORDS = 1_000_000
 COUNTER_WORDS = 400_000
 SHORT_WORD = 48
+CHUNK_CHARS = 500_000
+_NONE = 1 << 40
 
 
 def byte_letters() -> list[str]:
@@ -72,10 +75,11 @@ class Vocabulary:
         byte_of = {c: b for b, c in enumerate(byte_letters())}
         ids = model["vocab"]
         self.first = [ids[c] for c in byte_letters()]
-        self.merges = {}
+        self.rank, self.made = {}, []  # pair of ids -> rank; rank -> id of the merged token
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
+            self.rank.setdefault((ids[a], ids[b]), rank)
+            self.made.append(ids[a + b])
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")):
             raise ValueError("added tokens with stripping or word rules are not supported")
@@ -90,38 +94,41 @@ class Vocabulary:
         return self._merge_short(ids) if len(ids) <= SHORT_WORD else self._merge_long(ids)
 
     def _merge_short(self, ids: list[int]) -> list[int]:
-        get = self.merges.get
-        while len(ids) > 1:
-            best = at = None
-            for k, pair in enumerate(zip(ids, ids[1:])):
-                found = get(pair)
-                if found is not None and (best is None or found[0] < best[0]):
-                    best, at = found, k
-            if best is None:
+        get, made = self.rank.get, self.made
+        ranks = [get(pair, _NONE) for pair in zip(ids, ids[1:])]
+        while ranks:
+            low = min(ranks)
+            if low == _NONE:
                 break
-            ids[at:at + 2] = [best[1]]
+            k = ranks.index(low)
+            ids[k:k + 2] = (made[low],)
+            del ranks[k]
+            if k < len(ranks):
+                ranks[k] = get((ids[k], ids[k + 1]), _NONE)
+            if k:
+                ranks[k - 1] = get((ids[k - 1], ids[k]), _NONE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         n = len(ids)
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        get, heap = self.merges.get, []
+        get, heap = self.rank.get, []
 
         def push(k):
             j = nxt[k]
             if j < n:
-                found = get((ids[k], ids[j]))
-                if found is not None:
-                    heapq.heappush(heap, (found[0], k, ids[k], ids[j], found[1]))
+                rank = get((ids[k], ids[j]))
+                if rank is not None:
+                    heapq.heappush(heap, (rank, k, ids[k], ids[j]))
 
         for k in range(n - 1):
             push(k)
         while heap:
-            _, k, a, b, new = heapq.heappop(heap)
+            rank, k, a, b = heapq.heappop(heap)
             j = nxt[k] if ids[k] == a else n
             if j >= n or ids[j] != b:
                 continue  # one of the two has been merged meanwhile
-            ids[k], ids[j] = new, -1
+            ids[k], ids[j] = self.made[rank], -1
             nxt[k] = nxt[j]
             if nxt[j] < n:
                 prv[nxt[j]] = k
@@ -138,42 +145,65 @@ def load_spec(path: str) -> dict:
 
 
 class Encoder:
-    """Encodes and decodes texts; keeps a bounded memo of the words met so far."""
+    """Encodes and decodes texts; keeps a bounded memo of the pre-tokens met so far."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         import regex
 
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.words = regex.compile(SPLIT).findall
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict = {}
         longest_first = sorted(vocabulary.added, key=len, reverse=True)
         self.added = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") \
             if longest_first else None
 
-    def _learn(self, new: list[str]) -> None:
-        raw = [w.encode("utf-8", "replace") for w in new]
-        ranks = self.lexicon.ranks(raw) if self.lexicon else np.full(len(raw), -1)
-        for word, data, rank in zip(new, raw, ranks.tolist()):
-            ids = self.lexicon.tokens(rank) if rank >= 0 else self.vocabulary.merge(data)
-            self.memo[word] = np.asarray(ids, dtype="<u4").tobytes()
-
-    def encode(self, text: str | None, match_added: bool = True) -> bytes:
-        """Token ids as little-endian unsigned 32-bit integers."""
+    def _learn(self, new: list) -> None:
+        words = [w for w in new if isinstance(w, str)]
+        raw = [w.encode("utf-8", "replace") for w in words]
+        ranks = self.lexicon.ranks(raw).tolist() if self.lexicon else [-1] * len(raw)
+        for word, data, rank in zip(words, raw, ranks):
+            self.memo[word] = (self.lexicon.tokens(rank).tobytes() if rank >= 0
+                               else array("I", self.vocabulary.merge(data)).tobytes())
+        for i in new:
+            if not isinstance(i, str):  # the id of an added token stands for itself
+                self.memo[i] = array("I", [i]).tobytes()
+
+    def _split(self, text: str | None) -> list:
+        """Pre-tokens, with the ids of added tokens in their places."""
         if not text:
-            return b""
-        if match_added and self.added is not None and self.added.search(text):
-            out = []
-            for k, part in enumerate(self.added.split(text)):
-                out.append(np.uint32(self.vocabulary.added[part]).tobytes() if k % 2
-                           else self.encode(part, False))
-            return b"".join(out)
-        words = self.words(text)
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        new = set(words) - self.memo.keys()
+            return []
+        if self.added is None or not self.added.search(text):
+            return self.words(text)
+        out: list = []
+        for k, part in enumerate(self.added.split(text)):
+            out.extend([self.vocabulary.added[part]] if k % 2 else self.words(part))
+        return out
+
+    def encode_all(self, texts, chunk: int = CHUNK_CHARS):
+        """Token ids of each text, as little-endian unsigned 32-bit integers. Texts are
+        taken about ``chunk`` characters at a time, so unknown words are looked up together."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text or "")
+            if size >= chunk:
+                yield from self._encode(held)
+                held, size = [], 0
+        yield from self._encode(held)
+
+    def _encode(self, texts):
+        split = [self._split(t) for t in texts]
+        memo = self.memo
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        new = {w for words in split for w in words if w not in memo}
         if new:
             self._learn(list(new))
-        return b"".join(map(self.memo.__getitem__, words))
+        for words in split:
+            yield b"".join(map(memo.__getitem__, words))
+
+    def encode(self, text: str | None) -> bytes:
+        return next(self._encode([text]))
 
     def decode(self, ids: bytes) -> str:
         found = np.frombuffer(ids, dtype="<u4").tolist()
@@ -182,9 +212,15 @@ class Encoder:
 
 def frequent_words(docs: DataFrame, text_col: str = "text", limit: int = LEXICON_WORDS,
                    max_bytes: int = LEXICON_WORD_BYTES) -> DataFrame:
-    """``word, n``: the most frequent pre-tokens over all rows (ties: smaller word)."""
+    """``word, n``: the most frequent pre-tokens over all rows, at most ``limit`` of them.
+
+    What stands between spaces is counted first, in DataFrame functions; then each distinct
+    piece, a space put before it, is split into pre-tokens once. Words are graded by the
+    logarithm of their count; the grades from the top that hold ``limit`` words at most are
+    taken whole, so nothing is sorted and only a table of a few hundred grades comes to the
+    driver."""
 
-    def count(batches):
+    def split(batches):
         import regex
 
         find, seen = regex.compile(SPLIT).findall, Counter()
@@ -197,16 +233,26 @@ def frequent_words(docs: DataFrame, text_col: str = "text", limit: int = LEXICON
                                               names=["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    seen.update(find(text))
-                    if len(seen) > COUNTER_WORDS:
-                        yield flush()
+            for piece, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for word in find(" " + piece):
+                    seen[word] += n
+            if len(seen) > COUNTER_WORDS:
+                yield flush()
         yield flush()
 
-    return (docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long")
-            .groupBy("word").agg(F.sum("n").alias("n"))
-            .orderBy(F.desc("n"), "word").limit(limit))
+    pieces = (docs.select(F.explode(F.split(F.col(text_col), " ")).alias("piece"))
+              .where(F.length("piece").between(1, max_bytes))
+              .groupBy("piece").agg(F.count(F.lit(1)).alias("n")))
+    counted = written(pieces.mapInArrow(split, "word string, n long")
+                      .groupBy("word").agg(F.sum("n").alias("n"))
+                      .withColumn("grade", F.floor(F.log("n") * 16)), "word-counts")
+    taken, least = 0, None
+    for row in sorted(counted.groupBy("grade").count().collect(), reverse=True):
+        taken += row["count"]
+        if taken > limit:
+            break
+        least = row["grade"]
+    return counted.where(F.col("grade") >= least if least is not None else F.lit(False)).select("word", "n")
 
 
 def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text",
@@ -219,11 +265,11 @@ def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text
     words = [r[0].encode("utf-8") for r in rows]
     data = compile_lexicon([(w, vocabulary.merge(w)) for w in words])
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
-    folder = os.path.join(SparkFiles.getRootDirectory(), f"build-{uuid.uuid4().hex}")
-    os.makedirs(folder)
-    path = os.path.join(folder, name)
-    with open(path, "wb") as f:
-        f.write(data)
+    path = os.path.join(SparkFiles.getRootDirectory(), "lexicons", name)
+    if not os.path.exists(path):
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "wb") as f:
+            f.write(data)
     docs.sparkSession.sparkContext.addFile(path)
     return name
 
@@ -246,8 +292,7 @@ def encode_table(docs: DataFrame, tokenizer: str, text_col: str = "text",
         encoder = Encoder(Vocabulary(shared.value), Lexicon(SparkFiles.get(name)))
         for batch in batches:
             n, digest, back, blobs = [], [], [], []
-            for text in batch.column("_text").to_pylist():
-                ids = encoder.encode(text)
+            for ids in encoder.encode_all(batch.column("_text").to_pylist()):
                 n.append(len(ids) // 4)
                 digest.append(hashlib.sha256(ids).hexdigest())
                 back.append(hashlib.sha256(encoder.decode(ids).encode("utf-8")).hexdigest())

@@ -59,10 +59,11 @@ def compile_lexicon(entries: list[tuple[bytes, list[int]]]) -> bytes:
     final = np.array([f for f, _ in states], dtype=np.int64)
     starts = np.cumsum([0] + [len(i) for _, i in entries])
     ids = np.array([x for _, i in entries for x in i], dtype=np.int64)
-    parts = [np.array(keys), np.array(nexts), np.array(adds), final, starts, ids]
+    parts = [np.array(keys, dtype=np.int64), np.array(nexts), np.array(adds), final, starts]
     longest = max((len(w) for w, _ in entries), default=0)
-    head = np.array([MAGIC, root, longest] + [len(p) for p in parts], dtype="<i8")
-    return head.tobytes() + b"".join(np.asarray(p, dtype="<i8").tobytes() for p in parts)
+    head = np.array([MAGIC, root, longest] + [len(p) for p in parts] + [len(ids)], dtype="<i8")
+    return (head.tobytes() + b"".join(np.asarray(p, dtype="<i8").tobytes() for p in parts)
+            + ids.astype("<u4").tobytes())
 
 
 class Lexicon:
@@ -76,10 +77,11 @@ class Lexicon:
             raise ValueError(f"{path} is no lexicon")
         self.root, self.longest = int(head[1]), int(head[2])
         at, parts = 72, []
-        for n in head[3:]:
+        for n in head[3:8]:
             parts.append(np.frombuffer(self._map, dtype="<i8", count=int(n), offset=at))
             at += 8 * int(n)
-        self.keys, self.nexts, self.adds, self.final, self.starts, self.ids = parts
+        self.keys, self.nexts, self.adds, self.final, self.starts = parts
+        self.ids = np.frombuffer(self._map, dtype="<u4", count=int(head[8]), offset=at)
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
         """Rank of each word, -1 for words that the lexicon does not hold."""
