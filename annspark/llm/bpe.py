@@ -147,13 +147,14 @@ def load_spec(path: str) -> dict:
 class Encoder:
     """Encodes and decodes texts; keeps a bounded memo of the pre-tokens met so far."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None,
+                 match_added: bool = True):
         import regex
 
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.words = regex.compile(SPLIT).findall
         self.memo: dict = {}
-        longest_first = sorted(vocabulary.added, key=len, reverse=True)
+        longest_first = sorted(vocabulary.added, key=len, reverse=True) if match_added else []
         self.added = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") \
             if longest_first else None
 
@@ -307,3 +308,19 @@ def encode_table(docs: DataFrame, tokenizer: str, text_col: str = "text",
 
     source = docs.select(*[F.col(f.name) for f in kept], F.col(text_col).alias("_text"))
     return source.mapInArrow(run, T.StructType(kept + new))
+
+
+def count_tokens(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
+    """``docs`` without its text, plus ``n_tokens`` (a null text: 0)."""
+    shared = docs.sparkSession.sparkContext.broadcast(load_spec(tokenizer))
+    kept = [f for f in docs.schema.fields if f.name not in (text_col, "n_tokens")]
+
+    def run(batches):
+        encoder = Encoder(Vocabulary(shared.value))
+        for batch in batches:
+            n = [len(ids) // 4 for ids in encoder.encode_all(batch.column("_text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + [pa.array(n, pa.int64())],
+                                             names=[f.name for f in kept] + ["n_tokens"])
+
+    source = docs.select(*[F.col(f.name) for f in kept], F.col(text_col).alias("_text"))
+    return source.mapInArrow(run, T.StructType([*kept, T.StructField("n_tokens", T.LongType())]))

@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from annspark.llm.license_scan import RULES as LICENSE_RULES
+from annspark.llm.license_scan import SENTENCES, plain
 from annspark.llm.mixing import MAX_EPOCHS, SEED
 from annspark.llm.quality_rules import ALPHA, DELTA, RULES, WINDOW
 
@@ -99,4 +101,98 @@ FROM base
 """
 
 
-ORACLE_SQL = {"op2_mixing": mixing(), "op4_quality_rules": quality_rules()}
+def lattice() -> str:
+    return """
+WITH RECURSIVE usable AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.r AS a, b.r AS b, a.vec_id AS va, b.vec_id AS vb FROM usable a JOIN usable b ON a.r <> b.r
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT reach.a, min(u.vec_id) AS m FROM reach JOIN usable u ON u.r = reach.b GROUP BY reach.a),
+found AS (
+  SELECT u.vec_id, (SELECT count(*) FROM links WHERE links.a = u.r) AS n_links,
+         least(u.vec_id, coalesce(least.m, u.vec_id)) AS component_id
+  FROM usable u LEFT JOIN least ON least.a = u.r)
+SELECT e.vec_id, coalesce(f.n_links, 0)::BIGINT AS n_links, coalesce(f.component_id, e.vec_id) AS component_id,
+       e.vec_id = coalesce(f.component_id, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN found f USING (vec_id)
+"""
+
+
+def url_filter() -> str:
+    return """
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+rules(rule, host, path, verdict) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+  ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+fits AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(r.verdict, length(rule)) AS verdict
+  FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+  GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (page_id)
+"""
+
+
+def license_scan() -> str:
+    known = ", ".join(f"({i}, '{plain(s)}')" for i, s in SENTENCES.items())
+    cases = []
+    for name, ids in LICENSE_RULES:
+        test = _sequence(ids)
+        for _, other in LICENSE_RULES:
+            if len(other) > len(ids) and set(ids) <= set(other):
+                test += f" AND NOT {_sequence(other)}"
+        cases.append(f"CASE WHEN {test} THEN '{name}' END")
+    return rf"""
+WITH cut AS (
+  SELECT doc_id, unnest(string_split(replace(regexp_replace(coalesce(text, ''), '([.!?:])[ \t\n\x0B\f\r]+',
+           '\1' || chr(1), 'g'), chr(10), chr(1)), chr(1))) AS s,
+         generate_subscripts(string_split(replace(regexp_replace(coalesce(text, ''), '([.!?:])[ \t\n\x0B\f\r]+',
+           '\1' || chr(1), 'g'), chr(10), chr(1)), chr(1)), 1) AS i
+  FROM documents),
+known(id, s) AS (VALUES {known}),
+found AS (
+  SELECT doc_id, string_agg(id::VARCHAR, ',' ORDER BY i) AS ids
+  FROM cut JOIN known ON known.s = trim(regexp_replace(lower(cut.s), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) GROUP BY doc_id),
+seqs AS (SELECT doc_id, coalesce(ids, '') AS ids, ',' || coalesce(ids, '') || ',' AS seq FROM documents LEFT JOIN found USING (doc_id))
+SELECT doc_id, ids AS sentence_ids,
+       array_to_string(list_sort(list_distinct(list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL))), ',') AS licenses
+FROM seqs
+"""
+
+
+def _sequence(ids: tuple) -> str:
+    return "regexp_matches(seq, '," + ",(?:[0-9]+,)*?".join(str(i) for i in ids) + ",')"
+
+
+def chat_format() -> str:
+    escaped = r"regexp_replace({}, '(<|\[)(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')"
+    return f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+lengths AS (
+  SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS learned,
+         17 + length({escaped.format('role')}) + length({escaped.format('text')}) AS chars FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, md5(text))) AS turns_sha256,
+       sum(length(learned))::BIGINT AS loss_chars,
+       sha256(string_agg(learned, '' ORDER BY turn NULLS LAST, role, md5(text))) AS loss_sha256,
+       (3 + sum(chars))::BIGINT AS formatted_chars
+FROM lengths GROUP BY conv_id
+"""
+
+
+ORACLE_SQL = {
+    "op2_mixing": mixing(),
+    "op3_lattice": lattice(),
+    "op4_quality_rules": quality_rules(),
+    "op5_url_filter": url_filter(),
+    "op9_license_scan": license_scan(),
+    "op10_chat_format": chat_format(),
+}

@@ -151,6 +151,20 @@ def build_tree(sample: np.ndarray, leaf_rows: int, radius: int, seed: int = 7) -
     return tree
 
 
+def union_pairs(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``label`` (a member's smallest known fellow) after joining the pairs (i, j)."""
+    while len(i):
+        a, b = label[i], label[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        low = np.minimum(a, b)
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
 def forest(keys: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest of the links (at most ``radius`` differing bits) among distinct
     ``keys``: pairs (member, smallest member of its component)."""
@@ -161,17 +175,7 @@ def forest(keys: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         near = np.bitwise_count(keys[s:s + step, None] ^ keys[None, s:]) <= radius
         i, j = np.divmod(np.flatnonzero(near), n - s)
         i, j = i + s, j + s
-        while True:
-            a, b = label[i], label[j]
-            open_ = a != b
-            if not open_.any():
-                break
-            i, j, a, b = i[open_], j[open_], a[open_], b[open_]
-            low = np.minimum(a, b)
-            np.minimum.at(label, a, low)
-            np.minimum.at(label, b, low)
-            while (label[label] != label).any():
-                label = label[label]
+        label = union_pairs(label, i, j)
     member = np.flatnonzero(label != np.arange(n))
     return member, label[member]
 
