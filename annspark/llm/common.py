@@ -32,12 +32,18 @@ def text_key(col: str = "text") -> Column:
     return F.xxhash64(F.col(col))
 
 
+def plain_key(col: str) -> Column:
+    """A column as a never-null string: equal where the column is null-safe equal, so a
+    join on it and a grouping by it share one partitioning."""
+    return F.coalesce(F.concat(F.lit("="), F.col(col).cast("string")), F.lit(""))
+
+
 def attach(big: DataFrame, small: DataFrame, key: str, spread: Column,
            max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Left join of a per-key table whose keys may be hot in ``big``: broadcast when the
     table is proven to have at most ``max_rows`` rows, else a salted shuffle join. Null
     keys match null keys."""
-    safe = F.coalesce(F.concat(F.lit("="), F.col(key)), F.lit(""))
+    safe = plain_key(key)
     big = big.withColumn("_at", safe)
     small = small.withColumn("_at", safe).drop(key)
     local = collect_if_small(small, max_rows)

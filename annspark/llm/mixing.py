@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annspark.llm.common import WORD, attach, text_key, written
+from annspark.llm.common import WORD, attach, plain_key, text_key, written
 
 MAX_EPOCHS = 3
 SEED = 20
@@ -148,15 +148,13 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id
     mixed = mix_counts(sizes, weights, **opts)
     # Rows alike in id, text and source are interchangeable: their copies are added up and
     # dealt out again from one of them.
-    same = ["id", "text_hash", "source"]
-    copies = (mixed.where("copies > 0").groupBy(*same).agg(F.sum("copies").alias("_copies"))
-              .select(F.col("id").alias("_id"), F.col("text_hash").alias("_th"),
-                      F.col("source").alias("_src"), "_copies"))
+    same = [plain_key("id").alias("_id"), F.col("text_hash").alias("_th"), plain_key("source").alias("_src")]
+    copies = mixed.where("copies > 0").groupBy(*same).agg(F.sum("copies").alias("_copies"))
     copies = written(copies, "copies")
-    keyed = (docs.withColumn("_kid", F.col(id_col)).withColumn("_kth", text_key(text_col))
-             .withColumn("_ksrc", F.col(source_col)))
-    joined = keyed.join(copies, F.col("_kid").eqNullSafe(F.col("_id")) & (F.col("_kth") == F.col("_th"))
-                        & F.col("_ksrc").eqNullSafe(F.col("_src")))
-    one = joined.dropDuplicates(["_kid", "_kth", "_ksrc"])
+    keyed = (docs.withColumn("_id", plain_key(id_col)).withColumn("_th", text_key(text_col))
+             .withColumn("_src", plain_key(source_col)))
+    # The grouping is the join's own partitioning and order: texts are shuffled once.
+    keys = ["_id", "_th", "_src"]
+    one = keyed.join(copies, keys).dropDuplicates(keys)
     return (one.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
             .select(*docs.columns))
