@@ -41,10 +41,11 @@ from annspark.llm.lexicon import Lexicon, compile_lexicon
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEXICON_WORDS = 262_144
 LEXICON_WORD_BYTES = 48
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 300_000
 COUNTER_WORDS = 400_000
 SHORT_WORD = 48
 CHUNK_CHARS = 500_000
+SLICE_ROWS = 256
 _NONE = 1 << 40
 
 
@@ -211,6 +212,13 @@ class Encoder:
         return b"".join(map(self.vocabulary.bytes.__getitem__, found)).decode("utf-8", "replace")
 
 
+def slices(batches, rows: int = SLICE_ROWS):
+    """The batches in parts of few rows, so that only a few texts are Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def frequent_words(docs: DataFrame, text_col: str = "text", limit: int = LEXICON_WORDS,
                    max_bytes: int = LEXICON_WORD_BYTES) -> DataFrame:
     """``word, n``: the most frequent pre-tokens over all rows, at most ``limit`` of them.
@@ -291,7 +299,7 @@ def encode_table(docs: DataFrame, tokenizer: str, text_col: str = "text",
 
     def run(batches):
         encoder = Encoder(Vocabulary(shared.value), Lexicon(SparkFiles.get(name)))
-        for batch in batches:
+        for batch in slices(batches):
             n, digest, back, blobs = [], [], [], []
             for ids in encoder.encode_all(batch.column("_text").to_pylist()):
                 n.append(len(ids) // 4)
@@ -317,7 +325,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Dat
 
     def run(batches):
         encoder = Encoder(Vocabulary(shared.value))
-        for batch in batches:
+        for batch in slices(batches):
             n = [len(ids) // 4 for ids in encoder.encode_all(batch.column("_text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + [pa.array(n, pa.int64())],
                                              names=[f.name for f in kept] + ["n_tokens"])

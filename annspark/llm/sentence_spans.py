@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annspark.llm.bpe import slices
 from annspark.llm.common import text_key, written
 
 MIN_SENTENCES = 2
@@ -118,7 +119,7 @@ def span_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``again`` marks a run that its own document holds further up."""
 
     def hashed(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, keys, texts = (batch.column(k) for k in range(3))
             rows, digests, firsts, again = [], [], [], []
             for r, text in enumerate(texts.to_pylist()):
