@@ -34,7 +34,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annspark.llm.common import SPACES, attach, text_key, written
+from annspark.llm.common import SPACES, attach, written
 
 WINDOW = 5
 ALPHA = 0.01
@@ -168,14 +168,14 @@ def thresholds(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return written(tested.groupBy("stratum").agg(*strictest), "thresholds")
 
 
-def judge(counted: DataFrame, limits: DataFrame, stratum_col: str, rules=RULES,
-          spread: Column | None = None) -> DataFrame:
-    """``counted`` plus ``kept``: past the base rule and inside all certified cutoffs."""
+def judge(counted: DataFrame, limits: DataFrame, stratum_col: str, rules, spread: Column) -> DataFrame:
+    """``counted`` plus ``kept``: past the base rule and inside all certified cutoffs.
+    ``spread`` salts the join when the thresholds are too many to broadcast."""
     cuts = limits.select(F.col("stratum"), *[F.col(r.name).alias(f"_cut_{r.name}") for r in rules])
     cuts = cuts.withColumnRenamed("stratum", "_stratum")
     joined = attach(counted.withColumn("_stratum", F.col(stratum_col).cast("string")),
                     cuts.withColumn("_stratum", F.col("_stratum").cast("string")), "_stratum",
-                    spread if spread is not None else F.rand(11))
+                    spread)
     bad = F.lit(False)
     for r in rules:
         bad = bad | F.coalesce(r.rejects(F.col(f"_cut_{r.name}")), F.lit(False))
@@ -200,16 +200,16 @@ def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                    alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of ``docs``, all columns, that the rules keep.
 
-    Rows are matched to their verdict by id and text, so no text is counted twice."""
-    slim = docs.select(F.col(id_col).alias("id"), F.col(stratum_col).alias("stratum"),
-                       text_key(text_col).alias("text_hash"), F.col(text_col).alias("_text"))
-    counted = written(with_counts(slim, "_text").select("id", "stratum", "text_hash", "_q.*"), "counts")
-    limits = thresholds(counted, labels.select(F.col(id_col).alias("id"), "quality"), "id",
+    Rows are written once with their counts and read back for the verdict, so texts are
+    neither counted twice nor shuffled."""
+    counted = with_counts(docs.withColumn("_text", F.col(text_col)), "_text").drop("_text")
+    counted = written(counted, "counted-documents")
+    slim = counted.select(F.col(id_col).alias("id"), F.col(stratum_col).alias("stratum"), "_q.*")
+    limits = thresholds(slim, labels.select(F.col(id_col).alias("id"), "quality"), "id",
                         "stratum", rules, alpha, delta)
-    bad = (judge(counted, limits, "stratum", rules, F.xxhash64("id")).where(~F.col("kept"))
-           .select(F.col("id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash"),
-                   F.col("stratum").alias("_bad_stratum")))
-    bad = written(bad, "rejected")
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad_id"))
-                     & (text_key(text_col) == F.col("_bad_hash"))
-                     & F.col(stratum_col).eqNullSafe(F.col("_bad_stratum")), "left_anti")
+    # Counts under names of their own: docs may have columns named like them.
+    counts = [F.col(f"_q.{c}").alias(c) for c in (*COUNTS, "base_failed")]
+    packed = counted.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"),
+                            F.col(stratum_col).alias("_lang"), *counts)
+    spread = F.xxhash64(F.col("_row")[id_col])
+    return judge(packed, limits, "_lang", rules, spread).where("kept").select("_row.*")
