@@ -184,6 +184,8 @@ class BlockKernel:
 
     def __init__(self, k: int | None, threshold: float | None, exclude_self: bool,
                  first_table: bool, chunk_values: int = 4_000_000):
+        if threshold is not None and not threshold >= 0:
+            raise ValueError("threshold must be a number not below 0")
         self.k = k
         self.threshold = threshold
         self.exclude_self = exclude_self

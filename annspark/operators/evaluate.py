@@ -14,12 +14,17 @@ from annspark.session import checkpoint_dir
 from annspark.operators.search import exact_knn, knn_join
 
 
+def _share(part, whole):
+    """``part / whole`` as a double; 0 of 0 (no queries) is 0."""
+    return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
+
+
 def accuracy(predictions: DataFrame) -> DataFrame:
     """``n, hits, accuracy`` from ``label, prediction`` (E8, E9, E12): one aggregate."""
     hit = (F.col("label") == F.col("prediction")).cast("long")
     return predictions.agg(F.count(F.lit(1)).alias("n"),
                            F.coalesce(F.sum(hit), F.lit(0)).alias("hits"),
-                           (F.coalesce(F.sum(hit), F.lit(0)) / F.count(F.lit(1))).alias("accuracy"))
+                           _share(F.coalesce(F.sum(hit), F.lit(0)), F.count(F.lit(1))).alias("accuracy"))
 
 
 def _query_labels(query: DataFrame, id_col: str, label: str) -> DataFrame:
@@ -47,8 +52,8 @@ def strict_majority_accuracy(neighbours: DataFrame, query: DataFrame, id_col: st
     q = query.select(F.col(id_col).cast("long").alias("q_id"))
     won = F.coalesce((F.col("share") > 0.5).cast("long"), F.lit(0))
     return (q.join(shares, "q_id", "left")
-            .agg(F.count(F.lit(1)).alias("n_queries"), F.sum(won).alias("n_majority"),
-                 (F.sum(won) / F.count(F.lit(1))).alias("accuracy")))
+            .agg(F.count(F.lit(1)).alias("n_queries"), F.coalesce(F.sum(won), F.lit(0)).alias("n_majority"),
+                 _share(F.sum(won), F.count(F.lit(1))).alias("accuracy")))
 
 
 def truth_from_lists(ground_truth: DataFrame, query_col: str = "query_id",
@@ -73,9 +78,9 @@ def recall_at_k(pred: DataFrame, truth: DataFrame, query: DataFrame, k: int,
             .select(F.lit(1).alias("_hit"), F.lit(0).alias("_q")))
     queries = query.select(F.lit(0).alias("_hit"), F.lit(1).alias("_q"))
     both = hits.unionByName(queries)
-    return both.agg(F.lit(k).alias("k"), F.sum("_q").cast("long").alias("n_queries"),
-                    F.sum("_hit").cast("long").alias("hits"),
-                    (F.sum("_hit") / (F.lit(k) * F.sum("_q"))).alias("recall"))
+    hits_n, queries_n = (F.coalesce(F.sum(c), F.lit(0)).cast("long") for c in ("_hit", "_q"))
+    return both.agg(F.lit(k).alias("k"), queries_n.alias("n_queries"), hits_n.alias("hits"),
+                    _share(hits_n, F.lit(k) * queries_n).alias("recall"))
 
 
 def _spread_k(df: DataFrame, ks) -> DataFrame:
