@@ -114,7 +114,9 @@ class EuclideanFamily:
 
     def signatures(self, x: np.ndarray, planes: np.ndarray | None = None) -> np.ndarray:
         a = self.planes(x.shape[1]) if planes is None else planes
-        return np.floor((x @ a.T) / self.bucket_length).astype(np.int64)
+        # Buckets beyond +-2^62 saturate, so huge values still hash the same way everywhere.
+        buckets = np.nan_to_num(np.floor((x @ a.T) / self.bucket_length))
+        return np.clip(buckets, -(2.0 ** 62), 2.0 ** 62).astype(np.int64)
 
 
 class SignPlanes:

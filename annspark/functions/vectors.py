@@ -66,14 +66,36 @@ def nonzeros(c) -> Column:
     return F.size(F.filter(_col(c), lambda x: x != 0))
 
 
+def usable_vector(c) -> Column:
+    """True for a vector whose components are all numbers: not null, no null, NaN or
+    infinite component. Rows without a usable vector have no neighbours, are no
+    candidates and are in no bucket; classifiers report them with prediction -1."""
+    v = _col(c)
+    finite = F.forall(v, lambda x: F.abs(x.cast("double")) < F.lit(float("inf")))
+    return v.isNotNull() & F.coalesce(finite, F.lit(False))
+
+
 def vector_width(df: DataFrame, col: str = "features") -> int:
-    """Width of the first row, as the reference reads it; batches re-check it."""
-    row = df.select(F.size(col).alias("w")).first()
-    if row is None:
+    """The largest vector width of the table (B1), from one aggregate over its rows."""
+    row = df.where(F.col(col).isNotNull()).agg(F.max(F.size(col)).alias("w")).first()
+    if row["w"] is None:
         raise ValueError("empty vector table: width unknown")
     return int(row["w"])
 
 
+def search_width(*tables: DataFrame, col: str = "features") -> int:
+    """Width of the first usable vector of the first table that has one (1 if none has).
+
+    Searches need no maximum: a row of any other width is an error when it is hashed or
+    compared, so reading one row tells as much as a scan.
+    """
+    for df in tables:
+        row = df.where(usable_vector(col)).select(F.size(col).alias("w")).first()
+        if row is not None:
+            return int(row["w"])
+    return 1
+
+
 def pad(c, width: int) -> Column:
     """Pad with zeros to ``width``; a wider vector is an error, as in the reference."""
     v = _col(c).cast("array<double>")

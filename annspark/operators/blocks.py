@@ -216,8 +216,11 @@ class BlockKernel:
             for j in range(tbl):  # training rows sorted by their bucket in table j
                 order = np.argsort(tsig[:, j], kind="stable")
                 earlier.append((order, tsig[order, j], tsig[:, j]))
-        q32 = qv.astype(np.float32, copy=False)
-        t32 = tv.astype(np.float32, copy=False)
+        # Ranking works on values scaled by one power of two per block (largest component
+        # below 1), so squares neither overflow nor vanish in float32 at any magnitude.
+        exp = int(np.frexp(max(np.abs(qv).max(initial=0.0), np.abs(tv).max(initial=0.0)))[1])
+        q32 = np.ldexp(qv, -exp).astype(np.float32, copy=False)
+        t32 = np.ldexp(tv, -exp).astype(np.float32, copy=False)
         qn = np.einsum("ij,ij->i", q32, q32)
         tn = np.einsum("ij,ij->i", t32, t32)
         # Rounding bound of the float32 expansion (inputs rounded to float32 included).
@@ -229,11 +232,11 @@ class BlockKernel:
             e = min(len(qv), s + step)
             tol = err * (qn[s:e].astype(np.float64) + tn_max) + 1e-30
             parts.append(self._chunk(qv[s:e], q32[s:e], qid[s:e], qn[s:e], tol, tv, t32, tid, tn,
-                                     tlab, None if qsig is None else qsig[s:e], earlier,
+                                     tlab, exp, None if qsig is None else qsig[s:e], earlier,
                                      None if qb is None else qb[s:e], tb))
         return pa.concat_tables(parts)
 
-    def _chunk(self, qv, q32, qid, qn, tol, tv, t32, tid, tn, tlab, qsig, earlier,
+    def _chunk(self, qv, q32, qid, qn, tol, tv, t32, tid, tn, tlab, exp, qsig, earlier,
                qb=None, tb=None) -> pa.Table:
         nq, nt = len(qv), len(tv)
         blocked = self._blocked(qid, tid, qsig, earlier, nq, nt)
@@ -260,7 +263,7 @@ class BlockKernel:
         rows = np.nonzero(~sparse)[0]
         if len(rows):
             di, dj, dd, dcounts = self._dense(qv[rows], q32[rows], qn[rows], tol[rows], tv, t32, tn,
-                                              tid, None if blocked is None else blocked[rows])
+                                              exp, None if blocked is None else blocked[rows])
             counts[rows] = dcounts
             parts.append((rows[di], dj, dd))
         i = np.concatenate([p[0] for p in parts]).astype(np.int64)
@@ -307,7 +310,7 @@ class BlockKernel:
                 blocked[rows, order[offs]] = True
         return blocked
 
-    def _dense(self, qv, q32, qn, tol, tv, t32, tn, tid, blocked):
+    def _dense(self, qv, q32, qn, tol, tv, t32, tn, exp, blocked):
         """Candidates of rows scored by one float32 matrix product: ``(i, j, exact
         distance, counts)``; for top k the band up to the k-th value plus its margin."""
         # Squared distances by expansion, built in place (one n_q x n_t float32 buffer).
@@ -320,7 +323,7 @@ class BlockKernel:
         if masked:
             d2[blocked] = np.inf
         if self.threshold is not None:
-            thr2 = float(self.threshold) ** 2
+            thr2 = float(np.ldexp(float(self.threshold), -exp) ** 2)
             near = np.abs(d2 - thr2) <= tol[:, None]
             out = d2 >= thr2
             if near.any():
@@ -381,7 +384,7 @@ class BlockKernel:
         kk = min(self.k, nt)
         ek = np.partition(e, kk - 1, axis=1)[:, kk - 1]
         below = e < ek[:, None]
-        at = (e == ek[:, None]) & np.isfinite(e)
+        at = (e == ek[:, None]) & rep_cand
         need = kk - below.sum(axis=1)
         sel = below | (at & (np.cumsum(at, axis=1) <= need[:, None]))
         ri, rj = np.divmod(np.flatnonzero(sel), nt)  # grouped by representative row
@@ -403,7 +406,15 @@ def _exact(qv, tv, i, j) -> np.ndarray:
     step = max(1, 4_000_000 // max(1, qv.shape[1]))
     for s in range(0, len(i), step):
         diff = qv[i[s:s + step]].astype(np.float64) - tv[j[s:s + step]].astype(np.float64)
-        out[s:s + step] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+        d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+        # Squares outside float64's range: the same sum on the difference scaled by a
+        # power of two of its own.
+        far = np.flatnonzero(~((d > 1e-140) & (d < 1e140)))
+        if len(far):
+            e = np.frexp(np.abs(diff[far]).max(axis=1, initial=0.0))[1]
+            scaled = np.ldexp(diff[far], -e[:, None])
+            d[far] = np.ldexp(np.sqrt(np.einsum("ij,ij->i", scaled, scaled)), e)
+        out[s:s + step] = d
     return out
 
 

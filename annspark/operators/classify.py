@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annspark.functions.hashing import signature_column
-from annspark.functions.vectors import vector_column, vector_width
+from annspark.functions.vectors import search_width, usable_vector, vector_column
 from annspark.operators.blocks import DEFAULT_MAX_BROADCAST_ROWS, join_checked
 from annspark.operators.index import bucket_histogram
 from annspark.operators.search import knn_join
@@ -85,22 +85,14 @@ def bucket_vote_classify(query: DataFrame, train: DataFrame, family,
     ``exclude_self`` (training rows scoring themselves) the row's own label is taken
     out once per table.
     """
-    w = width
-    if not w:
-        try:
-            w = vector_width(train, features)
-        except ValueError:  # no training rows: every query gets -1
-            try:
-                w = vector_width(query, features)
-            except ValueError:
-                w = 1
+    w = width or search_width(train, query, col=features)
     hist = bucket_histogram(train, family, w, id_col=id_col, features=features, label=label)
     hist = hist.withColumnRenamed("label", "t_label")
     q_cols = [F.col(id_col).cast("long").alias("q_id"),
               signature_column(family, w, vector_column(query, features)).alias("sig")]
     if exclude_self:
         q_cols.append(F.col(label).alias("_own"))
-    qb = (query.select(*q_cols)
+    qb = (query.where(usable_vector(features)).select(*q_cols)
           .select("*", F.posexplode_outer("sig").alias("tbl", "bucket")).drop("sig"))
     joined = join_checked(qb, hist, ["tbl", "bucket"], "inner", max_broadcast_rows,
                           spread_col="q_id")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annspark.functions.hashing import EuclideanFamily
-from annspark.functions.vectors import vector_width
+from annspark.functions.vectors import search_width
 from annspark.operators.blocks import count_rows
 from annspark.session import checkpoint_dir
 from annspark.operators.search import exact_knn, knn_join
@@ -112,7 +112,7 @@ def sweep(query: DataFrame, train: DataFrame, bucket_lengths=SEARCH_BUCKET_LENGT
     kmax = ks[-1]
     checkpoint_dir(query.sparkSession)
     # Facts shared by every setting: one job each, not one per setting.
-    opts.setdefault("width", vector_width(train, opts.get("features", "features")))
+    opts.setdefault("width", search_width(train, query, col=opts.get("features", "features")))
     opts.setdefault("counts", count_rows(query.select(id_col), train.select(id_col)))
     if truth is None:
         truth = exact_knn(query, train, kmax, id_col=id_col, label=label, **opts)

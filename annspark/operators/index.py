@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annspark.functions.hashing import signature_column
-from annspark.functions.vectors import vector_column, vector_width
+from annspark.functions.vectors import search_width, usable_vector, vector_column
 from annspark.session import scratch_path
 
 
 def bucket_index(train: DataFrame, family, width: int | None = None, id_col: str = "id",
                  features: str = "features", label: str = "label") -> DataFrame:
     """``tbl, bucket, id, label``: one row per training row and table (B12, E2 long form)."""
-    w = width or vector_width(train, features)
+    w = width or search_width(train, col=features)
+    train = train.where(usable_vector(features))
     sig = signature_column(family, w, vector_column(train, features))
     return (train.select(F.col(id_col).cast("long").alias("id"), F.col(label).alias("label"),
                          sig.alias("sig"))
@@ -50,7 +51,8 @@ def build_index(train: DataFrame, family, path: str | None = None, width: int |
     sizing of a search reads only the ``sig`` column, not the vectors.
     """
     spark = train.sparkSession
-    w = width or vector_width(train, features)
+    w = width or search_width(train, col=features)
+    train = train.where(usable_vector(features))
     cols = [F.col(id_col).cast("long").alias(id_col), F.col(features).alias(features)]
     if label in train.columns:
         cols.append(F.col(label).alias(label))
@@ -74,7 +76,8 @@ def build_bucket_index(train: DataFrame, family, path: str | None = None,
     vectors per table, the usual price of an LSH index.
     """
     spark = train.sparkSession
-    w = width or vector_width(train, features)
+    w = width or search_width(train, col=features)
+    train = train.where(usable_vector(features))
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(id_col).cast("long").alias("id"), F.col(features).alias("features"),
             (F.col(label) if label in train.columns else F.lit(None)).alias("label"),

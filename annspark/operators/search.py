@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annspark.functions.hashing import arrow_matrix, signature_column
-from annspark.functions.vectors import vector_column, vector_width
+from annspark.functions.vectors import search_width, usable_vector, vector_column
 from annspark.operators.blocks import (
     DEFAULT_BLOCK_ROWS,
     DEFAULT_MAX_BROADCAST_ROWS,
@@ -35,10 +35,10 @@ def reference_threshold(width: int) -> float:
 
 def _sides(query: DataFrame, train: DataFrame, id_col: str, features: str, label: str,
            train_sig: str | None = None):
-    # A row without a vector has no neighbours and is no candidate (classifiers still
-    # report such a query, with prediction -1).
-    query = query.where(F.col(features).isNotNull())
-    train = train.where(F.col(features).isNotNull())
+    # A row without a usable vector has no neighbours and is no candidate (classifiers
+    # still report such a query, with prediction -1).
+    query = query.where(usable_vector(features))
+    train = train.where(usable_vector(features))
     q = query.select(F.col(id_col).cast("long").alias("q_id"),
                      vector_column(query, features).alias("q_vec"))
     # A plain search table may have no label: null labels then.
@@ -68,7 +68,9 @@ def candidate_blocks(query: DataFrame, train: DataFrame, family, kernel_k: int |
     """
     q, t = _sides(query, train, id_col, features, label, train_sig)
     spark = query.sparkSession
-    n_q, n_t = counts if counts is not None else count_rows(q, t)
+    # Rows without a usable vector count too: these are upper bounds from an id-only scan.
+    n_q, n_t = (counts if counts is not None
+                else count_rows(query.select(id_col), train.select(id_col)))
     if family is None:
         q_side, t_side = exact_blocks(q, t, block_rows, spark.sparkContext.defaultParallelism,
                                       n_q, n_t)
@@ -78,9 +80,7 @@ def candidate_blocks(query: DataFrame, train: DataFrame, family, kernel_k: int |
         n_qb = max(1, -(-n_q // block_rows))
         shuffled_rows = n_q * n_tb + n_t * n_qb
     else:
-        if not width and n_t == 0 and n_q == 0:
-            width = 1  # nothing to hash on either side; the plan runs on empty inputs
-        w = width or vector_width(train if n_t > 0 else query, features)
+        w = width or search_width(train, query, col=features)
         q = q.withColumn("q_sig", signature_column(family, w, "q_vec"))
         if "t_sig" not in t.columns:
             t = t.withColumn("t_sig", signature_column(family, w, "t_vec"))
@@ -152,7 +152,7 @@ def knn_one(train: DataFrame, key, family=None, k: int = 5, id_col: str = "id",
               vector_column(train, features).alias("features"), F.col(label).alias("label")]
     if train_sig is not None:
         t_cols.append(F.col(train_sig).alias("_sig"))
-    t = train.select(*t_cols)
+    t = train.where(usable_vector(features)).select(*t_cols)
     ksig = None if family is None else family.signatures(kv[None, :]).reshape(-1)
     planes = None if family is None or train_sig is not None else family.planes(width)
     if ksig is not None and train_sig is not None:

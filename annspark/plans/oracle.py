@@ -144,11 +144,27 @@ def _sweep_sql() -> str:
     return _with(*ctes) + " UNION ALL ".join(selects)
 
 
+def bucket_vote_sql(family, q: str = "q", t: str = "t", extra=()) -> str:
+    """Bucket vote of the rows of ``q`` by the rows of ``t``; every row of the split reported."""
+    return _with(
+        *extra, planes_cte("pl", family), sig_cte("sq", q, "pl", family), sig_cte("st", t, "pl", family),
+        "hist AS (SELECT st.tbl, st.bucket, t.label AS t_label, count(*) AS cnt "
+        "FROM st JOIN base t ON t.id = st.id GROUP BY st.tbl, st.bucket, t.label)",
+        "votes AS (SELECT sq.id AS q_id, h.t_label, sum(h.cnt) AS votes FROM sq JOIN hist h "
+        "ON sq.tbl = h.tbl AND sq.bucket = h.bucket GROUP BY sq.id, h.t_label)",
+        "best AS (SELECT q_id, t_label, sum(votes) OVER (PARTITION BY q_id) AS n_cand, "
+        "row_number() OVER (PARTITION BY q_id ORDER BY votes DESC, t_label) AS r FROM votes)",
+    ) + ("SELECT q.id AS q_id, q.label, CAST(coalesce(b.t_label, -1) AS INTEGER) AS prediction, "
+         "CAST(coalesce(b.n_cand, 0) AS BIGINT) AS n_candidates "
+         "FROM q LEFT JOIN best b ON b.q_id = q.id AND b.r = 1")
+
+
 def build() -> dict[str, str]:
     S, E, K, THR = P.SIGN, P.EUCLID, P.K, P.THRESHOLD
     sql = {}
     sql["libsvm_round_trip"] = _with() + (
         "SELECT CASE WHEN id % 5 = 0 THEN 'test' ELSE 'train' END AS split, "
+        "CAST(row_number() OVER (PARTITION BY id % 5 = 0 ORDER BY id) - 1 AS BIGINT) AS row_id, "
         f"CAST(label AS DOUBLE) AS label, {_stats()} FROM base")
     sql["libsvm_bz2"] = _with() + f"SELECT CAST(label AS DOUBLE) AS label, {_stats()} FROM base"
     sql["csv_vectors"] = _with() + f"SELECT id, {_stats()} FROM base"
@@ -175,11 +191,11 @@ def build() -> dict[str, str]:
     sql["similarity_join_euclid"] = _with(*ranked_ctes(E, threshold=THR)) + (
         f"SELECT q_id, t_id, round(distance, {R}) AS distance FROM ranked")
     sql["search_one_key"] = _with(
-        "key AS (SELECT * FROM q WHERE id = (SELECT min(id) FROM q))",
-        planes_cte("pl", S), sig_cte("ks", "key", "pl", S), sig_cte("ts", "t", "pl", S),
+        "key AS (SELECT * FROM base WHERE id = (SELECT min(id) FROM base))",
+        planes_cte("pl", S), sig_cte("ks", "key", "pl", S), sig_cte("ts", "base", "pl", S),
         "cand AS (SELECT DISTINCT ts.id FROM ts JOIN ks ON ts.tbl = ks.tbl AND ts.bucket = ks.bucket)",
         "d AS (SELECT t.id, t.label, list_distance(t.v, key.v) AS distance "
-        "FROM cand JOIN t ON t.id = cand.id CROSS JOIN key)",
+        "FROM cand JOIN base t ON t.id = cand.id CROSS JOIN key)",
         "r AS (SELECT id, label, distance, CAST(row_number() OVER (ORDER BY distance, id) AS BIGINT) AS rn FROM d)",
     ) + f"SELECT id, label, round(distance, {R}) AS distance, rn FROM r WHERE rn <= {K}"
     sql["search_one_key_indexed"] = sql["search_one_key"]
@@ -192,24 +208,26 @@ def build() -> dict[str, str]:
     sql["euclid_knn"] = neighbours_sql(E, threshold=THR)
     sql["exact_knn"] = neighbours_sql(None)
     sql["exact_self_knn"] = neighbours_sql(None, q="base", t="base", exclude_self=True)
-    sql["bucket_histogram"] = _with(planes_cte("pl", S), sig_cte("st", "t", "pl", S)) + (
+    sql["bucket_histogram"] = _with(planes_cte("pl", S), sig_cte("st", "base", "pl", S)) + (
         "SELECT CAST(st.tbl AS INTEGER) AS tbl, st.bucket, t.label, CAST(count(*) AS BIGINT) AS cnt "
-        "FROM st JOIN t ON t.id = st.id GROUP BY st.tbl, st.bucket, t.label")
-    sql["bucket_members"] = _with(planes_cte("pl", S), sig_cte("st", "t", "pl", S)) + (
+        "FROM st JOIN base t ON t.id = st.id GROUP BY st.tbl, st.bucket, t.label")
+    sql["bucket_members"] = _with(planes_cte("pl", S), sig_cte("st", "base", "pl", S)) + (
         "SELECT CAST(tbl AS INTEGER) AS tbl, bucket, CAST(count(*) AS BIGINT) AS n_members, "
         "CAST(sum(id) AS BIGINT) AS id_sum, min(id) AS id_min, max(id) AS id_max "
         "FROM st GROUP BY tbl, bucket")
-    sql["bucket_vote"] = _with(
-        planes_cte("pl", S), sig_cte("sq", "q", "pl", S), sig_cte("st", "t", "pl", S),
-        "hist AS (SELECT st.tbl, st.bucket, t.label AS t_label, count(*) AS cnt "
-        "FROM st JOIN t ON t.id = st.id GROUP BY st.tbl, st.bucket, t.label)",
-        "votes AS (SELECT sq.id AS q_id, h.t_label, sum(h.cnt) AS votes FROM sq JOIN hist h "
-        "ON sq.tbl = h.tbl AND sq.bucket = h.bucket GROUP BY sq.id, h.t_label)",
-        "best AS (SELECT q_id, t_label, sum(votes) OVER (PARTITION BY q_id) AS n_cand, "
-        "row_number() OVER (PARTITION BY q_id ORDER BY votes DESC, t_label) AS r FROM votes)",
-    ) + ("SELECT q.id AS q_id, q.label, CAST(coalesce(b.t_label, -1) AS INTEGER) AS prediction, "
-         "CAST(coalesce(b.n_cand, 0) AS BIGINT) AS n_candidates "
-         "FROM q LEFT JOIN best b ON b.q_id = q.id AND b.r = 1")
+    sql["bucket_vote"] = bucket_vote_sql(S)
+    top = (f"SELECT q_id, t_id, t_label, round(distance, {R}) AS distance, rn, n_candidates "
+           f"FROM ranked WHERE rn <= {K}")
+    usable = ["qd AS (SELECT * FROM q WHERE id % 7 > 2)", "td AS (SELECT * FROM t WHERE id % 7 > 2)"]
+    sql["bucket_vote_dirty"] = bucket_vote_sql(S, "qd", "td", usable)
+    sql["knn_dirty_vectors"] = _with(*usable, *ranked_ctes(None, "qd", "td")) + top
+    large = [f"{name}l AS (SELECT id, label, list_transform(v, lambda x: x * 1e20) AS v FROM {name})"
+             for name in "qt"]
+    sql["knn_large_values"] = _with(*large, *ranked_ctes(None, "ql", "tl")) + top.replace(
+        "round(distance,", "round(distance / 1e20,")
+    sql["batch_top_k_split"] = sql["batch_top_k"]
+    sql["exact_knn_split"] = sql["exact_knn"]
+    sql["hot_bucket_knn"] = neighbours_sql(P.HOT)
     sql["rerank_classify"] = classify_sql(S)
     sql["euclid_classify"] = classify_sql(E)
     sql["exact_classify"] = classify_sql(None)

@@ -18,3 +18,6 @@ SWEEP_BUCKET_LENGTHS = (0.1, 0.2)
 SWEEP_TABLES = (2, 3)
 SWEEP_KS = (1, 5, 9)
 ROUND = 6
+# Small blocks and one-bit tables: the paths of hot buckets on small tables too.
+SPLIT_ROWS = 64
+HOT = SignFamily(n_tables=3, n_bits=1, seed=1234)

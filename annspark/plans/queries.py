@@ -92,15 +92,16 @@ def _vector_stats(df: DataFrame) -> list:
 
 @query("libsvm_round_trip")
 def libsvm_round_trip(spark, sf_dir):
-    """train/test written as LibSVM, read back with one width."""
+    """train/test written as LibSVM, read back with one width and
+    position ids."""
     _, q, t = _data(spark, sf_dir)
     train_path, test_path = scratch_path(spark, "libsvm-train"), scratch_path(spark, "libsvm-test")
-    write_libsvm(t, train_path)
-    write_libsvm(q, test_path)
+    write_libsvm(t.orderBy("id"), train_path)
+    write_libsvm(q.orderBy("id"), test_path)
     train, test = load_pair(spark, train_path, test_path)
     both = (train.withColumn("split", F.lit("train"))
             .unionByName(test.withColumn("split", F.lit("test"))))
-    return both.select("split", "label", *_vector_stats(both))
+    return both.select("split", F.col("id").cast("long").alias("row_id"), "label", *_vector_stats(both))
 
 
 @query("libsvm_bz2")
@@ -237,10 +238,10 @@ def similarity_join_euclid(spark, sf_dir):
 
 @query("search_one_key")
 def search_one_key(spark, sf_dir):
-    """K nearest of one key vector (the query row with the smallest id)."""
-    _, q, t = _data(spark, sf_dir)
-    key = q.orderBy("id").select("features").first()["features"]
-    res = knn_one(t, key, P.SIGN, P.K)
+    """K nearest of one key vector (the row with the smallest id) in the whole table."""
+    df, _, _ = _data(spark, sf_dir)
+    key = df.orderBy("id").select("features").first()["features"]
+    res = knn_one(df, key, P.SIGN, P.K)
     return res.select("id", "label", _r("distance").alias("distance"),
                       F.col("rn").cast("long").alias("rn"))
 
@@ -249,9 +250,9 @@ def search_one_key(spark, sf_dir):
 def search_one_key_indexed(spark, sf_dir):
     """F4 through the long-form bucket index: the same key and answer as
     ``search_one_key``, reading only the key's bucket in each table."""
-    _, q, t = _data(spark, sf_dir)
-    key = q.orderBy("id").select("features").first()["features"]
-    path = build_bucket_index(t, P.SIGN, width=P.WIDTH)
+    df, _, _ = _data(spark, sf_dir)
+    key = df.orderBy("id").select("features").first()["features"]
+    path = build_bucket_index(df, P.SIGN, width=P.WIDTH)
     res = knn_one_indexed(spark, path, key, P.SIGN, P.K)
     return res.select("id", "label", _r("distance").alias("distance"),
                       F.col("rn").cast("long").alias("rn"))
@@ -302,21 +303,80 @@ def exact_self_knn(spark, sf_dir):
     return _neighbours(exact_knn(df, df, P.K, exclude_self=True))
 
 
+def _dirty(df: DataFrame) -> DataFrame:
+    """The whole table with three in seven vectors spoilt by id: null, NaN, infinite."""
+    def first_is(value):
+        bad = F.lit(value).cast("float")
+        return F.transform("features", lambda x, i: F.when(i == 0, bad).otherwise(x))
+
+    kind = F.pmod(F.col("id"), F.lit(7))
+    return df.withColumn("features", F.when(kind == 1, first_is(float("nan")))
+                         .when(kind == 2, first_is(float("inf"))).when(kind > 2, F.col("features")))
+
+
+@query("knn_dirty_vectors")
+def knn_dirty_vectors(spark, sf_dir):
+    """Rows without a usable vector are no queries and no candidates."""
+    _, q, t = _data(spark, sf_dir)
+    return _neighbours(exact_knn(_dirty(q), _dirty(t), P.K))
+
+
+@query("bucket_vote_dirty")
+def bucket_vote_dirty(spark, sf_dir):
+    """The same rule in the bucket vote; such queries are reported with -1."""
+    _, q, t = _data(spark, sf_dir)
+    return bucket_vote_classify(_dirty(q), _dirty(t), P.SIGN, P.WIDTH)
+
+
+@query("knn_large_values")
+def knn_large_values(spark, sf_dir):
+    """Components beyond float32's squares (x 1e20); distances given over 1e20."""
+    _, q, t = _data(spark, sf_dir)
+
+    def scaled(df):
+        return df.withColumn("features", F.transform("features", lambda x: x.cast("double") * F.lit(1e20)))
+
+    nb = exact_knn(scaled(q), scaled(t), P.K)
+    return _neighbours(nb.withColumn("distance", F.col("distance") / F.lit(1e20)))
+
+
+@query("batch_top_k_split")
+def batch_top_k_split(spark, sf_dir):
+    """``batch_top_k`` with small blocks and no broadcast: hot buckets are split, their
+    list goes through the salted shuffle join."""
+    _, q, t = _data(spark, sf_dir)
+    return _neighbours(knn_join(q, t, P.SIGN, P.K, block_rows=P.SPLIT_ROWS, max_broadcast_rows=0))
+
+
+@query("exact_knn_split")
+def exact_knn_split(spark, sf_dir):
+    """``exact_knn`` over a grid of many small blocks."""
+    _, q, t = _data(spark, sf_dir)
+    return _neighbours(exact_knn(q, t, P.K, block_rows=P.SPLIT_ROWS))
+
+
+@query("hot_bucket_knn")
+def hot_bucket_knn(spark, sf_dir):
+    """One bit per table: each bucket holds about half of all rows and is split."""
+    _, q, t = _data(spark, sf_dir)
+    return _neighbours(knn_join(q, t, P.HOT, P.K, block_rows=P.SPLIT_ROWS))
+
+
 # --- E. index, votes and scores ----------------------------------------------------------
 
 @query("bucket_histogram")
 def bucket_histogram_q(spark, sf_dir):
     """Label counts per (table, bucket)."""
-    _, _, t = _data(spark, sf_dir)
-    return bucket_histogram(t, P.SIGN, P.WIDTH).select(
+    df, _, _ = _data(spark, sf_dir)
+    return bucket_histogram(df, P.SIGN, P.WIDTH).select(
         F.col("tbl").cast("int"), "bucket", "label", F.col("cnt").cast("long"))
 
 
 @query("bucket_members")
 def bucket_members(spark, sf_dir):
     """Bucket sizes and id sums (members stay a long table)."""
-    _, _, t = _data(spark, sf_dir)
-    return bucket_summary(t, P.SIGN, P.WIDTH).select(
+    df, _, _ = _data(spark, sf_dir)
+    return bucket_summary(df, P.SIGN, P.WIDTH).select(
         F.col("tbl").cast("int"), "bucket", F.col("n_members").cast("long"),
         F.col("id_sum").cast("long"), "id_min", "id_max")
 
@@ -403,22 +463,24 @@ def recall_at_k_q(spark, sf_dir):
 
 @query("csv_recall_pipeline")
 def csv_recall_pipeline(spark, sf_dir):
-    """H3 end to end from files: base and query vectors as CSV with a header (types
-    inferred), exact neighbour ids as a headerless CSV, LSH search on what was read,
-    recall against the file's lists."""
+    """H3 end to end from files without keys: base and query vectors as CSV with a header
+    (types inferred), exact neighbours as a headerless CSV of 1-based base positions, one
+    row per query; LSH search on what was read, recall against the file's lists."""
     _, q, t = _data(spark, sf_dir)
+    q = mint_ids(q, ["id"], "pos").withColumn("id", F.col("pos")).drop("pos")
+    t = mint_ids(t, ["id"], "pos").withColumn("id", F.col("pos")).drop("pos")
     base_path, query_path = scratch_path(spark, "base-csv"), scratch_path(spark, "query-csv")
-    write_csv_vectors(t, base_path, P.WIDTH)
-    write_csv_vectors(q, query_path, P.WIDTH)
+    write_csv_vectors(t.orderBy("id"), base_path, P.WIDTH, id_col=None)
+    write_csv_vectors(q.orderBy("id"), query_path, P.WIDTH, id_col=None)
     gt_path = scratch_path(spark, "groundtruth-csv")
     lists = (exact_knn(q, t, P.K).groupBy("q_id")
              .agg(F.array_sort(F.collect_list(F.struct("rn", "t_id"))).alias("_l"))
              .select(F.col("q_id").alias("query_id"),
-                     F.transform("_l", lambda s: s["t_id"]).alias("neighbours")))
-    write_ground_truth(lists, gt_path, P.K)
-    base = read_csv_vectors(spark, base_path)
-    queries = read_csv_vectors(spark, query_path)
-    truth = truth_from_lists(read_ground_truth(spark, gt_path))
+                     F.transform("_l", lambda s: s["t_id"] + 1).alias("neighbours")))
+    write_ground_truth(lists, gt_path, P.K, with_query=False)
+    base = read_csv_vectors(spark, base_path, id_col=None)
+    queries = read_csv_vectors(spark, query_path, id_col=None)
+    truth = truth_from_lists(read_ground_truth(spark, gt_path, with_query=False, gt_base=1))
     pred = knn_join(queries, base, P.EUCLID, P.K)
     return recall_at_k(pred, truth, queries, P.K, P.GT_DEPTH).select(
         F.col("k").cast("long").alias("k"), "n_queries", "hits", _r("recall").alias("recall"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annspark.functions.vectors import assemble, pack_longs
+from annspark.sources.positions import with_position
 
 
 def component_names(width: int, prefix: str = "f") -> list[str]:
@@ -26,6 +27,7 @@ def read_csv_vectors(spark: SparkSession, path: str, width: int | None = None,
                      id_col: str | None = "id", header: bool = True) -> DataFrame:
     """``id, features array<double>`` from a CSV with one column per component.
 
+    ``id_col=None`` reads files without an id column: ids are positions in the files (B6).
     With ``width`` the schema is explicit (no inference pass over the data); without it
     types are inferred, as the reference does.
     """
@@ -37,25 +39,41 @@ def read_csv_vectors(spark: SparkSession, path: str, width: int | None = None,
     else:
         df = reader.option("inferSchema", True).csv(path)
     comps = [c for c in df.columns if c != id_col]
-    cols = [F.col(id_col).cast("long").alias("id")] if id_col else []
-    return df.select(*cols, assemble(comps).alias("features"))
+    if id_col is None:
+        df, id_col = with_position(df, "_id"), "_id"
+    return df.select(F.col(id_col).cast("long").alias("id"), assemble(comps).alias("features"))
 
 
 def write_ground_truth(lists: DataFrame, path: str, k: int, query_col: str = "query_id",
-                       list_col: str = "neighbours") -> None:
-    """One headerless row per query: the query id, then its k neighbour ids."""
-    cols = [F.col(query_col)] + [F.col(list_col)[i].alias(f"n{i}") for i in range(k)]
+                       list_col: str = "neighbours", with_query: bool = True) -> None:
+    """One headerless row per query: the query id, then its k neighbour ids.
+
+    ``with_query=False`` writes the neighbour ids alone, rows in query order: the layout
+    whose row position is the query id."""
+    if not with_query:
+        lists = lists.orderBy(query_col)
+    cols = ([F.col(query_col)] if with_query else []) + [F.col(list_col)[i].alias(f"n{i}") for i in range(k)]
     lists.select(*cols).write.mode("overwrite").option("header", False).csv(path)
 
 
-def read_ground_truth(spark: SparkSession, path: str, k: int | None = None) -> DataFrame:
-    """``query_id long, neighbours array<bigint>`` from a headerless CSV."""
+def read_ground_truth(spark: SparkSession, path: str, k: int | None = None,
+                      with_query: bool = True, gt_base: int = 0) -> DataFrame:
+    """``query_id long, neighbours array<bigint>`` from a headerless CSV.
+
+    ``with_query=False``: the file holds neighbour ids only, and a row's 0-based position
+    is its query id. ``gt_base`` is the number the file gives the first training row
+    (0 or 1); it is subtracted, so neighbour ids are 0-based.
+    """
     reader = spark.read.option("header", False)
     if k is not None:
-        fields = [T.StructField(f"_c{i}", T.LongType()) for i in range(k + 1)]
+        fields = [T.StructField(f"_c{i}", T.LongType()) for i in range(k + with_query)]
         df = reader.schema(T.StructType(fields)).csv(path)
     else:
         df = reader.option("inferSchema", True).csv(path)
-    first, rest = df.columns[0], df.columns[1:]
+    if with_query:
+        first, rest = df.columns[0], df.columns[1:]
+    else:
+        first, rest = "_id", df.columns
+        df = with_position(df, first)
     return df.select(F.col(first).cast("long").alias("query_id"),
-                     pack_longs(rest).alias("neighbours"))
+                     pack_longs([F.col(c).cast("long") - gt_base for c in rest]).alias("neighbours"))

@@ -10,6 +10,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annspark.sources.positions import with_position
+
 
 def libsvm_line(label="label", features="features"):
     """One LibSVM line per row, built from built-in expressions."""
@@ -29,17 +31,21 @@ def write_libsvm(df: DataFrame, path: str, label: str = "label", features: str =
     writer.text(path)
 
 
-def read_libsvm(spark: SparkSession, path: str, num_features: int | None = None) -> DataFrame:
+def read_libsvm(spark: SparkSession, path: str, num_features: int | None = None,
+                id_col: str | None = None) -> DataFrame:
     """``label double, features array<double>``, dense.
 
-    With ``num_features`` every row is declared that wide (shorter rows are padded, a
+    ``id_col`` adds the row's position in the files as its id (B6). With ``num_features`` every row is declared that wide (shorter rows are padded, a
     larger index is an error); without it the reader infers the width in an extra pass.
     """
     reader = spark.read.format("libsvm")
     if num_features is not None:
         reader = reader.option("numFeatures", int(num_features))
     df = reader.load(path)
-    return df.select("label", vector_to_array("features").alias("features"))
+    keys = []
+    if id_col is not None:
+        df, keys = with_position(df, id_col), [id_col]
+    return df.select("label", vector_to_array("features").alias("features"), *keys)
 
 
 def libsvm_width(spark: SparkSession, path: str) -> int:
@@ -55,10 +61,9 @@ def load_pair(spark: SparkSession, train_path: str, test_path: str,
               num_features: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Train and test read with ONE width (A2): the given one, else the wider of the two.
 
-    Rows get ids from their position in the files (B6), which stay the same on re-read.
+    Rows get consecutive ids from their position in the files (B6), the same on every
+    read, however the files are split.
     """
     width = num_features or max(libsvm_width(spark, train_path), libsvm_width(spark, test_path))
-    train = read_libsvm(spark, train_path, width)
-    test = read_libsvm(spark, test_path, width)
-    return (train.withColumn("id", F.monotonically_increasing_id()),
-            test.withColumn("id", F.monotonically_increasing_id()))
+    return (read_libsvm(spark, train_path, width, id_col="id"),
+            read_libsvm(spark, test_path, width, id_col="id"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from annspark.functions.vectors import vector_width
+from annspark.functions.vectors import search_width
 from annspark.operators.classify import knn_classify
 from annspark.operators.index import build_index
 from annspark.session import checkpoint_dir
@@ -31,7 +31,7 @@ def classify_stream(queries: DataFrame, train: DataFrame, family, output_path: s
         raise ValueError("queries must be a streaming DataFrame (spark.readStream)")
     spark = train.sparkSession
     checkpoint_dir(spark)
-    width = vector_width(train, features)
+    width = search_width(train, col=features)
     index = build_index(train, family, width=width, id_col=id_col, features=features,
                         label=label)
     n_train = index.count()
