@@ -27,9 +27,11 @@ from annspark.functions.hashing import arrow_matrix
 
 DEFAULT_BLOCK_ROWS = 2048
 DEFAULT_MAX_BROADCAST_ROWS = 100_000
-# Target rows per cogroup partition (a few hundred MB of vectors), used to scale the
-# partition count with the data instead of trusting a fixed shuffle setting.
-ROWS_PER_PARTITION = 1_000_000
+# Target bytes per cogroup partition, used to scale the partition count with the data
+# (rows, replication and vector width) instead of trusting a fixed shuffle setting.
+PARTITION_BYTES = 256 * 1024 * 1024
+# Bytes of a shuffled row besides its vector: ids, label, keys, earlier buckets.
+ROW_OVERHEAD = 64
 # A block whose candidate band exceeds this many times k per query takes the
 # deduplicating path (copies of vectors make every copy a candidate).
 WIDE_BAND = 8
@@ -114,9 +116,25 @@ def _uniform(q_exp: DataFrame, t_exp: DataFrame, n_tb: int, n_qb: int):
     return q_side, t_side
 
 
+def with_queries_only(t_exp: DataFrame, q_exp: DataFrame, n_tables: int,
+                      max_broadcast_rows: int) -> DataFrame:
+    """Training rows whose bucket some query may have; the others are not shuffled.
+
+    Buckets are hashed to ``max_broadcast_rows / n_tables`` slots a table, so the list of
+    the queries' slots has at most ``max_broadcast_rows`` rows whatever the data and can
+    always be broadcast. A slot shared by chance keeps a row that the kernel then finds
+    without partners; no row with a partner is dropped.
+    """
+    slots = max(1, max_broadcast_rows // max(1, n_tables))
+    slot = F.pmod(F.xxhash64("tbl", "bucket"), F.lit(slots)).alias("_slot")
+    asked = q_exp.select("tbl", slot).distinct()
+    return t_exp.select("*", slot).join(F.broadcast(asked), ["tbl", "_slot"], "left_semi").drop("_slot")
+
+
 def lsh_blocks(q_exp: DataFrame, t_exp: DataFrame, block_rows: int,
-               max_broadcast_rows: int, n_q: int, n_t: int) -> tuple[DataFrame, DataFrame]:
-    """Give exploded rows (``tbl, bucket`` per row) ``tblock, qblock`` keys.
+               max_broadcast_rows: int, n_q: int, n_t: int) -> tuple[DataFrame, DataFrame, int]:
+    """Give exploded rows (``tbl, bucket`` per row) ``tblock, qblock`` keys; the third
+    value counts the rows that splitting hot buckets adds.
 
     Bucket sizes come from one aggregation with map-side combine. Only buckets with more
     than ``block_rows`` rows on a side (and rows on both sides) are split; their list is
@@ -130,7 +148,7 @@ def lsh_blocks(q_exp: DataFrame, t_exp: DataFrame, block_rows: int,
     if max(n_t, n_q) <= block_rows:
         # No bucket can hold more rows than its whole table: nothing to split, so the
         # sizing pass is skipped.
-        return _uniform(q_exp, t_exp, 1, 1)
+        return *_uniform(q_exp, t_exp, 1, 1), 0
     sizes = (t_exp.select(*keys, F.lit(1).alias("n_t"), F.lit(0).alias("n_q"))
              .unionByName(q_exp.select(*keys, F.lit(0).alias("n_t"), F.lit(1).alias("n_q")))
              .groupBy(*keys)
@@ -140,8 +158,13 @@ def lsh_blocks(q_exp: DataFrame, t_exp: DataFrame, block_rows: int,
                   & (F.col("n_t") > 0) & (F.col("n_q") > 0))
            .select(*keys,
                    F.ceil(F.col("n_t") / block_rows).cast("int").alias("n_tb"),
-                   F.ceil(F.col("n_q") / block_rows).cast("int").alias("n_qb")))
+                   F.ceil(F.col("n_q") / block_rows).cast("int").alias("n_qb"),
+                   "n_t", "n_q"))
     local = collect_if_small(hot, max_broadcast_rows)
+    copies = F.col("n_t") * (F.col("n_qb") - 1) + F.col("n_q") * (F.col("n_tb") - 1)
+    added = int((local if local is not None else hot).agg(F.sum(copies)).first()[0] or 0)
+    hot = hot.drop("n_t", "n_q")
+    local = None if local is None else local.drop("n_t", "n_q")
 
     def attach(df, id_col):
         if local is not None:
@@ -154,7 +177,7 @@ def lsh_blocks(q_exp: DataFrame, t_exp: DataFrame, block_rows: int,
 
     t_side = _replicate(attach(t_exp, "t_id"), "tblock", "n_tb", "t_id", "qblock", "n_qb")
     q_side = _replicate(attach(q_exp, "q_id"), "qblock", "n_qb", "q_id", "tblock", "n_tb")
-    return q_side, t_side
+    return q_side, t_side, added
 
 
 def exact_blocks(q_rows: DataFrame, t_rows: DataFrame, block_rows: int,
@@ -425,11 +448,12 @@ def _table(qid, tid, tlab, dist, n) -> pa.Table:
         schema=_ARROW_SCHEMA)
 
 
-def partitions_for(spark, rows: int) -> int:
+def partitions_for(spark, rows: int, width: int, value_bytes: int = 8) -> int:
     """Cogroup partitions: the session's setting, raised so a partition holds about
-    ``ROWS_PER_PARTITION`` rows at most."""
+    ``PARTITION_BYTES`` at most, from the shuffled rows (copies included) and the bytes
+    of a row of ``width`` components."""
     configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(configured, math.ceil(rows / ROWS_PER_PARTITION))
+    return max(configured, math.ceil(rows * (width * value_bytes + ROW_OVERHEAD) / PARTITION_BYTES))
 
 
 def run_blocks(q_side: DataFrame, t_side: DataFrame, keys: list[str],

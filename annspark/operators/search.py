@@ -22,6 +22,7 @@ from annspark.operators.blocks import (
     lsh_blocks,
     partitions_for,
     run_blocks,
+    with_queries_only,
 )
 
 # Fixed value: the reference's distance cut is 2.5 per vector dimension.
@@ -71,6 +72,7 @@ def candidate_blocks(query: DataFrame, train: DataFrame, family, kernel_k: int |
     # Rows without a usable vector count too: these are upper bounds from an id-only scan.
     n_q, n_t = (counts if counts is not None
                 else count_rows(query.select(id_col), train.select(id_col)))
+    w = width or search_width(train, query, col=features)
     if family is None:
         q_side, t_side = exact_blocks(q, t, block_rows, spark.sparkContext.defaultParallelism,
                                       n_q, n_t)
@@ -80,7 +82,6 @@ def candidate_blocks(query: DataFrame, train: DataFrame, family, kernel_k: int |
         n_qb = max(1, -(-n_q // block_rows))
         shuffled_rows = n_q * n_tb + n_t * n_qb
     else:
-        w = width or search_width(train, query, col=features)
         q = q.withColumn("q_sig", signature_column(family, w, "q_vec"))
         if "t_sig" not in t.columns:
             t = t.withColumn("t_sig", signature_column(family, w, "t_vec"))
@@ -93,12 +94,16 @@ def candidate_blocks(query: DataFrame, train: DataFrame, family, kernel_k: int |
                  .withColumn("q_sig", F.slice("q_sig", 1, F.col("tbl"))))
         t_exp = (t.select("*", F.posexplode_outer("t_sig").alias("tbl", "bucket"))
                  .withColumn("t_sig", F.slice("t_sig", 1, F.col("tbl"))))
-        q_side, t_side = lsh_blocks(q_exp, t_exp, block_rows, max_broadcast_rows, n_q, n_t)
+        t_exp = with_queries_only(t_exp, q_exp, family.n_tables, max_broadcast_rows)
+        q_side, t_side, added = lsh_blocks(q_exp, t_exp, block_rows, max_broadcast_rows, n_q, n_t)
         keys = ["tbl", "bgroup", "tblock", "qblock"]
         kernel = BlockKernel(kernel_k, threshold, exclude_self, first_table=True)
-        # Exploded rows before hot-bucket replication (a lower bound on the shuffle).
-        shuffled_rows = (n_q + n_t) * family.n_tables
-    return run_blocks(q_side, t_side, keys, kernel, partitions_for(spark, shuffled_rows))
+        # Exploded rows and the copies of split buckets: an upper bound, since training
+        # rows of buckets without a query are dropped before the shuffle.
+        shuffled_rows = (n_q + n_t) * family.n_tables + added
+    value_bytes = 4 if "float" in t.schema["t_vec"].dataType.simpleString() else 8
+    return run_blocks(q_side, t_side, keys, kernel,
+                      partitions_for(spark, shuffled_rows, w, value_bytes))
 
 
 def knn_join(query: DataFrame, train: DataFrame, family=None, k: int = 5,

@@ -34,7 +34,9 @@ def test_no_row_at_a_time_python(plans):
 def test_flagship_plan_shape(plans):
     plan = plans[entry.FLAGSHIP]
     assert plan.count("FlatMapCoGroupsInArrow") == 1
-    assert plan.count("ArrowEvalPython") == 2  # hashing once per side
+    # Hashing once per side, and the queries once more for the list of asked buckets.
+    assert plan.count("ArrowEvalPython") == 3
+    assert re.search(r"BroadcastHashJoin.*LeftSemi", plan)  # drops training rows unasked for
     assert "WindowGroupLimit" in plan  # per-query top k cut before the window
     assert "CartesianProduct" not in plan
 
