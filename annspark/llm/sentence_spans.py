@@ -5,14 +5,18 @@ the sentences covered by a repeated run are removed wherever the run is not the
 
 * A sentence ends after ``.``, ``!`` or ``?`` (closing quotes or brackets included) before
   white space, or at a line break. A sentence of more than ``max_sentence_words`` words
-  counts as several, cut after every so many words, so one endless sentence is covered too.
-* The run that starts at a sentence takes ``min_sentences`` sentences and goes on until it
-  has ``min_words`` words, so short stock phrases alone are no run. Words are compared
-  lower-cased, white space apart.
+  counts as several pieces. It is cut after each word whose hash is the least of some
+  ``PIECE_WORDS`` words in a row, so no piece is longer, and whether a word ends a piece
+  depends only on the ``PIECE_WORDS - 1`` words on either side: a passage is cut alike
+  wherever it stands.
+* The run that starts at a piece takes ``min_sentences`` pieces and goes on until it has
+  ``min_words`` words, so short stock phrases alone are no run; the run that ends at a
+  sentence's end is made alike backwards, so a short last piece is covered too. Words are
+  compared lower-cased, white space apart.
 * First is the run in the smallest ``id``; inside a document the earlier one.
 
-One Arrow pass writes the runs (96 hash bits, id, start); a map-side combined aggregate
-finds repeated ones; a join, whose hot runs the adaptive planner splits, lists the starts
+One Arrow pass writes the runs (96 hash bits, id, number); a map-side combined aggregate
+finds repeated ones; a join, whose hot runs the adaptive planner splits, lists the runs
 to remove per document; a second Arrow pass cuts the texts.
 
 Nulls and ties. A null text stays null and has no sentences; an empty text, or one of a
@@ -24,6 +28,8 @@ rows are all returned. Further columns are carried along, whatever their names.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,74 +42,146 @@ from annspark.llm.common import text_key, written
 MIN_SENTENCES = 2
 MIN_WORDS = 12
 MAX_SENTENCE_WORDS = 24
+PIECE_WORDS = 10
 _NO_ID = (1 << 63) - 1
 
 _BREAK = re.compile(r"(?<=[.!?])[\"'”’»)\]]*\s+|\s*\n\s*")
-_TOKEN = re.compile(r"\S+")
+# Code points that separate words; the last entry stands for all above.
+_SPACE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
 
 
-def sentences(text: str | None, max_words: int = MAX_SENTENCE_WORDS):
-    """``(start, end, words)`` per sentence; ``words`` is the list of its words."""
-    out = []
+@lru_cache(maxsize=1)
+def _lower() -> np.ndarray:
+    """Lower case by code point: lengths, and so positions, stay."""
+    table = np.arange(0x110000, dtype=np.uint32)
+    for c in range(0x1E944):  # no cased letter above
+        low = chr(c).lower()
+        if len(low) == 1:
+            table[c] = ord(low)
+    table[ord("ς")] = ord("σ")
+    return table
+
+
+class Pieces(NamedTuple):
+    """The pieces of a text; all arrays but ``at`` have one value per piece."""
+
+    start: np.ndarray  # in code points
+    end: np.ndarray
+    first: np.ndarray  # its first and last word
+    last: np.ndarray
+    closing: np.ndarray  # ends a sentence
+    at: np.ndarray  # per word: where it starts in ``norm``; one value more than words
+    norm: bytes  # the lower-cased words, single spaces, 4 bytes a character
+
+
+def _word_order(letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A mixed 64-bit value above 0 per word, of its letters alone."""
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(letters)) - np.repeat(starts, sizes)
+    h = np.add.reduceat((letters.astype(np.uint64) + np.uint64(1)) * _ODD[place & 63], starts)
+    for shift in (32, 29):
+        h = (h ^ (h >> np.uint64(shift))) * _ODD[1]
+    return (h ^ (h >> np.uint64(32))) | np.uint64(1)
+
+
+_ODD = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(64)], np.uint64)
+
+
+def _least(order: np.ndarray, sentence: np.ndarray, window: int) -> np.ndarray:
+    """Per word, whether it is the least (the leftmost of equals) of any ``window`` words
+    in a row of its sentence. Only the ``window - 1`` words on either side matter."""
+    own = np.arange(len(order)) + sentence + window  # zeros between sentences stop the count
+    padded = np.zeros(own[-1] + window + 1, np.uint64)
+    padded[own] = order
+    core = padded[window:-window]
+    left, right = np.ones(len(core), bool), np.ones(len(core), bool)
+    held = np.ones(len(core), np.int32)
+    for d in range(1, window):
+        left &= padded[window - d:-window - d] > core
+        right &= padded[window + d:len(padded) - window + d] >= core
+        held += left
+        held += right
+    return (held >= window)[own - window]
+
+
+def pieces(text: str | None, max_words: int = MAX_SENTENCE_WORDS, window: int = PIECE_WORDS) -> Pieces | None:
+    """The pieces of ``text``; None if it has no words."""
     if not text:
-        return out
-    at = 0
-    for stop, nxt in [(m.start(), m.end()) for m in _BREAK.finditer(text)] + [(len(text), len(text))]:
-        piece = text[at:stop]
-        words = piece.lower().split()
-        if len(words) > max_words:
-            spans = [(m.start() + at, m.end() + at) for m in _TOKEN.finditer(piece)]
-            for k in range(0, len(spans), max_words):
-                part = spans[k:k + max_words]
-                out.append((part[0][0], part[-1][1], [text[s:e].lower() for s, e in part]))
-        elif words:
-            out.append((at, stop, words))
-        at = nxt
-    return out
-
-
-def runs(found, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS):
-    """``(first, last, digest)`` of each run: one per sentence that can start one."""
+        return None
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    space = _SPACE[np.minimum(points, len(_SPACE) - 1)]
+    breaks = [m.span() for m in _BREAK.finditer(text)]
+    for start, stop in breaks:  # closing quotes too
+        space[start:stop] = True
+    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
+    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if not len(begin):
+        return None
+    low = _lower()[points]
+    closing = np.zeros(len(begin), bool)
+    closing[-1] = True
+    after = np.searchsorted(begin, [stop for _, stop in breaks])
+    closing[after[after > 0] - 1] = True
+    sentence = np.cumsum(closing) - closing
+    cut_here = _least(_word_order(low[~space], end - begin), sentence, window)
+    cut_here &= np.bincount(sentence)[sentence] > max_words
+    last = np.flatnonzero(cut_here | closing)
+    first = np.concatenate([[0], last[:-1] + 1])
+    keep = ~space
+    keep[1:] |= ~space[:-1]
+    norm = np.where(space, np.uint32(32), low)[keep]
+    at = np.concatenate([[0], np.cumsum(end - begin + 1)])
+    return Pieces(begin[first], end[last], first, last, closing[last], at, norm.astype("<u4").tobytes())
+
+
+def runs(found: Pieces | None, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS):
+    """First and last piece of each run, two arrays: the shortest run from every piece on,
+    and the shortest one up to every sentence end, each once."""
+    if found is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    n = len(found.first)
+    k = np.arange(n)
+    to = np.maximum(np.searchsorted(found.last, found.first + min_words - 1), k + min_sentences - 1)
+    of = np.minimum(np.searchsorted(found.first, found.last - min_words + 1, "right") - 1,
+                    k - min_sentences + 1)
+    ahead, back = to < n, found.closing & (of >= 0)
+    both = np.unique(np.concatenate([k[ahead] * n + to[ahead], of[back] * n + k[back]]))
+    return both // n, both % n
+
+
+def digests(found: Pieces | None, firsts, lasts) -> list[bytes]:
+    """128 hash bits of the words of each run."""
     import xxhash
 
-    digests = [xxhash.xxh3_128_digest(" ".join(w).encode("utf-8", "replace")) for _, _, w in found]
-    sizes = [len(w) for _, _, w in found]
-    out = []
-    last, held = -1, 0  # the run is first..last, with held words
-    for first in range(len(found)):
-        if last < first - 1:
-            last, held = first - 1, 0
-        while last + 1 < len(found) and (last - first + 1 < min_sentences or held < min_words):
-            last += 1
-            held += sizes[last]
-        if last - first + 1 < min_sentences or held < min_words:
-            break
-        out.append((first, last, xxhash.xxh3_128_digest(b"".join(digests[first:last + 1]))))
-        held -= sizes[first]
-    return out
-
-
-def cut(text: str, starts, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS,
+    if found is None:
+        return []
+    begin = (4 * found.at[found.first[firsts]]).tolist()
+    end = (4 * (found.at[found.last[lasts] + 1] - 1)).tolist()
+    return [xxhash.xxh3_128_digest(found.norm[b:e]) for b, e in zip(begin, end)]
+
+
+def cut(text: str, wanted, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS,
         max_words: int = MAX_SENTENCE_WORDS):
-    """``(kept text, removed spans)``: the text without the sentences that the runs
-    starting at ``starts`` cover. Spans are (start, end) in code points; neighbouring
-    removed sentences make one span, which takes the white space after it along."""
-    found = sentences(text, max_words)
-    gone = np.zeros(len(found) + 1, dtype=bool)
-    wanted = set(starts)
-    for first, last, _ in runs(found, min_sentences, min_words):
-        if first in wanted:
-            gone[first:last + 1] = True
+    """``(kept text, removed spans)``: the text without the pieces that the runs numbered
+    ``wanted`` cover. Spans are (start, end) in code points; neighbouring removed pieces
+    make one span, which takes the white space after it along."""
+    found = pieces(text, max_words)
+    firsts, lasts = runs(found, min_sentences, min_words)
+    if found is None:
+        return text, []
+    gone = np.zeros(len(found.first) + 1, dtype=bool)
+    for run in wanted:
+        gone[firsts[run]:lasts[run] + 1] = True
     spans, kept, at, k = [], [], 0, 0
-    while k < len(found):
+    while k < len(found.first):
         if not gone[k]:
             k += 1
             continue
         first = k
         while gone[k]:
             k += 1
-        start = found[first][0]
-        end = found[k][0] if k < len(found) else len(text)
+        start = int(found.start[first])
+        end = int(found.start[k]) if k < len(found.first) else len(text)
         spans.append((start, end))
         kept.append(text[at:start])
         at = end
@@ -115,33 +193,33 @@ def cut(text: str, starts, min_sentences: int = MIN_SENTENCES, min_words: int =
 def span_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS,
               max_sentence_words: int = MAX_SENTENCE_WORDS) -> DataFrame:
-    """``h, c, id, text_hash, first, again``: the runs of every document, one row each;
-    ``again`` marks a run that its own document holds further up."""
+    """``h, c, id, text_hash, run, again``: the runs of every document, numbered, one row
+    each; ``again`` marks a run that its own document holds further up."""
 
     def hashed(batches):
         for batch in slices(batches):
             ids, keys, texts = (batch.column(k) for k in range(3))
-            rows, digests, firsts, again = [], [], [], []
+            rows, made, numbers, again = [], [], [], []
             for r, text in enumerate(texts.to_pylist()):
+                found = pieces(text, max_sentence_words)
                 seen = set()
-                for first, _, digest in runs(sentences(text, max_sentence_words),
-                                             min_sentences, min_words):
+                for number, digest in enumerate(digests(found, *runs(found, min_sentences, min_words))):
                     rows.append(r)
-                    firsts.append(first)
+                    numbers.append(number)
                     again.append(digest in seen)
-                    digests.append(digest)
+                    made.append(digest)
                     seen.add(digest)
-            words = np.frombuffer(b"".join(digests), dtype="<i4").reshape(-1, 4)
+            words = np.frombuffer(b"".join(made), dtype="<i4").reshape(-1, 4)
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.ascontiguousarray(words[:, :2]).view("<i8").ravel(), pa.int64()),
                 pa.array(np.ascontiguousarray(words[:, 2]), pa.int32()),
-                ids.take(take), keys.take(take), pa.array(firsts, pa.int32()),
-                pa.array(again, pa.bool_())], names=["h", "c", "id", "text_hash", "first", "again"])
+                ids.take(take), keys.take(take), pa.array(numbers, pa.int32()),
+                pa.array(again, pa.bool_())], names=["h", "c", "id", "text_hash", "run", "again"])
 
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"),
                        text_key(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(hashed, "h long, c int, id long, text_hash long, first int, again boolean")
+    return slim.mapInArrow(hashed, "h long, c int, id long, text_hash long, run int, again boolean")
 
 
 def sentence_span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -155,18 +233,18 @@ def sentence_span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                                                   F.min("id").alias("first_id"))
                        .where("n > 1").drop("n"), "repeated")
     # Rows of one text that stand twice in the table give the same run twice: a set.
-    starts = (made.join(repeated, ["h", "c"]).where("again or id > first_id")
-              .groupBy("id", "text_hash").agg(F.collect_set("first").alias("_starts")))
-    starts = written(starts, "starts").withColumnRenamed("id", "_id").withColumnRenamed("text_hash", "_th")
+    cuts = (made.join(repeated, ["h", "c"]).where("again or id > first_id")
+              .groupBy("id", "text_hash").agg(F.collect_set("run").alias("_runs")))
+    cuts = written(cuts, "cuts").withColumnRenamed("id", "_id").withColumnRenamed("text_hash", "_th")
 
     @F.arrow_udf("struct<text:string,spans:array<struct<start:int,end:int>>>")
     def _cut(texts: pa.Array, lists: pa.Array) -> pa.Array:
         out = []
-        for text, firsts in zip(texts.to_pylist(), lists.to_pylist()):
-            if not firsts or text is None:
+        for text, wanted in zip(texts.to_pylist(), lists.to_pylist()):
+            if not wanted or text is None:
                 out.append({"text": None, "spans": []})
                 continue
-            kept, spans = cut(text, firsts, min_sentences, min_words, max_sentence_words)
+            kept, spans = cut(text, wanted, min_sentences, min_words, max_sentence_words)
             out.append({"text": kept, "spans": [{"start": s, "end": e} for s, e in spans]})
         return pa.array(out, pa.struct([("text", pa.string()), ("spans", pa.list_(
             pa.struct([("start", pa.int32()), ("end", pa.int32())])))]))
@@ -174,9 +252,9 @@ def sentence_span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keyed = (docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)))
              .withColumn("_th", text_key(text_col)))
     # Only texts with something to cut go through Python.
-    todo = F.when(F.col("_starts").isNotNull(), F.col(text_col))
-    done = (keyed.join(starts, ["_id", "_th"], "left").withColumn("_cut", _cut(todo, F.col("_starts"))))
-    names = [F.when(F.col("_starts").isNotNull(), F.col("_cut.text")).otherwise(F.col(text_col))
+    todo = F.when(F.col("_runs").isNotNull(), F.col(text_col))
+    done = (keyed.join(cuts, ["_id", "_th"], "left").withColumn("_cut", _cut(todo, F.col("_runs"))))
+    names = [F.when(F.col("_runs").isNotNull(), F.col("_cut.text")).otherwise(F.col(text_col))
              .alias(c) if c == text_col else F.col(c) for c in docs.columns]
     return done.select(*names, F.struct(F.size("_cut.spans").alias("n_removed"),
                                         F.col("_cut.spans").alias("spans")).alias("span_dedup"))

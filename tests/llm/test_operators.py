@@ -210,6 +210,31 @@ def test_sentence_spans(spark, edge, empty):
     assert sentence_spans.sentence_span_dedup(empty).count() == 0
 
 
+def _kept_words(spark, rows):
+    out = sentence_spans.sentence_span_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    return {r.doc_id: r.text.split() for r in out.collect()}
+
+
+def test_passages_inside_long_sentences(spark):
+    rng = random.Random(5)
+    word = lambda n: [f"v{rng.randrange(50_000)}" for _ in range(n)]
+    rows, passages = [], {}
+    for k, n in enumerate([51, 60, 75, 100] * 10):
+        passage = word(n)
+        for doc in (2 * k, 2 * k + 1):
+            rows.append((doc, " ".join(word(40 + rng.randrange(200)) + passage + word(40 + rng.randrange(200)))))
+        passages[2 * k + 1] = passage
+    got = _kept_words(spark, rows)
+    for doc, text in rows:
+        left = set(got[doc])
+        if doc not in passages:
+            assert got[doc] == text.split()
+            continue
+        # Own words stay; of the passage at most the ends, which depend on the host, stay.
+        assert [w for w in text.split() if w not in passages[doc]] == [w for w in got[doc] if w not in passages[doc]]
+        assert sum(w in left for w in passages[doc]) <= 4 * sentence_spans.PIECE_WORDS - 2
+
+
 def test_rollups_are_idempotent(spark):
     schema = "op string, doc_id long, source string, lang string, tokenizer string, n_tokens long"
     rollup = token_rollups.TokenRollup(spark)
