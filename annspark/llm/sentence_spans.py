@@ -1,14 +1,14 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of consecutive sentences is hashed, runs are grouped over all documents, and
-the sentences covered by a repeated run are removed wherever the run is not the first.
+Every run of consecutive sentence pieces is hashed, runs are grouped over all documents,
+and the pieces covered by a repeated run are removed wherever the run is not the first.
 
 * A sentence ends after ``.``, ``!`` or ``?`` (closing quotes or brackets included) before
-  white space, or at a line break. A sentence of more than ``max_sentence_words`` words
-  counts as several pieces. It is cut after each word whose hash is the least of some
-  ``PIECE_WORDS`` words in a row, so no piece is longer, and whether a word ends a piece
-  depends only on the ``PIECE_WORDS - 1`` words on either side: a passage is cut alike
-  wherever it stands.
+  white space, or at a line break. It is cut into pieces after each word whose hash is the
+  least of some ``piece_words`` words in a row, so no piece is longer, and whether a word
+  ends a piece depends only on the ``piece_words - 1`` words on either side: a passage is
+  cut alike wherever it stands, also in the middle of a sentence. Any 50 words in a row
+  hold a run that does not depend on the words beside them.
 * The run that starts at a piece takes ``min_sentences`` pieces and goes on until it has
   ``min_words`` words, so short stock phrases alone are no run; the run that ends at a
   sentence's end is made alike backwards, so a short last piece is covered too. Words are
@@ -41,7 +41,6 @@ from annspark.llm.common import text_key, written
 
 MIN_SENTENCES = 2
 MIN_WORDS = 12
-MAX_SENTENCE_WORDS = 24
 PIECE_WORDS = 10
 _NO_ID = (1 << 63) - 1
 
@@ -104,7 +103,7 @@ def _least(order: np.ndarray, sentence: np.ndarray, window: int) -> np.ndarray:
     return (held >= window)[own - window]
 
 
-def pieces(text: str | None, max_words: int = MAX_SENTENCE_WORDS, window: int = PIECE_WORDS) -> Pieces | None:
+def pieces(text: str | None, window: int = PIECE_WORDS) -> Pieces | None:
     """The pieces of ``text``; None if it has no words."""
     if not text:
         return None
@@ -124,7 +123,6 @@ def pieces(text: str | None, max_words: int = MAX_SENTENCE_WORDS, window: int =
     closing[after[after > 0] - 1] = True
     sentence = np.cumsum(closing) - closing
     cut_here = _least(_word_order(low[~space], end - begin), sentence, window)
-    cut_here &= np.bincount(sentence)[sentence] > max_words
     last = np.flatnonzero(cut_here | closing)
     first = np.concatenate([[0], last[:-1] + 1])
     keep = ~space
@@ -161,11 +159,11 @@ def digests(found: Pieces | None, firsts, lasts) -> list[bytes]:
 
 
 def cut(text: str, wanted, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS,
-        max_words: int = MAX_SENTENCE_WORDS):
+        piece_words: int = PIECE_WORDS):
     """``(kept text, removed spans)``: the text without the pieces that the runs numbered
     ``wanted`` cover. Spans are (start, end) in code points; neighbouring removed pieces
     make one span, which takes the white space after it along."""
-    found = pieces(text, max_words)
+    found = pieces(text, piece_words)
     firsts, lasts = runs(found, min_sentences, min_words)
     if found is None:
         return text, []
@@ -192,7 +190,7 @@ def cut(text: str, wanted, min_sentences: int = MIN_SENTENCES, min_words: int =
 
 def span_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS,
-              max_sentence_words: int = MAX_SENTENCE_WORDS) -> DataFrame:
+              piece_words: int = PIECE_WORDS) -> DataFrame:
     """``h, c, id, text_hash, run, again``: the runs of every document, numbered, one row
     each; ``again`` marks a run that its own document holds further up."""
 
@@ -201,7 +199,7 @@ def span_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ids, keys, texts = (batch.column(k) for k in range(3))
             rows, made, numbers, again = [], [], [], []
             for r, text in enumerate(texts.to_pylist()):
-                found = pieces(text, max_sentence_words)
+                found = pieces(text, piece_words)
                 seen = set()
                 for number, digest in enumerate(digests(found, *runs(found, min_sentences, min_words))):
                     rows.append(r)
@@ -224,11 +222,11 @@ def span_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def sentence_span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS,
-                        max_sentence_words: int = MAX_SENTENCE_WORDS) -> DataFrame:
+                        piece_words: int = PIECE_WORDS) -> DataFrame:
     """All columns of ``docs`` with the cleaned text, and one struct column
     ``span_dedup`` of ``n_removed`` (sentence spans) and ``spans`` (start, end)."""
     made = written(span_runs(docs, id_col, text_col, min_sentences, min_words,
-                             max_sentence_words), "runs")
+                             piece_words), "runs")
     repeated = written(made.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"),
                                                   F.min("id").alias("first_id"))
                        .where("n > 1").drop("n"), "repeated")
@@ -244,7 +242,7 @@ def sentence_span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             if not wanted or text is None:
                 out.append({"text": None, "spans": []})
                 continue
-            kept, spans = cut(text, wanted, min_sentences, min_words, max_sentence_words)
+            kept, spans = cut(text, wanted, min_sentences, min_words, piece_words)
             out.append({"text": kept, "spans": [{"start": s, "end": e} for s, e in spans]})
         return pa.array(out, pa.struct([("text", pa.string()), ("spans", pa.list_(
             pa.struct([("start", pa.int32()), ("end", pa.int32())])))]))

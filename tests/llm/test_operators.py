@@ -235,6 +235,24 @@ def test_passages_inside_long_sentences(spark):
         assert sum(w in left for w in passages[doc]) <= 4 * sentence_spans.PIECE_WORDS - 2
 
 
+def test_passages_pasted_into_sentences(spark):
+    rng = random.Random(6)
+    word = lambda n: [f"v{rng.randrange(50_000)}" for _ in range(n)]
+    rows, passages = [], {}
+    for k, sizes in enumerate([(20, 20, 20), (30, 22), (17, 17, 17), (25, 26)] * 10):
+        passage = ". ".join(" ".join(word(n)) for n in sizes)
+        for doc in (2 * k, 2 * k + 1):
+            rows.append((doc, f"{' '.join(word(1 + k % 9))} {passage} {' '.join(word(1 + (k + doc) % 7))}."))
+        passages[2 * k + 1] = passage.split()
+    got = _kept_words(spark, rows)
+    for doc, text in rows:
+        if doc not in passages:
+            assert got[doc] == text.split()
+            continue
+        assert [w for w in text.split() if w not in passages[doc]] == [w for w in got[doc] if w not in passages[doc]]
+        assert sum(w in passages[doc] for w in got[doc]) <= 4 * sentence_spans.PIECE_WORDS - 2
+
+
 def test_rollups_are_idempotent(spark):
     schema = "op string, doc_id long, source string, lang string, tokenizer string, n_tokens long"
     rollup = token_rollups.TokenRollup(spark)
