@@ -2,7 +2,11 @@
 
 Known licence sentences have identifiers. A text is cut into sentences, each sentence is
 normalised (lower case, letters and digits, single spaces) and looked up; the identifiers
-found, in the order of the text, are matched against rules. A rule is an ordered list of
+found, in the order of the text, are matched against rules. A line break cuts too, and a
+known sentence is also found where it is spread over lines that follow each other, blank
+ones and comment marks (``*``, ``#``, ``//`` and others without letters) left out: every
+line or sentence gives the identifier it has alone, then that of the longest known sentence
+that begins with it and ends with a later one. A rule is an ordered list of
 identifiers; it matches when they occur in this order, whatever stands between. A rule
 whose identifiers are part of a longer matching rule's adds nothing.
 
@@ -52,11 +56,14 @@ RULES = (
     ("BSD-2-Clause", (9,)),
     ("CC-BY-4.0", (11,)),
 )
-SENTENCE_END = r"(?<=[.!?:])[ \t\n\x0B\f\r]+|\n"
+SENTENCE_END = r"(?<=[.!?:])[ \t\n\x0B\f\r]+"
 
 
 def normalised(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    """The sentences and lines of a text, each normalised, between line breaks."""
+    cut = F.regexp_replace(F.lower(text), SENTENCE_END, "\n")
+    plain = F.regexp_replace(cut, r"[^\p{L}\p{N}\n]+", " ")
+    return F.regexp_replace(F.concat(F.lit("\n"), plain, F.lit("\n")), r" ?(?:\n ?)+", "\n")
 
 
 def plain(sentence: str) -> str:
@@ -74,9 +81,17 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", sentences: dict = SEN
     (array of names)."""
     known = F.create_map(*[F.lit(x) for i, s in sentences.items() for x in (plain(s), i)]) \
         if sentences else F.lit(None).cast("map<string,int>")
-    pieces = F.split(F.coalesce(F.col(text_col), F.lit("")), SENTENCE_END)
-    ids = F.filter(F.transform(pieces, lambda s: F.try_element_at(known, normalised(s))),
-                   lambda i: i.isNotNull())
+    # One match per piece: the piece, and the longest known sentence over it and later ones.
+    spread = "|".join(r"[ \n]".join(x.split()) for x in
+                      sorted(map(plain, sentences.values()), key=len, reverse=True) if x) or "(?!)"
+    each = F.lit(rf"\n(?=([^\n]+)\n)(?:(?=({spread})\n))?")
+    text = normalised(F.coalesce(F.col(text_col), F.lit("")))
+    pairs = F.arrays_zip(F.regexp_extract_all(text, each, F.lit(1)).alias("line"),
+                         F.regexp_extract_all(text, each, F.lit(2)).alias("run"))
+    ids = F.filter(F.flatten(F.transform(pairs, lambda x: F.array(
+        F.try_element_at(known, x["line"]),
+        F.when(F.contains(x["run"], F.lit("\n")), F.try_element_at(known, F.translate(x["run"], "\n", " ")))))),
+        lambda i: i.isNotNull())
     found = docs.withColumn("_ids", ids).withColumn("_seq", F.concat(F.array_join("_ids", ","), F.lit(",")))
     names = []
     for name, rule in rules:

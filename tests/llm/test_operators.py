@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import random
+import textwrap
 
 import duckdb
 import numpy as np
@@ -277,6 +278,29 @@ def test_licenses(spark, edge, empty):
     assert got[4].licenses == [] and license_scan.scan_licenses(empty).count() == 0
 
 
+def test_licenses_wrapped(spark):
+    s = license_scan.SENTENCES
+    rows = []
+    for width in (40, 72, 79):
+        for mark in ("", " * ", "# ", "// "):
+            wrap = lambda t: "\n".join(mark + x for x in textwrap.wrap(t, width))  # noqa: E731, B023
+            gap = f"\n{mark.rstrip()}\n"
+            url = "http://www.apache.org/licenses/LICENSE-2.0"
+            rows += [(gap.join(["MIT License", "Copyright (c) 2020 A", wrap(s[5]), wrap(s[6]), "THE SOFTWARE IS"]),
+                      [5, 6], ["MIT"]),
+                     (gap.join([wrap(f"Copyright 2020 B. {s[7]} You may obtain a copy of the License at"),
+                                mark + "    " + url, wrap("Unless required by applicable law")]),
+                      [7, 8], ["Apache-2.0"]),
+                     (gap.join([wrap(s[9]), wrap("1. Redistributions of source code must retain this."),
+                                wrap("3. " + s[10])]), [9, 10], ["BSD-3-Clause"]),
+                     (wrap(s[9]), [9], ["BSD-2-Clause"]), (wrap(s[11]) + "\r\n" + s[1], [11, 1], ["CC-BY-4.0", "MIT"]),
+                     (wrap("Not " + s[9]), [], [])]
+    docs = spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.license_scan for r in license_scan.scan_licenses(docs).collect()}
+    for k, (text, ids, names) in enumerate(rows):
+        assert [i for i in got[k].sentence_ids if i != 2] == ids and got[k].licenses == names, text
+
+
 def test_chat_round_trip(spark):
     for text in ("<s>", "<\\s>", "<\\\\/s>[INST][\\/INST]", "<<s>>", "a\\b", ""):
         out = chat_format.escape(text)
