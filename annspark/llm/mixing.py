@@ -10,6 +10,10 @@ fraction, taken of the documents that come first in a seeded order (MD5 of seed
 as long as they fit into the fraction of the source's size. What is still missing then is
 less than the next document; it is filled by the one document left whose size comes
 nearest to it, if that brings the words taken nearer to the target. Reruns agree.
+Where one document is large, "less than the next document" may be most of the part. With
+``refill`` (``mix``, and so the pipeline) the documents left that fit into what is missing
+are taken in the same order, round by round, until none fits; the nearest one comes after.
+``mix_table`` leaves it off: the SQL of ``op2_mixing`` has the nearest one only.
 
 The seeded order needs running sums over a source, which may hold a third of all rows.
 They are built in two levels: sizes per (source, leading digits of the MD5), running sums
@@ -86,9 +90,52 @@ def targets(sizes: DataFrame, weights: DataFrame | None, total_words: float | No
                         F.when(F.col("weight") > 0, wanted).otherwise(0.0).alias("target"))
 
 
+def _running(rows: DataFrame) -> DataFrame:
+    """``rows`` plus ``_sum``, the sizes of their source's earlier rows, on two levels."""
+    rows = rows.withColumn("_digits", F.substring("_order", 1, DIGITS))
+    earlier = Window.partitionBy("_key").orderBy("_digits").rowsBetween(Window.unboundedPreceding, -1)
+    groups = (rows.groupBy("_key", "_digits").agg(F.sum("size").alias("_n"))
+              .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"))
+    inside = (Window.partitionBy("_key", "_digits").orderBy("_order", "_place")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    joined = rows.join(groups, ["_key", "_digits"])
+    return (joined.withColumn("_sum", F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+            .drop("_before", "_digits"))
+
+
+def _missing(rows: DataFrame) -> DataFrame:
+    taken = F.sum(F.when(F.col("_fits"), F.col("size")).otherwise(0))
+    return written(rows.groupBy("_key").agg((F.max("_part") - taken).alias("_missing")), "missing")
+
+
+def _refilled(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_fits`` also set for left-over rows that fill what is missing. Each
+    round takes at least one row of every source that still has one that fits."""
+    missing, picked = _missing(rows), None
+    spare = rows.where(~F.col("_fits") & (F.col("size") > 0)).select("_key", "_order", "_place", "size")
+    while True:
+        fitting = written(attach(spare, missing, "_key", F.xxhash64("_order"))
+                          .where("size <= _missing"), "spare")
+        if fitting.isEmpty():
+            break
+        tried = written(_running(fitting).withColumn("_took", F.col("_sum") + F.col("size") <= F.col("_missing")),
+                        "tried")
+        took = tried.where("_took").select("_key", "_order", "_place")
+        picked = took if picked is None else picked.unionByName(took)
+        missing = written(tried.groupBy("_key").agg(
+            (F.max("_missing") - F.sum(F.when(F.col("_took"), F.col("size")).otherwise(0))).alias("_missing")),
+            "missing")
+        spare = tried.where(~F.col("_took")).select("_key", "_order", "_place", "size")
+    if picked is None:
+        return rows
+    rows = rows.join(picked.withColumn("_more", F.lit(True)), ["_key", "_order", "_place"], "left")
+    return written(rows.withColumn("_fits", F.col("_fits") | F.coalesce("_more", F.lit(False))).drop("_more"),
+                   "refilled-rows")
+
+
 def mix_counts(sizes: DataFrame, weights: DataFrame | None = None,
                total_words: float | None = None, max_epochs: int = MAX_EPOCHS,
-               seed: int = SEED) -> DataFrame:
+               seed: int = SEED, refill: bool = False) -> DataFrame:
     """``sizes`` (``id, source, size`` and more columns) plus ``source_size, target`` and
     ``copies``, the number of times the mix takes the row."""
     goal = written(targets(sizes, weights, total_words, max_epochs), "targets")
@@ -114,8 +161,9 @@ def mix_counts(sizes: DataFrame, weights: DataFrame | None = None,
             .withColumn("_whole", whole.cast("long")).withColumn("_part", part)
             .withColumn("_fits", (F.col("size") > 0) & (F.col("_sum") + F.col("size") <= F.col("_part"))))
     rows = written(rows.drop("_before", "_digits", "_sum"), "mixed-rows")
-    taken = F.sum(F.when(F.col("_fits"), F.col("size")).otherwise(0))
-    missing = written(rows.groupBy("_key").agg((F.max("_part") - taken).alias("_missing")), "missing")
+    if refill:
+        rows = _refilled(rows)
+    missing = _missing(rows)
     off = F.abs(F.col("size") - F.col("_missing"))
     spare = attach(rows.where(~F.col("_fits") & (F.col("size") > 0)), missing, "_key", F.xxhash64("_order"))
     nearest = (spare.where(off < F.col("_missing")).groupBy("_key")
@@ -145,7 +193,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id
     sizes = written(docs.select(
         F.col(id_col).alias("id"), text_key(text_col).alias("text_hash"),
         F.col(source_col).alias("source"), text_size(text_col).alias("size")), "sizes")
-    mixed = mix_counts(sizes, weights, **opts)
+    mixed = mix_counts(sizes, weights, **{"refill": True, **opts})
     # Rows alike in id, text and source are interchangeable: their copies are added up and
     # dealt out again from one of them.
     same = [plain_key("id").alias("_id"), F.col("text_hash").alias("_th"), plain_key("source").alias("_src")]

@@ -112,6 +112,17 @@ def test_mixing_targets(spark, edge, empty):
     assert mixing.mix(edge).columns == edge.columns and mixing.mix(empty).count() == 0
 
 
+def test_mixing_refills_beside_a_long_document(spark):
+    rows = [(k, "a", 400) for k in range(500)] + [(500, "a", 100_000)]
+    sizes = spark.createDataFrame(rows, "id long, source string, size long")
+    for total in (90_000, 150_000):
+        missed = []
+        for seed in range(3):
+            got = mixing.mix_counts(sizes, total_words=total, seed=seed, refill=True)
+            missed.append(abs(got.agg(F.sum(F.col("size") * F.col("copies"))).first()[0] - total))
+        assert max(missed) <= 200, (total, missed)
+
+
 def test_lattice_recall_and_edges(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((150, 64))
