@@ -1,5 +1,6 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from annspark.llm.hard_negatives import HIGH, LOW, NEGATIVES, POSITIVES, SCALE
 from annspark.llm.license_scan import RULES as LICENSE_RULES
 from annspark.llm.license_scan import SENTENCES, plain
 from annspark.llm.mixing import MAX_EPOCHS, SEED
@@ -188,6 +189,32 @@ FROM lengths GROUP BY conv_id
 """
 
 
+def hard_negatives() -> str:
+    return f"""
+WITH usable AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding::DOUBLE[], lambda c: floor({SCALE} * c)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scored AS (
+  SELECT a.r AS a, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, b.r,
+         list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM usable a JOIN usable b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+positive AS (
+  SELECT * FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, r) <= {POSITIVES}),
+pairs AS (
+  SELECT p.a, p.r AS pr, p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id,
+         p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.a, p.r ORDER BY n.score DESC, n.vec_id, n.r)::INTEGER AS rank
+  FROM positive p JOIN scored n ON n.a = p.a AND NOT n.same
+    AND {LOW} * p.score <= 100 * n.score AND 100 * n.score <= {HIGH} * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
+FROM pairs WHERE rank <= {NEGATIVES}
+"""
+
+
 ORACLE_SQL = {
     "op2_mixing": mixing(),
     "op3_lattice": lattice(),
@@ -195,4 +222,5 @@ ORACLE_SQL = {
     "op5_url_filter": url_filter(),
     "op9_license_scan": license_scan(),
     "op10_chat_format": chat_format(),
+    "op12_hard_negatives": hard_negatives(),
 }

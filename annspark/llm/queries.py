@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from annspark.llm import (
     bpe,
     chat_format,
+    hard_negatives,
     lattice,
     license_scan,
     mixing,
+    quality_classifier,
     quality_rules,
     sentence_spans,
     simhash,
@@ -104,6 +106,19 @@ def op10_chat_format(spark, sf_dir):
     return chat_format.read_back(formatted, tokenizer_path()).drop("n_ids")
 
 
+def op12_hard_negatives(spark, sf_dir):
+    """Every label of a seventh of the rows moves on by one before anything else."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.select("vec_id", "embedding", moved.alias("label")),
+                                         F.col("id") % 50 == 0)
+
+
+def op13_quality_classifier(spark, sf_dir):
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return quality_classifier.classify(docs, labels).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
@@ -115,4 +130,6 @@ QUERIES = {
     "op8_token_rollups": op8_token_rollups,
     "op9_license_scan": op9_license_scan,
     "op10_chat_format": op10_chat_format,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_quality_classifier": op13_quality_classifier,
 }
