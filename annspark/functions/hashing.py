@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annspark.functions.sparse import sparse_product
+
 # Defaults of the reference's command-line flags.
 DEFAULT_SEED = 1234
 DEFAULT_SIGN_BITS = 5
@@ -53,6 +55,16 @@ def arrow_matrix(arr, width: int | None = None, dtype=np.float64) -> np.ndarray:
     return (flat if dtype is None else np.asarray(flat, dtype=dtype)).reshape(n, w)
 
 
+def project(vectors, width: int, directions: np.ndarray) -> np.ndarray:
+    """An Arrow column of vectors, dense or sparse, times the rows of ``directions``."""
+    if pa.types.is_struct(vectors.type):
+        sizes = vectors.field("size").to_numpy(zero_copy_only=False)
+        if (sizes != width).any():
+            raise ValueError(f"vector width differs from {width}")
+        return sparse_product(vectors, directions)
+    return arrow_matrix(vectors, width) @ directions.T
+
+
 def _list_array(mat: np.ndarray) -> pa.Array:
     n, m = mat.shape
     offsets = pa.array(np.arange(0, n * m + 1, m, dtype=np.int32))
@@ -81,11 +93,18 @@ class SignFamily:
             for t in range(self.n_tables)
         ])
 
+    def directions(self, planes: np.ndarray) -> np.ndarray:
+        """All planes of all tables, one per row."""
+        return planes.reshape(self.n_tables * self.n_bits, -1)
+
     def signatures(self, x: np.ndarray, planes: np.ndarray | None = None) -> np.ndarray:
         """(n, width) vectors -> (n, n_tables) packed buckets."""
         p = self.planes(x.shape[1]) if planes is None else planes
-        flat = p.reshape(self.n_tables * self.n_bits, x.shape[1])
-        bits = (x @ flat.T >= 0).reshape(len(x), self.n_tables, self.n_bits)
+        return self.buckets(x @ self.directions(p).T)
+
+    def buckets(self, projected: np.ndarray) -> np.ndarray:
+        """(n, n_tables * n_bits) projections -> (n, n_tables) packed buckets."""
+        bits = (projected >= 0).reshape(len(projected), self.n_tables, self.n_bits)
         weights = np.left_shift(np.int64(1), np.arange(self.n_bits, dtype=np.int64))
         return (bits.astype(np.int64) * weights).sum(axis=2)
 
@@ -112,10 +131,17 @@ class EuclideanFamily:
         a = np.stack(rows)
         return a / np.linalg.norm(a, axis=1, keepdims=True)
 
+    def directions(self, planes: np.ndarray) -> np.ndarray:
+        return planes
+
     def signatures(self, x: np.ndarray, planes: np.ndarray | None = None) -> np.ndarray:
         a = self.planes(x.shape[1]) if planes is None else planes
+        return self.buckets(x @ a.T)
+
+    def buckets(self, projected: np.ndarray) -> np.ndarray:
+        """(n, n_tables) projections -> (n, n_tables) buckets."""
         # Buckets beyond +-2^62 saturate, so huge values still hash the same way everywhere.
-        buckets = np.nan_to_num(np.floor((x @ a.T) / self.bucket_length))
+        buckets = np.nan_to_num(np.floor(projected / self.bucket_length))
         return np.clip(buckets, -(2.0 ** 62), 2.0 ** 62).astype(np.int64)
 
 
@@ -133,7 +159,9 @@ class SignPlanes:
             raise ValueError(f"planes are {self.width} wide, vectors {width}")
         return self._planes
 
+    directions = SignFamily.directions
     signatures = SignFamily.signatures
+    buckets = SignFamily.buckets
 
 
 class EuclideanPlanes:
@@ -151,7 +179,9 @@ class EuclideanPlanes:
             raise ValueError(f"planes are {self.width} wide, vectors {width}")
         return self._planes
 
+    directions = EuclideanFamily.directions
     signatures = EuclideanFamily.signatures
+    buckets = EuclideanFamily.buckets
 
     @classmethod
     def from_model(cls, model) -> "EuclideanPlanes":
@@ -171,13 +201,14 @@ def _check_size(values: int) -> None:
 
 
 def signature_column(family, width: int, col="features") -> Column:
-    """``array<bigint>``: one bucket per table, computed by an Arrow UDF per batch."""
+    """``array<bigint>``: one bucket per table, computed by an Arrow UDF per batch. The
+    vectors are arrays or sparse vectors of ``width`` components."""
     planes = family.planes(width)
 
     @F.arrow_udf("array<bigint>")
     def _sig(v: pa.Array) -> pa.Array:
-        x = arrow_matrix(v, width)
-        return _list_array(family.signatures(x, planes).reshape(len(x), family.n_tables))
+        projected = project(v, width, family.directions(planes))
+        return _list_array(family.buckets(projected).reshape(len(v), family.n_tables))
 
     return _sig(F.col(col) if isinstance(col, str) else col)
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from annspark.functions.sparse import is_sparse
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -17,11 +19,13 @@ def to_double_array(c) -> Column:
 
 
 def vector_column(df: DataFrame, name: str) -> Column:
-    """The vector column as stored when it is float or double, else cast to double.
+    """The vector column as stored when it is sparse, float or double, else cast to double.
 
     ``array<float>`` stays float through scans and shuffles (half the bytes); the
     kernels widen it to float64 in numpy, which is exact.
     """
+    if is_sparse(df, name):
+        return F.col(name)
     field = df.schema[name].dataType
     element = getattr(field, "elementType", None)
     if isinstance(element, (T.FloatType, T.DoubleType)):
@@ -75,6 +79,15 @@ def usable_vector(c) -> Column:
     return v.isNotNull() & F.coalesce(finite, F.lit(False))
 
 
+def usable_rows(df: DataFrame, name: str) -> Column:
+    """``usable_vector`` for a column of arrays or of sparse vectors: of the latter size,
+    indices and values are there, and all values are numbers."""
+    if not is_sparse(df, name):
+        return usable_vector(name)
+    there = F.col(name).isNotNull() & F.col(name)["size"].isNotNull() & F.col(name)["indices"].isNotNull()
+    return there & usable_vector(F.col(name)["values"])
+
+
 def vector_width(df: DataFrame, col: str = "features") -> int:
     """The largest vector width of the table (B1), from one aggregate over its rows."""
     row = df.where(F.col(col).isNotNull()).agg(F.max(F.size(col)).alias("w")).first()
@@ -90,7 +103,8 @@ def search_width(*tables: DataFrame, col: str = "features") -> int:
     compared, so reading one row tells as much as a scan.
     """
     for df in tables:
-        row = df.where(usable_vector(col)).select(F.size(col).alias("w")).first()
+        size = F.col(col)["size"] if is_sparse(df, col) else F.size(col)
+        row = df.where(usable_rows(df, col)).select(size.alias("w")).first()
         if row is not None:
             return int(row["w"])
     return 1

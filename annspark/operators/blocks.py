@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annspark.functions.hashing import arrow_matrix
+from annspark.functions.sparse import block_matrices
 
 DEFAULT_BLOCK_ROWS = 2048
 DEFAULT_MAX_BROADCAST_ROWS = 100_000
@@ -43,11 +44,7 @@ SPARSE_ROWS = 16
 # Python call.
 MERGE_ROWS = 512
 
-KERNEL_SCHEMA = "q_id long, t_id long, t_label double, distance double, n_cand long"
-_ARROW_SCHEMA = pa.schema([
-    ("q_id", pa.int64()), ("t_id", pa.int64()), ("t_label", pa.float64()),
-    ("distance", pa.float64()), ("n_cand", pa.int64()),
-])
+KERNEL_SCHEMA = "q_id long, t_id long, t_label {label}, distance double, n_cand long"
 
 
 def collect_if_small(df: DataFrame, max_rows: int) -> DataFrame | None:
@@ -217,10 +214,25 @@ class BlockKernel:
 
     def __call__(self, q: pa.Table, t: pa.Table) -> pa.Table:
         if q.num_rows == 0 or t.num_rows == 0:
-            return _ARROW_SCHEMA.empty_table()
-        t = t.sort_by("t_id")
+            none = np.zeros(0, dtype=np.int64)
+            return _table(none, none, t.column("t_label").combine_chunks().slice(0, 0), none, none)
+        return pa.concat_tables(self._parts(q, t.sort_by("t_id")))
+
+    def _parts(self, q: pa.Table, t: pa.Table) -> list[pa.Table]:
+        if pa.types.is_struct(q.schema.field("q_vec").type):
+            dense = block_matrices(q.column("q_vec"), t.column("t_vec"))
+            if dense is None:
+                # Too many columns occur in these rows: the longer side is halved. A query
+                # may then have rows and counts from both halves, as from two blocks.
+                n = max(q.num_rows, t.num_rows) // 2
+                halves = ([(q.slice(0, n), t), (q.slice(n), t)] if q.num_rows >= t.num_rows
+                          else [(q, t.slice(0, n)), (q, t.slice(n))])
+                return [part for half in halves for part in self._parts(*half)]
+            return self._dense_parts(q, t, *dense)
         qv = arrow_matrix(q.column("q_vec"), dtype=None)
-        tv = arrow_matrix(t.column("t_vec"), qv.shape[1], dtype=None)
+        return self._dense_parts(q, t, qv, arrow_matrix(t.column("t_vec"), qv.shape[1], dtype=None))
+
+    def _dense_parts(self, q: pa.Table, t: pa.Table, qv: np.ndarray, tv: np.ndarray) -> list[pa.Table]:
         qid = q.column("q_id").to_numpy()
         tid = t.column("t_id").to_numpy()
         tlab = t.column("t_label").combine_chunks()  # Arrow: null labels stay null
@@ -257,7 +269,7 @@ class BlockKernel:
             parts.append(self._chunk(qv[s:e], q32[s:e], qid[s:e], qn[s:e], tol, tv, t32, tid, tn,
                                      tlab, exp, None if qsig is None else qsig[s:e], earlier,
                                      None if qb is None else qb[s:e], tb))
-        return pa.concat_tables(parts)
+        return parts
 
     def _chunk(self, qv, q32, qid, qn, tol, tv, t32, tid, tn, tlab, exp, qsig, earlier,
                qb=None, tb=None) -> pa.Table:
@@ -443,12 +455,12 @@ def _exact(qv, tv, i, j) -> np.ndarray:
 
 def _table(qid, tid, tlab, dist, n) -> pa.Table:
     return pa.Table.from_arrays(
-        [pa.array(qid, pa.int64()), pa.array(tid, pa.int64()), tlab.cast(pa.float64()),
+        [pa.array(qid, pa.int64()), pa.array(tid, pa.int64()), tlab,
          pa.array(dist, pa.float64()), pa.array(n, pa.int64())],
-        schema=_ARROW_SCHEMA)
+        names=["q_id", "t_id", "t_label", "distance", "n_cand"])
 
 
-def partitions_for(spark, rows: int, width: int, value_bytes: int = 8) -> int:
+def partitions_for(spark, rows: int, width: float, value_bytes: int = 8) -> int:
     """Cogroup partitions: the session's setting, raised so a partition holds about
     ``PARTITION_BYTES`` at most, from the shuffled rows (copies included) and the bytes
     of a row of ``width`` components."""
@@ -468,9 +480,11 @@ def run_blocks(q_side: DataFrame, t_side: DataFrame, keys: list[str],
     """
     n = n_partitions or int(q_side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    label = t_side.schema["t_label"].dataType.simpleString()
+
     def per_group(q: pa.Table, t: pa.Table) -> pa.Table:
         return kernel(q, t)
 
     return (q_side.repartition(n, *keys).groupBy(*keys)
             .cogroup(t_side.repartition(n, *keys).groupBy(*keys))
-            .applyInArrow(per_group, KERNEL_SCHEMA))
+            .applyInArrow(per_group, KERNEL_SCHEMA.format(label=label)))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from annspark.functions.hashing import signature_column
-from annspark.functions.vectors import search_width, usable_vector, vector_column
+from annspark.functions.vectors import search_width, usable_rows, vector_column
 from annspark.operators.blocks import DEFAULT_MAX_BROADCAST_ROWS, join_checked
 from annspark.operators.index import bucket_histogram
 from annspark.operators.search import knn_join
@@ -21,10 +22,11 @@ def _queries(query: DataFrame, id_col: str, label: str | None) -> DataFrame:
     return query.select(*cols)
 
 
-def _label_type(query: DataFrame, label: str):
-    if label in query.columns:
-        return query.schema[label].dataType
-    return "double"
+def no_prediction(kind: T.DataType) -> Column:
+    """-1 in the type of the training labels; null where the type has no such value."""
+    if isinstance(kind, (T.NumericType, T.StringType)):
+        return F.lit(NO_PREDICTION).cast(kind)
+    return F.lit(None).cast(kind)
 
 
 def vote(neighbours: DataFrame, query: DataFrame, id_col: str = "id",
@@ -33,6 +35,7 @@ def vote(neighbours: DataFrame, query: DataFrame, id_col: str = "id",
 
     Order: most votes, then the nearest neighbour of the label, then the smaller label.
     Every query of ``query`` gets a row; without neighbours the prediction is -1 (D7).
+    Labels may have any type; predictions have the training labels' type.
     Returns ``q_id, label, prediction, n_candidates``.
     """
     per_label = (neighbours.groupBy("q_id", "t_label")
@@ -46,7 +49,6 @@ def vote(neighbours: DataFrame, query: DataFrame, id_col: str = "id",
 
 
 def _attach(best: DataFrame, query: DataFrame, id_col: str, label: str) -> DataFrame:
-    ltype = _label_type(query, label)
     q = _queries(query, id_col, label)
     out = q.join(best, "q_id", "left")
     cols = ["q_id"]
@@ -54,7 +56,7 @@ def _attach(best: DataFrame, query: DataFrame, id_col: str, label: str) -> DataF
         cols.append("label")
     return out.select(
         *cols,
-        F.coalesce(F.col("prediction"), F.lit(NO_PREDICTION)).cast(ltype).alias("prediction"),
+        F.coalesce(F.col("prediction"), no_prediction(best.schema["prediction"].dataType)).alias("prediction"),
         F.coalesce(F.col("n_cand"), F.lit(0)).cast("long").alias("n_candidates"))
 
 
@@ -92,7 +94,7 @@ def bucket_vote_classify(query: DataFrame, train: DataFrame, family,
               signature_column(family, w, vector_column(query, features)).alias("sig")]
     if exclude_self:
         q_cols.append(F.col(label).alias("_own"))
-    qb = (query.where(usable_vector(features)).select(*q_cols)
+    qb = (query.where(usable_rows(query, features)).select(*q_cols)
           .select("*", F.posexplode_outer("sig").alias("tbl", "bucket")).drop("sig"))
     joined = join_checked(qb, hist, ["tbl", "bucket"], "inner", max_broadcast_rows,
                           spread_col="q_id")

@@ -6,10 +6,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from annspark.functions.hashing import EuclideanFamily
 from annspark.functions.vectors import search_width
 from annspark.operators.blocks import count_rows
+from annspark.operators.classify import no_prediction
 from annspark.session import checkpoint_dir
 from annspark.operators.search import exact_knn, knn_join
 
@@ -19,9 +21,17 @@ def _share(part, whole):
     return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 
 
+def same_label(df: DataFrame, a: str, b: str):
+    """Whether two label columns are equal; text against another type compares as text."""
+    texts = [isinstance(df.schema[c].dataType, T.StringType) for c in (a, b)]
+    if texts[0] != texts[1]:
+        return F.col(a).cast("string") == F.col(b).cast("string")
+    return F.col(a) == F.col(b)
+
+
 def accuracy(predictions: DataFrame) -> DataFrame:
     """``n, hits, accuracy`` from ``label, prediction`` (E8, E9, E12): one aggregate."""
-    hit = (F.col("label") == F.col("prediction")).cast("long")
+    hit = same_label(predictions, "label", "prediction").cast("long")
     return predictions.agg(F.count(F.lit(1)).alias("n"),
                            F.coalesce(F.sum(hit), F.lit(0)).alias("hits"),
                            _share(F.coalesce(F.sum(hit), F.lit(0)), F.count(F.lit(1))).alias("accuracy"))
@@ -29,14 +39,14 @@ def accuracy(predictions: DataFrame) -> DataFrame:
 
 def _query_labels(query: DataFrame, id_col: str, label: str) -> DataFrame:
     return query.select(F.col(id_col).cast("long").alias("q_id"),
-                        F.col(label).cast("double").alias("q_label"))
+                        F.col(label).alias("q_label"))
 
 
 def match_share(neighbours: DataFrame, query: DataFrame, id_col: str = "id",
                 label: str = "label") -> DataFrame:
     """``q_id, n_neighbours, n_match, share``: share of neighbours with the query's label."""
-    m = (neighbours.join(_query_labels(query, id_col, label), "q_id")
-         .withColumn("_m", (F.col("t_label") == F.col("q_label")).cast("long")))
+    m = neighbours.join(_query_labels(query, id_col, label), "q_id")
+    m = m.withColumn("_m", same_label(m, "t_label", "q_label").cast("long"))
     return m.groupBy("q_id").agg(F.count(F.lit(1)).alias("n_neighbours"),
                                  F.sum("_m").alias("n_match"),
                                  F.avg("_m").alias("share"))
@@ -120,7 +130,7 @@ def sweep(query: DataFrame, train: DataFrame, bucket_lengths=SEARCH_BUCKET_LENGT
              .select("q_id", "t_id", F.col("rn").alias("true_rn"))
              .checkpoint(eager=True))
     qrows = query.select(F.col(id_col).cast("long").alias("q_id"),
-                         F.col(label).cast("double").alias("label"))
+                         F.col(label).alias("label"))
     q_by_k = qrows.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
     rows = []
     for bl in bucket_lengths:
@@ -136,7 +146,7 @@ def sweep(query: DataFrame, train: DataFrame, bucket_lengths=SEARCH_BUCKET_LENGT
                 "_hit", ((F.col("_hit") == 1) & (F.col("true_rn") <= F.col("k"))).cast("int"))
             per_q = _vote_by_k(marked, q_by_k)
             scored = (per_q.groupBy("k")
-                      .agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"),
+                      .agg(F.avg(same_label(per_q, "label", "prediction").cast("double")).alias("accuracy"),
                            (F.sum("hits") / (F.col("k") * F.count(F.lit(1)))).alias("recall"),
                            F.sum("n_candidates").cast("long").alias("n_candidates")))
             rows.append(scored.select(F.lit(float(bl)).alias("bl"), F.lit(int(nht)).alias("nht"),
@@ -157,6 +167,6 @@ def _vote_by_k(nbk: DataFrame, q_by_k: DataFrame) -> DataFrame:
             .select("k", "q_id", F.col("t_label").alias("prediction"), "n_cand", "hits"))
     return (q_by_k.join(best, ["k", "q_id"], "left")
             .select("k", "q_id", "label",
-                    F.coalesce("prediction", F.lit(-1.0)).alias("prediction"),
+                    F.coalesce("prediction", no_prediction(best.schema["prediction"].dataType)).alias("prediction"),
                     F.coalesce("n_cand", F.lit(0)).alias("n_candidates"),
                     F.coalesce("hits", F.lit(0)).alias("hits")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annspark.functions.hashing import signature_column
-from annspark.functions.vectors import search_width, usable_vector, vector_column
+from annspark.functions.vectors import search_width, usable_rows, vector_column
 from annspark.session import scratch_path
 
 
@@ -14,7 +14,7 @@ def bucket_index(train: DataFrame, family, width: int | None = None, id_col: str
                  features: str = "features", label: str = "label") -> DataFrame:
     """``tbl, bucket, id, label``: one row per training row and table (B12, E2 long form)."""
     w = width or search_width(train, col=features)
-    train = train.where(usable_vector(features))
+    train = train.where(usable_rows(train, features))
     sig = signature_column(family, w, vector_column(train, features))
     return (train.select(F.col(id_col).cast("long").alias("id"), F.col(label).alias("label"),
                          sig.alias("sig"))
@@ -52,7 +52,7 @@ def build_index(train: DataFrame, family, path: str | None = None, width: int |
     """
     spark = train.sparkSession
     w = width or search_width(train, col=features)
-    train = train.where(usable_vector(features))
+    train = train.where(usable_rows(train, features))
     cols = [F.col(id_col).cast("long").alias(id_col), F.col(features).alias(features)]
     if label in train.columns:
         cols.append(F.col(label).alias(label))
@@ -77,7 +77,7 @@ def build_bucket_index(train: DataFrame, family, path: str | None = None,
     """
     spark = train.sparkSession
     w = width or search_width(train, col=features)
-    train = train.where(usable_vector(features))
+    train = train.where(usable_rows(train, features))
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(id_col).cast("long").alias("id"), F.col(features).alias("features"),
             (F.col(label) if label in train.columns else F.lit(None)).alias("label"),

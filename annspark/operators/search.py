@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from annspark.functions.hashing import arrow_matrix, signature_column
-from annspark.functions.vectors import search_width, usable_vector, vector_column
+from annspark.functions.hashing import arrow_matrix, project, signature_column
+from annspark.functions.sparse import distances_to, is_sparse
+from annspark.functions.vectors import search_width, usable_rows, vector_column
 from annspark.operators.blocks import (
     DEFAULT_BLOCK_ROWS,
     DEFAULT_MAX_BROADCAST_ROWS,
@@ -24,6 +25,7 @@ from annspark.operators.blocks import (
     run_blocks,
     with_queries_only,
 )
+from annspark.operators.topk import merge_top_k
 
 # Fixed value: the reference's distance cut is 2.5 per vector dimension.
 THRESHOLD_PER_DIMENSION = 2.5
@@ -38,15 +40,17 @@ def _sides(query: DataFrame, train: DataFrame, id_col: str, features: str, label
            train_sig: str | None = None):
     # A row without a usable vector has no neighbours and is no candidate (classifiers
     # still report such a query, with prediction -1).
-    query = query.where(usable_vector(features))
-    train = train.where(usable_vector(features))
+    if is_sparse(query, features) != is_sparse(train, features):
+        raise ValueError("query and training vectors must both be sparse or both be arrays")
+    query = query.where(usable_rows(query, features))
+    train = train.where(usable_rows(train, features))
     q = query.select(F.col(id_col).cast("long").alias("q_id"),
                      vector_column(query, features).alias("q_vec"))
-    # A plain search table may have no label: null labels then.
-    t_label = F.col(label) if label in train.columns else F.lit(None)
+    # A plain search table may have no label: null labels then. Labels keep their type.
+    t_label = F.col(label) if label in train.columns else F.lit(None).cast("double")
     t_cols = [F.col(id_col).cast("long").alias("t_id"),
               vector_column(train, features).alias("t_vec"),
-              t_label.cast("double").alias("t_label")]
+              t_label.alias("t_label")]
     if train_sig is not None:
         t_cols.append(F.col(train_sig).alias("t_sig"))
     return q, train.select(*t_cols)
@@ -58,8 +62,9 @@ def candidate_blocks(query: DataFrame, train: DataFrame, family, kernel_k: int |
                      max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
                      width: int | None = None, counts: tuple[int, int] | None = None,
                      id_col: str = "id", features: str = "features",
-                     label: str = "label", train_sig: str | None = None) -> DataFrame:
-    """Kernel output over all blocks: ``q_id, t_id, t_label, distance, n_cand``.
+                     label: str = "label", train_sig: str | None = None) -> tuple[DataFrame, int]:
+    """Kernel output over all blocks, ``q_id, t_id, t_label, distance, n_cand``, and its
+    number of partitions.
 
     ``width`` (vector width) and ``counts`` (query rows, training rows) may be passed
     in by callers that already know them; otherwise each costs one small job.
@@ -101,9 +106,18 @@ def candidate_blocks(query: DataFrame, train: DataFrame, family, kernel_k: int |
         # Exploded rows and the copies of split buckets: an upper bound, since training
         # rows of buckets without a query are dropped before the shuffle.
         shuffled_rows = (n_q + n_t) * family.n_tables + added
-    value_bytes = 4 if "float" in t.schema["t_vec"].dataType.simpleString() else 8
-    return run_blocks(q_side, t_side, keys, kernel,
-                      partitions_for(spark, shuffled_rows, w, value_bytes))
+    n_tasks = partitions_for(spark, shuffled_rows, *_row_size(train, features, w))
+    return run_blocks(q_side, t_side, keys, kernel, n_tasks), n_tasks
+
+
+def _row_size(df: DataFrame, features: str, width: int) -> tuple[float, int]:
+    """Values shuffled with a row and bytes of each; of sparse rows their mean number of
+    entries, from one pass over the indices."""
+    kind = df.schema[features].dataType.simpleString()
+    if not is_sparse(df, features):
+        return width, 4 if "float" in kind else 8
+    entries = df.agg(F.avg(F.size(F.col(features)["indices"]))).first()[0] or 0.0
+    return float(entries), 12
 
 
 def knn_join(query: DataFrame, train: DataFrame, family=None, k: int = 5,
@@ -117,13 +131,8 @@ def knn_join(query: DataFrame, train: DataFrame, family=None, k: int = 5,
     """
     if k < 1:
         raise ValueError("k must be >= 1")
-    raw = candidate_blocks(query, train, family, k, threshold, exclude_self, **opts)
-    by_query = Window.partitionBy("q_id")
-    return (raw
-            .withColumn("n_candidates", F.sum("n_cand").over(by_query))
-            .withColumn("rn", F.row_number().over(by_query.orderBy("distance", "t_id")))
-            .where(F.col("rn") <= k)
-            .select("q_id", "t_id", "t_label", "distance", "rn", "n_candidates"))
+    raw, n_tasks = candidate_blocks(query, train, family, k, threshold, exclude_self, **opts)
+    return merge_top_k(raw, k, n_tasks)
 
 
 def exact_knn(query: DataFrame, train: DataFrame, k: int = 5, exclude_self: bool = False,
@@ -138,10 +147,17 @@ def similarity_join(query: DataFrame, train: DataFrame, family, threshold: float
 
     Each pair once: ``q_id, t_id, t_label, distance``.
     """
-    raw = candidate_blocks(query, train, family, None, threshold, exclude_self, **opts)
+    raw, _ = candidate_blocks(query, train, family, None, threshold, exclude_self, **opts)
     return raw.select("q_id", "t_id", "t_label", "distance")
 
 
+def _to_key(vectors: pa.Array, key: np.ndarray) -> np.ndarray:
+    if pa.types.is_struct(vectors.type):
+        return distances_to(vectors, key)
+    diff = arrow_matrix(vectors, len(key)) - key[None, :]
+    return np.sqrt(np.einsum("ij,ij->i", diff, diff))
+
+
 def knn_one(train: DataFrame, key, family=None, k: int = 5, id_col: str = "id",
             features: str = "features", label: str = "label",
             train_sig: str | None = None) -> DataFrame:
@@ -157,7 +173,7 @@ def knn_one(train: DataFrame, key, family=None, k: int = 5, id_col: str = "id",
               vector_column(train, features).alias("features"), F.col(label).alias("label")]
     if train_sig is not None:
         t_cols.append(F.col(train_sig).alias("_sig"))
-    t = train.where(usable_vector(features)).select(*t_cols)
+    t = train.where(usable_rows(train, features)).select(*t_cols)
     ksig = None if family is None else family.signatures(kv[None, :]).reshape(-1)
     planes = None if family is None or train_sig is not None else family.planes(width)
     if ksig is not None and train_sig is not None:
@@ -172,12 +188,10 @@ def knn_one(train: DataFrame, key, family=None, k: int = 5, id_col: str = "id",
     def _dist(v: pa.Array) -> pa.Array:
         # One pass: distance to the key, null where no bucket is shared (hashed here
         # when there is no index).
-        x = arrow_matrix(v, width)
-        diff = x - kv[None, :]
-        d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+        d = _to_key(v, kv)
         if planes is None:
             return pa.array(d)
-        shared = (family.signatures(x, planes) == ksig[None, :]).any(axis=1)
+        shared = (family.buckets(project(v, width, family.directions(planes))) == ksig[None, :]).any(axis=1)
         return pa.array(d, mask=~shared)
 
     # Non-deterministic only to the optimizer: it keeps the null filter above the UDF
@@ -216,9 +230,7 @@ def knn_one_indexed(spark, index_path: str, key, family, k: int = 5) -> DataFram
 
     @F.arrow_udf("double")
     def _dist(v: pa.Array) -> pa.Array:
-        x = arrow_matrix(v, width)
-        diff = x - kv[None, :]
-        return pa.array(np.sqrt(np.einsum("ij,ij->i", diff, diff)))
+        return pa.array(_to_key(v, kv))
 
     top = cand.withColumn("distance", _dist("features")).orderBy("distance", "id").limit(k)
     return top.select("id", "label", "distance",

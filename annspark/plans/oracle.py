@@ -174,6 +174,15 @@ def build() -> dict[str, str]:
     sql["head_sample"] = _with() + (
         f"SELECT id, label, round(list_sum(v), {R}) AS vsum FROM base ORDER BY id LIMIT {P.HEAD_ROWS}")
     sql["bernoulli_all"] = _with() + "SELECT id, label FROM base"
+    sql["hash_sample"] = _with() + (
+        f"SELECT id, label FROM base WHERE CAST('0x' || substr(md5('{P.SAMPLE_SEED}:' || id), 1, 15) AS BIGINT) "
+        f"< {int(P.SAMPLE_FRACTION * (1 << 60))}")
+    thin = [f"{name}s AS (SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS id, label, "
+            f"list_transform(v, lambda x: CASE WHEN abs(x) < {_num(P.SPARSE_CUT)} THEN 0.0 ELSE x END) AS v "
+            f"FROM {name})" for name in "qt"]
+    sql["libsvm_sparse_knn"] = _with(*thin, *ranked_ctes(S, "qs", "ts")) + (
+        f"SELECT q_id, t_id, t_label, round(distance, {R}) AS distance, rn, n_candidates "
+        f"FROM ranked WHERE rn <= {K}")
     sql["result_view_projection"] = _with(*ranked_ctes(S, threshold=THR)) + (
         "SELECT r.t_label AS label_train, q.label AS label_test, r.t_id AS train_id, "
         f"r.q_id AS test_id, round(r.distance, {R}) AS distance FROM ranked r JOIN q ON q.id = r.q_id")
@@ -229,6 +238,9 @@ def build() -> dict[str, str]:
     sql["exact_knn_split"] = sql["exact_knn"]
     sql["hot_bucket_knn"] = neighbours_sql(P.HOT)
     sql["rerank_classify"] = classify_sql(S)
+    sql["classify_text_labels"] = classify_sql(S).replace(
+        "q.label, CAST(coalesce(b.t_label, -1) AS INTEGER) AS prediction",
+        "'class ' || q.label AS label, coalesce('class ' || b.t_label, '-1') AS prediction")
     sql["euclid_classify"] = classify_sql(E)
     sql["exact_classify"] = classify_sql(None)
     share_ctes = [*ranked_ctes(E, threshold=THR),

@@ -11,7 +11,9 @@ K = 5
 THRESHOLD = 1.3
 WIDTH = 64
 PAD_WIDTH = 72
+SPARSE_CUT = 0.1  # components smaller than this are left out of the sparse files
 HEAD_ROWS = 25
+SAMPLE_FRACTION, SAMPLE_SEED = 0.3, 1234
 BATCH_SIZE = 32
 GT_DEPTH = K
 SWEEP_BUCKET_LENGTHS = (0.1, 0.2)

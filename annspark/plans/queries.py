@@ -53,7 +53,7 @@ from annspark.sources.csv import (
 )
 from annspark.sources.embeddings import load_embeddings, split_query_train
 from annspark.sources.libsvm import load_pair, read_libsvm, write_libsvm
-from annspark.sources.samples import bernoulli_sample, head_sample
+from annspark.sources.samples import bernoulli_sample, hash_sample, head_sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -164,6 +164,30 @@ def bernoulli_all(spark, sf_dir):
     return bernoulli_sample(df, 1.0).select("id", "label")
 
 
+@query("hash_sample")
+def hash_sample_q(spark, sf_dir):
+    """A7 below 1: rows drawn by a hash of their key, whatever the partitioning."""
+    df, _, _ = _data(spark, sf_dir)
+    return hash_sample(df, P.SAMPLE_FRACTION, seed=P.SAMPLE_SEED).select("id", "label")
+
+
+@query("libsvm_sparse_knn")
+def libsvm_sparse_knn(spark, sf_dir):
+    """Train and test as LibSVM text with components near zero left out, read
+    back sparse, searched and re-ranked sparse. Ids are positions in the files."""
+    _, q, t = _data(spark, sf_dir)
+
+    def thinned(df):
+        kept = F.transform("features", lambda x: F.when(F.abs(x) < P.SPARSE_CUT, F.lit(0.0)).otherwise(x))
+        return df.orderBy("id").withColumn("features", kept)
+
+    train_path, test_path = scratch_path(spark, "sparse-train"), scratch_path(spark, "sparse-test")
+    write_libsvm(thinned(t), train_path)
+    write_libsvm(thinned(q), test_path)
+    train, test = load_pair(spark, train_path, test_path, num_features=P.WIDTH, sparse=True)
+    return _neighbours(knn_join(test, train, P.SIGN, P.K))
+
+
 @query("result_view_projection")
 def result_view_projection(spark, sf_dir):
     """Join result with nested structs, a temp view, projected by SQL."""
@@ -409,6 +433,16 @@ def exact_classify_q(spark, sf_dir):
     return exact_classify(q, t, P.K)
 
 
+@query("classify_text_labels")
+def classify_text_labels(spark, sf_dir):
+    """Text labels on the training side come back as predictions; their number
+    is what the queries carry."""
+    _, q, t = _data(spark, sf_dir)
+    named = t.withColumn("label", F.concat(F.lit("class "), F.col("label").cast("string")))
+    asked = q.withColumn("label", F.concat(F.lit("class "), F.col("label").cast("string")))
+    return knn_classify(asked, named, P.SIGN, P.K)
+
+
 @query("match_share")
 def match_share_q(spark, sf_dir):
     """Share of the k neighbours with the query's label (H1's score)."""
