@@ -17,6 +17,7 @@ from annspark.llm import (
     simhash,
     token_rollups,
     url_filter,
+    whitening,
 )
 from annspark.llm.common import read_table, written
 from annspark.llm.oracle import ORACLE_SQL
@@ -106,6 +107,12 @@ def op10_chat_format(spark, sf_dir):
     return chat_format.read_back(formatted, tokenizer_path()).drop("n_ids")
 
 
+def op11_whitening(spark, sf_dir):
+    found = whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+    return (found.withColumn("deviation", F.col("deviation").cast("long"))
+            .withColumnRenamed("id", "vec_id"))
+
+
 def op12_hard_negatives(spark, sf_dir):
     """Every label of a seventh of the rows moves on by one before anything else."""
     vectors = read_table(spark, sf_dir, "embeddings")
@@ -130,6 +137,7 @@ QUERIES = {
     "op8_token_rollups": op8_token_rollups,
     "op9_license_scan": op9_license_scan,
     "op10_chat_format": op10_chat_format,
+    "op11_whitening": op11_whitening,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_quality_classifier": op13_quality_classifier,
 }
