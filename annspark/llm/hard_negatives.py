@@ -240,7 +240,8 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, id_col: str = "vec_id"
         F.ceil(F.count(F.lit(1)) / size).cast("int").alias("nb"),
         F.ceil(F.sum(F.col("anchor").cast("long")) / size).cast("int").alias("na")).where("na > 0"), "labels")
     placed = attach(rows, labels, "label", F.col("row")).where("na is not null")
-    shared = F.pmod(F.xxhash64("label"), F.lit(max(1, -(-total // size))))
+    # Many more groups than shards' worth of rows: labels rarely meet, groups stay small.
+    shared = F.pmod(F.xxhash64("label"), F.lit(max(1, -(-16 * total // size))))
     group = F.when((F.col("nb") > 1) | (F.col("na") > 1), F.xxhash64("label")).otherwise(shared)
     placed = placed.withColumn("g", group)
     nb, na = F.col("nb"), F.col("na")
