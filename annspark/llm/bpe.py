@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annspark.llm.common import written
+from annspark.llm.common import quoted, written
 from annspark.llm.lexicon import Lexicon, compile_lexicon
 
 # The pre-token pattern of byte-level BPE files.
@@ -283,6 +283,11 @@ def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text
     return name
 
 
+def _numbered(kept) -> list:
+    """Columns under plain names of their own, since theirs may hold any marks."""
+    return [F.col(quoted(f.name)).alias(f"c{k}") for k, f in enumerate(kept)]
+
+
 def encode_table(docs: DataFrame, tokenizer: str, text_col: str = "text",
                  lexicon_words: int = LEXICON_WORDS, with_ids: bool = True) -> DataFrame:
     """``docs`` without its text, plus ``n_tokens``, ``ids`` (array, unless ``with_ids`` is
@@ -301,12 +306,12 @@ def encode_table(docs: DataFrame, tokenizer: str, text_col: str = "text",
         encoder = Encoder(Vocabulary(shared.value), Lexicon(SparkFiles.get(name)))
         for batch in slices(batches):
             n, digest, back, blobs = [], [], [], []
-            for ids in encoder.encode_all(batch.column("_text").to_pylist()):
+            for ids in encoder.encode_all(batch.column("text").to_pylist()):
                 n.append(len(ids) // 4)
                 digest.append(hashlib.sha256(ids).hexdigest())
                 back.append(hashlib.sha256(encoder.decode(ids).encode("utf-8")).hexdigest())
                 blobs.append(ids if with_ids else b"")
-            cols = [batch.column(f.name) for f in kept] + [pa.array(n, pa.int64())]
+            cols = [batch.column(k) for k in range(len(kept))] + [pa.array(n, pa.int64())]
             if with_ids:
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 flat = np.frombuffer(b"".join(blobs), dtype="<i4")
@@ -314,7 +319,7 @@ def encode_table(docs: DataFrame, tokenizer: str, text_col: str = "text",
             cols += [pa.array(digest, pa.string()), pa.array(back, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in kept + new])
 
-    source = docs.select(*[F.col(f.name) for f in kept], F.col(text_col).alias("_text"))
+    source = docs.select(*_numbered(kept), F.col(quoted(text_col)).alias("text"))
     return source.mapInArrow(run, T.StructType(kept + new))
 
 
@@ -326,9 +331,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Dat
     def run(batches):
         encoder = Encoder(Vocabulary(shared.value))
         for batch in slices(batches):
-            n = [len(ids) // 4 for ids in encoder.encode_all(batch.column("_text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + [pa.array(n, pa.int64())],
+            n = [len(ids) // 4 for ids in encoder.encode_all(batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(kept))] + [pa.array(n, pa.int64())],
                                              names=[f.name for f in kept] + ["n_tokens"])
 
-    source = docs.select(*[F.col(f.name) for f in kept], F.col(text_col).alias("_text"))
+    source = docs.select(*_numbered(kept), F.col(quoted(text_col)).alias("text"))
     return source.mapInArrow(run, T.StructType([*kept, T.StructField("n_tokens", T.LongType())]))

@@ -27,15 +27,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names`` for helper columns, with underscores put before those that a column of
+    ``df`` has already (Spark compares names without case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, also those whose names hold dots or other marks."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_key(col: str = "text") -> Column:
     """Hash of a row's text: with the id it tells rows that share an id apart."""
-    return F.xxhash64(F.col(col))
+    return F.xxhash64(F.col(quoted(col)))
 
 
 def plain_key(col: str) -> Column:
     """A column as a never-null string: equal where the column is null-safe equal, so a
     join on it and a grouping by it share one partitioning."""
-    return F.coalesce(F.concat(F.lit("="), F.col(col).cast("string")), F.lit(""))
+    return F.coalesce(F.concat(F.lit("="), F.col(quoted(col)).cast("string")), F.lit(""))
 
 
 def attach(big: DataFrame, small: DataFrame, key: str, spread: Column,

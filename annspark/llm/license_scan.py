@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annspark.llm.common import fresh
+
 # Sentences of public licence notices.
 SENTENCES = {
     1: "Released under the MIT License.",
@@ -78,7 +80,7 @@ def _matches(sequence: Column, ids: tuple) -> Column:
 def scan_licenses(docs: DataFrame, text_col: str = "text", sentences: dict = SENTENCES,
                   rules: tuple = RULES) -> DataFrame:
     """``docs`` plus one struct ``license_scan``: ``sentence_ids`` (array) and ``licenses``
-    (array of names)."""
+    (array of names); it takes the place of a column of that name."""
     known = F.create_map(*[F.lit(x) for i, s in sentences.items() for x in (plain(s), i)]) \
         if sentences else F.lit(None).cast("map<string,int>")
     # One match per piece: the piece, and the longest known sentence over it and later ones.
@@ -92,15 +94,16 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", sentences: dict = SEN
         F.try_element_at(known, x["line"]),
         F.when(F.contains(x["run"], F.lit("\n")), F.try_element_at(known, F.translate(x["run"], "\n", " ")))))),
         lambda i: i.isNotNull())
-    found = docs.withColumn("_ids", ids).withColumn("_seq", F.concat(F.array_join("_ids", ","), F.lit(",")))
+    held, seq = fresh(docs, "_ids", "_seq")
+    found = docs.withColumn(held, ids).withColumn(seq, F.concat(F.array_join(held, ","), F.lit(",")))
     names = []
     for name, rule in rules:
-        hit = _matches(F.col("_seq"), rule)
+        hit = _matches(F.col(seq), rule)
         for _, other in rules:  # part of a longer rule that matches as well
             if len(other) > len(rule) and set(rule) <= set(other):
-                hit = hit & ~_matches(F.col("_seq"), other)
+                hit = hit & ~_matches(F.col(seq), other)
         names.append(F.when(hit, F.lit(name)))
     licenses = F.array_sort(F.array_distinct(F.array_compact(F.array(*names)))) \
         if names else F.array().cast("array<string>")
     return found.withColumn("license_scan", F.struct(
-        F.col("_ids").alias("sentence_ids"), licenses.alias("licenses"))).drop("_ids", "_seq")
+        F.col(held).alias("sentence_ids"), licenses.alias("licenses"))).drop(held, seq)

@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annspark.llm.common import WORD, attach, plain_key, text_key, written
+from annspark.llm.common import WORD, attach, columns_of, fresh, plain_key, text_key, written
 
 MAX_EPOCHS = 3
 SEED = 20
@@ -196,13 +196,12 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id
     mixed = mix_counts(sizes, weights, **{"refill": True, **opts})
     # Rows alike in id, text and source are interchangeable: their copies are added up and
     # dealt out again from one of them.
-    same = [plain_key("id").alias("_id"), F.col("text_hash").alias("_th"), plain_key("source").alias("_src")]
-    copies = mixed.where("copies > 0").groupBy(*same).agg(F.sum("copies").alias("_copies"))
+    *keys, n, each = fresh(docs, "_id", "_th", "_src", "_copies", "_n")
+    same = [plain_key("id").alias(keys[0]), F.col("text_hash").alias(keys[1]), plain_key("source").alias(keys[2])]
+    copies = mixed.where("copies > 0").groupBy(*same).agg(F.sum("copies").alias(n))
     copies = written(copies, "copies")
-    keyed = (docs.withColumn("_id", plain_key(id_col)).withColumn("_th", text_key(text_col))
-             .withColumn("_src", plain_key(source_col)))
+    keyed = docs.withColumns(dict(zip(keys, [plain_key(id_col), text_key(text_col), plain_key(source_col)])))
     # The grouping is the join's own partitioning and order: texts are shuffled once.
-    keys = ["_id", "_th", "_src"]
     one = keyed.join(copies, keys).dropDuplicates(keys)
-    return (one.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-            .select(*docs.columns))
+    return (one.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))))
+            .select(*columns_of(docs)))

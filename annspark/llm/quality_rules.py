@@ -34,7 +34,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annspark.llm.common import SPACES, attach, written
+from annspark.llm.common import SPACES, attach, columns_of, written
 
 WINDOW = 5
 ALPHA = 0.01
@@ -202,14 +202,13 @@ def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     Rows are written once with their counts and read back for the verdict, so texts are
     neither counted twice nor shuffled."""
-    counted = with_counts(docs.withColumn("_text", F.col(text_col)), "_text").drop("_text")
-    counted = written(counted, "counted-documents")
-    slim = counted.select(F.col(id_col).alias("id"), F.col(stratum_col).alias("stratum"), "_q.*")
+    # The row in one struct: docs may have columns named like the counts or helpers.
+    packed = docs.select(F.struct(*columns_of(docs)).alias("row"), F.col(text_col).alias("text"))
+    counted = written(with_counts(packed).drop("text"), "counted-documents")
+    row = F.col("row")
+    slim = counted.select(row[id_col].alias("id"), row[stratum_col].alias("stratum"), "_q.*")
     limits = thresholds(slim, labels.select(F.col(id_col).alias("id"), "quality"), "id",
                         "stratum", rules, alpha, delta)
-    # Counts under names of their own: docs may have columns named like them.
-    counts = [F.col(f"_q.{c}").alias(c) for c in (*COUNTS, "base_failed")]
-    packed = counted.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"),
-                            F.col(stratum_col).alias("_lang"), *counts)
-    spread = F.xxhash64(F.col("_row")[id_col])
-    return judge(packed, limits, "_lang", rules, spread).where("kept").select("_row.*")
+    judged = judge(counted.select("row", row[stratum_col].alias("stratum"), "_q.*"), limits, "stratum",
+                   rules, F.xxhash64(row[id_col]))
+    return judged.where("kept").select("row.*")

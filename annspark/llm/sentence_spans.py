@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annspark.llm.bpe import slices
-from annspark.llm.common import text_key, written
+from annspark.llm.common import fresh, quoted, text_key, written
 
 MIN_SENTENCES = 2
 MIN_WORDS = 12
@@ -222,9 +222,10 @@ def span_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def sentence_span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS,
-                        piece_words: int = PIECE_WORDS) -> DataFrame:
+                        piece_words: int = PIECE_WORDS, out_col: str = "span_dedup") -> DataFrame:
     """All columns of ``docs`` with the cleaned text, and one struct column
-    ``span_dedup`` of ``n_removed`` (sentence spans) and ``spans`` (start, end)."""
+    ``out_col`` of ``n_removed`` (sentence spans) and ``spans`` (start, end), which takes
+    the place of a column of that name."""
     made = written(span_runs(docs, id_col, text_col, min_sentences, min_words,
                              piece_words), "runs")
     repeated = written(made.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"),
@@ -232,8 +233,10 @@ def sentence_span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                        .where("n > 1").drop("n"), "repeated")
     # Rows of one text that stand twice in the table give the same run twice: a set.
     cuts = (made.join(repeated, ["h", "c"]).where("again or id > first_id")
-              .groupBy("id", "text_hash").agg(F.collect_set("run").alias("_runs")))
-    cuts = written(cuts, "cuts").withColumnRenamed("id", "_id").withColumnRenamed("text_hash", "_th")
+              .groupBy("id", "text_hash").agg(F.collect_set("run").alias("runs")))
+    *key, found, done = fresh(docs, "_id", "_th", "_runs", "_cut")
+    cuts = written(cuts, "cuts").select(F.col("id").alias(key[0]), F.col("text_hash").alias(key[1]),
+                                        F.col("runs").alias(found))
 
     @F.arrow_udf("struct<text:string,spans:array<struct<start:int,end:int>>>")
     def _cut(texts: pa.Array, lists: pa.Array) -> pa.Array:
@@ -247,12 +250,12 @@ def sentence_span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return pa.array(out, pa.struct([("text", pa.string()), ("spans", pa.list_(
             pa.struct([("start", pa.int32()), ("end", pa.int32())])))]))
 
-    keyed = (docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)))
-             .withColumn("_th", text_key(text_col)))
+    keyed = docs.withColumns({key[0]: F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)),
+                              key[1]: text_key(text_col)})
     # Only texts with something to cut go through Python.
-    todo = F.when(F.col("_runs").isNotNull(), F.col(text_col))
-    done = (keyed.join(cuts, ["_id", "_th"], "left").withColumn("_cut", _cut(todo, F.col("_runs"))))
-    names = [F.when(F.col("_runs").isNotNull(), F.col("_cut.text")).otherwise(F.col(text_col))
-             .alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return done.select(*names, F.struct(F.size("_cut.spans").alias("n_removed"),
-                                        F.col("_cut.spans").alias("spans")).alias("span_dedup"))
+    todo = F.when(F.col(found).isNotNull(), F.col(text_col))
+    whole = keyed.join(cuts, key, "left").withColumn(done, _cut(todo, F.col(found)))
+    text = F.when(F.col(found).isNotNull(), F.col(done)["text"]).otherwise(F.col(text_col)).alias(text_col)
+    names = [text if c == text_col else F.col(quoted(c)) for c in docs.columns if c.lower() != out_col.lower()]
+    spans = F.col(done)["spans"]
+    return whole.select(*names, F.struct(F.size(spans).alias("n_removed"), spans.alias("spans")).alias(out_col))

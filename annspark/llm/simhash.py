@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annspark.llm.common import plain_key, text_key, written
+from annspark.llm.common import columns_of, fresh, plain_key, text_key, written
 from annspark.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -272,10 +272,11 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, **opts) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: one document of each component."""
     found = simhash_components(docs, id_col, text_col, words, max_bits, **opts)
-    kept = written(found.where("keep").select(plain_key("id").alias("_id"),
-                                              F.col("text_hash").alias("_th")).distinct(), "kept")
-    keyed = docs.withColumn("_id", plain_key(id_col)).withColumn("_th", text_key(text_col))
+    key = fresh(docs, "_id", "_th")
+    kept = written(found.where("keep").select(plain_key("id").alias(key[0]),
+                                              F.col("text_hash").alias(key[1])).distinct(), "kept")
+    keyed = docs.withColumns({key[0]: plain_key(id_col), key[1]: text_key(text_col)})
     # Repeated rows share id and text: one of them stays. The grouping is the join's own
     # partitioning and order, so texts are shuffled once.
-    one = keyed.join(kept, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"])
-    return one.select(*docs.columns)
+    one = keyed.join(kept, key, "left_semi").dropDuplicates(key)
+    return one.select(*columns_of(docs))

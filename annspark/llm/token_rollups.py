@@ -12,11 +12,13 @@ died half-way counts for nothing and is written over when it is tried again; a b
 is logged is not applied again.
 
 Nulls and ties. Source, language and tokenizer may be null and are groups of their own; a
-null count is 0. A document is its (doc_id, tokenizer), null ids included. Several changes
-of one document in one batch: the strongest counts (revise, then insert, then delete; then
-the larger count, source, language). Inserting a document that is already there replaces
-it; deleting one that is not there does nothing; other operations are refused. An empty
-batch is logged and changes nothing. Further columns are ignored.
+null count is 0. A key is a (doc_id, tokenizer), null ids included, and may stand for several
+documents: rows that share an id, and rows without one, each count. A batch's rows of a key
+are told apart by operation only: of revise, insert and delete the strongest, in this order,
+counts, and all rows with it become what the key stands for from then on, one document a
+row, equal rows included. So inserting a key that is already there replaces it; deleting one
+that is not there does nothing; other operations are refused. An empty batch is logged and
+changes nothing. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annspark.llm.common import attach, plain_key, written
 from annspark.session import scratch_path
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -72,17 +75,20 @@ class TokenRollup:
             rank = F.when(F.col("op") == op, F.lit(r)).otherwise(rank)
         rank = F.coalesce(rank, F.raise_error(F.concat(F.lit("unknown operation "), F.coalesce("op", F.lit("null"))))
                           .cast("int"))
-        # One change per document: the strongest.
-        change = (changes.select(
-            F.col("doc_id").cast("long").alias("doc_id"), "tokenizer",
-            F.struct(rank.alias("rank"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("tokens"),
-                     F.col("source").alias("source"), F.col("lang").alias("lang")).alias("to"))
-            .groupBy("doc_id", "tokenizer").agg(F.max("to").alias("to")))
-        plus = (change.where(F.col("to.rank") > 0)
-                .select("doc_id", "to.source", "to.lang", "tokenizer",
-                        F.lit(1).cast("long").alias("docs"), "to.tokens"))
+        change = changes.select(
+            F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "tokenizer", rank.alias("rank"),
+            F.coalesce("n_tokens", F.lit(0)).cast("long").alias("tokens"))
+        named = F.concat(plain_key("doc_id"), F.lit("|"), plain_key("tokenizer"))
+        change = written(change.withColumn("key", named), "changes")
+        keys = written(change.groupBy("key", "doc_id", "tokenizer").agg(
+            F.max("rank").alias("top"), F.min("rank").alias("low")), "changed-keys")
+        # Only keys with several operations need to be looked up; a key may be hot.
+        several = keys.where("top <> low").select("key", "top")
+        strongest = attach(change, several, "key", F.xxhash64("tokens", "source", "lang"))
+        plus = (strongest.where("rank > 0 and rank = coalesce(top, rank)")
+                .groupBy("doc_id", *KEYS).agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens")))
         before = self.ledger().withColumnRenamed("doc_id", "_d").withColumnRenamed("tokenizer", "_t")
-        minus = (before.join(change.select("doc_id", "tokenizer"),
+        minus = (before.join(keys.select("doc_id", "tokenizer"),
                              F.col("_d").eqNullSafe(F.col("doc_id")) & F.col("_t").eqNullSafe(F.col("tokenizer")))
                  .select("doc_id", "source", "lang", "tokenizer", (-F.col("docs")).alias("docs"),
                          (-F.col("tokens")).alias("tokens")))
