@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annspark.llm import bpe, mixing, quality_rules, sentence_spans, simhash
-from annspark.llm.common import read_table, written
+from annspark.llm.common import columns_of, fresh, read_table, written
 from annspark.llm.queries import tokenizer_path
 
 
@@ -29,12 +29,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sentences of repeated passages go, all but the first time; ``n_chars`` follows the
     text. A document that consists of repeated passages alone goes."""
-    cleaned = sentence_spans.sentence_span_dedup(docs)
-    emptied = (F.col("span_dedup.n_removed") > 0) & (F.trim("text") == "")
+    found, = fresh(docs, "span_dedup")
+    cleaned = sentence_spans.sentence_span_dedup(docs, out_col=found)
+    removed = F.col(found)["n_removed"] > 0
+    emptied = removed & (F.trim("text") == "")
     return (cleaned.where(~F.coalesce(emptied, F.lit(False)))
-            .withColumn("n_chars", F.when(F.col("span_dedup.n_removed") > 0, F.length("text").cast("long"))
-                        .otherwise(F.col("n_chars")))
-            .select(*docs.columns))
+            .withColumn("n_chars", F.when(removed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+            .select(*columns_of(docs)))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
