@@ -25,10 +25,11 @@ from annspark.operators.evaluate import (  # noqa: E402
     match_share,
     recall_at_k,
     strict_majority_accuracy,
-    sweep,
 )
 from annspark.operators.index import bucket_histogram, bucket_index, bucket_summary  # noqa: E402
+from annspark.operators.pruned import exact_knn_pruned  # noqa: E402
 from annspark.operators.search import exact_knn, knn_join, knn_one, similarity_join  # noqa: E402
+from annspark.operators.sweeps import sweep, sweep_sign  # noqa: E402
 
 __all__ = [
     "EuclideanFamily",
@@ -40,6 +41,7 @@ __all__ = [
     "bucket_vote_classify",
     "exact_classify",
     "exact_knn",
+    "exact_knn_pruned",
     "knn_classify",
     "knn_join",
     "knn_one",
@@ -48,5 +50,6 @@ __all__ = [
     "similarity_join",
     "strict_majority_accuracy",
     "sweep",
+    "sweep_sign",
     "vote",
 ]

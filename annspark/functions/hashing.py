@@ -213,6 +213,27 @@ def signature_column(family, width: int, col="features") -> Column:
     return _sig(F.col(col) if isinstance(col, str) else col)
 
 
+def projection_column(family, width: int, col="features") -> Column:
+    """``array<double>``: the raw projections ``family.buckets`` is made of, one pass for
+    every bucket length."""
+    directions = family.directions(family.planes(width))
+
+    @F.arrow_udf("array<double>")
+    def _projected(v: pa.Array) -> pa.Array:
+        p = project(v, width, directions)
+        offsets = pa.array(np.arange(0, p.size + 1, max(1, p.shape[1]), dtype=np.int32)[:len(p) + 1])
+        return pa.ListArray.from_arrays(offsets, pa.array(p.ravel()))
+
+    return _projected(F.col(col) if isinstance(col, str) else col)
+
+
+def euclid_buckets(projected: Column, bucket_length: float) -> Column:
+    """Buckets of stored projections, as ``EuclideanFamily.buckets`` gives them."""
+    top = 1 << 62
+    return F.transform(projected, lambda p: F.greatest(F.lit(-top), F.least(
+        F.lit(top), F.floor(p / F.lit(float(bucket_length))).cast("long"))))
+
+
 def hash_vectors(df: DataFrame, family, width: int, col: str = "features",
                  out: str = "sig") -> DataFrame:
     """Add the signature column ``out`` to a vector table."""

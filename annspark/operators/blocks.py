@@ -28,6 +28,9 @@ from annspark.functions.sparse import block_matrices
 
 DEFAULT_BLOCK_ROWS = 2048
 DEFAULT_MAX_BROADCAST_ROWS = 100_000
+# Vector bytes of a side of an exact block: the copies of each side fall with the other
+# side's block size, and the kernel works through a block in chunks anyway.
+EXACT_BLOCK_BYTES = 16 * 1024 * 1024
 # Target bytes per cogroup partition, used to scale the partition count with the data
 # (rows, replication and vector width) instead of trusting a fixed shuffle setting.
 PARTITION_BYTES = 256 * 1024 * 1024
@@ -105,7 +108,7 @@ def count_rows(q_rows: DataFrame, t_rows: DataFrame) -> tuple[int, int]:
     return int(row["q"] or 0), int(row["t"] or 0)
 
 
-def _uniform(q_exp: DataFrame, t_exp: DataFrame, n_tb: int, n_qb: int):
+def uniform_blocks(q_exp: DataFrame, t_exp: DataFrame, n_tb: int, n_qb: int):
     t_side = _replicate(t_exp.withColumn("n_tb", F.lit(n_tb)).withColumn("n_qb", F.lit(n_qb)),
                         "tblock", "n_tb", "t_id", "qblock", "n_qb")
     q_side = _replicate(q_exp.withColumn("n_tb", F.lit(n_tb)).withColumn("n_qb", F.lit(n_qb)),
@@ -114,7 +117,7 @@ def _uniform(q_exp: DataFrame, t_exp: DataFrame, n_tb: int, n_qb: int):
 
 
 def with_queries_only(t_exp: DataFrame, q_exp: DataFrame, n_tables: int,
-                      max_broadcast_rows: int) -> DataFrame:
+                      max_broadcast_rows: int, table: tuple[str, ...] = ("tbl",)) -> DataFrame:
     """Training rows whose bucket some query may have; the others are not shuffled.
 
     Buckets are hashed to ``max_broadcast_rows / n_tables`` slots a table, so the list of
@@ -123,21 +126,23 @@ def with_queries_only(t_exp: DataFrame, q_exp: DataFrame, n_tables: int,
     without partners; no row with a partner is dropped.
     """
     slots = max(1, max_broadcast_rows // max(1, n_tables))
-    slot = F.pmod(F.xxhash64("tbl", "bucket"), F.lit(slots)).alias("_slot")
-    asked = q_exp.select("tbl", slot).distinct()
-    return t_exp.select("*", slot).join(F.broadcast(asked), ["tbl", "_slot"], "left_semi").drop("_slot")
+    slot = F.pmod(F.xxhash64(*table, "bucket"), F.lit(slots)).alias("_slot")
+    asked = q_exp.select(*table, slot).distinct()
+    return t_exp.select("*", slot).join(F.broadcast(asked), [*table, "_slot"], "left_semi").drop("_slot")
 
 
 def lsh_blocks(q_exp: DataFrame, t_exp: DataFrame, block_rows: int,
-               max_broadcast_rows: int, n_q: int, n_t: int) -> tuple[DataFrame, DataFrame, int]:
+               max_broadcast_rows: int, n_q: int, n_t: int,
+               table: tuple[str, ...] = ("tbl",)) -> tuple[DataFrame, DataFrame, int]:
     """Give exploded rows (``tbl, bucket`` per row) ``tblock, qblock`` keys; the third
-    value counts the rows that splitting hot buckets adds.
+    value counts the rows that splitting hot buckets adds. ``table`` names the columns
+    that make a table.
 
     Bucket sizes come from one aggregation with map-side combine. Only buckets with more
     than ``block_rows`` rows on a side (and rows on both sides) are split; their list is
     broadcast only when it is proven small, else joined by a shuffle.
     """
-    keys = ["tbl", "bucket"]
+    keys = [*table, "bucket"]
     # Buckets of a table are spread over about (rows per table) / MERGE_ROWS groups.
     n_groups = max(1, math.ceil((n_q + n_t) / min(MERGE_ROWS, block_rows)))
     q_exp = q_exp.withColumn("bgroup", F.pmod(F.xxhash64("bucket"), F.lit(n_groups)).cast("int"))
@@ -145,7 +150,7 @@ def lsh_blocks(q_exp: DataFrame, t_exp: DataFrame, block_rows: int,
     if max(n_t, n_q) <= block_rows:
         # No bucket can hold more rows than its whole table: nothing to split, so the
         # sizing pass is skipped.
-        return *_uniform(q_exp, t_exp, 1, 1), 0
+        return *uniform_blocks(q_exp, t_exp, 1, 1), 0
     sizes = (t_exp.select(*keys, F.lit(1).alias("n_t"), F.lit(0).alias("n_q"))
              .unionByName(q_exp.select(*keys, F.lit(0).alias("n_t"), F.lit(1).alias("n_q")))
              .groupBy(*keys)
@@ -177,15 +182,14 @@ def lsh_blocks(q_exp: DataFrame, t_exp: DataFrame, block_rows: int,
     return q_side, t_side, added
 
 
-def exact_blocks(q_rows: DataFrame, t_rows: DataFrame, block_rows: int,
-                 min_groups: int, n_q: int, n_t: int) -> tuple[DataFrame, DataFrame]:
-    """Blocks over whole tables for exact search: a grid of query x training blocks."""
+def exact_grid(block_rows: int, min_groups: int, n_q: int, n_t: int) -> tuple[int, int]:
+    """Training and query blocks of an exact search: at most ``block_rows`` rows a side."""
     n_tb = max(1, math.ceil(n_t / block_rows))
     n_qb = max(1, math.ceil(n_q / block_rows))
     if n_tb * n_qb < min_groups:
         # Small inputs: split the training side further so all cores get work.
         n_tb = max(n_tb, min(math.ceil(min_groups / n_qb), max(1, n_t // 64)))
-    return _uniform(q_rows, t_rows, n_tb, n_qb)
+    return n_tb, n_qb
 
 
 class BlockKernel:
@@ -469,8 +473,10 @@ def partitions_for(spark, rows: int, width: float, value_bytes: int = 8) -> int:
 
 
 def run_blocks(q_side: DataFrame, t_side: DataFrame, keys: list[str],
-               kernel: BlockKernel, n_partitions: int | None = None) -> DataFrame:
+               kernel: BlockKernel, n_partitions: int | None = None,
+               carry: tuple[str, ...] = ()) -> DataFrame:
     """Cogroup both sides on ``keys`` and run ``kernel`` per group (Arrow in and out).
+    ``carry`` names integer keys that the result rows keep.
 
     Both sides are hash-partitioned on the keys into ``n_partitions`` (default: the
     session's shuffle partitions) explicitly: that is the cogroup's own distribution (no
@@ -483,8 +489,13 @@ def run_blocks(q_side: DataFrame, t_side: DataFrame, keys: list[str],
     label = t_side.schema["t_label"].dataType.simpleString()
 
     def per_group(q: pa.Table, t: pa.Table) -> pa.Table:
-        return kernel(q, t)
+        out = kernel(q, t)
+        for c in carry:
+            value = q.column(c)[0].as_py() if out.num_rows else 0
+            out = out.append_column(c, pa.array(np.full(out.num_rows, value, dtype=np.int32)))
+        return out
 
+    schema = KERNEL_SCHEMA.format(label=label) + "".join(f", {c} int" for c in carry)
     return (q_side.repartition(n, *keys).groupBy(*keys)
             .cogroup(t_side.repartition(n, *keys).groupBy(*keys))
-            .applyInArrow(per_group, KERNEL_SCHEMA.format(label=label)))
+            .applyInArrow(per_group, schema))

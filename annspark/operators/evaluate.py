@@ -1,20 +1,11 @@
-"""Scores: accuracy, share of matching neighbours, strict majority, recall@k, sweeps."""
+"""Scores: accuracy, share of matching neighbours, strict majority, recall@k."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annspark.functions.hashing import EuclideanFamily
-from annspark.functions.vectors import search_width
-from annspark.operators.blocks import count_rows
-from annspark.operators.classify import no_prediction
-from annspark.session import checkpoint_dir
-from annspark.operators.search import exact_knn, knn_join
-
 
 def _share(part, whole):
     """``part / whole`` as a double; 0 of 0 (no queries) is 0."""
@@ -91,82 +82,3 @@ def recall_at_k(pred: DataFrame, truth: DataFrame, query: DataFrame, k: int,
     hits_n, queries_n = (F.coalesce(F.sum(c), F.lit(0)).cast("long") for c in ("_hit", "_q"))
     return both.agg(F.lit(k).alias("k"), queries_n.alias("n_queries"), hits_n.alias("hits"),
                     _share(hits_n, F.lit(k) * queries_n).alias("recall"))
-
-
-def _spread_k(df: DataFrame, ks) -> DataFrame:
-    """Each row with rank rn goes to every k >= rn: all k scored from one top-max(k)."""
-    return df.withColumn("k", F.explode(F.filter(F.array(*[F.lit(int(k)) for k in ks]),
-                                                 lambda x: x >= F.col("rn"))))
-
-
-# The reference's search grid (bucket length x tables x k).
-SEARCH_BUCKET_LENGTHS = (2.0, 5.0, 8.0)
-SEARCH_TABLES = (3, 5, 7)
-SEARCH_KS = (1, 5, 9)
-
-
-def sweep(query: DataFrame, train: DataFrame, bucket_lengths=SEARCH_BUCKET_LENGTHS,
-          n_tables_list=SEARCH_TABLES, ks=SEARCH_KS,
-          threshold: float | None = None, seed: int = 1234, id_col: str = "id",
-          label: str = "label", truth: DataFrame | None = None, **opts) -> DataFrame:
-    """Grid over bucket length x tables x k (H7).
-
-    ``bl, nht, k, accuracy, recall, n_candidates``. One hashing and one top-max(k)
-    search per (bl, nht); every k is scored from it in a single pass (vote, recall and
-    candidate count from the same rows). The exact top max(k), the recall yardstick of
-    every setting, is computed once and checkpointed to the shared checkpoint folder.
-    ``truth`` (long rows ``q_id, t_id, rn``, e.g. ``truth_from_lists`` of a ground-truth
-    file) replaces that exact search, which is quadratic and out of reach at full scale.
-    """
-    ks = sorted({int(k) for k in ks})
-    kmax = ks[-1]
-    checkpoint_dir(query.sparkSession)
-    # Facts shared by every setting: one job each, not one per setting.
-    opts.setdefault("width", search_width(train, query, col=opts.get("features", "features")))
-    opts.setdefault("counts", count_rows(query.select(id_col), train.select(id_col)))
-    if truth is None:
-        truth = exact_knn(query, train, kmax, id_col=id_col, label=label, **opts)
-    truth = (truth.where(F.col("rn") <= kmax)
-             .select("q_id", "t_id", F.col("rn").alias("true_rn"))
-             .checkpoint(eager=True))
-    qrows = query.select(F.col(id_col).cast("long").alias("q_id"),
-                         F.col(label).alias("label"))
-    q_by_k = qrows.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
-    rows = []
-    for bl in bucket_lengths:
-        for nht in n_tables_list:
-            fam = EuclideanFamily(float(bl), int(nht), seed)
-            nb = knn_join(query, train, fam, kmax, threshold, id_col=id_col, label=label, **opts)
-            marked = _spread_k(
-                nb.join(truth, ["q_id", "t_id"], "left")
-                .withColumn("_hit", F.coalesce((F.col("true_rn") <= F.lit(kmax)).cast("int"), F.lit(0))),
-                ks)
-            # A neighbour at rank rn is a hit for k when it is also in the true top k.
-            marked = marked.withColumn(
-                "_hit", ((F.col("_hit") == 1) & (F.col("true_rn") <= F.col("k"))).cast("int"))
-            per_q = _vote_by_k(marked, q_by_k)
-            scored = (per_q.groupBy("k")
-                      .agg(F.avg(same_label(per_q, "label", "prediction").cast("double")).alias("accuracy"),
-                           (F.sum("hits") / (F.col("k") * F.count(F.lit(1)))).alias("recall"),
-                           F.sum("n_candidates").cast("long").alias("n_candidates")))
-            rows.append(scored.select(F.lit(float(bl)).alias("bl"), F.lit(int(nht)).alias("nht"),
-                                      "k", "accuracy", "recall", "n_candidates"))
-    return reduce(DataFrame.unionByName, rows)
-
-
-def _vote_by_k(nbk: DataFrame, q_by_k: DataFrame) -> DataFrame:
-    """``vote`` with k as one more grouping key; also carries the hits per (k, query)."""
-    per_label = (nbk.groupBy("k", "q_id", "t_label")
-                 .agg(F.count(F.lit(1)).alias("votes"), F.min("distance").alias("nearest"),
-                      F.max("n_candidates").alias("n_cand"), F.sum("_hit").alias("_hits")))
-    by_q = Window.partitionBy("k", "q_id")
-    best = (per_label
-            .withColumn("hits", F.sum("_hits").over(by_q))
-            .withColumn("_r", F.row_number().over(by_q.orderBy(F.desc("votes"), "nearest", "t_label")))
-            .where(F.col("_r") == 1)
-            .select("k", "q_id", F.col("t_label").alias("prediction"), "n_cand", "hits"))
-    return (q_by_k.join(best, ["k", "q_id"], "left")
-            .select("k", "q_id", "label",
-                    F.coalesce("prediction", no_prediction(best.schema["prediction"].dataType)).alias("prediction"),
-                    F.coalesce("n_cand", F.lit(0)).alias("n_candidates"),
-                    F.coalesce("hits", F.lit(0)).alias("hits")))

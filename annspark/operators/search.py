@@ -17,12 +17,14 @@ from annspark.functions.vectors import search_width, usable_rows, vector_column
 from annspark.operators.blocks import (
     DEFAULT_BLOCK_ROWS,
     DEFAULT_MAX_BROADCAST_ROWS,
+    EXACT_BLOCK_BYTES,
     BlockKernel,
     count_rows,
-    exact_blocks,
+    exact_grid,
     lsh_blocks,
     partitions_for,
     run_blocks,
+    uniform_blocks,
     with_queries_only,
 )
 from annspark.operators.topk import merge_top_k
@@ -58,7 +60,7 @@ def _sides(query: DataFrame, train: DataFrame, id_col: str, features: str, label
 
 def candidate_blocks(query: DataFrame, train: DataFrame, family, kernel_k: int | None,
                      threshold: float | None = None, exclude_self: bool = False,
-                     block_rows: int = DEFAULT_BLOCK_ROWS,
+                     block_rows: int | None = None,
                      max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
                      width: int | None = None, counts: tuple[int, int] | None = None,
                      id_col: str = "id", features: str = "features",
@@ -66,6 +68,8 @@ def candidate_blocks(query: DataFrame, train: DataFrame, family, kernel_k: int |
     """Kernel output over all blocks, ``q_id, t_id, t_label, distance, n_cand``, and its
     number of partitions.
 
+    ``block_rows`` bounds a block's rows a side; without it LSH blocks take
+    ``DEFAULT_BLOCK_ROWS`` and exact ones ``EXACT_BLOCK_BYTES`` of vectors.
     ``width`` (vector width) and ``counts`` (query rows, training rows) may be passed
     in by callers that already know them; otherwise each costs one small job.
     ``train_sig`` names a signature column already on ``train`` (an index hashed once
@@ -78,15 +82,16 @@ def candidate_blocks(query: DataFrame, train: DataFrame, family, kernel_k: int |
     n_q, n_t = (counts if counts is not None
                 else count_rows(query.select(id_col), train.select(id_col)))
     w = width or search_width(train, query, col=features)
+    values, value_bytes = _row_size(train, features, w)
     if family is None:
-        q_side, t_side = exact_blocks(q, t, block_rows, spark.sparkContext.defaultParallelism,
-                                      n_q, n_t)
+        rows = block_rows or max(DEFAULT_BLOCK_ROWS, int(EXACT_BLOCK_BYTES // max(1, values * value_bytes)))
+        n_tb, n_qb = exact_grid(rows, 2 * spark.sparkContext.defaultParallelism, n_q, n_t)
+        q_side, t_side = uniform_blocks(q, t, n_tb, n_qb)
         keys = ["tblock", "qblock"]
         kernel = BlockKernel(kernel_k, threshold, exclude_self, first_table=False)
-        n_tb = max(1, -(-n_t // block_rows))
-        n_qb = max(1, -(-n_q // block_rows))
         shuffled_rows = n_q * n_tb + n_t * n_qb
     else:
+        block_rows = block_rows or DEFAULT_BLOCK_ROWS
         q = q.withColumn("q_sig", signature_column(family, w, "q_vec"))
         if "t_sig" not in t.columns:
             t = t.withColumn("t_sig", signature_column(family, w, "t_vec"))
@@ -106,7 +111,7 @@ def candidate_blocks(query: DataFrame, train: DataFrame, family, kernel_k: int |
         # Exploded rows and the copies of split buckets: an upper bound, since training
         # rows of buckets without a query are dropped before the shuffle.
         shuffled_rows = (n_q + n_t) * family.n_tables + added
-    n_tasks = partitions_for(spark, shuffled_rows, *_row_size(train, features, w))
+    n_tasks = partitions_for(spark, shuffled_rows, values, value_bytes)
     return run_blocks(q_side, t_side, keys, kernel, n_tasks), n_tasks
 
 

@@ -23,11 +23,18 @@ FAN_IN = 256
 
 
 class PackTopK:
-    """Rows sorted by query to one row per query: ``q_id, n_cand, best``. Holds the rows of
-    one query at a time, cut to k."""
+    """Rows sorted by query to one row per query: the keys ``by``, ``n_cand, best``. Holds
+    the rows of one query at a time, cut to k."""
 
-    def __init__(self, k: int):
-        self.k = k
+    def __init__(self, k: int, by: tuple[str, ...] = ("q_id",)):
+        self.k, self.by = k, by
+
+    def starts(self, keys: list[np.ndarray]) -> np.ndarray:
+        new = np.zeros(len(keys[0]), dtype=bool)
+        new[:1] = True
+        for key in keys:
+            new[1:] |= key[1:] != key[:-1]
+        return np.flatnonzero(new)
 
     def __call__(self, batches):
         open_rows = None
@@ -38,8 +45,7 @@ class PackTopK:
             if rows.num_rows == 0:
                 continue
             kept = self.cut(rows)
-            q = kept.column("q_id").to_numpy()
-            last = int(np.searchsorted(q, q[-1]))
+            last = int(self.starts([kept.column(c).to_numpy() for c in self.by])[-1])
             open_rows = kept.slice(last)  # its query may go on in the next batch
             yield from self.packed(kept.slice(0, last))
         if open_rows is not None:
@@ -47,13 +53,13 @@ class PackTopK:
 
     def cut(self, rows: pa.Table) -> pa.Table:
         """The k best rows of each query, in order; counts summed on the first row."""
-        q, t, d, n = (rows.column(c).to_numpy() for c in ("q_id", "t_id", "distance", "n_cand"))
-        order = np.lexsort((t, d, q))
-        q = q[order]
-        start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-        lengths = np.diff(np.r_[start, len(q)])
-        rank = np.arange(len(q)) - np.repeat(start, lengths)
-        total = np.zeros(len(q), dtype=np.int64)
+        t, d, n = (rows.column(c).to_numpy() for c in ("t_id", "distance", "n_cand"))
+        keys = [rows.column(c).to_numpy() for c in self.by]
+        order = np.lexsort((t, d, *reversed(keys)))
+        start = self.starts([key[order] for key in keys])
+        lengths = np.diff(np.r_[start, len(order)])
+        rank = np.arange(len(order)) - np.repeat(start, lengths)
+        total = np.zeros(len(order), dtype=np.int64)
         total[start] = np.add.reduceat(n[order], start)
         keep = rank < self.k
         rows = rows.take(pa.array(order[keep]))
@@ -63,40 +69,43 @@ class PackTopK:
         if rows.num_rows == 0:
             return
         rows = rows.combine_chunks()
-        q = rows.column("q_id").to_numpy()
-        start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        keys = [rows.column(c).to_numpy() for c in self.by]
+        start = self.starts(keys)
         entries = pa.StructArray.from_arrays(
             [rows.column(c).combine_chunks() for c in ("distance", "t_id", "t_label")],
             names=["distance", "t_id", "t_label"])
-        best = pa.ListArray.from_arrays(pa.array(np.r_[start, len(q)].astype(np.int32)), entries)
+        best = pa.ListArray.from_arrays(pa.array(np.r_[start, rows.num_rows].astype(np.int32)), entries)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(q[start]), pa.array(rows.column("n_cand").to_numpy()[start]), best],
-            names=["q_id", "n_cand", "best"])
+            [*[pa.array(key[start]) for key in keys], pa.array(rows.column("n_cand").to_numpy()[start]), best],
+            names=[*self.by, "n_cand", "best"])
 
 
-def pack_top_k(raw: DataFrame, k: int) -> DataFrame:
+def pack_top_k(raw: DataFrame, k: int, by: tuple[str, ...] = ("q_id",)) -> DataFrame:
     """``q_id, n_cand, best`` of ``raw`` (``q_id, t_id, t_label, distance, n_cand``): at most
-    one row per query and task, without a shuffle."""
+    one row per query and task, without a shuffle. ``by`` names the integer columns that
+    make a query."""
     label = raw.schema["t_label"].dataType.simpleString()
-    schema = f"q_id long, n_cand long, best array<struct<distance:double,t_id:long,t_label:{label}>>"
-    return raw.sortWithinPartitions("q_id").mapInArrow(PackTopK(k), schema)
+    keys = ", ".join(f"{c} {raw.schema[c].dataType.simpleString()}" for c in by)
+    schema = f"{keys}, n_cand long, best array<struct<distance:double,t_id:long,t_label:{label}>>"
+    return raw.sortWithinPartitions(*by).mapInArrow(PackTopK(k, by), schema)
 
 
 def _merged(packed: DataFrame, k: int, *keys: str) -> DataFrame:
     best = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k)
-    return packed.groupBy("q_id", *keys).agg(F.sum("n_cand").alias("n_cand"), best.alias("best"))
+    return packed.groupBy(*keys).agg(F.sum("n_cand").alias("n_cand"), best.alias("best"))
 
 
-def merge_top_k(raw: DataFrame, k: int, n_tasks: int, fan_in: int = FAN_IN) -> DataFrame:
+def merge_top_k(raw: DataFrame, k: int, n_tasks: int, fan_in: int = FAN_IN,
+                by: tuple[str, ...] = ("q_id",)) -> DataFrame:
     """``q_id, t_id, t_label, distance, rn, n_candidates``: the k best rows of each query,
     order distance then t_id. ``n_tasks`` is the number of partitions of ``raw``."""
-    packed = pack_top_k(raw, k)
+    packed = pack_top_k(raw, k, by)
     if n_tasks > fan_in:
         lanes = -(-n_tasks // fan_in)
         lane = F.pmod(F.spark_partition_id(), F.lit(lanes))
-        packed = _merged(packed.withColumn("_lane", lane), k, "_lane").drop("_lane")
+        packed = _merged(packed.withColumn("_lane", lane), k, *by, "_lane").drop("_lane")
     # The _outer form keeps Catalyst from adding a size filter that would merge twice.
-    return (_merged(packed, k)
-            .select("q_id", "n_cand", F.posexplode_outer("best").alias("_pos", "b"))
-            .select("q_id", "b.t_id", "b.t_label", "b.distance", (F.col("_pos") + 1).alias("rn"),
+    return (_merged(packed, k, *by)
+            .select(*by, "n_cand", F.posexplode_outer("best").alias("_pos", "b"))
+            .select(*by, "b.t_id", "b.t_label", "b.distance", (F.col("_pos") + 1).alias("rn"),
                     F.col("n_cand").alias("n_candidates")))

@@ -108,39 +108,37 @@ def _stats(src="base") -> str:
             f"round(list_sum(v), {R}) AS vsum, round(list_inner_product(v, v), {R}) AS vsq")
 
 
-def _sweep_sql() -> str:
+def _sweep_sql(settings) -> str:
+    """``settings``: pairs of the columns that name a setting, as SQL, and its family."""
     ks = sorted(P.SWEEP_KS)
     kmax = ks[-1]
     ctes = [*ranked_ctes(None, suffix="_x")]
     selects = []
     kv = ", ".join(f"({k})" for k in ks)
     ctes.append(f"ks(k) AS (VALUES {kv})")
-    for i, bl in enumerate(P.SWEEP_BUCKET_LENGTHS):
-        for j, nht in enumerate(P.SWEEP_TABLES):
-            s = f"_{i}_{j}"
-            fam = EuclideanFamily(float(bl), int(nht), P.SIGN.seed)
-            ctes += ranked_ctes(fam, suffix=s)
-            ctes.append(
-                f"per{s} AS (SELECT ks.k, q_id, t_label, count(*) AS votes, min(distance) AS nearest "
-                f"FROM ranked{s} JOIN ks ON rn <= ks.k WHERE rn <= {kmax} GROUP BY ks.k, q_id, t_label)")
-            ctes.append(
-                f"best{s} AS (SELECT k, q_id, t_label, row_number() OVER (PARTITION BY k, q_id "
-                f"ORDER BY votes DESC, nearest, t_label) AS r FROM per{s})")
-            ctes.append(
-                f"acc{s} AS (SELECT ks.k, avg(CASE WHEN b.t_label = q.label THEN 1.0 ELSE 0.0 END) AS accuracy "
-                f"FROM q CROSS JOIN ks LEFT JOIN best{s} b ON b.q_id = q.id AND b.k = ks.k AND b.r = 1 "
-                f"GROUP BY ks.k)")
-            ctes.append(
-                f"hit{s} AS (SELECT ks.k, count(x.q_id) AS hits FROM ks LEFT JOIN (ranked{s} a JOIN ranked_x x "
-                f"ON a.q_id = x.q_id AND a.t_id = x.t_id) ON a.rn <= ks.k AND x.rn <= ks.k GROUP BY ks.k)")
-            ctes.append(
-                f"cnt{s} AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS n_candidates FROM "
-                f"(SELECT q_id, max(n_candidates) AS n FROM ranked{s} GROUP BY q_id))")
-            selects.append(
-                f"SELECT CAST({_num(bl)} AS DOUBLE) AS bl, CAST({int(nht)} AS BIGINT) AS nht, "
-                f"CAST(a.k AS BIGINT) AS k, round(a.accuracy, {R}) AS accuracy, "
-                f"round(h.hits / (a.k * (SELECT count(*) FROM q)), {R}) AS recall, c.n_candidates "
-                f"FROM acc{s} a JOIN hit{s} h ON h.k = a.k CROSS JOIN cnt{s} c")
+    for i, (names, fam) in enumerate(settings):
+        s = f"_{i}"
+        ctes += ranked_ctes(fam, suffix=s)
+        ctes.append(
+            f"per{s} AS (SELECT ks.k, q_id, t_label, count(*) AS votes, min(distance) AS nearest "
+            f"FROM ranked{s} JOIN ks ON rn <= ks.k WHERE rn <= {kmax} GROUP BY ks.k, q_id, t_label)")
+        ctes.append(
+            f"best{s} AS (SELECT k, q_id, t_label, row_number() OVER (PARTITION BY k, q_id "
+            f"ORDER BY votes DESC, nearest, t_label) AS r FROM per{s})")
+        ctes.append(
+            f"acc{s} AS (SELECT ks.k, avg(CASE WHEN b.t_label = q.label THEN 1.0 ELSE 0.0 END) AS accuracy "
+            f"FROM q CROSS JOIN ks LEFT JOIN best{s} b ON b.q_id = q.id AND b.k = ks.k AND b.r = 1 "
+            f"GROUP BY ks.k)")
+        ctes.append(
+            f"hit{s} AS (SELECT ks.k, count(x.q_id) AS hits FROM ks LEFT JOIN (ranked{s} a JOIN ranked_x x "
+            f"ON a.q_id = x.q_id AND a.t_id = x.t_id) ON a.rn <= ks.k AND x.rn <= ks.k GROUP BY ks.k)")
+        ctes.append(
+            f"cnt{s} AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS n_candidates FROM "
+            f"(SELECT q_id, max(n_candidates) AS n FROM ranked{s} GROUP BY q_id))")
+        selects.append(
+            f"SELECT {names}, CAST(a.k AS BIGINT) AS k, round(a.accuracy, {R}) AS accuracy, "
+            f"round(h.hits / (a.k * (SELECT count(*) FROM q)), {R}) AS recall, c.n_candidates "
+            f"FROM acc{s} a JOIN hit{s} h ON h.k = a.k CROSS JOIN cnt{s} c")
     return _with(*ctes) + " UNION ALL ".join(selects)
 
 
@@ -274,5 +272,24 @@ def build() -> dict[str, str]:
         f"FROM ranked a JOIN ranked_x x ON a.q_id = x.q_id AND a.t_id = x.t_id "
         f"WHERE a.rn <= {K} AND x.rn <= {P.GT_DEPTH}")
     sql["csv_recall_pipeline"] = sql["recall_at_k"]
-    sql["sweep"] = _sweep_sql()
+    sql["sweep"] = _sweep_sql([
+        (f"CAST({_num(bl)} AS DOUBLE) AS bl, CAST({nht} AS BIGINT) AS nht", EuclideanFamily(bl, nht, S.seed))
+        for bl in P.SWEEP_BUCKET_LENGTHS for nht in P.SWEEP_TABLES])
+    sql["sweep_sign"] = _sweep_sql([
+        (f"CAST({bits} AS BIGINT) AS bits, CAST({tables} AS BIGINT) AS tables", SignFamily(tables, bits, S.seed))
+        for bits, tables in P.SWEEP_SIGN])
+    sql["exact_knn_pruned"] = _with(*ranked_ctes(None)) + (
+        f"SELECT q_id, t_id, t_label, round(distance, {R}) AS distance, rn FROM ranked WHERE rn <= {K}")
+    sql["accuracy_exact"] = _with(
+        *ranked_ctes(None, q="t", t="t", exclude_self=True, suffix="_tr"), *vote_ctes(K, "_tr"),
+        *ranked_ctes(None, suffix="_te"), *vote_ctes(K, "_te"),
+    ) + acc.format(split="train", src="t", s="_tr") + " UNION ALL " + acc.format(split="test", src="q", s="_te")
+    bag = ("votes{s} AS (SELECT a.id, t.label AS t_label, count(*) AS votes FROM {src} a JOIN st b "
+           "ON a.tbl = b.tbl AND a.bucket = b.bucket AND a.id <> b.id JOIN t ON t.id = b.id GROUP BY a.id, t.label), "
+           "best{s} AS (SELECT id AS q_id, t_label, row_number() OVER (PARTITION BY id "
+           "ORDER BY votes DESC, t_label) AS r FROM votes{s})")
+    sql["accuracy_bucket_vote"] = _with(
+        planes_cte("pl", S), sig_cte("sq", "q", "pl", S), sig_cte("st", "t", "pl", S),
+        bag.format(s="_tr", src="st"), bag.format(s="_te", src="sq"),
+    ) + acc.format(split="train", src="t", s="_tr") + " UNION ALL " + acc.format(split="test", src="q", s="_te")
     return sql

@@ -16,9 +16,11 @@ HEAD_ROWS = 25
 SAMPLE_FRACTION, SAMPLE_SEED = 0.3, 1234
 BATCH_SIZE = 32
 GT_DEPTH = K
-SWEEP_BUCKET_LENGTHS = (0.1, 0.2)
-SWEEP_TABLES = (2, 3)
+# The reference's grid of 27 settings, its bucket lengths scaled to unit vectors.
+SWEEP_BUCKET_LENGTHS = (0.1, 0.2, 0.4)
+SWEEP_TABLES = (3, 5, 7)
 SWEEP_KS = (1, 5, 9)
+SWEEP_SIGN = ((3, 10), (5, 20), (7, 25), (5, 10))  # (bits, tables)
 ROUND = 6
 # Small blocks and one-bit tables: the paths of hot buckets on small tables too.
 SPLIT_ROWS = 64

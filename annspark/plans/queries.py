@@ -27,7 +27,6 @@ from annspark.operators.evaluate import (
     match_share,
     recall_at_k,
     strict_majority_accuracy,
-    sweep,
     truth_from_lists,
 )
 from annspark.operators.index import (
@@ -43,6 +42,8 @@ from annspark.operators.search import (
     knn_one_indexed,
     similarity_join,
 )
+from annspark.operators.pruned import exact_knn_pruned
+from annspark.operators.sweeps import sweep, sweep_sign
 from annspark.plans import params as P
 from annspark.session import scratch_path
 from annspark.sources.csv import (
@@ -320,6 +321,16 @@ def exact_knn_q(spark, sf_dir):
     return _neighbours(exact_knn(q, t, P.K))
 
 
+@query("exact_knn_pruned")
+def exact_knn_pruned_q(spark, sf_dir):
+    """The same answer as ``exact_knn`` from rings around pivots, skipping those the
+    triangle inequality rules out."""
+    _, q, t = _data(spark, sf_dir)
+    nb = exact_knn_pruned(q, t, P.K, block_rows=P.SPLIT_ROWS)
+    return nb.select("q_id", "t_id", F.col("t_label").cast("int").alias("t_label"), _r("distance").alias("distance"),
+                     F.col("rn").cast("long").alias("rn"))
+
+
 @query("exact_self_knn")
 def exact_self_knn(spark, sf_dir):
     """Every row of the table against the whole table, the row itself left out."""
@@ -466,14 +477,32 @@ def strict_majority_q(spark, sf_dir):
 def accuracy_train_test(spark, sf_dir):
     """Training rows (self left out) and test rows scored in one run."""
     _, q, t = _data(spark, sf_dir)
-    train_pred = knn_classify(t, t, P.SIGN, P.K, exclude_self=True)
-    test_pred = knn_classify(q, t, P.SIGN, P.K)
+    return _both_scored(knn_classify(t, t, P.SIGN, P.K, exclude_self=True), knn_classify(q, t, P.SIGN, P.K))
+
+
+def _both_scored(train_pred: DataFrame, test_pred: DataFrame) -> DataFrame:
     parts = [accuracy(p).select(F.lit(name).alias("split"), F.col("n").cast("long"),
                                 F.col("hits").cast("long"), _r("accuracy").alias("accuracy"))
              for name, p in (("train", train_pred), ("test", test_pred))]
     return parts[0].unionByName(parts[1])
 
 
+@query("accuracy_bucket_vote")
+def accuracy_bucket_vote(spark, sf_dir):
+    """H8, H4: the bucket vote scored on training rows (their own vote taken out) and on
+    test rows."""
+    _, q, t = _data(spark, sf_dir)
+    return _both_scored(bucket_vote_classify(t, t, P.SIGN, P.WIDTH, exclude_self=True),
+                        bucket_vote_classify(q, t, P.SIGN, P.WIDTH))
+
+
+@query("accuracy_exact")
+def accuracy_exact(spark, sf_dir):
+    """H8, H6: the exact classifier scored on training rows (self left out) and test rows."""
+    _, q, t = _data(spark, sf_dir)
+    return _both_scored(exact_classify(t, t, P.K, exclude_self=True), exact_classify(q, t, P.K))
+
+
 @query("neighbour_lists")
 def neighbour_lists(spark, sf_dir):
     """Each query's neighbour ids in rank order (bounded by k)."""
@@ -522,9 +551,20 @@ def csv_recall_pipeline(spark, sf_dir):
 
 @query("sweep")
 def sweep_q(spark, sf_dir):
-    """H7: bucket length x tables x k, each setting hashed once, all k from one ranking."""
+    """H7: the 3 x 3 x 3 grid of bucket length, tables and k from one projection and one pass."""
     _, q, t = _data(spark, sf_dir)
     res = sweep(q, t, P.SWEEP_BUCKET_LENGTHS, P.SWEEP_TABLES, P.SWEEP_KS)
     return res.select("bl", F.col("nht").cast("long").alias("nht"), F.col("k").cast("long").alias("k"),
                       _r("accuracy").alias("accuracy"), _r("recall").alias("recall"),
                       F.col("n_candidates").cast("long").alias("n_candidates"))
+
+
+@query("sweep_sign")
+def sweep_sign_q(spark, sf_dir):
+    """H7 for the sign family: the launch script's settings of bits and tables, from one
+    hashing of the widest."""
+    _, q, t = _data(spark, sf_dir)
+    res = sweep_sign(q, t, P.SWEEP_SIGN, P.SWEEP_KS)
+    return res.select(F.col("bits").cast("long").alias("bits"), F.col("tables").cast("long").alias("tables"),
+                      F.col("k").cast("long").alias("k"), _r("accuracy").alias("accuracy"),
+                      _r("recall").alias("recall"), F.col("n_candidates").cast("long").alias("n_candidates"))

@@ -53,11 +53,11 @@ def test_scans_read_only_needed_columns(plans):
     assert reports
 
 
-def test_sweep_runs_one_kernel_per_setting(plans):
-    from annspark.plans import params as P
-
-    settings = len(P.SWEEP_BUCKET_LENGTHS) * len(P.SWEEP_TABLES)
-    assert plans["sweep"].count("FlatMapCoGroupsInArrow") == settings
+@pytest.mark.parametrize("name", ["sweep", "sweep_sign"])
+def test_sweep_is_one_pass(plans, name):
+    """All settings come out of one kernel, over vectors hashed before it and stored."""
+    assert plans[name].count("FlatMapCoGroupsInArrow") == 1
+    assert "ArrowEvalPython" not in plans[name]
 
 
 def test_one_key_search_single_python_pass(plans):
