@@ -27,6 +27,7 @@ from annspark.operators.evaluate import (  # noqa: E402
     strict_majority_accuracy,
 )
 from annspark.operators.index import bucket_histogram, bucket_index, bucket_summary  # noqa: E402
+from annspark.operators.late import late_knn_join  # noqa: E402
 from annspark.operators.pruned import exact_knn_pruned  # noqa: E402
 from annspark.operators.search import exact_knn, knn_join, knn_one, similarity_join  # noqa: E402
 from annspark.operators.sweeps import sweep, sweep_sign  # noqa: E402
@@ -45,6 +46,7 @@ __all__ = [
     "knn_classify",
     "knn_join",
     "knn_one",
+    "late_knn_join",
     "match_share",
     "recall_at_k",
     "similarity_join",

@@ -21,7 +21,7 @@ from annspark.functions.vectors import (
     vector_sq,
     vector_sum,
 )
-from annspark.operators.classify import bucket_vote_classify, exact_classify, knn_classify
+from annspark.operators.classify import bucket_vote_classify, exact_classify, knn_classify, vote
 from annspark.operators.evaluate import (
     accuracy,
     match_share,
@@ -42,6 +42,7 @@ from annspark.operators.search import (
     knn_one_indexed,
     similarity_join,
 )
+from annspark.operators.late import late_knn_join
 from annspark.operators.pruned import exact_knn_pruned
 from annspark.operators.sweeps import sweep, sweep_sign
 from annspark.plans import params as P
@@ -290,6 +291,21 @@ def batch_top_k(spark, sf_dir):
     return _neighbours(knn_join(q, t, P.SIGN, P.K))
 
 
+@query("late_top_k")
+def late_top_k(spark, sf_dir):
+    """``batch_top_k`` on one-byte codes, vectors fetched once for the pairs
+    that bounds leave."""
+    _, q, t = _data(spark, sf_dir)
+    return _neighbours(late_knn_join(q, t, P.SIGN, P.K))
+
+
+@query("late_rerank_classify")
+def late_rerank_classify(spark, sf_dir):
+    """H5 with late materialisation, blocks split and crowded ones compared on vectors."""
+    _, q, t = _data(spark, sf_dir)
+    return vote(late_knn_join(q, t, P.HOT, P.K, block_rows=P.SPLIT_ROWS, max_pairs=1), q)
+
+
 @query("indexed_search")
 def indexed_search(spark, sf_dir):
     """Training rows hashed once into a Parquet index, then searched (top k per
