@@ -15,6 +15,7 @@ and shipped in the UDF closure. Hashing is one matrix product per Arrow batch.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -213,6 +214,22 @@ def signature_column(family, width: int, col="features") -> Column:
     return _sig(F.col(col) if isinstance(col, str) else col)
 
 
+def family_digest(family, width: int) -> str:
+    """Name of what a family does to vectors of ``width`` components: equal digests, equal
+    buckets. Indexes carry it, so that a search with another family is an error."""
+    shape = (f"tables={family.n_tables} bits={getattr(family, 'n_bits', 0)} "
+             f"length={getattr(family, 'bucket_length', 0.0)!r} width={width}")
+    planes = np.ascontiguousarray(family.directions(family.planes(width)), dtype="<f8")
+    return hashlib.sha256(shape.encode() + planes.tobytes()).hexdigest()
+
+
+def check_family(df: DataFrame, sig: str, family, width: int) -> None:
+    """Error if the stored signatures ``sig`` were made by another family."""
+    made_by = df.schema[sig].metadata.get("family")
+    if made_by is not None and made_by != family_digest(family, width):
+        raise ValueError("the index was built with another hash family or vector width")
+
+
 def projection_column(family, width: int, col="features") -> Column:
     """``array<double>``: the raw projections ``family.buckets`` is made of, one pass for
     every bucket length."""

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annspark.functions.hashing import signature_column
+from annspark.functions.hashing import family_digest, signature_column
+from annspark.functions.sparse import is_sparse
 from annspark.functions.vectors import search_width, usable_rows, vector_column
+from annspark.operators.blocks import partitions_for
 from annspark.session import scratch_path
 
 
@@ -56,7 +58,9 @@ def build_index(train: DataFrame, family, path: str | None = None, width: int |
     cols = [F.col(id_col).cast("long").alias(id_col), F.col(features).alias(features)]
     if label in train.columns:
         cols.append(F.col(label).alias(label))
-    hashed = train.select(*cols).withColumn(sig, signature_column(family, w, vector_column(train, features)))
+    made = signature_column(family, w, vector_column(train, features))
+    # The family's digest stays with the column, so searches can check theirs against it.
+    hashed = train.select(*cols, made.alias(sig, metadata={"family": family_digest(family, w)}))
     out = path or scratch_path(spark, "lsh-index")
     hashed.write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)
@@ -78,10 +82,12 @@ def build_bucket_index(train: DataFrame, family, path: str | None = None,
     spark = train.sparkSession
     w = width or search_width(train, col=features)
     train = train.where(usable_rows(train, features))
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    values = w if not is_sparse(train, features) else 64
+    n = num_partitions or partitions_for(spark, train.select(id_col).count() * family.n_tables, values)
     cols = [F.col(id_col).cast("long").alias("id"), F.col(features).alias("features"),
             (F.col(label) if label in train.columns else F.lit(None)).alias("label"),
-            signature_column(family, w, vector_column(train, features)).alias("sig")]
+            signature_column(family, w, vector_column(train, features)).alias(
+                "sig", metadata={"family": family_digest(family, w)})]
     long = (train.select(*cols)
             .select("id", "features", "label", "sig", F.posexplode_outer("sig").alias("tbl", "bucket")))
     out = path or scratch_path(spark, "lsh-bucket-index")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from annspark.functions.hashing import arrow_matrix, project, signature_column
+from annspark.functions.hashing import arrow_matrix, check_family, project, signature_column
 from annspark.functions.sparse import distances_to, is_sparse
 from annspark.functions.vectors import search_width, usable_rows, vector_column
 from annspark.operators.blocks import (
@@ -93,7 +93,9 @@ def candidate_blocks(query: DataFrame, train: DataFrame, family, kernel_k: int |
     else:
         block_rows = block_rows or DEFAULT_BLOCK_ROWS
         q = q.withColumn("q_sig", signature_column(family, w, "q_vec"))
-        if "t_sig" not in t.columns:
+        if "t_sig" in t.columns:
+            check_family(train, train_sig, family, w)
+        else:
             t = t.withColumn("t_sig", signature_column(family, w, "t_vec"))
         # The _outer form: a plain posexplode makes Catalyst infer ``size(sig) > 0`` and
         # push it below the projection, which runs the hashing UDF twice. Signatures
@@ -179,6 +181,8 @@ def knn_one(train: DataFrame, key, family=None, k: int = 5, id_col: str = "id",
     if train_sig is not None:
         t_cols.append(F.col(train_sig).alias("_sig"))
     t = train.where(usable_rows(train, features)).select(*t_cols)
+    if family is not None and train_sig is not None:
+        check_family(train, train_sig, family, width)
     ksig = None if family is None else family.signatures(kv[None, :]).reshape(-1)
     planes = None if family is None or train_sig is not None else family.planes(width)
     if ksig is not None and train_sig is not None:
@@ -222,6 +226,7 @@ def knn_one_indexed(spark, index_path: str, key, family, k: int = 5) -> DataFram
     width = len(kv)
     ksig = family.signatures(kv[None, :]).reshape(-1).tolist()
     index = spark.read.parquet(index_path)
+    check_family(index, "sig", family, width)
     parts = []
     for j, b in enumerate(ksig):
         first_here = F.lit(True)

@@ -207,6 +207,7 @@ def build() -> dict[str, str]:
     ) + f"SELECT id, label, round(distance, {R}) AS distance, rn FROM r WHERE rn <= {K}"
     sql["search_one_key_indexed"] = sql["search_one_key"]
     sql["batch_top_k"] = neighbours_sql(S)
+    sql["bucketed_index_search"] = sql["batch_top_k"]
     sql["late_top_k"] = sql["batch_top_k"]
     sql["late_rerank_classify"] = classify_sql(P.HOT)
     sql["indexed_search"] = sql["batch_top_k"]

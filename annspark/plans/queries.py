@@ -21,6 +21,7 @@ from annspark.functions.vectors import (
     vector_sq,
     vector_sum,
 )
+from annspark.operators.bucketed import build_bucketed_index
 from annspark.operators.classify import bucket_vote_classify, exact_classify, knn_classify, vote
 from annspark.operators.evaluate import (
     accuracy,
@@ -315,6 +316,13 @@ def indexed_search(spark, sf_dir):
     return _neighbours(knn_join(q, index, P.SIGN, P.K, train_sig="sig"))
 
 
+@query("bucketed_index_search")
+def bucketed_index_search(spark, sf_dir):
+    """The index as a bucketed table with a manifest, read in place."""
+    _, q, t = _data(spark, sf_dir)
+    return _neighbours(build_bucketed_index(t, P.SIGN, block_rows=P.SPLIT_ROWS).search(q, P.SIGN, P.K))
+
+
 @query("batched_queries")
 def batched_queries(spark, sf_dir):
     """Queries split into batches of about BATCH_SIZE by id; results per batch."""
