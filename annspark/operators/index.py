@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from annspark.functions.hashing import family_digest, signature_column
 from annspark.functions.sparse import is_sparse
 from annspark.functions.vectors import search_width, usable_rows, vector_column
-from annspark.operators.blocks import partitions_for
+from annspark.operators.blocks import DEFAULT_MAX_BROADCAST_ROWS, join_checked, partitions_for
 from annspark.session import scratch_path
 
 
@@ -42,6 +42,44 @@ def bucket_summary(train: DataFrame, family, width: int | None = None, **cols) -
                  F.min("id").alias("id_min"), F.max("id").alias("id_max")))
 
 
+POSTING_IDS = 256  # ids of a list
+POSTING_LISTS = 8  # lists of a row, on average
+
+
+def bucket_postings(train: DataFrame, family, width: int | None = None, list_ids: int = POSTING_IDS,
+                    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS, **cols) -> DataFrame:
+    """Member lists of the buckets (E2): ``tbl, bucket, part, n_members, lists``.
+
+    ``lists`` holds sorted lists of at most ``list_ids`` members, each as its first id and
+    the differences of all members to it. A bucket with more members than a row's share
+    (``POSTING_LISTS`` lists) is spread over several rows by a hash of the id, so no row
+    grows with the bucket. Ids are taken to be unique.
+    """
+    members = bucket_index(train, family, width, **cols).select("tbl", "bucket", "id")
+    share = list_ids * POSTING_LISTS
+    sizes = members.groupBy("tbl", "bucket").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    # Only buckets that need several rows are looked up.
+    dealt = (join_checked(members, sizes.where("_parts > 1"), ["tbl", "bucket"], "left", max_broadcast_rows, "id")
+             .withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")))
+    rows = dealt.groupBy("tbl", "bucket", "part").agg(F.array_sort(F.collect_list("id")).alias("_ids"))
+    starts = F.sequence(F.lit(1), F.size("_ids"), F.lit(list_ids))
+
+    def one(start):
+        ids = F.slice("_ids", start, F.lit(list_ids))
+        first = F.get(ids, F.lit(0))
+        return F.struct(first.alias("first"), F.transform(ids, lambda i: i - first).alias("offsets"))
+
+    return rows.select("tbl", "bucket", "part", F.size("_ids").cast("long").alias("n_members"),
+                       F.transform(starts, one).alias("lists"))
+
+
+def flatten_postings(postings: DataFrame) -> DataFrame:
+    """``tbl, bucket, id``: the members back from their lists."""
+    ids = F.flatten(F.transform("lists", lambda p: F.transform(p["offsets"], lambda o: p["first"] + o)))
+    return postings.select("tbl", "bucket", F.explode_outer(ids).alias("id"))
+
+
 def build_index(train: DataFrame, family, path: str | None = None, width: int | None = None,
                 id_col: str = "id", features: str = "features", label: str = "label",
                 sig: str = "sig") -> DataFrame:

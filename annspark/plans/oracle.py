@@ -211,10 +211,13 @@ def build() -> dict[str, str]:
     sql["late_top_k"] = sql["batch_top_k"]
     sql["late_rerank_classify"] = classify_sql(P.HOT)
     sql["indexed_search"] = sql["batch_top_k"]
-    sql["batched_queries"] = _with(*ranked_ctes(E)) + (
-        f"SELECT q_id, t_id, t_label, round(distance, {R}) AS distance, rn, n_candidates, "
-        f"CAST(q_id % (SELECT CAST(ceil(count(*) / {P.BATCH_SIZE}.0) AS BIGINT) FROM q) AS BIGINT) AS batch "
-        f"FROM ranked WHERE rn <= {K}")
+    pairs = ("pairs AS (SELECT q.id AS q_id, CAST(count(b.id) AS BIGINT) AS n_pairs FROM q JOIN sq a ON a.id = q.id "
+             "LEFT JOIN st b ON a.tbl = b.tbl AND a.bucket = b.bucket GROUP BY q.id)")
+    batched = (f"batched AS (SELECT q_id, n_pairs, CAST((sum(n_pairs) OVER (ORDER BY q_id) - n_pairs) "
+               f"// {P.BATCH_PAIRS // 2} AS BIGINT) AS batch FROM pairs)")
+    sql["batched_queries"] = _with(*ranked_ctes(E), pairs, batched) + (
+        f"SELECT r.q_id, t_id, t_label, round(distance, {R}) AS distance, rn, n_candidates, b.n_pairs, b.batch "
+        f"FROM ranked r JOIN batched b ON b.q_id = r.q_id WHERE rn <= {K}")
     sql["euclid_knn"] = neighbours_sql(E, threshold=THR)
     sql["exact_knn"] = neighbours_sql(None)
     sql["exact_self_knn"] = neighbours_sql(None, q="base", t="base", exclude_self=True)
@@ -225,6 +228,10 @@ def build() -> dict[str, str]:
         "SELECT CAST(tbl AS INTEGER) AS tbl, bucket, CAST(count(*) AS BIGINT) AS n_members, "
         "CAST(sum(id) AS BIGINT) AS id_sum, min(id) AS id_min, max(id) AS id_max "
         "FROM st GROUP BY tbl, bucket")
+    sql["bucket_postings"] = _with(planes_cte("pl", P.HOT), sig_cte("st", "base", "pl", P.HOT)) + (
+        "SELECT CAST(tbl AS INTEGER) AS tbl, bucket, CAST(count(*) AS BIGINT) AS n_members, min(id) AS first_id, "
+        "max(id) AS last_id, true AS bounded FROM st GROUP BY tbl, bucket")
+    sql["flatten_postings"] = sql["sign_signatures"]
     sql["bucket_vote"] = bucket_vote_sql(S)
     top = (f"SELECT q_id, t_id, t_label, round(distance, {R}) AS distance, rn, n_candidates "
            f"FROM ranked WHERE rn <= {K}")

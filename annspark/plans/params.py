@@ -14,7 +14,8 @@ PAD_WIDTH = 72
 SPARSE_CUT = 0.1  # components smaller than this are left out of the sparse files
 HEAD_ROWS = 25
 SAMPLE_FRACTION, SAMPLE_SEED = 0.3, 1234
-BATCH_SIZE = 32
+BATCH_PAIRS = 20_000  # candidate pairs of a batch of queries
+POSTING_IDS = 16
 GT_DEPTH = K
 # The reference's grid of 27 settings, its bucket lengths scaled to unit vectors.
 SWEEP_BUCKET_LENGTHS = (0.1, 0.2, 0.4)

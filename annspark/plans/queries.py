@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annspark.functions.vectors import (
-    assign_batches,
     mint_ids,
     nonzeros,
     pad,
     vector_sq,
     vector_sum,
 )
+from annspark.operators.batches import BatchedSearch
 from annspark.operators.bucketed import build_bucketed_index
 from annspark.operators.classify import bucket_vote_classify, exact_classify, knn_classify, vote
 from annspark.operators.evaluate import (
@@ -32,9 +32,11 @@ from annspark.operators.evaluate import (
 )
 from annspark.operators.index import (
     bucket_histogram,
+    bucket_postings,
     bucket_summary,
     build_bucket_index,
     build_index,
+    flatten_postings,
 )
 from annspark.operators.search import (
     exact_knn,
@@ -325,10 +327,12 @@ def bucketed_index_search(spark, sf_dir):
 
 @query("batched_queries")
 def batched_queries(spark, sf_dir):
-    """Queries split into batches of about BATCH_SIZE by id; results per batch."""
+    """Queries packed into batches by their candidate pairs, searched one batch after
+    another against one bucketed index, each committed."""
     _, q, t = _data(spark, sf_dir)
-    nb = _neighbours(knn_join(q, t, P.EUCLID, P.K))
-    return assign_batches(nb, P.BATCH_SIZE, "q_id", n_rows=q.count())
+    run = BatchedSearch(q, t, P.EUCLID, P.K, max_pairs=P.BATCH_PAIRS)
+    run.run()
+    return _neighbours(run.results()).join(run.plan().select("q_id", "batch", "n_pairs"), "q_id")
 
 
 @query("euclid_knn")
@@ -440,6 +444,28 @@ def bucket_members(spark, sf_dir):
         F.col("id_sum").cast("long"), "id_min", "id_max")
 
 
+@query("bucket_postings")
+def bucket_postings_q(spark, sf_dir):
+    """Member lists of bounded length; here few ids a list, so buckets have several."""
+    df, _, _ = _data(spark, sf_dir)
+    rows = bucket_postings(df, P.HOT, P.WIDTH, list_ids=P.POSTING_IDS)
+    lists = F.col("lists")
+    return (rows.groupBy("tbl", "bucket").agg(
+        F.sum("n_members").alias("n_members"), F.min(F.get(lists, F.lit(0))["first"]).alias("first_id"),
+        F.max(F.array_max(F.transform(lists, lambda p: p["first"] + F.array_max(p["offsets"])))).alias("last_id"),
+        F.bool_and(F.forall(lists, lambda p: F.size(p["offsets"]) <= P.POSTING_IDS)).alias("bounded"))
+        .select(F.col("tbl").cast("int").alias("tbl"), "bucket", "n_members", "first_id", "last_id", "bounded"))
+
+
+@query("flatten_postings")
+def flatten_postings_q(spark, sf_dir):
+    """The lists written, read and flattened to one row a member."""
+    df, _, _ = _data(spark, sf_dir)
+    path = scratch_path(spark, "postings")
+    bucket_postings(df, P.SIGN, P.WIDTH, list_ids=P.POSTING_IDS).write.parquet(path)
+    return flatten_postings(spark.read.parquet(path)).select(F.col("tbl").cast("int").alias("tbl"), "bucket", "id")
+
+
 @query("bucket_vote")
 def bucket_vote(spark, sf_dir):
     """Histogram vote over the query's buckets, -1 without any."""
