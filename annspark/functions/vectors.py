@@ -152,11 +152,13 @@ def mint_ids(df: DataFrame, order_cols, id_col: str = "row_id",
     table is bounded by the partition count and safe to broadcast) plus the position
     inside the partition. ``order_cols`` should be unique; ties keep arrival order.
     """
+    from annspark.operators.blocks import partitions_for
     from annspark.session import checkpoint_dir
 
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Rows of some 512 bytes: the partition count grows with the table.
+    n = num_partitions or partitions_for(spark, df.count(), 64)
     order = [_col(c) for c in order_cols]
     ranged = (df.repartitionByRange(n, *order)
               .sortWithinPartitions(*order)

@@ -148,12 +148,17 @@ def exact_knn(query: DataFrame, train: DataFrame, k: int = 5, exclude_self: bool
     return knn_join(query, train, None, k, threshold, exclude_self, **opts)
 
 
-def similarity_join(query: DataFrame, train: DataFrame, family, threshold: float | None,
+def similarity_join(query: DataFrame, train: DataFrame, family, threshold: float | str | None = "reference",
                     exclude_self: bool = False, **opts) -> DataFrame:
-    """Pairs that share a bucket in at least one table and lie within ``threshold``.
+    """Pairs that share a bucket in at least one table and lie within ``threshold``: by
+    default the reference's cut for the vectors' width. An explicit None asks for every
+    pair of every shared bucket.
 
     Each pair once: ``q_id, t_id, t_label, distance``.
     """
+    if threshold == "reference":
+        opts.setdefault("width", search_width(train, query, col=opts.get("features", "features")))
+        threshold = reference_threshold(opts["width"])
     raw, _ = candidate_blocks(query, train, family, None, threshold, exclude_self, **opts)
     return raw.select("q_id", "t_id", "t_label", "distance")
 

@@ -195,6 +195,8 @@ def build() -> dict[str, str]:
         "SELECT id, CAST(tbl AS INTEGER) AS tbl, bucket FROM sb")
     sql["similarity_join"] = _with(*ranked_ctes(S, threshold=THR)) + (
         f"SELECT q_id, t_id, round(distance, {R}) AS distance FROM ranked")
+    sql["similarity_join_default"] = _with(*ranked_ctes(S, threshold=2.5 * P.WIDTH)) + (
+        f"SELECT q_id, t_id, round(distance, {R}) AS distance FROM ranked")
     sql["similarity_join_euclid"] = _with(*ranked_ctes(E, threshold=THR)) + (
         f"SELECT q_id, t_id, round(distance, {R}) AS distance FROM ranked")
     sql["search_one_key"] = _with(

@@ -265,6 +265,14 @@ def similarity_join_euclid(spark, sf_dir):
     return pairs.select("q_id", "t_id", _r("distance").alias("distance"))
 
 
+@query("similarity_join_default")
+def similarity_join_default(spark, sf_dir):
+    """D1, C2 without a threshold: the reference's cut of 2.5 per dimension."""
+    _, q, t = _data(spark, sf_dir)
+    pairs = similarity_join(q, t, P.SIGN)
+    return pairs.select("q_id", "t_id", _r("distance").alias("distance"))
+
+
 @query("search_one_key")
 def search_one_key(spark, sf_dir):
     """K nearest of one key vector (the row with the smallest id) in the whole table."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from annspark.operators.blocks import join_checked
 from annspark.session import checkpoint_dir
 
 
@@ -15,7 +16,7 @@ def with_position(df: DataFrame, id_col: str = "id") -> DataFrame:
     The read is pinned once by a reliable checkpoint with each row's file, split start and
     position in its task. Rows of a split keep file order, so a split's offset (a running
     sum over one row per split) plus the position inside the split is the position in the
-    table. Only that one-row-per-split table is broadcast.
+    table. That one-row-per-split table is broadcast if it is proven small.
     """
     checkpoint_dir(df.sparkSession)
     cols = df.columns
@@ -28,5 +29,5 @@ def with_position(df: DataFrame, id_col: str = "id") -> DataFrame:
     before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("_file", "_start",
                             (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_off"))
-    return (pinned.join(F.broadcast(offsets), ["_file", "_start"])
+    return (join_checked(pinned, offsets, ["_file", "_start"], "inner", spread_col="_pos")
             .select(*cols, (F.col("_pos") + F.col("_off")).alias(id_col)))
