@@ -4,7 +4,7 @@ from annspark.llm.hard_negatives import HIGH, LOW, NEGATIVES, POSITIVES, SCALE
 from annspark.llm.license_scan import RULES as LICENSE_RULES
 from annspark.llm.license_scan import SENTENCES, plain
 from annspark.llm.mixing import MAX_EPOCHS, SEED
-from annspark.llm.quality_rules import ALPHA, DELTA, RULES, WINDOW
+from annspark.llm.quality_rules import ALPHA, DELTA, RULES, WINDOW, ladder
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -53,11 +53,19 @@ FROM fitted f LEFT JOIN nearest n ON f.source IS NOT DISTINCT FROM n.source
 
 
 def quality_rules() -> str:
-    grid = ", ".join(f"('{r.name}', {k}, {c})" for r in RULES for k, c in enumerate(r.cutoffs))
-    hit = " ".join(
-        f"WHEN '{r.name}' THEN {r.scale} * {r.value} {'<' if r.below else '>'} cutoff * {r.per}"
-        for r in RULES)
-    rate = ALPHA / len(RULES)
+    rules = {r.name: r for r in RULES}
+
+    def hit(name: str, cutoff) -> str:
+        r = rules[name]
+        return f"{r.scale} * {r.value} {'<' if r.below else '>'} {cutoff} * {r.per}"
+
+    rungs = ladder()
+    tallies = ", ".join(
+        f"sum(CASE WHEN {' OR '.join(hit(*rung) for rung in reached.items())} THEN 1 ELSE 0 END)::BIGINT"
+        for reached in rungs)
+    cutoffs = ", ".join("({}, {})".format(j, ", ".join(str(reached.get(r.name, "NULL")) for r in RULES))
+                        for j, reached in enumerate(rungs))
+    rejects = " OR ".join(f"coalesce({hit(r.name, 'l.' + r.name)}, false)" for r in RULES)
     return rf"""
 WITH words AS (
   SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t,
@@ -83,21 +91,20 @@ held AS (
   SELECT base.* FROM base JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1) USING (doc_id)
   WHERE NOT base_failed),
 tallies AS (
-  SELECT lang, rule, step, cutoff, count(*) AS n,
-         sum(CASE WHEN CASE rule {hit} END THEN 1 ELSE 0 END)::BIGINT AS k
-  FROM held, (VALUES {grid}) AS grid(rule, step, cutoff) GROUP BY ALL),
+  SELECT lang, count(*) AS n, [{tallies}] AS ks FROM held GROUP BY lang),
 tested AS (
-  SELECT *, CASE WHEN k >= {rate} * n THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(
-    lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rate}) + (n - i) * ln(1 - {rate})))) END AS p
-  FROM tallies),
-best AS (
-  SELECT lang, rule, max(step) AS step FROM tested
-  WHERE p <= {DELTA} / ({len(RULES)} * (SELECT count(DISTINCT coalesce(lang, chr(0))) FROM held))
-  GROUP BY lang, rule),
-limits AS (SELECT best.lang, rule, cutoff FROM best JOIN (VALUES {grid}) AS grid(rule, step, cutoff) USING (rule, step))
+  SELECT lang, n, unnest(ks) AS k, generate_subscripts(ks, 1) - 1 AS rung FROM tallies),
+certified AS (
+  SELECT lang, max(rung) AS rung FROM tested
+  WHERE CASE WHEN k >= {ALPHA} * n THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(
+    lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})))) END
+    <= {DELTA} / (SELECT count(*) FROM tallies)
+  GROUP BY lang),
+limits AS (
+  SELECT lang, c.* FROM certified JOIN (VALUES {cutoffs}) AS c(rung, {', '.join(r.name for r in RULES)}) USING (rung))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT EXISTS (
-         SELECT 1 FROM limits l WHERE l.lang IS NOT DISTINCT FROM base.lang AND CASE rule {hit} END) AS kept
+         SELECT 1 FROM limits l WHERE l.lang IS NOT DISTINCT FROM base.lang AND ({rejects})) AS kept
 FROM base
 """
 

@@ -4,15 +4,16 @@ Base counts come from one pass over the text. A base rule rejects what is too sh
 repeats itself. Further rules (symbols per word, word length, repeated lines) get their
 cutoffs per stratum from labelled holdout rows:
 
-* A cutoff's false rejections are the good rows (label 1, past the base rule) beyond it,
-  ``k`` of ``n``. The exact binomial test of "its false-rejection rate is above ``a``"
+* The cutoffs of all rules form one ladder: every rule's most lenient cutoff, then every
+  rule's next, and so on. A rung stands for all rules at the cutoffs reached by then.
+* A rung's false rejections are the good rows (label 1, past the base rule) that any rule
+  rejects there, ``k`` of ``n``. The exact binomial test of "its false-rejection rate is above ``a``"
   has the p-value P(Binomial(n, a) <= k); this is the Clopper-Pearson upper bound turned
   round, with no approximation by a normal law.
-* Cutoffs of a rule are tested from lenient to strict and testing stops at the first that
-  is not certified (a fixed sequence, which needs no correction inside a rule). The
-  strictest certified one is used; a rule without any stays off in that stratum.
-* The error probability ``delta`` is divided by the number of (stratum, rule) sequences
-  (Bonferroni), and the allowed rate ``alpha`` of a stratum by the number of rules. So with
+* Rungs are tested from lenient to strict and testing stops at the first that is not
+  certified (a fixed sequence, which needs no correction inside a stratum). The highest
+  certified rung is used; rules it has not reached stay off in that stratum.
+* The error probability ``delta`` is divided by the number of strata (Bonferroni). So with
   probability 1 - delta, in every stratum all rules together reject at most ``alpha`` of
   the good documents.
 
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from annspark.llm.common import SPACES, attach, columns_of, written
 
 WINDOW = 5
-ALPHA = 0.01
+ALPHA = 0.02
 DELTA = 0.05
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -136,6 +137,25 @@ def binomial_tail(k: Column, n: Column, a: float) -> Column:
     return F.when(kd >= a * nd, F.lit(1.0)).otherwise(F.exp(top) * total)
 
 
+def ladder(rules=RULES) -> list[dict]:
+    """The rungs: each rule's cutoff reached by then, by rule name."""
+    rungs, reached = [], {}
+    for step in range(max((len(r.cutoffs) for r in rules), default=0)):
+        for r in rules:
+            if step < len(r.cutoffs):
+                reached = {**reached, r.name: r.cutoffs[step]}
+                rungs.append(reached)
+    return rungs
+
+
+def rejected_at(rung: dict, rules=RULES) -> Column:
+    hit = F.lit(False)
+    for r in rules:
+        if r.name in rung:
+            hit = hit | r.rejects(F.lit(rung[r.name]))
+    return hit
+
+
 def thresholds(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                stratum_col: str = "lang", rules=RULES, alpha: float = ALPHA,
                delta: float = DELTA, label_col: str = "quality") -> DataFrame:
@@ -147,25 +167,23 @@ def thresholds(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id",
             .groupBy(F.col(id_col).alias("_lid")).agg(F.max(label_col).alias("_good"))
             .where("_good = 1").select("_lid"))
     held = counted.where(~F.col("base_failed")).join(good, F.col(id_col) == F.col("_lid"))
-    sums = [F.sum(r.rejects(F.lit(c)).cast("long")).alias(f"{r.name}_{c}")
-            for r in rules for c in r.cutoffs]
+    rungs = ladder(rules)
+    sums = [F.sum(rejected_at(rung, rules).cast("long")).alias(f"k{j}") for j, rung in enumerate(rungs)]
     tallies = written(held.groupBy(F.col(stratum_col).alias("stratum"))
                       .agg(F.count(F.lit(1)).alias("n"), *sums), "tallies")
-    level = delta / max(1, tallies.count() * len(rules))
-    rate = alpha / len(rules)
-    tests = F.explode(F.array(*[
-        F.struct(F.lit(r.name).alias("rule"), F.lit(step).alias("step"),
-                 F.lit(c).cast("long").alias("cutoff"), F.col(f"{r.name}_{c}").alias("k"))
-        for r in rules for step, c in enumerate(r.cutoffs)])).alias("t")
+    level = delta / max(1, tallies.count())
+    tests = F.explode(F.array(*[F.struct(F.lit(j).alias("rung"), F.col(f"k{j}").alias("k"))
+                                for j in range(len(rungs))])).alias("t")
     tested = (tallies.select("stratum", "n", tests).select("stratum", "n", "t.*")
-              .withColumn("ok", binomial_tail(F.col("k"), F.col("n"), rate) <= level))
-    # A rule's stricter cutoffs reject all that its lenient ones do, so p-values only grow
-    # along a sequence: the strictest certified cutoff has all lenient ones certified.
-    strictest = []
+              .withColumn("ok", binomial_tail(F.col("k"), F.col("n"), alpha) <= level))
+    # A rung rejects all that the rungs below it do, so p-values only grow up the ladder: the
+    # highest certified rung has all lower ones certified.
+    top = tested.groupBy("stratum").agg(F.max(F.when(F.col("ok"), F.col("rung"))).alias("top"))
+    cutoffs = []
     for r in rules:
-        sure = F.col("ok") & (F.col("rule") == r.name)
-        strictest.append(F.max_by(F.when(sure, F.col("cutoff")), F.when(sure, F.col("step"))).alias(r.name))
-    return written(tested.groupBy("stratum").agg(*strictest), "thresholds")
+        reached = F.array(*[F.lit(rung.get(r.name)).cast("long") for rung in rungs])
+        cutoffs.append(F.get(reached, F.col("top")).alias(r.name))
+    return written(top.select("stratum", *cutoffs), "thresholds")
 
 
 def judge(counted: DataFrame, limits: DataFrame, stratum_col: str, rules, spread: Column) -> DataFrame:
