@@ -13,6 +13,9 @@ and the pieces covered by a repeated run are removed wherever the run is not the
   ``min_words`` words, so short stock phrases alone are no run; the run that ends at a
   sentence's end is made alike backwards, so a short last piece is covered too. Words are
   compared lower-cased, white space apart.
+* Repeated runs that overlap or touch make one span. A span goes if it has
+  ``min_span_words`` words: a stock sentence that many documents share stays, a repeated
+  passage goes, whatever the lengths of its sentences.
 * First is the run in the smallest ``id``; inside a document the earlier one.
 
 One Arrow pass writes the runs (96 hash bits, id, number); a map-side combined aggregate
@@ -41,6 +44,7 @@ from annspark.llm.common import fresh, quoted, text_key, written
 
 MIN_SENTENCES = 2
 MIN_WORDS = 12
+MIN_SPAN_WORDS = 16
 PIECE_WORDS = 10
 _NO_ID = (1 << 63) - 1
 
@@ -159,9 +163,9 @@ def digests(found: Pieces | None, firsts, lasts) -> list[bytes]:
 
 
 def cut(text: str, wanted, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS,
-        piece_words: int = PIECE_WORDS):
+        piece_words: int = PIECE_WORDS, min_span_words: int = MIN_SPAN_WORDS):
     """``(kept text, removed spans)``: the text without the pieces that the runs numbered
-    ``wanted`` cover. Spans are (start, end) in code points; neighbouring removed pieces
+    ``wanted`` cover, where these make spans of ``min_span_words`` words. Spans are (start, end) in code points; neighbouring removed pieces
     make one span, which takes the white space after it along."""
     found = pieces(text, piece_words)
     firsts, lasts = runs(found, min_sentences, min_words)
@@ -178,6 +182,8 @@ def cut(text: str, wanted, min_sentences: int = MIN_SENTENCES, min_words: int =
         first = k
         while gone[k]:
             k += 1
+        if found.last[k - 1] - found.first[first] + 1 < min_span_words:
+            continue
         start = int(found.start[first])
         end = int(found.start[k]) if k < len(found.first) else len(text)
         spans.append((start, end))
@@ -222,7 +228,8 @@ def span_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def sentence_span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS,
-                        piece_words: int = PIECE_WORDS, out_col: str = "span_dedup") -> DataFrame:
+                        piece_words: int = PIECE_WORDS, out_col: str = "span_dedup",
+                        min_span_words: int = MIN_SPAN_WORDS) -> DataFrame:
     """All columns of ``docs`` with the cleaned text, and one struct column
     ``out_col`` of ``n_removed`` (sentence spans) and ``spans`` (start, end), which takes
     the place of a column of that name."""
@@ -245,7 +252,7 @@ def sentence_span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             if not wanted or text is None:
                 out.append({"text": None, "spans": []})
                 continue
-            kept, spans = cut(text, wanted, min_sentences, min_words, piece_words)
+            kept, spans = cut(text, wanted, min_sentences, min_words, piece_words, min_span_words)
             out.append({"text": kept, "spans": [{"start": s, "end": e} for s, e in spans]})
         return pa.array(out, pa.struct([("text", pa.string()), ("spans", pa.list_(
             pa.struct([("start", pa.int32()), ("end", pa.int32())])))]))
