@@ -79,7 +79,7 @@ def test_random_batches_equal_a_recount(spark):
     rng, held = random.Random(7), {}
     rollup = token_rollups.TokenRollup(spark)
     rank = {"delete": 0, "insert": 1, "revise": 2}
-    for batch in range(5):
+    for batch in range(4):
         rows = [(rng.choice(list(rank)), rng.choice([None, *range(8)]), rng.choice("ab"), rng.choice(["en", None]),
                  rng.choice(["t", None]), rng.choice([None, 1, 2, 2, 9])) for _ in range(rng.choice([1, 12, 40]))]
         for key in {(r[1], r[4]) for r in rows}:
@@ -88,7 +88,8 @@ def test_random_batches_equal_a_recount(spark):
             held[key] = [r for r in mine if rank[r[0]] == top and top > 0]
         changes = spark.createDataFrame(rows, CHANGE)
         if batch == 2:  # an earlier try that died before it was logged
-            changes.limit(0).select("doc_id", "source", "lang", "tokenizer").write.parquet(f"{rollup.path}/ledger/b2")
+            spark.createDataFrame([(1, "a", "en", "t", 5, 70, 3)], token_rollups.LEDGER).write.partitionBy(
+                "part").parquet(f"{rollup.path}/ledger/b2")
         assert rollup.commit(f"b{batch}", changes)
         want = {}
         for (_, tokenizer), mine in held.items():
@@ -96,3 +97,23 @@ def test_random_batches_equal_a_recount(spark):
                 n, total = want.get((r[2], r[3], tokenizer), (0, 0))
                 want[r[2], r[3], tokenizer] = n + 1, total + (r[5] or 0)
         assert {tuple(r[:3]): tuple(r[3:]) for r in rollup.totals().collect()} == want
+
+
+def test_what_a_batch_opens_does_not_grow(spark, monkeypatch):
+    """A one-row commit reads the files of one part, of at most the batches not folded yet."""
+    monkeypatch.setattr(token_rollups, "FOLD", 2)
+    rollup = token_rollups.TokenRollup(spark)
+    total, opened = 0, []
+    for batch in range(5):
+        rows = [("insert", 1000 * batch + k, "a", "en", "t", 1) for k in range(200 if batch % 2 == 0 else 1)]
+        total += len(rows)
+        assert rollup.commit(f"b{batch}", spark.createDataFrame(rows, CHANGE))
+        opened.append(len(rollup.ledger([5]).inputFiles()))
+        assert {tuple(r) for r in rollup.totals().collect()} == {("a", "en", "t", total, total)}
+        assert len(rollup._live()) <= 3
+    assert not rollup.commit("b0", spark.createDataFrame([], CHANGE))  # folded batches stay known
+    plan = rollup.ledger([5])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan or "part#" in plan.split("PartitionFilters: [")[1][:40]
+    again = token_rollups.TokenRollup(spark, rollup.path)
+    assert again.commit("late", spark.createDataFrame([("delete", 0, "a", "en", "t", 0)], CHANGE))
+    assert again.totals().first().n_docs == total - 1
