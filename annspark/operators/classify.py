@@ -29,6 +29,14 @@ def no_prediction(kind: T.DataType) -> Column:
     return F.lit(None).cast(kind)
 
 
+def same_label(df: DataFrame, a: str, b: str) -> Column:
+    """Whether two label columns are equal; text against another type compares as text."""
+    texts = [isinstance(df.schema[c].dataType, T.StringType) for c in (a, b)]
+    if texts[0] != texts[1]:
+        return F.col(a).cast("string") == F.col(b).cast("string")
+    return F.col(a) == F.col(b)
+
+
 def vote(neighbours: DataFrame, query: DataFrame, id_col: str = "id",
          label: str = "label") -> DataFrame:
     """Majority label of each query's neighbours.

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from annspark.operators.classify import same_label
+from annspark.operators.sweeps import sweep, sweep_sign  # noqa: F401 - scores too
 
 
 def _share(part, whole):
@@ -12,14 +14,6 @@ def _share(part, whole):
     return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 
 
-def same_label(df: DataFrame, a: str, b: str):
-    """Whether two label columns are equal; text against another type compares as text."""
-    texts = [isinstance(df.schema[c].dataType, T.StringType) for c in (a, b)]
-    if texts[0] != texts[1]:
-        return F.col(a).cast("string") == F.col(b).cast("string")
-    return F.col(a) == F.col(b)
-
-
 def accuracy(predictions: DataFrame) -> DataFrame:
     """``n, hits, accuracy`` from ``label, prediction`` (E8, E9, E12): one aggregate."""
     hit = same_label(predictions, "label", "prediction").cast("long")

@@ -36,8 +36,7 @@ from annspark.operators.blocks import (
     run_blocks,
     with_queries_only,
 )
-from annspark.operators.classify import no_prediction
-from annspark.operators.evaluate import same_label
+from annspark.operators.classify import no_prediction, same_label
 from annspark.operators.search import _row_size, _sides, exact_knn
 from annspark.operators.topk import merge_top_k
 from annspark.session import checkpoint_dir, scratch_path
