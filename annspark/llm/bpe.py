@@ -193,7 +193,7 @@ class Encoder:
                 held, size = [], 0
         yield from self._encode(held)
 
-    def _encode(self, texts):
+    def _encode(self, texts) -> list[bytes]:
         split = [self._split(t) for t in texts]
         memo = self.memo
         if len(memo) > MEMO_WORDS:
@@ -201,11 +201,12 @@ class Encoder:
         new = {w for words in split for w in words if w not in memo}
         if new:
             self._learn(list(new))
-        for words in split:
-            yield b"".join(map(memo.__getitem__, words))
+        # Made before any is handed out: the next texts, also those of another call that is
+        # read in turn with this one, may clear the memo.
+        return [b"".join(map(memo.__getitem__, words)) for words in split]
 
     def encode(self, text: str | None) -> bytes:
-        return next(self._encode([text]))
+        return self._encode([text])[0]
 
     def decode(self, ids: bytes) -> str:
         found = np.frombuffer(ids, dtype="<u4").tolist()
