@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Products made at a time when rows are projected, and dense values of a block's matrices.
-CHUNK_VALUES = 4_000_000
-DENSE_VALUES = 32_000_000
+CHUNK_VALUES = 1_000_000
+DENSE_VALUES = 8_000_000
 
 
 def sparse_vector(size, indices: Column, values: Column) -> Column:

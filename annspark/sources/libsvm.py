@@ -67,9 +67,10 @@ def read_libsvm_sparse(spark: SparkSession, path: str, num_features: int | None
     values = F.transform(entries, lambda e: F.substring_index(e, ":", -1).cast("double"))
     df = df.select(F.element_at("_parts", 1).cast("double").alias("label"), places.alias("_i"),
                    values.alias("_v"), *keys)
-    wrong = (F.exists("_i", lambda i: (i < 0) | (i >= F.lit(width)))
-             | F.exists(F.sequence(F.lit(1), F.size("_i") - 1), lambda k: F.get("_i", k) <= F.get("_i", k - 1))
-             & (F.size("_i") > 1))
+    # One pass over the indices: the last one of an ascending row, or ``width`` from the first
+    # wrong one on (looking neighbours up by position would parse the line once per entry).
+    last = F.aggregate("_i", F.lit(-1), lambda at, i: F.when((i > at) & (i < F.lit(width)), i).otherwise(F.lit(width)))
+    wrong = last >= F.lit(width)
     checked = F.when(F.coalesce(wrong, F.lit(False)),
                      F.raise_error(F.lit(f"indices must ascend within 1..{width}"))).otherwise(F.col("_i"))
     return df.select("label", sparse_vector(width, checked, F.col("_v")).alias("features"), *keys)
