@@ -5,9 +5,14 @@ will meet. Queries, in the order of their ids, are packed so that a batch has at
 ``max_pairs`` pairs (a query with more than half of that may add its own on top). Batches
 run one after another against one bucketed index, which is built once and never shuffled.
 
-Everything lives under one folder: the index, the queries by batch, the results by batch,
-and a log. A batch is logged after its results are written, and only logged results are
-read, so a run that died goes on with the first batch not logged and repeats none.
+A job costs seconds however few pairs it meets, so batches in a row are searched by one job, a
+*round*, as long as they hold ``round_pairs`` pairs at most: the number of jobs follows the
+pairs of the whole search and not the number of batches. A batch of more is a round of its own.
+
+Everything lives under one folder: the index, the queries in order of their batches, the
+results by round, and a log. The batches of a round are logged together after its results are
+written, and only logged results are read, so a run that died goes on with the first batch
+not logged and repeats none.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from annspark.operators.bucketed import BucketedIndex, build_bucketed_index
 from annspark.session import scratch_path
 
 MAX_PAIRS = 1_000_000_000
+ROUND_PAIRS = 4_000_000_000
 SLOTS = 256
 _LOG = "name string, n long"
 
@@ -62,8 +68,10 @@ class BatchedSearch:
 
     def __init__(self, query: DataFrame, train: DataFrame, family, k: int = 5, max_pairs: int = MAX_PAIRS,
                  threshold: float | None = None, path: str | None = None, block_rows: int = DEFAULT_BLOCK_ROWS,
-                 id_col: str = "id", features: str = "features", label: str = "label"):
+                 id_col: str = "id", features: str = "features", label: str = "label",
+                 round_pairs: int = ROUND_PAIRS):
         self.spark, self.family, self.k, self.threshold = query.sparkSession, family, k, threshold
+        self.round_pairs = round_pairs
         self.path = (path or scratch_path(self.spark, "batched-search")).rstrip("/")
         self.spark.createDataFrame([], _LOG).write.mode("ignore").parquet(f"{self.path}/log")
         done = self.done()
@@ -77,12 +85,14 @@ class BatchedSearch:
             pairs = pairs_per_query(query, self.index, family, id_col, features)
             pack(pairs, max_pairs).write.mode("overwrite").parquet(f"{self.path}/plan")
             asked = query.select(F.col(id_col).cast("long").alias("q_id"), F.col(features).alias("features"))
-            (asked.join(self.plan().select("q_id", "batch"), "q_id")
-             .repartition("batch").write.mode("overwrite").partitionBy("batch").parquet(f"{self.path}/queries"))
+            # Each file holds the queries of batches in a row: a round reads those of its own.
+            (asked.join(self.plan().select("q_id", "batch"), "q_id").repartitionByRange("batch", "q_id")
+             .sortWithinPartitions("batch").write.mode("overwrite").parquet(f"{self.path}/queries"))
+            self._log("batch pairs", max(1, max_pairs // 2))
             self._log("plan", self.plan().agg(F.coalesce(F.max("batch") + 1, F.lit(0))).first()[0])
 
     def done(self) -> dict:
-        rows = self.spark.read.schema(_LOG).parquet(f"{self.path}/log").collect()  # a row per batch
+        rows = self.spark.read.schema(_LOG).parquet(f"{self.path}/log").collect()  # a row per round
         return {r["name"]: r["n"] for r in rows}
 
     def _log(self, name: str, n: int = 0) -> None:
@@ -95,23 +105,29 @@ class BatchedSearch:
     def run(self, max_batches: int | None = None) -> int:
         """Search the batches not logged yet (at most ``max_batches``); how many were."""
         done, ran = self.done(), 0
-        for batch in range(done["plan"]):
-            if f"batch {batch}" in done:
-                continue
-            if max_batches is not None and ran >= max_batches:
-                break
-            # Numbers without a query occur where one query fills several halves.
-            queries = self.spark.read.parquet(f"{self.path}/queries").where(F.col("batch") == batch)
+        at = max(self._rounds(done).values(), default=0)
+        # A batch spans that many pairs of the running sum: those of a round hold no more than
+        # ``round_pairs`` (and what its last query may add). Numbers without a query occur
+        # where one query fills several batches.
+        together = max(1, self.round_pairs // done["batch pairs"])
+        left = done["plan"] - at if max_batches is None else min(done["plan"] - at, max_batches)
+        while ran < left:
+            n = min(together, left - ran)
+            queries = (self.spark.read.parquet(f"{self.path}/queries")
+                       .where((F.col("batch") >= at) & (F.col("batch") < at + n)))
             found = self.index.search(queries, self.family, self.k, self.threshold, id_col="q_id")
-            found.write.mode("overwrite").parquet(f"{self.path}/results/batch-{batch}")
-            self._log(f"batch {batch}")
-            ran += 1
+            found.write.mode("overwrite").parquet(f"{self.path}/results/from-batch-{at}")
+            self._log(f"from batch {at}", at + n)
+            at, ran = at + n, ran + n
         return ran
 
+    def _rounds(self, done: dict) -> dict:
+        """First batch and the one after the last of each logged round."""
+        return {int(name.split()[-1]): n for name, n in done.items() if name.startswith("from batch ")}
+
     def results(self) -> DataFrame:
         """The neighbours of all logged batches, as ``knn_join`` gives them."""
-        names = [n for n in self.done() if n.startswith("batch ")]
-        paths = [f"{self.path}/results/{n.replace(' ', '-')}" for n in sorted(names)]
+        paths = [f"{self.path}/results/from-batch-{at}" for at in sorted(self._rounds(self.done()))]
         kind = self.index.rows().schema["t_label"].dataType.simpleString()
         schema = f"q_id long, t_id long, t_label {kind}, distance double, rn int, n_candidates long"
         if not paths:

@@ -335,8 +335,8 @@ def bucketed_index_search(spark, sf_dir):
 
 @query("batched_queries")
 def batched_queries(spark, sf_dir):
-    """Queries packed into batches by their candidate pairs, searched one batch after
-    another against one bucketed index, each committed."""
+    """Queries packed into batches by their candidate pairs, searched one after another
+    (small ones in rounds) against one bucketed index, each committed."""
     _, q, t = _data(spark, sf_dir)
     run = BatchedSearch(q, t, P.EUCLID, P.K, max_pairs=P.BATCH_PAIRS)
     run.run()
