@@ -9,6 +9,11 @@ rows turns into many bounded tasks instead of one huge one, and no pair is ever
 as a row: the kernel keeps only the top k per query (or the pairs within a threshold,
 which are the result of a similarity join).
 
+Cutting copies rows: each row of one side goes to every block of the other. So that copies
+grow with the table and not with its square, top-k searches let blocks grow once a table
+would be cut into more than ``MAX_SPLITS`` of them (``block_size``), up to the bytes a task
+may hold of a side; the kernel's own memory is set by its chunks, not by the block.
+
 Each (query, training) pair meets in exactly one block per table they share; a pair that
 shares several tables is only counted at the first one (signature comparison), so no
 later ``distinct`` shuffle is needed.
@@ -30,7 +35,15 @@ DEFAULT_BLOCK_ROWS = 2048
 DEFAULT_MAX_BROADCAST_ROWS = 100_000
 # Vector bytes of a side of an exact block: the copies of each side fall with the other
 # side's block size, and the kernel works through a block in chunks anyway.
-EXACT_BLOCK_BYTES = 16 * 1024 * 1024
+EXACT_BLOCK_BYTES = 8 * 1024 * 1024
+# Blocks a table is cut into before blocks grow instead.
+MAX_SPLITS = 16
+# Rows a side of a block whose pairs are all returned (joins): the block's result is one table.
+JOIN_BLOCK_ROWS = 1024
+# Values of a chunk's distance matrix, and of the vectors gathered for exact distances.
+CHUNK_VALUES = 1_000_000
+# Columns of a chunk of which only the least distance is looked at to find a bound of the k-th.
+FOLD = 32
 # Target bytes per cogroup partition, used to scale the partition count with the data
 # (rows, replication and vector width) instead of trusting a fixed shuffle setting.
 PARTITION_BYTES = 256 * 1024 * 1024
@@ -100,6 +113,13 @@ def _replicate(df: DataFrame, own_block: str, own_count: str, id_col: str,
             .drop(own_count, other_count))
 
 
+def block_size(block_rows: int, n_rows: int, row_bytes: float) -> int:
+    """Rows a side of a block: ``block_rows``, and more where a table of ``n_rows`` would be cut
+    into over ``MAX_SPLITS`` blocks, up to ``EXACT_BLOCK_BYTES`` of vectors."""
+    most = int(EXACT_BLOCK_BYTES // max(1, row_bytes))
+    return max(block_rows, min(most, math.ceil(n_rows / MAX_SPLITS)))
+
+
 def count_rows(q_rows: DataFrame, t_rows: DataFrame) -> tuple[int, int]:
     """Row counts of both sides in one job; only ids are read (no vectors, no hashing)."""
     both = (q_rows.select(F.lit(1).alias("_q"), F.lit(0).alias("_t"))
@@ -207,7 +227,7 @@ class BlockKernel:
     """
 
     def __init__(self, k: int | None, threshold: float | None, exclude_self: bool,
-                 first_table: bool, chunk_values: int = 4_000_000):
+                 first_table: bool, chunk_values: int = CHUNK_VALUES):
         if threshold is not None and not threshold >= 0:
             raise ValueError("threshold must be a number not below 0")
         self.k = k
@@ -250,11 +270,8 @@ class BlockKernel:
         qsig = None
         earlier = []
         if tbl > 0:
-            qsig = arrow_matrix(q.column("q_sig"), dtype=np.int64)[:, :tbl]
-            tsig = arrow_matrix(t.column("t_sig"), dtype=np.int64)[:, :tbl]
-            for j in range(tbl):  # training rows sorted by their bucket in table j
-                order = np.argsort(tsig[:, j], kind="stable")
-                earlier.append((order, tsig[order, j], tsig[:, j]))
+            qsig, earlier = _earlier(arrow_matrix(q.column("q_sig"), dtype=np.int64)[:, :tbl],
+                                     arrow_matrix(t.column("t_sig"), dtype=np.int64)[:, :tbl])
         # Ranking works on values scaled by one power of two per block (largest component
         # below 1), so squares neither overflow nor vanish in float32 at any magnitude.
         exp = int(np.frexp(max(np.abs(qv).max(initial=0.0), np.abs(tv).max(initial=0.0)))[1])
@@ -286,7 +303,7 @@ class BlockKernel:
         if blocked is not None:
             # Rows with few live pairs (most of their pairs were counted at an earlier
             # table: a hot bucket shared by every table) skip the matrix product.
-            sparse = (nt - blocked.sum(axis=1)) * SPARSE_ROWS <= nt
+            sparse = (nt - np.count_nonzero(blocked, axis=1)) * SPARSE_ROWS <= nt
         counts = np.zeros(nq, dtype=np.int64)
         parts = []
         rows = np.nonzero(sparse)[0]
@@ -301,8 +318,9 @@ class BlockKernel:
             parts.append((si, sj, sd))
         rows = np.nonzero(~sparse)[0]
         if len(rows):
-            di, dj, dd, dcounts = self._dense(qv[rows], q32[rows], qn[rows], tol[rows], tv, t32, tn,
-                                              exp, None if blocked is None else blocked[rows])
+            at = slice(None) if len(rows) == nq else rows  # all rows: nothing is copied
+            di, dj, dd, dcounts = self._dense(qv[at], q32[at], qn[at], tol[at], tv, t32, tn,
+                                              exp, None if blocked is None else blocked[at])
             counts[rows] = dcounts
             parts.append((rows[di], dj, dd))
         i = np.concatenate([p[0] for p in parts]).astype(np.int64)
@@ -330,11 +348,11 @@ class BlockKernel:
             if hit.any():
                 blocked = np.zeros((nq, nt), dtype=bool)
                 blocked[np.nonzero(hit)[0], pos[hit]] = True
-        for j, (order, vals, col) in enumerate(earlier):
+        for (order, vals, col), asked in zip(earlier, qsig.T if earlier else ()):
             # Few shared pairs: only they are touched (a sorted probe). Many (a hot
             # bucket shared across tables, copies): one vectorised comparison.
-            lo = np.searchsorted(vals, qsig[:, j], "left")
-            hi = np.searchsorted(vals, qsig[:, j], "right")
+            lo = np.searchsorted(vals, asked, "left")
+            hi = np.searchsorted(vals, asked, "right")
             cnt = hi - lo
             total = int(cnt.sum())
             if total == 0:
@@ -342,7 +360,7 @@ class BlockKernel:
             if blocked is None:
                 blocked = np.zeros((nq, nt), dtype=bool)
             if total * 8 > nq * nt:
-                np.logical_or(blocked, qsig[:, j, None] == col[None, :], out=blocked)
+                np.logical_or(blocked, asked[:, None] == col[None, :], out=blocked)
             else:
                 rows = np.repeat(np.arange(nq), cnt)
                 offs = np.arange(total) - np.repeat(np.cumsum(cnt) - cnt, cnt) + np.repeat(lo, cnt)
@@ -360,7 +378,7 @@ class BlockKernel:
         np.maximum(d2, np.float32(0.0), out=d2)
         masked = blocked is not None
         if masked:
-            d2[blocked] = np.inf
+            np.putmask(d2, blocked, np.float32(np.inf))
         if self.threshold is not None:
             thr2 = float(np.ldexp(float(self.threshold), -exp) ** 2)
             near = np.abs(d2 - thr2) <= tol[:, None]
@@ -368,16 +386,15 @@ class BlockKernel:
             if near.any():
                 i, j = np.nonzero(near)
                 out[i, j] = _exact(qv, tv, i, j) >= self.threshold
-            d2[out] = np.inf
+            np.putmask(d2, out, np.float32(np.inf))
             masked = True
-        counts = np.isfinite(d2).sum(axis=1) if masked else np.full(len(qv), d2.shape[1])
+        counts = np.count_nonzero(np.isfinite(d2), axis=1) if masked else np.full(len(qv), d2.shape[1])
         if self.k is None:
             flat = np.flatnonzero(np.isfinite(d2)) if masked else np.arange(d2.size)
             i, j = np.divmod(flat, d2.shape[1])
             return i, j, _exact(qv, tv, i, j), counts
-        kk = min(self.k, d2.shape[1])
-        kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
-        # Candidates: everything up to the k-th value plus its rounding margin (ties and
+        kth = _kth_bound(d2, min(self.k, d2.shape[1]))
+        # Candidates: everything up to the k-th value (or a bound of it) plus its rounding margin (ties and
         # copies included); exact distances then decide the order (distance, t_id).
         top = np.finfo(np.float32).max  # finite: masked (inf) entries never qualify
         lim = np.minimum(np.where(np.isfinite(kth), kth + tol, top), top).astype(np.float32)
@@ -437,12 +454,38 @@ class BlockKernel:
         return rows, rj[offs], e[ri[offs], rj[offs]]
 
 
+def _earlier(qsig: np.ndarray, tsig: np.ndarray):
+    """Buckets of the earlier tables, numbered within the block by a small type:
+    ``(queries' numbers, [(order, sorted numbers, numbers) of the training rows] by table)``."""
+    codes, earlier = [], []
+    for j in range(qsig.shape[1]):
+        found, code = np.unique(np.concatenate([qsig[:, j], tsig[:, j]]), return_inverse=True)
+        code = code.ravel().astype(np.min_scalar_type(len(found)))
+        mine, col = code[:len(qsig)], code[len(qsig):]
+        order = np.argsort(col, kind="stable")
+        codes.append(mine)
+        earlier.append((order, col[order], col))
+    return np.stack(codes, axis=1), earlier
+
+
+def _kth_bound(d2: np.ndarray, kk: int) -> np.ndarray:
+    """The k-th least value of each row, or a bound not below it: the k-th least of the least
+    values of groups of ``FOLD`` columns. Where fewer than k groups hold a finite value the
+    bound is infinite, and at most ``k * FOLD`` values of the row are finite."""
+    n = d2.shape[1] // FOLD
+    if n < 16 * kk:
+        return np.partition(d2, kk - 1, axis=1)[:, kk - 1]
+    least = d2[:, :n * FOLD].reshape(len(d2), FOLD, n).min(axis=1)
+    least = np.concatenate([least, d2[:, n * FOLD:]], axis=1)
+    return np.partition(least, kk - 1, axis=1)[:, kk - 1]
+
+
 def _exact(qv, tv, i, j) -> np.ndarray:
     """Distances of the pairs (i, j) in float64 from the stored values (exact widening)."""
     if len(i) == 0:
         return np.zeros(0, dtype=np.float64)
     out = np.empty(len(i), dtype=np.float64)
-    step = max(1, 4_000_000 // max(1, qv.shape[1]))
+    step = max(1, CHUNK_VALUES // max(1, qv.shape[1]))
     for s in range(0, len(i), step):
         diff = qv[i[s:s + step]].astype(np.float64) - tv[j[s:s + step]].astype(np.float64)
         d = np.sqrt(np.einsum("ij,ij->i", diff, diff))

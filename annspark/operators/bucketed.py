@@ -27,6 +27,7 @@ from annspark.operators.blocks import (
     DEFAULT_MAX_BROADCAST_ROWS,
     MERGE_ROWS,
     BlockKernel,
+    block_size,
     KERNEL_SCHEMA,
     join_checked,
     partitions_for,
@@ -116,6 +117,7 @@ def build_bucketed_index(train: DataFrame, family, path: str | None = None, widt
         F.col(id_col).cast("long").alias("t_id"), vector_column(train, features).alias("t_vec"),
         t_label.alias("t_label"))
     n_rows = t.select("t_id").count()
+    block_rows = block_size(block_rows, n_rows, 8 * (64 if is_sparse(train, features) else w))
     n_groups = max(1, -(-n_rows // min(MERGE_ROWS, block_rows)))
     rows = _grouped(_exploded(t, family, w, "t"), n_groups)
     sizes = rows.groupBy("tbl", "bucket").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("n_tb"))

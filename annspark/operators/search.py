@@ -18,7 +18,9 @@ from annspark.operators.blocks import (
     DEFAULT_BLOCK_ROWS,
     DEFAULT_MAX_BROADCAST_ROWS,
     EXACT_BLOCK_BYTES,
+    JOIN_BLOCK_ROWS,
     BlockKernel,
+    block_size,
     count_rows,
     exact_grid,
     lsh_blocks,
@@ -68,8 +70,9 @@ def candidate_blocks(query: DataFrame, train: DataFrame, family, kernel_k: int |
     """Kernel output over all blocks, ``q_id, t_id, t_label, distance, n_cand``, and its
     number of partitions.
 
-    ``block_rows`` bounds a block's rows a side; without it LSH blocks take
-    ``DEFAULT_BLOCK_ROWS`` and exact ones ``EXACT_BLOCK_BYTES`` of vectors.
+    ``block_rows`` bounds a block's rows a side, as long as a table is cut into few blocks
+    (``block_size``); without it LSH blocks start at ``DEFAULT_BLOCK_ROWS`` and exact ones
+    take ``EXACT_BLOCK_BYTES`` of vectors. Where all pairs are returned blocks never grow.
     ``width`` (vector width) and ``counts`` (query rows, training rows) may be passed
     in by callers that already know them; otherwise each costs one small job.
     ``train_sig`` names a signature column already on ``train`` (an index hashed once
@@ -83,6 +86,10 @@ def candidate_blocks(query: DataFrame, train: DataFrame, family, kernel_k: int |
                 else count_rows(query.select(id_col), train.select(id_col)))
     w = width or search_width(train, query, col=features)
     values, value_bytes = _row_size(train, features, w)
+    if kernel_k is None:
+        block_rows = block_rows or JOIN_BLOCK_ROWS
+    elif block_rows or family is not None:
+        block_rows = block_size(block_rows or DEFAULT_BLOCK_ROWS, max(n_q, n_t), values * value_bytes)
     if family is None:
         rows = block_rows or max(DEFAULT_BLOCK_ROWS, int(EXACT_BLOCK_BYTES // max(1, values * value_bytes)))
         n_tb, n_qb = exact_grid(rows, 2 * spark.sparkContext.defaultParallelism, n_q, n_t)
@@ -91,7 +98,6 @@ def candidate_blocks(query: DataFrame, train: DataFrame, family, kernel_k: int |
         kernel = BlockKernel(kernel_k, threshold, exclude_self, first_table=False)
         shuffled_rows = n_q * n_tb + n_t * n_qb
     else:
-        block_rows = block_rows or DEFAULT_BLOCK_ROWS
         q = q.withColumn("q_sig", signature_column(family, w, "q_vec"))
         if "t_sig" in t.columns:
             check_family(train, train_sig, family, w)
