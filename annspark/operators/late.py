@@ -33,7 +33,9 @@ from annspark.operators.blocks import (
     DEFAULT_MAX_BROADCAST_ROWS,
     MERGE_ROWS,
     BlockKernel,
+    _earlier,
     _exact,
+    block_size,
     count_rows,
     join_checked,
     partitions_for,
@@ -91,10 +93,8 @@ class CodeKernel(BlockKernel):
         err = 4.0 * (self.width + 8) * float(np.finfo(np.float32).eps)
         earlier, qsig = [], None
         if tbl:
-            qsig, tsig = (arrow_matrix(s.column(f"{p}_sig"), dtype=np.int64)[:, :tbl] for s, p in ((q, "q"), (t, "t")))
-            for j in range(tbl):
-                order = np.argsort(tsig[:, j], kind="stable")
-                earlier.append((order, tsig[order, j], tsig[:, j]))
+            qsig, earlier = _earlier(*(arrow_matrix(s.column(f"{p}_sig"), dtype=np.int64)[:, :tbl]
+                                       for s, p in ((q, "q"), (t, "t"))))
         # Of equal vectors the k smallest ids (one more: a query may be among them) go on.
         spare = _place_in_class(same) >= self.k + self.exclude_self
         step = max(1, self.chunk_values // max(1, len(tx)))
@@ -103,7 +103,7 @@ class CodeKernel(BlockKernel):
             blocked = self._blocked(qid[s:e], tid, None if qsig is None else qsig[s:e], earlier, e - s, len(tx))
             other = qb[s:e, None] != tb[None, :]
             dead = other if blocked is None else other | blocked
-            n = (~dead).sum(axis=1)
+            n = len(tx) - np.count_nonzero(dead, axis=1)
             d2 = qn[s:e, None] + tn[None, :] - 2.0 * (q32[s:e] @ t32.T)
             tol = (err * (qn[s:e, None] + float(tn.max())) + 1e-30).astype(np.float32)
             off = (np.ldexp(qe[s:e], -exp)[:, None] + np.ldexp(te, -exp)[None, :]).astype(np.float32) * np.float32(1.001)
@@ -186,11 +186,12 @@ class LateSearch:
         if k < 1:
             raise ValueError("k must be >= 1")
         self.family, self.k, self.exclude_self = family, k, exclude_self
-        self.block_rows, self.max_broadcast_rows, self.max_pairs = block_rows, max_broadcast_rows, max_pairs
+        self.max_broadcast_rows, self.max_pairs = max_broadcast_rows, max_pairs
         self.q, self.t = _sides(query, train, id_col, features, label)
         self.spark = query.sparkSession
         self.n_q, self.n_t = count_rows(query.select(id_col), train.select(id_col))
         self.width = search_width(train, query, col=features)
+        self.block_rows = block_size(block_rows, max(self.n_q, self.n_t), 8 * self.width)
         self.q_codes = _stored(_coded(self.q, "q", family, self.width), "query-codes")
         self.t_codes = _stored(_coded(self.t, "t", family, self.width), "row-codes")
         self.live = self._live()
@@ -203,9 +204,13 @@ class LateSearch:
 
         sizes = (each(self.t_codes, 1, 0).unionByName(each(self.q_codes, 0, 1)).groupBy("tbl", "bucket")
                  .agg(F.sum("n_t").alias("n_t"), F.sum("n_q").alias("n_q")))
-        return _stored(sizes.where("n_t > 0 and n_q > 0").select(
+        live = _stored(sizes.where("n_t > 0 and n_q > 0").select(
             "tbl", "bucket", F.ceil(F.col("n_t") / self.block_rows).cast("int").alias("n_tb"),
-            F.ceil(F.col("n_q") / self.block_rows).cast("int").alias("n_qb")), "live-buckets")
+            F.ceil(F.col("n_q") / self.block_rows).cast("int").alias("n_qb"), "n_t", "n_q"), "live-buckets")
+        # Rows shuffled: each goes to every block of the other side.
+        copies = F.sum(F.col("n_t") * F.col("n_qb") + F.col("n_q") * F.col("n_tb"))
+        self.copies = int(live.agg(copies).first()[0] or 0)
+        return live.drop("n_t", "n_q")
 
     def exploded(self, p: str) -> DataFrame:
         """Coded rows of side ``p`` per live bucket and block: what is shuffled."""
@@ -222,7 +227,7 @@ class LateSearch:
 
     def pairs(self) -> tuple[DataFrame, int]:
         q, t = self.exploded("q"), self.exploded("t")
-        n = partitions_for(self.spark, (self.n_q + self.n_t) * self.family.n_tables, self.width, 1)
+        n = partitions_for(self.spark, self.copies, self.width, 1)
         kernel = CodeKernel(self.k, self.exclude_self, self.width, self.max_pairs)
         met = (q.repartition(n, *KEYS).groupBy(*KEYS).cogroup(t.repartition(n, *KEYS).groupBy(*KEYS))
                .applyInArrow(lambda a, b: kernel(a, b), _PAIRS))
@@ -236,7 +241,7 @@ class LateSearch:
         blocks = named.select(*KEYS).distinct()
         t = join_checked(self.exploded("t").drop(*plain), blocks, KEYS, "left_semi", self.max_broadcast_rows)
         t = t.join(self.t, "t_id")
-        n = partitions_for(self.spark, self.n_t, self.width)
+        n = partitions_for(self.spark, self.copies, self.width)
         kernel = BlockKernel(self.k, None, self.exclude_self, first_table=True)
         return run_blocks(q, t, KEYS, kernel, n), n
 
