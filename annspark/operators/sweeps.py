@@ -30,6 +30,7 @@ from annspark.operators.blocks import (
     DEFAULT_BLOCK_ROWS,
     DEFAULT_MAX_BROADCAST_ROWS,
     BlockKernel,
+    block_size,
     count_rows,
     lsh_blocks,
     partitions_for,
@@ -92,8 +93,10 @@ def tagged_search(query: DataFrame, train: DataFrame, base, variants: list[Varia
     table = ("variant", "tbl")
     n_tables = sum(max(v.tables) for v in variants)
     t_exp = with_queries_only(t_exp, q_exp, n_tables, max_broadcast_rows, table)
-    q_side, t_side, added = lsh_blocks(q_exp, t_exp, block_rows, max_broadcast_rows, n_q, n_t, table)
-    n_tasks = partitions_for(spark, (n_q + n_t) * n_tables + added, *_row_size(train, features, w))
+    values, value_bytes = _row_size(train, features, w)
+    rows = block_size(block_rows, max(n_q, n_t), values * value_bytes)
+    q_side, t_side, added = lsh_blocks(q_exp, t_exp, rows, max_broadcast_rows, n_q, n_t, table)
+    n_tasks = partitions_for(spark, (n_q + n_t) * n_tables + added, values, value_bytes)
     raw = run_blocks(q_side, t_side, [*table, "bgroup", "tblock", "qblock"],
                      BlockKernel(k, threshold, exclude_self, first_table=True), n_tasks, carry=table)
     settings = [(v, n) for v, var in enumerate(variants) for n in var.tables]
