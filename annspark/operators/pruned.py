@@ -10,7 +10,9 @@ Two rounds of the block kernel, no guess: each query first searches the ring wit
 smallest bound that holds k rows, which gives it a k-th distance; then all rings whose
 bound is not above it, and no other. Rings of many rows are cut into blocks by a hash, as
 are the queries that meet in one, so a cell that holds a third of all rows is many tasks.
-What is broadcast is bounded by parameters: the pivots, and at most ``MAX_RINGS`` ranges.
+A query goes to a ring as a row with its vector, so rings are few: at most ``MAX_RINGS`` and
+one more a pivot, whatever the table, which also bounds what is broadcast. Where nothing can
+be ruled out, that many rows a query are written; rings grow with the table, not in number.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from annspark.operators.blocks import (
     DEFAULT_BLOCK_ROWS,
     DEFAULT_MAX_BROADCAST_ROWS,
     BlockKernel,
+    block_size,
     count_rows,
     join_checked,
     partitions_for,
@@ -38,10 +41,11 @@ from annspark.operators.search import _sides
 from annspark.operators.topk import merge_top_k
 from annspark.session import scratch_path
 
-MAX_PIVOTS = 256
-MAX_RINGS = 65_536
+MAX_PIVOTS = 128
+MAX_RINGS = 128
 SLACK = 1e-6  # of the norms: covers the rounding of distances to pivots
-CHUNK_VALUES = 4_000_000
+CHUNK_VALUES = 500_000  # bounds of queries to rings held at a time
+BATCH_ROWS = 8192  # queries with their rings that are handed on at a time
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -86,7 +90,7 @@ class Rings:
                 best = np.empty(len(x), dtype=np.int64)
                 for s in range(0, len(x), self.step()):
                     best[s:s + self.step()] = places[self.bounds(x[s:s + self.step()])[:, places].argmin(axis=1)]
-                yield self.rows(batch, np.arange(len(x)), best)
+                yield from self.rows(batch, np.arange(len(x)), best)
         return run
 
     def others(self):
@@ -100,17 +104,18 @@ class Rings:
                     near = self.bounds(x[s:e]) <= tau[s:e, None]
                     near &= (cell[s:e, None] != self.cell) | (ring[s:e, None] != self.ring)
                     i, j = np.nonzero(near)
-                    yield self.rows(batch, i + s, j)
+                    yield from self.rows(batch, i + s, j)
         return run
 
     def step(self) -> int:
         return max(1, CHUNK_VALUES // max(1, len(self.cell)))
 
-    def rows(self, batch, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-        at = pa.array(i, pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [batch.column("q_id").take(at), batch.column("q_vec").take(at), pa.array(self.cell[j], pa.int32()),
-             pa.array(self.ring[j], pa.int32())], names=["q_id", "q_vec", "cell", "ring"])
+    def rows(self, batch, i: np.ndarray, j: np.ndarray):
+        for s in range(0, len(i), BATCH_ROWS):
+            at, to = pa.array(i[s:s + BATCH_ROWS], pa.int64()), j[s:s + BATCH_ROWS]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("q_id").take(at), batch.column("q_vec").take(at), pa.array(self.cell[to], pa.int32()),
+                 pa.array(self.ring[to], pa.int32())], names=["q_id", "q_vec", "cell", "ring"])
 
 
 class PrunedSearch:
@@ -123,10 +128,11 @@ class PrunedSearch:
             raise ValueError("pruned search takes vectors as arrays")
         if k < 1:
             raise ValueError("k must be >= 1")
-        self.k, self.exclude_self, self.block_rows = k, exclude_self, block_rows
+        self.k, self.exclude_self = k, exclude_self
         self.query, t = _sides(query, train, id_col, features, label)
         self.n_q, self.n_t = count_rows(query.select(id_col), train.select(id_col))
         self.width = search_width(train, query, col=features)
+        self.block_rows = block_size(block_rows, max(self.n_q, self.n_t), 8 * self.width)
         n = n_pivots or min(MAX_PIVOTS, max(1, math.isqrt(self.n_t) // 2))
         sample = t.select("t_vec", F.xxhash64("t_id").alias("h")).orderBy("h").limit(n).collect()
         # Without a training row one pivot at zero stands for the rings, of which there are none.
@@ -183,7 +189,9 @@ class PrunedSearch:
              .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("nb", "nq"))
         t = (join_checked(self.train, per_ring, ["cell", "ring"], "inner", DEFAULT_MAX_BROADCAST_ROWS, "t_id")
              .withColumn("qblock", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).drop("nq"))
-        n = partitions_for(asked.sparkSession, self.n_t + self.n_q, self.width)
+        # Queries go to each block of a ring, training rows to each block of its queries.
+        copies = asked.count() + 2 * self.n_t * math.ceil(self.n_q / self.block_rows)
+        n = partitions_for(asked.sparkSession, copies, self.width)
         kernel = BlockKernel(self.k, None, self.exclude_self, first_table=False)
         return run_blocks(q, t, ["cell", "ring", "sub", "qblock"], kernel, n), n
 
