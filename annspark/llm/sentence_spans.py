@@ -18,9 +18,12 @@ and the pieces covered by a repeated run are removed wherever the run is not the
   passage goes, whatever the lengths of its sentences.
 * First is the run in the smallest ``id``; inside a document the earlier one.
 
-One Arrow pass writes the runs (96 hash bits, id, number); a map-side combined aggregate
-finds repeated ones; a join, whose hot runs the adaptive planner splits, lists the runs
-to remove per document; a second Arrow pass cuts the texts.
+One Arrow pass makes the runs (96 hash bits, id, number) and tells, among the documents it
+holds at a time, which ones cannot be the first; of a run that many documents share, it
+leaves one or so open. The runs are shuffled once, by their hash, and ranked by id, so the
+others that are not the first come out too; they are listed per document, and a second
+Arrow pass cuts the texts. Nothing but these lists is written. Runs that stand in many
+different texts without an id stay open, one row each.
 
 Nulls and ties. A null text stays null and has no sentences; an empty text, or one of a
 single sentence, has no runs and stays. Rows that share an id are one document: nothing
@@ -36,7 +39,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annspark.llm.bpe import slices
@@ -46,6 +49,7 @@ MIN_SENTENCES = 2
 MIN_WORDS = 12
 MIN_SPAN_WORDS = 16
 PIECE_WORDS = 10
+HELD_RUNS = 1 << 18  # compared within a task at a time
 _NO_ID = (1 << 63) - 1
 
 _BREAK = re.compile(r"(?<=[.!?])[\"'”’»)\]]*\s+|\s*\n\s*")
@@ -194,36 +198,69 @@ def cut(text: str, wanted, min_sentences: int = MIN_SENTENCES, min_words: int =
     return (out.rstrip() if spans and spans[-1][1] == len(text) else out), spans
 
 
+def _open_and_later(h, c, ids, keys, numbers):
+    """Which runs may be the first of their hash, and which cannot be: another one of these
+    has a smaller id, or stands further up in the same document. Two lists of positions;
+    of rows that are equal in all, one is listed."""
+    order = np.lexsort((numbers, keys, ids, c, h))
+    h, c, ids, keys, numbers = (x[order] for x in (h, c, ids, keys, numbers))
+    same_run = np.zeros(len(order), bool)
+    same_run[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+    begin = np.flatnonzero(~same_run)
+    least = np.repeat(ids[begin], np.diff(np.append(begin, len(order))))
+    same_doc = same_run.copy()
+    same_doc[1:] &= (ids[1:] == ids[:-1]) & (keys[1:] == keys[:-1])
+    begin = np.flatnonzero(~same_doc)
+    upmost = np.repeat(numbers[begin], np.diff(np.append(begin, len(order))))
+    twice = same_doc.copy()
+    twice[1:] &= numbers[1:] == numbers[:-1]
+    later = (ids > least) | (numbers > upmost)
+    return np.sort(order[~later & ~twice]), np.sort(order[later & ~twice])
+
+
 def span_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS,
-              piece_words: int = PIECE_WORDS) -> DataFrame:
-    """``h, c, id, text_hash, run, again``: the runs of every document, numbered, one row
-    each; ``again`` marks a run that its own document holds further up."""
+              piece_words: int = PIECE_WORDS, held_runs: int = HELD_RUNS) -> DataFrame:
+    """``h, c, id, text_hash, run``: the runs of every document, numbered, one row each. A
+    run that is known not to be the first has no ``c``, and an ``h`` that its document's
+    runs share. Runs are compared within a task, some ``held_runs`` at a time."""
+
+    def sorted_out(held):
+        h, c, ids, keys, numbers = (np.concatenate(x) for x in zip(*held))
+        opened, later = _open_and_later(h, c, ids, keys, numbers)
+        spread = keys[later] ^ (ids[later] * _ODD[0].astype(np.int64))
+        for take, first, second in ((opened, h[opened], pa.array(c[opened], pa.int32())),
+                                    (later, spread, pa.nulls(len(later), pa.int32()))):
+            yield pa.RecordBatch.from_arrays([
+                pa.array(first, pa.int64()), second, pa.array(ids[take], pa.int64()),
+                pa.array(keys[take], pa.int64()), pa.array(numbers[take], pa.int32())],
+                names=["h", "c", "id", "text_hash", "run"])
 
     def hashed(batches):
+        held, n = [], 0
         for batch in slices(batches):
             ids, keys, texts = (batch.column(k) for k in range(3))
-            rows, made, numbers, again = [], [], [], []
-            for r, text in enumerate(texts.to_pylist()):
+            made, counts = [], []
+            for text in texts.to_pylist():
                 found = pieces(text, piece_words)
-                seen = set()
-                for number, digest in enumerate(digests(found, *runs(found, min_sentences, min_words))):
-                    rows.append(r)
-                    numbers.append(number)
-                    again.append(digest in seen)
-                    made.append(digest)
-                    seen.add(digest)
+                of_text = digests(found, *runs(found, min_sentences, min_words))
+                made += of_text
+                counts.append(len(of_text))
             words = np.frombuffer(b"".join(made), dtype="<i4").reshape(-1, 4)
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.ascontiguousarray(words[:, :2]).view("<i8").ravel(), pa.int64()),
-                pa.array(np.ascontiguousarray(words[:, 2]), pa.int32()),
-                ids.take(take), keys.take(take), pa.array(numbers, pa.int32()),
-                pa.array(again, pa.bool_())], names=["h", "c", "id", "text_hash", "run", "again"])
+            numbers = np.arange(len(made)) - np.repeat(np.cumsum(counts) - counts, counts)
+            held.append((np.ascontiguousarray(words[:, :2]).view("<i8").ravel(), words[:, 2],
+                         np.repeat(ids.to_numpy(), counts), np.repeat(keys.to_numpy(), counts),
+                         numbers.astype(np.int32)))
+            n += len(made)
+            if n >= held_runs:
+                yield from sorted_out(held)
+                held, n = [], 0
+        if n:
+            yield from sorted_out(held)
 
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"),
                        text_key(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(hashed, "h long, c int, id long, text_hash long, run int, again boolean")
+    return slim.mapInArrow(hashed, "h long, c int, id long, text_hash long, run int")
 
 
 def sentence_span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -233,14 +270,11 @@ def sentence_span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """All columns of ``docs`` with the cleaned text, and one struct column
     ``out_col`` of ``n_removed`` (sentence spans) and ``spans`` (start, end), which takes
     the place of a column of that name."""
-    made = written(span_runs(docs, id_col, text_col, min_sentences, min_words,
-                             piece_words), "runs")
-    repeated = written(made.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"),
-                                                  F.min("id").alias("first_id"))
-                       .where("n > 1").drop("n"), "repeated")
+    made = span_runs(docs, id_col, text_col, min_sentences, min_words, piece_words)
+    by_id = Window.partitionBy("h", "c").orderBy("id")
     # Rows of one text that stand twice in the table give the same run twice: a set.
-    cuts = (made.join(repeated, ["h", "c"]).where("again or id > first_id")
-              .groupBy("id", "text_hash").agg(F.collect_set("run").alias("runs")))
+    cuts = (made.withColumn("rank", F.rank().over(by_id)).where("c is null or rank > 1")
+            .groupBy("id", "text_hash").agg(F.collect_set("run").alias("runs")))
     *key, found, done = fresh(docs, "_id", "_th", "_runs", "_cut")
     cuts = written(cuts, "cuts").select(F.col("id").alias(key[0]), F.col("text_hash").alias(key[1]),
                                         F.col("runs").alias(found))

@@ -27,6 +27,7 @@ from annspark.llm import (
 )
 from annspark.llm.oracle import ORACLE_SQL
 from annspark.llm.queries import QUERIES, tokenizer_path
+from annspark.session import checkpoint_dir
 from tools.check_oracle import TABLES, normalise
 
 SF = "/root/testdata/sf0.001"
@@ -265,6 +266,60 @@ def test_passages_pasted_into_sentences(spark):
         assert sum(w in passages[doc] for w in got[doc]) <= 4 * sentence_spans.PIECE_WORDS - 2
 
 
+def _passage_rows():
+    """Passages shared by many documents and repeated inside them, shared and null ids,
+    rows that come twice."""
+    rng = random.Random(8)
+    word = lambda n: " ".join(f"v{rng.randrange(50_000)}" for _ in range(n))
+    shared = [". ".join(word(15) for _ in range(4)) for _ in range(3)]
+    rows = [(1000 - k if k % 7 else None if k % 2 else 500, f"{word(60)}. " + ". ".join(
+        f"{p}. {word(20)}" for p in rng.choices(shared, k=rng.randrange(4))) + ".") for k in range(120)]
+    return rows + rows[::5] + [(3, None), (4, "")]
+
+
+def test_spans_against_all_runs(spark):
+    rows = _passage_rows()
+    none = sentence_spans._NO_ID
+    runs_of, first = {}, {}
+    for doc, text in rows:
+        found = sentence_spans.pieces(text)
+        made = sentence_spans.digests(found, *sentence_spans.runs(found))
+        runs_of[doc, text] = made
+        for digest in made:
+            first[digest] = min(first.get(digest, none), none if doc is None else doc)
+    want = []
+    for doc, text in rows:
+        made = runs_of[doc, text]
+        gone = [k for k, digest in enumerate(made)
+                if (none if doc is None else doc) > first[digest] or digest in made[:k]]
+        kept, spans = sentence_spans.cut(text, gone) if gone else (text, [])
+        want.append((doc, kept, len(spans)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [(r.doc_id, r.text, r.span_dedup.n_removed) for r in sentence_spans.sentence_span_dedup(docs).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and sum(n for _, _, n in want) > 100
+
+
+def test_runs_of_many_documents_stay_in_their_task(spark):
+    docs = spark.createDataFrame([r for r in _passage_rows() if r[0]], "doc_id long, text string").coalesce(1)
+    made = sentence_spans.span_runs(docs).groupBy("h", "c").agg(F.count_distinct("id").alias("n")).collect()
+    assert max(r.n for r in made if r.c is not None) == 1  # one document may still be the first
+    pairs = lambda held: {(r.id, r.text_hash, r.run) for r in sentence_spans.span_runs(
+        docs, held_runs=held).collect()}
+    assert pairs(1) == pairs(1 << 18)
+
+
+def test_spans_write_only_what_goes(spark):
+    rng = random.Random(9)
+    rows = [(k, " ".join(f"v{rng.randrange(50_000)}" for _ in range(300)) + ".") for k in range(400)]
+    root = checkpoint_dir(spark).removeprefix("file:")
+    files = lambda: {os.path.join(at, f) for at, _, fs in os.walk(root) for f in fs}
+    before = files()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sentence_spans.sentence_span_dedup(docs).where("span_dedup.n_removed > 0").count() == 0
+    written = sum(os.path.getsize(f) for f in files() - before)
+    assert written < sum(len(text) for _, text in rows) / 10
+
+
 def test_rollups_are_idempotent(spark):
     schema = "op string, doc_id long, source string, lang string, tokenizer string, n_tokens long"
     rollup = token_rollups.TokenRollup(spark)
