@@ -38,10 +38,19 @@ DEFAULT_MAX_BROADCAST_ROWS = 100_000
 EXACT_BLOCK_BYTES = 8 * 1024 * 1024
 # Blocks a table is cut into before blocks grow instead.
 MAX_SPLITS = 16
-# Rows a side of a block whose pairs are all returned (joins): the block's result is one table.
+# Rows a side of a block whose pairs are all returned (joins), and the most it grows to: the
+# block's result is one table.
 JOIN_BLOCK_ROWS = 1024
-# Values of a chunk's distance matrix, and of the vectors gathered for exact distances.
+JOIN_MOST_ROWS = 2048
+# Pairs of a join that are handed on at once.
+PAIR_ROWS = 131_072
+# Pairs of a block from which putting near ones first saves bytes: fewer hardly share a rounded
+# distance, and ids take more in that order.
+NEAR_FIRST_PAIRS = 500_000
+# Values of a chunk's distance matrix.
 CHUNK_VALUES = 1_000_000
+# Values of the vectors gathered at a time for exact distances: they stay in the CPU's cache.
+EXACT_VALUES = 65_536
 # Columns of a chunk of which only the least distance is looked at to find a bound of the k-th.
 FOLD = 32
 # Target bytes per cogroup partition, used to scale the partition count with the data
@@ -217,7 +226,8 @@ class BlockKernel:
 
     ``k`` given: the k nearest valid rows per query (order: distance, then t_id), plus
     the query's count of valid rows in this block on its first emitted row.
-    ``k`` None: every valid pair (similarity join).
+    ``k`` None: every valid pair (similarity join), with ``near_first`` near pairs first in
+    blocks of many.
     Valid: within ``threshold`` (strict), not the query itself when ``exclude_self``,
     and, with ``first_table``, this is the first table where the two share a bucket.
     Ranking uses ||q||^2 + ||t||^2 - 2 q.t from one float32 matrix product (half the
@@ -227,7 +237,7 @@ class BlockKernel:
     """
 
     def __init__(self, k: int | None, threshold: float | None, exclude_self: bool,
-                 first_table: bool, chunk_values: int = CHUNK_VALUES):
+                 first_table: bool, chunk_values: int = CHUNK_VALUES, near_first: bool = False):
         if threshold is not None and not threshold >= 0:
             raise ValueError("threshold must be a number not below 0")
         self.k = k
@@ -235,6 +245,7 @@ class BlockKernel:
         self.exclude_self = exclude_self
         self.first_table = first_table
         self.chunk_values = chunk_values
+        self.near_first = near_first
 
     def __call__(self, q: pa.Table, t: pa.Table) -> pa.Table:
         if q.num_rows == 0 or t.num_rows == 0:
@@ -287,13 +298,18 @@ class BlockKernel:
         for s in range(0, len(qv), step):
             e = min(len(qv), s + step)
             tol = err * (qn[s:e].astype(np.float64) + tn_max) + 1e-30
-            parts.append(self._chunk(qv[s:e], q32[s:e], qid[s:e], qn[s:e], tol, tv, t32, tid, tn,
-                                     tlab, exp, None if qsig is None else qsig[s:e], earlier,
-                                     None if qb is None else qb[s:e], tb))
-        return parts
+            i, j, dist, counts = self._chunk(qv[s:e], q32[s:e], qid[s:e], qn[s:e], tol, tv, t32, tid, tn,
+                                             exp, None if qsig is None else qsig[s:e], earlier,
+                                             None if qb is None else qb[s:e], tb)
+            if self.k is None:
+                parts.append(((i + s).astype(np.int32), j.astype(np.int32), dist))
+            else:
+                parts.append(self._nearest(i, j, dist, counts, qid[s:e], tid, tlab))
+        return parts if self.k is not None else self._pairs(parts, qid, tid, tlab)
 
-    def _chunk(self, qv, q32, qid, qn, tol, tv, t32, tid, tn, tlab, exp, qsig, earlier,
-               qb=None, tb=None) -> pa.Table:
+    def _chunk(self, qv, q32, qid, qn, tol, tv, t32, tid, tn, exp, qsig, earlier, qb=None, tb=None):
+        """``(i, j, exact distance)`` of the pairs of a chunk of queries, for top k of a band
+        that holds the k nearest, and each query's count of valid rows."""
         nq, nt = len(qv), len(tv)
         blocked = self._blocked(qid, tid, qsig, earlier, nq, nt)
         if qb is not None:  # several buckets share this group: only same-bucket pairs
@@ -326,8 +342,9 @@ class BlockKernel:
         i = np.concatenate([p[0] for p in parts]).astype(np.int64)
         j = np.concatenate([p[1] for p in parts]).astype(np.int64)
         dist = np.concatenate([p[2] for p in parts]).astype(np.float64)
-        if self.k is None:
-            return _table(qid[i], tid[j], tlab.take(j), dist, np.zeros(len(i), dtype=np.int64))
+        return i, j, dist, counts
+
+    def _nearest(self, i, j, dist, counts, qid, tid, tlab) -> pa.Table:
         # Final order per query: distance, then t_id; keep k, count on the first row.
         order = np.lexsort((tid[j], dist, i))
         i, j, dist = i[order], j[order], dist[order]
@@ -338,6 +355,20 @@ class BlockKernel:
         n = np.where(start, counts[i], 0).astype(np.int64)
         return _table(qid[i], tid[j], tlab.take(j), dist, n)
 
+    def _pairs(self, parts, qid, tid, tlab) -> list[pa.Table]:
+        """Pairs ``(i, j, distance)`` of a block as tables. Distances are most of a join's bytes,
+        and hardly two in a row are alike in the order of queries; nearest first, those that
+        round to the same value stand side by side, which files compress."""
+        i, j, dist = (np.concatenate(column) for column in zip(*parts, strict=True))
+        parts.clear()
+        order = np.argsort(dist) if self.near_first and len(dist) >= NEAR_FIRST_PAIRS else None
+        tables = []
+        for s in range(0, max(1, len(dist)), PAIR_ROWS):
+            at = slice(s, s + PAIR_ROWS) if order is None else order[s:s + PAIR_ROWS]
+            tables.append(_table(qid[i[at]], tid[j[at]], tlab.take(pa.array(j[at])), dist[at],
+                                 np.zeros(len(i[at]), dtype=np.int64)))
+        return tables
+
     def _blocked(self, qid, tid, qsig, earlier, nq, nt):
         """Pairs that must not be scored here: the query itself (``exclude_self``) and
         pairs that share an earlier table (counted there). None when there are none."""
@@ -484,10 +515,13 @@ def _exact(qv, tv, i, j) -> np.ndarray:
     """Distances of the pairs (i, j) in float64 from the stored values (exact widening)."""
     if len(i) == 0:
         return np.zeros(0, dtype=np.float64)
+    if len(i) > len(qv) + len(tv):  # most vectors are met more than once: widened once
+        qv, tv = qv.astype(np.float64, copy=False), tv.astype(np.float64, copy=False)
     out = np.empty(len(i), dtype=np.float64)
-    step = max(1, CHUNK_VALUES // max(1, qv.shape[1]))
+    step = max(1, EXACT_VALUES // max(1, qv.shape[1]))
     for s in range(0, len(i), step):
-        diff = qv[i[s:s + step]].astype(np.float64) - tv[j[s:s + step]].astype(np.float64)
+        diff = (qv[i[s:s + step]].astype(np.float64, copy=False)
+                - tv[j[s:s + step]].astype(np.float64, copy=False))
         d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
         # Squares outside float64's range: the same sum on the difference scaled by a
         # power of two of its own.

@@ -19,6 +19,7 @@ from annspark.operators.blocks import (
     DEFAULT_MAX_BROADCAST_ROWS,
     EXACT_BLOCK_BYTES,
     JOIN_BLOCK_ROWS,
+    JOIN_MOST_ROWS,
     BlockKernel,
     block_size,
     count_rows,
@@ -66,13 +67,15 @@ def candidate_blocks(query: DataFrame, train: DataFrame, family, kernel_k: int |
                      max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
                      width: int | None = None, counts: tuple[int, int] | None = None,
                      id_col: str = "id", features: str = "features",
-                     label: str = "label", train_sig: str | None = None) -> tuple[DataFrame, int]:
+                     label: str = "label", train_sig: str | None = None,
+                     near_first: bool = False) -> tuple[DataFrame, int]:
     """Kernel output over all blocks, ``q_id, t_id, t_label, distance, n_cand``, and its
     number of partitions.
 
     ``block_rows`` bounds a block's rows a side, as long as a table is cut into few blocks
     (``block_size``); without it LSH blocks start at ``DEFAULT_BLOCK_ROWS`` and exact ones
-    take ``EXACT_BLOCK_BYTES`` of vectors. Where all pairs are returned blocks never grow.
+    take ``EXACT_BLOCK_BYTES`` of vectors. Where all pairs are returned blocks grow to
+    ``JOIN_MOST_ROWS`` rows a side at most.
     ``width`` (vector width) and ``counts`` (query rows, training rows) may be passed
     in by callers that already know them; otherwise each costs one small job.
     ``train_sig`` names a signature column already on ``train`` (an index hashed once
@@ -87,7 +90,8 @@ def candidate_blocks(query: DataFrame, train: DataFrame, family, kernel_k: int |
     w = width or search_width(train, query, col=features)
     values, value_bytes = _row_size(train, features, w)
     if kernel_k is None:
-        block_rows = block_rows or JOIN_BLOCK_ROWS
+        block_rows = block_rows or min(JOIN_MOST_ROWS, block_size(JOIN_BLOCK_ROWS, max(n_q, n_t),
+                                                                  values * value_bytes))
     elif block_rows or family is not None:
         block_rows = block_size(block_rows or DEFAULT_BLOCK_ROWS, max(n_q, n_t), values * value_bytes)
     if family is None:
@@ -95,7 +99,7 @@ def candidate_blocks(query: DataFrame, train: DataFrame, family, kernel_k: int |
         n_tb, n_qb = exact_grid(rows, 2 * spark.sparkContext.defaultParallelism, n_q, n_t)
         q_side, t_side = uniform_blocks(q, t, n_tb, n_qb)
         keys = ["tblock", "qblock"]
-        kernel = BlockKernel(kernel_k, threshold, exclude_self, first_table=False)
+        kernel = BlockKernel(kernel_k, threshold, exclude_self, first_table=False, near_first=near_first)
         shuffled_rows = n_q * n_tb + n_t * n_qb
     else:
         q = q.withColumn("q_sig", signature_column(family, w, "q_vec"))
@@ -115,7 +119,7 @@ def candidate_blocks(query: DataFrame, train: DataFrame, family, kernel_k: int |
         t_exp = with_queries_only(t_exp, q_exp, family.n_tables, max_broadcast_rows)
         q_side, t_side, added = lsh_blocks(q_exp, t_exp, block_rows, max_broadcast_rows, n_q, n_t)
         keys = ["tbl", "bgroup", "tblock", "qblock"]
-        kernel = BlockKernel(kernel_k, threshold, exclude_self, first_table=True)
+        kernel = BlockKernel(kernel_k, threshold, exclude_self, first_table=True, near_first=near_first)
         # Exploded rows and the copies of split buckets: an upper bound, since training
         # rows of buckets without a query are dropped before the shuffle.
         shuffled_rows = (n_q + n_t) * family.n_tables + added
@@ -160,7 +164,9 @@ def similarity_join(query: DataFrame, train: DataFrame, family, threshold: float
     default the reference's cut for the vectors' width. An explicit None asks for every
     pair of every shared bucket.
 
-    Each pair once: ``q_id, t_id, t_label, distance``.
+    Each pair once: ``q_id, t_id, t_label, distance``. ``near_first=True`` hands on the pairs
+    of large blocks by distance: where distances are rounded and written, files take about half
+    the bytes.
     """
     if threshold == "reference":
         opts.setdefault("width", search_width(train, query, col=opts.get("features", "features")))
